@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, fingerprints, line_dedup, quality, sharding, simhash
+from barloom.llm import decontaminate, fingerprints, line_dedup, quality, secret_scan, sharding, simhash
 from barloom.llm.shared import table
 
 
@@ -26,6 +26,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ FROM lines LEFT JOIN frequent f USING (k) GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op7_simhash, op9_fingerprints, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
