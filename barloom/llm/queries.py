@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, fingerprints, line_dedup, quality, secret_scan, sharding, simhash
+from barloom.llm import decontaminate, fingerprints, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from barloom.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ FROM lines LEFT JOIN frequent f USING (k) GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op5_mixing, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
