@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, fingerprints, line_dedup, mixing, quality, secret_scan, sharding, simhash
+from barloom.llm import chat_format, decontaminate, fingerprints, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from barloom.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(table(spark, sf_dir, "conversations"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -71,10 +75,35 @@ SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped, sha256(coalesce(str
 FROM lines LEFT JOIN frequent f USING (k) GROUP BY doc_id
 """
 
+_OP4 = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+         replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), last AS (SELECT conv_id, max(i) AS i FROM t WHERE role = 'assistant' GROUP BY conv_id),
+answers AS (SELECT conv_id, i, text FROM t JOIN last USING (conv_id, i)),
+sides AS (
+  SELECT t.conv_id, t.i, role, t.text AS chosen, CASE WHEN a.i IS NULL THEN t.text ELSE coalesce(b.text, '') END AS rejected
+  FROM t LEFT JOIN answers a ON a.conv_id = t.conv_id AND a.i = t.i LEFT JOIN answers b ON b.conv_id = xor(t.conv_id, 1)
+), common AS (SELECT conv_id, coalesce(min(i) FILTER (chosen <> rejected) - 1, count(*)) AS n FROM sides GROUP BY conv_id),
+placed AS (
+  SELECT conv_id, i, n, role, '<|' || role || '|>' || chr(10) AS head, chosen, rejected,
+    coalesce(sum(length(role) + 13 + length(chosen)) FILTER (i > n) OVER before, 0) AS at_chosen, coalesce(sum(length(role) + 13 + length(rejected)) FILTER (i > n) OVER before, 0) AS at_rejected
+  FROM sides JOIN common USING (conv_id) WINDOW before AS (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_common,
+  coalesce(string_agg(head || chosen || '<|end|>' || chr(10), '' ORDER BY i) FILTER (i <= n), '') AS prompt,
+  coalesce(string_agg(head || chosen || '<|end|>' || chr(10), '' ORDER BY i) FILTER (i > n), '') AS chosen,
+  coalesce(string_agg(CAST(at_chosen + length(head) AS BIGINT) || ':' || CAST(at_chosen + length(head) + length(chosen) + 7 AS BIGINT), ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(head || rejected || '<|end|>' || chr(10), '' ORDER BY i) FILTER (i > n), '') AS rejected,
+  coalesce(string_agg(CAST(at_rejected + length(head) AS BIGINT) || ':' || CAST(at_rejected + length(head) + length(rejected) + 7 AS BIGINT), ',' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS rejected_mask
+FROM placed GROUP BY conv_id, n
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op5_mixing, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_preferences, op5_mixing, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op3_line_dedup": _OP3}
+    return {"op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_preferences": _OP4}
