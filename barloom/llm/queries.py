@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_format, decontaminate, fingerprints, line_dedup, mixing, quality, secret_scan, sharding, simhash
+from barloom.llm import chat_format, decontaminate, fingerprints, html_extract, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from barloom.llm.shared import table
 
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -102,7 +106,7 @@ FROM placed GROUP BY conv_id, n
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_preferences, op5_mixing, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_preferences, op5_mixing, op6_main_text, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
