@@ -1,15 +1,64 @@
-"""The corpus pipeline; each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Between stages the documents are written as Parquet in the folder that the cluster shares, as rows of
+``documents``; the last stage adds the shard of each.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import decontaminate, mixing, quality, sharding, simhash
+from barloom.llm.shared import shared_folder, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from labelled rows of the whole table."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored, score = quality.with_score(docs, model)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, and those of small sources again, up to twice, as their weights ask for."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and virtual slot, by a map that evens out bytes."""
+    slots = sharding.slot_map(sharding.slot_totals(sharding.sizes(docs)))
+    return sharding.place_rows(docs, slots)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("simhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None  # a fitted model decides the first stage; tests/llm holds the run against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
