@@ -119,7 +119,7 @@ class AdditiveModel:
         """Boosts one feature after another, round after round; then the pairs with most to gain."""
         share = float(y.mean()) if len(y) else 0.5
         none = [np.empty(0) for _ in FEATURES]
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             limit = min(max(share, 1e-6), 1 - 1e-6)
             return cls(none, [np.zeros(1) for _ in FEATURES], [], [], float(np.log(limit / (1 - limit))))
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, max_bins + 1)[1:-1])) for f in range(x.shape[1])]
