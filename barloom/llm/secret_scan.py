@@ -80,54 +80,74 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def candidate_runs(text: Column) -> Column:
-    """Spans of the runs that are tested for randomness."""
-    return F.when(text.rlike(TOKEN), spans(text, TOKEN, "random", 20)).otherwise(_none())
+def _with(found: Column, **more) -> Column:
+    """An array of structs with more fields, each made from the struct. Made step by step, an
+    expression never repeats the one below it."""
+    return F.transform(found, lambda m: F.struct(m["start"], m["end"], m["rank"], m["kind"], m["match"], m["judged"], *(f(m).alias(k) for k, f in more.items())))
 
 
-def _upper_tail(z: Column) -> Column:
-    """Chance that a standard normal value is over z; a rational fit of erfc, good to 1e-7 of itself."""
-    x = F.abs(z) / 2**0.5
-    t = 1 / (1 + x / 2)
+def _tail(t: Column, x: Column) -> Column:
+    """Chance that a standard normal value is over x times the root of 2, x being positive and t 1 / (1 + x / 2); a
+    rational fit of erfc, good to 1e-7 of itself."""
     fit = F.lit(0.17087277)
     for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
         fit = fit * t + c
-    half = t * F.exp(-x * x + fit) / 2
-    return F.when(z >= 0, half).otherwise(1 - half)
-
-
-def randomness(token: Column) -> Column:
-    """The p-value of ``token`` under even and independent draws from the alphabet of its encoding;
-    null if the encoding can't be told from words at that length."""
-    body = F.rtrim(F.translate(token, "-_", "+/"), F.lit("="))
-    out = F.lit(None).cast("double")
-    for pattern, alphabet, least in reversed(ENCODINGS):
-        plain = F.lower(body) if alphabet == "0123456789abcdef" else body
-        fits = (F.char_length(body) >= least) & (body.rlike(pattern) if pattern else F.lit(True))
-        mixed = body.rlike("[0-9]")  # letters alone are words
-        out = F.when(body.rlike(pattern) if pattern else F.lit(True), F.when(fits & mixed, _battery(plain, alphabet))).otherwise(out)
-    return out
-
-
-def _battery(token: Column, alphabet: str) -> Column:
-    k, n = len(alphabet), F.char_length(token).cast("double")
-    counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: n - F.char_length(F.replace(token, c, F.lit(""))))
-    chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * k / n - n
-    df = k - 1.0
-    uneven = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-    values = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    values = F.filter(values, lambda v: v > 0)
-    high = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v > (k + 1) / 2).cast("double"))
-    pairs = F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    turns = F.aggregate(pairs, F.lit(1.0), lambda s, p: s + ((p["a"] > (k + 1) / 2) != (p["b"] > (k + 1) / 2)).cast("double"))
-    expected = 2 * high * (n - high) / n + 1
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-    clustered = F.when((high == 0) | (high == n), F.pow(F.lit(0.5), n - 1)).otherwise(2 * _upper_tail(F.abs((turns - expected) / spread)))
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    around = F.aggregate(values, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
-    lagged = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["a"] - mean) * (p["b"] - mean))
-    serial = F.when(around < 1e-9, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(lagged / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
-    return F.least(F.lit(1.0), 3 * F.least(uneven, clustered, serial))
+    return t * F.exp(-x * x + fit) / 2
+
+
+def tested(found: Column) -> Column:
+    """``found`` with ``p``: the p-value of each match under even and independent draws from the alphabet
+    of its encoding; null if the encoding can't be told from words at that length."""
+    out = _with(found, body=lambda m: F.rtrim(F.translate(m["match"], "-_", "+/"), F.lit("=")))
+
+    def alphabet(m: Column) -> Column:
+        name = F.lit(ENCODINGS[-1][1])
+        for pattern, symbols, least in reversed(ENCODINGS):
+            fits = F.when((F.char_length(m["body"]) >= least) & m["body"].rlike("[0-9]"), F.lit(symbols))  # letters alone are words
+            name = F.when(m["body"].rlike(pattern), fits).otherwise(name) if pattern else fits
+        return name
+
+    out = _with(out, body=lambda m: m["body"], symbols=alphabet)
+    hex_ = ENCODINGS[1][1]
+    out = _with(out, body=lambda m: F.when(m["symbols"] == hex_, F.lower(m["body"])).otherwise(m["body"]), symbols=lambda m: m["symbols"])
+    out = _with(
+        out,
+        n=lambda m: F.char_length(m["body"]).cast("double"),
+        k=lambda m: F.char_length(m["symbols"]).cast("double"),
+        values=lambda m: F.filter(F.transform(F.split(m["body"], ""), lambda c: F.instr(m["symbols"], c).cast("double")), lambda v: v > 0),
+        squares=lambda m: F.aggregate(F.filter(F.split(m["symbols"], ""), lambda c: c != ""), F.lit(0.0), lambda s, c: s + F.pow(F.char_length(m["body"]) - F.char_length(F.replace(m["body"], c, F.lit(""))), F.lit(2.0))),
+    )
+    keep = {x: (lambda m, x=x: m[x]) for x in ("n", "k", "values")}
+    out = _with(
+        out, **keep,
+        chi=lambda m: m["squares"] * m["k"] / m["n"] - m["n"],
+        high=lambda m: F.aggregate(m["values"], F.lit(0.0), lambda s, v: s + (v > (m["k"] + 1) / 2).cast("double")),
+        mean=lambda m: F.aggregate(m["values"], F.lit(0.0), lambda s, v: s + v) / m["n"],
+    )
+    pairs = lambda m: F.zip_with(F.slice(m["values"], 1, F.greatest(F.size(m["values"]) - 1, F.lit(0))), F.slice(m["values"], 2, F.greatest(F.size(m["values"]) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    keep |= {x: (lambda m, x=x: m[x]) for x in ("chi", "high")}
+    del keep["values"]
+    out = _with(
+        out, **keep,
+        around=lambda m: F.aggregate(m["values"], F.lit(0.0), lambda s, v: s + (v - m["mean"]) * (v - m["mean"])),
+        lagged=lambda m: F.aggregate(pairs(m), F.lit(0.0), lambda s, p: s + (p["a"] - m["mean"]) * (p["b"] - m["mean"])),
+        turns=lambda m: F.aggregate(pairs(m), F.lit(1.0), lambda s, p: s + ((p["a"] > (m["k"] + 1) / 2) != (p["b"] > (m["k"] + 1) / 2)).cast("double")),
+        expected=lambda m: 2 * m["high"] * (m["n"] - m["high"]) / m["n"] + 1,
+    )
+    # each test as a standard normal value; where one side of the middle or one symbol is all there is, it is far out
+    far = F.lit(37.0)
+    out = _with(
+        out,
+        uneven=lambda m: (F.pow(F.greatest(m["chi"], F.lit(0.0)) / (m["k"] - 1), F.lit(1 / 3)) - 1 + 2 / (9 * (m["k"] - 1))) / F.sqrt(2 / (9 * (m["k"] - 1))),
+        clustered=lambda m: F.when((m["high"] == 0) | (m["high"] == m["n"]), far).otherwise(F.abs(m["turns"] - m["expected"]) / F.sqrt(F.greatest((m["expected"] - 1) * (m["expected"] - 2) / (m["n"] - 1), F.lit(1e-9)))),
+        serial=lambda m: F.when(m["around"] < 1e-9, far).otherwise(F.abs(m["lagged"] / F.greatest(m["around"], F.lit(1e-9)) + 1 / m["n"]) * F.sqrt(m["n"])),
+    )
+    z = {"a": ("uneven", 1), "b": ("clustered", 2), "c": ("serial", 2)}
+    out = _with(out, **{f"x{i}": (lambda m, x=x: F.abs(m[x]) / 2**0.5) for i, (x, _) in z.items()}, low=lambda m: m["uneven"] < 0)
+    out = _with(out, low=lambda m: m["low"], **{f"x{i}": (lambda m, i=i: m[f"x{i}"]) for i in z}, **{f"t{i}": (lambda m, i=i: 1 / (1 + m[f"x{i}"] / 2)) for i in z})
+    out = _with(out, low=lambda m: m["low"], **{f"p{i}": (lambda m, i=i, sides=sides: sides * _tail(m[f"t{i}"], m[f"x{i}"])) for i, (_, sides) in z.items()})
+    least = lambda m: F.least(F.when(m["low"], 1 - m["pa"]).otherwise(m["pa"]), m["pb"], m["pc"])
+    return _with(out, p=lambda m: F.when(m["pa"].isNotNull(), F.least(F.lit(1.0), 3 * least(m))))
 
 
 def _step(p: Column) -> Column:
@@ -145,7 +165,7 @@ def thresholds(documents: DataFrame) -> list[int]:
     The step-up over all candidates of the corpus, p-values rounded up to the grid. Shuffled are
     counts per class and step; a number per class comes to the driver."""
     text = F.coalesce("text", F.lit(""))
-    runs = documents.where(text.rlike(TOKEN)).select(F.explode(candidate_runs(text)).alias("m")).select(F.char_length("m.match").alias("n"), randomness(F.col("m.match")).alias("p"))
+    runs = documents.where(text.rlike(TOKEN)).select(F.explode(tested(spans(text, TOKEN, "random", 20))).alias("m")).select(F.char_length("m.match").alias("n"), "m.p")
     counts = runs.where("p is not null").groupBy(_class(F.col("n")).alias("class"), _step(F.col("p")).alias("step")).agg(F.count("*").alias("n"))
     below = F.sum("n").over(Window.partitionBy("class").orderBy(F.desc("step")))
     every = F.sum("n").over(Window.partitionBy("class"))
@@ -159,12 +179,14 @@ def scan(documents: DataFrame) -> DataFrame:
     steps = thresholds(documents)
     text = F.coalesce("text", F.lit(""))
     base = base_spans(text)
-    found = documents.select("doc_id", *(c.alias(k) for k, c in base.items()), candidate_runs(text).alias("runs"))
+    tried = F.when(text.rlike(TOKEN), F.transform(tested(spans(text, TOKEN, "random", 20)), lambda m: F.struct(m["start"], m["end"], m["rank"], m["kind"], m["match"], m["judged"], m["p"])))
+    found = documents.select("doc_id", *(c.alias(k) for k, c in base.items()), tried.alias("runs"))
     limit = lambda m: F.get(F.array(*[F.lit(s) for s in steps]), _class(F.char_length(m["match"])))
     known = F.concat("assign", "access", "hex")
     clear = lambda m: ~F.exists(known, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
-    random = F.filter("runs", lambda m: clear(m) & F.coalesce(_step(randomness(m["match"])) < limit(m), F.lit(False)))
-    return found.withColumn("random", F.when(F.size("runs") > 0, random).otherwise(_none())).drop("runs")
+    random = F.filter("runs", lambda m: clear(m) & F.coalesce(_step(m["p"]) < limit(m), F.lit(False)))
+    plain = F.transform(random, lambda m: F.struct(m["start"], m["end"], m["rank"], m["kind"], m["match"], m["judged"]))
+    return found.withColumn("random", F.when(F.size("runs") > 0, plain).otherwise(_none())).drop("runs")
 
 
 def _digest(found: Column) -> Column:
