@@ -27,6 +27,7 @@ MAX_EPOCHS = 2.0  #: how often the smallest source may be repeated
 BYTES_PER_TOKEN = 4
 STEPS = 50  #: of the bisection
 SEED = "mix"
+BROADCAST_SOURCES = 100_000  #: sources, of some 200 bytes each, that are broadcast at most
 
 
 def tokens(text: Column, bytes_per_token: int = BYTES_PER_TOKEN) -> Column:
@@ -137,13 +138,15 @@ def schedule(documents: DataFrame, **options: float | None) -> DataFrame:
 
 
 def _scheduled(documents: DataFrame, **options: float | None) -> tuple[DataFrame, str]:
-    """``documents`` with their copies and their source's weight in one more column, and its name. Spark
-    broadcasts the sources' rows if they are small, and else splits the hot ones."""
+    """``documents`` with their copies and their source's weight in one more column, and its name. Up to
+    BROADCAST_SOURCES sources are broadcast; beyond, documents are shuffled and Spark splits the hot sources."""
     plan = schedule(documents, **options)
     own, name = fresh_name(documents, "mix_key"), fresh_name(documents, "mix")
     id_ = fresh_name(documents, "mix_id")
     left = documents.withColumn(own, source_key(F.col("source"))).withColumn(id_, F.col("doc_id"))
     right = plan.select(F.col("key").alias(f"{own}_"), F.struct("key", "docs", "epochs", "cut_order", "cut_key", "weight", "budget").alias(name))
+    if plan.count() <= BROADCAST_SOURCES:
+        right = F.broadcast(right)
     joined = left.join(right, left[own] == right[f"{own}_"])
     doc_key = _doc_key(F.col(id_))
     order = _order(F.lit("block"), F.col(f"{name}.key"), _block(doc_key, F.col(f"{name}.docs")).cast("string"))
