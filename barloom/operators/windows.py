@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import settled
 
-BY_DATE = Window.partitionBy("symbol").orderBy("trade_date")
+def by_date():
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def last(n: int):
     """The frame of the last n observations."""
-    return BY_DATE.rowsBetween(-(n - 1), 0)
+    return by_date().rowsBetween(-(n - 1), 0)
 
 
-def change_pct(n: int = 1, by=BY_DATE) -> Column:
+def change_pct(n: int = 1) -> Column:
     """Return over n observations in percent; needs n + 1 of them, and a positive start."""
-    start = F.lag("close", n).over(by)
+    start = F.lag("close", n).over(by_date())
     return F.when(start > 0, (F.col("close") / start - 1) * 100)
 
 
@@ -71,7 +72,7 @@ def drawdowns(bars: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame
 
 def whole_history(bars: DataFrame) -> DataFrame:
     """Descriptive risk of each symbol over all its bars; volatility is annualised (252 days), from the population deviation."""
-    running = F.max("close").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.max("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     rows = bars.select("symbol", "trade_date", "close", "volume", (change_pct(1) / 100).alias("daily"), (F.try_divide(F.col("close"), running) - 1).alias("fall"))
     first, final = F.min_by("close", "trade_date"), F.max_by("close", "trade_date")
     several = F.count("daily") >= 2

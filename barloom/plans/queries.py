@@ -13,12 +13,14 @@ from barloom.functions.session import durable
 from barloom.sources import market
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLACES = 6  #: digits of floating-point results
+PLACES, NUDGE = 6, 1.3e-9  #: digits of floating-point results
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Doubles to a few digits, so that equal results are equal in any engine; no negative zero."""
-    return df.select(*(F.when(F.round(c, PLACES) == 0, 0.0).otherwise(F.round(c, PLACES)).alias(c) if kind == "double" else df[c] for c, kind in df.dtypes))
+    """Doubles to a few digits, so that equal results are equal in any engine: nudged off the exact halves
+    that prices of seven digits come to, and without a negative zero."""
+    near = lambda c: F.round(F.col(c) + NUDGE, PLACES)
+    return df.select(*(F.when(near(c) == 0, 0.0).otherwise(near(c)).alias(c) if kind == "double" else df[c] for c, kind in df.dtypes))
 
 
 class Panel:
