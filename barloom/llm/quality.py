@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.shared import fresh_name
+from barloom.llm.shared import bodies, fresh_name
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "digit", "other_ascii", "pipe", "bang", "noise", "sentence", "comma", "high", "newline",
@@ -157,8 +157,9 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t) for t in batch.column("body").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+        for a, texts in bodies(batch.column("text")):
+            rows = [features(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, len(rows)), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
@@ -172,41 +173,36 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
         .groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most")
     )
     chosen = agreed.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = documents.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body"))
-    picked = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "body")
-    rows = picked.select(F.col("label").cast("double").alias("label"), "body").mapInArrow(_features, "label double, x array<double>").toPandas()
+    picked = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = picked.select(F.col("label").cast("double").alias("label"), "text").mapInArrow(_features, "label double, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["label"]))  # the fit doesn't depend on the order of arrival
     return AdditiveModel.fit(x[order], rows["label"].to_numpy(dtype=np.float64)[order])
 
 
-def with_score(documents: DataFrame, model: AdditiveModel) -> tuple[DataFrame, str]:
-    """``documents`` with all their columns and one more, and its name: the chance of label 1."""
-    name = fresh_name(documents, "score")
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def _scorer(shared, texts: str, name: str, keep: list[str]):
+    """Batches with the columns ``keep`` and the score of the column ``texts``."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(x))], [*batch.schema.names[:-1], name])
+            parts = [shared.value.score(np.array([features(t) for t in part])) for _, part in bodies(batch.column(texts))]
+            scores = pa.array(np.concatenate(parts) if parts else np.empty(0))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], [*keep, name])
 
-    body = fresh_name(documents, "body")
-    schema = T.StructType([*documents.schema, T.StructField(name, T.DoubleType())])
-    return documents.withColumn(body, F.encode(F.coalesce("text", F.lit("")), "utf-8")).mapInArrow(scored, schema), name
+    return scored
 
 
-def classify(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
-    model = train(documents, labels, max_rows)
-    light = documents.select("doc_id", "text")
-    name = "score"
+def with_score(documents: DataFrame, model: AdditiveModel) -> tuple[DataFrame, str]:
+    """``documents`` with all their columns and one more, and its name: the chance of label 1."""
+    name = fresh_name(documents, "score")
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*documents.schema, T.StructField(name, T.DoubleType())])
+    return documents.mapInArrow(_scorer(shared, "text", name, documents.columns), schema), name
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in batch.column("body").to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(x))], ["doc_id", name])
 
-    schema = T.StructType([documents.schema["doc_id"], T.StructField(name, T.DoubleType())])
-    out = light.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("body")).mapInArrow(scored, schema)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), name, (F.col(name) >= threshold).cast("int").alias("predicted"))
+def classify(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_rows))
+    schema = T.StructType([documents.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    out = documents.select("doc_id", "text").mapInArrow(_scorer(shared, "text", "score", ["doc_id"]), schema)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.session import durable, shared_folder
+
+__all__ = ["ascii_lower", "bodies", "connected_components", "durable", "fresh_name", "shared_folder", "table", "wide_hash"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -14,27 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, the session's ``spark.checkpoint.dir``.
-
-    Only a local session without one gets a temporary folder; elsewhere a missing setting is an
-    error, as executors share no local disk.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def bodies(texts: pa.Array, rows: int = 256, size: int = 1 << 22) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The UTF-8 bytes of a column of texts in short lists, each with its first row: of ``rows`` texts, or
+    fewer if they are over ``size`` bytes together. A batch's texts are never copied out all at once."""
+    raw = texts.cast(pa.binary())  # the same buffers
+    start, held, total = 0, [], 0
+    for k in range(len(raw)):
+        held.append(raw[k].as_py())
+        total += len(held[-1] or b"")
+        if len(held) >= rows or total >= size:
+            yield start, held
+            start, held, total = k + 1, [], 0
+    if held:
+        yield start, held
 
 
 def ascii_lower(text: Column) -> Column:
