@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.shared import fresh_name
+from barloom.llm.shared import bodies, fresh_name
 
 WINDOW, SHINGLE = 10, 3
 BLOCK_WORDS = 2_000_000  #: words of benchmark items in a block: bounds what is broadcast
@@ -155,18 +155,6 @@ def _merged(one: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tu
     return out
 
 
-def _parts(texts: list[bytes | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` bytes."""
-    a = size = 0
-    for b, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= limit:
-            yield a, b + 1
-            a, size = b + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark's items, streamed to the driver in lists of about ``block_words`` words."""
     kept: list[tuple[str | None, bytes]] = []
@@ -188,15 +176,14 @@ def _rarity(documents: DataFrame, block: Block) -> dict[int, np.ndarray]:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in _parts(texts):
-                for k, v in shared.value.seen(texts[a:b]).items():
+            for _, texts in bodies(batch.column(0), 10_000):
+                for k, v in shared.value.seen(texts).items():
                     total[k] = total[k] + v if k in total else v
         for k, v in total.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(at.astype(np.int64)), pa.array(v[at].astype(np.int64))], ["k", "at", "n"])
 
-    sums = documents.select(F.encode("text", "utf-8").alias("t")).mapInArrow(counted, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    sums = documents.select("text").mapInArrow(counted, "k int, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
     out = {k: np.zeros(len(c), dtype=np.int64) for k, c in block.codes.items()}
     for r in sums.toLocalIterator():
         out[r.k][r["at"]] = r.n
@@ -206,14 +193,14 @@ def _rarity(documents: DataFrame, block: Block) -> dict[int, np.ndarray]:
 def annotate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, str]:
     """``documents`` with all their columns and one more, and its name: a struct of n_words, the
     spans of hit words (merged, ends exclusive) and the ids of the items found (as sorted strings)."""
-    name, body = fresh_name(documents, "found"), fresh_name(documents, "body")
-    out = documents.withColumn(name, F.lit(None).cast(_FOUND)).withColumn(body, F.encode("text", "utf-8"))
+    name = fresh_name(documents, "found")
+    out = documents.withColumn(name, F.lit(None).cast(_FOUND))
     schema = out.schema
     for items in [*blocks(benchmark, block_words)] or [[]]:
         block = Block(items, window, shingle)
         block.order(_rarity(documents, block) if len(block.windows) else {})
         out = out.mapInArrow(_finder(documents, block, schema), schema)
-    return out.drop(body), name
+    return out, name
 
 
 def _finder(documents: DataFrame, block: Block, schema: T.StructType):
@@ -221,15 +208,14 @@ def _finder(documents: DataFrame, block: Block, schema: T.StructType):
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, before = batch.column(batch.num_columns - 1).to_pylist(), batch.column(batch.num_columns - 2)
-            rows = []
-            for a, b in _parts(texts):
-                for (n, spans, items), old in zip(shared.value.find(texts[a:b]), before[a:b].to_pylist()):
+            before, rows = batch.column(batch.num_columns - 1), []
+            for a, texts in bodies(batch.column("text"), 10_000):
+                for (n, spans, items), old in zip(shared.value.find(texts), before.slice(a, len(texts)).to_pylist()):
                     if old:
                         spans = _merged(spans, [(s["start"], s["end"]) for s in old["spans"]])
                         items = sorted({*items, *old["items"]})
                     rows.append({"n_words": n, "spans": [{"start": a, "end": z} for a, z in spans], "items": items})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, before.type), batch.columns[-1]], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, before.type)], schema.names)
 
     return found
 
