@@ -242,7 +242,7 @@ class Model:
         return [t.blocks((chance >= 0.5).tolist()) for t, chance in zip(trees, self.marginals(trees))] if trees else []
 
     @classmethod
-    def fit(cls, pages: list[str], steps: int = 400, rate: float = 0.1, ridge: float = 0.005) -> Model:
+    def fit(cls, pages: list[str], steps: int = 300, rate: float = 0.1, ridge: float = 0.005) -> Model:
         """Gradient ascent (with running scales) on the likelihood of the labels of ``pages``."""
         trees = [Tree(p) for p in pages]
         forest = Forest(trees)

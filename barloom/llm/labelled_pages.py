@@ -43,4 +43,33 @@ def _page(k: int) -> list[str]:
     ]
 
 
-PAGES = [page for k in range(len(_S)) for page in _page(k)]
+#: Where main text stands, and what stands beside it or within it; ``{}`` is what it holds.
+_WRAPS = (
+    "<article {m}>{{}}</article>", "<main {m}>{{}}</main>", '<div class="content" {m}>{{}}</div>', '<div id="main-content" {m}>{{}}</div>', "<main><article {m}>{{}}</article></main>",
+    '<div class="page"><div class="post" {m}>{{}}</div></div>', '<div id="wrap"><div {m}>{{}}</div></div>', '<section class="story" {m}>{{}}</section>', '<div class="article-body" {m}>{{}}</div>',
+)
+_BESIDE = (
+    '<section class="comments">{}</section>', '<aside>{}</aside>', '<div class="ad">{}</div>', '<div class="cookie-notice">{}</div>', '<div id="comments">{}</div>', '<div class="sidebar">{}</div>', '<footer>{}</footer>', '<header>{}</header>',
+    "<form action='/s'>{}<input></form>", '<div class="related">{}</div>', '<div class="banner">{}</div>', '<ul class="menu">{}</ul>', '<div role="alert">{}</div>', '<div class="newsletter">{}</div>', '<div class="comment-list"><div class="comment">{}</div></div>',
+    '<div class="promo">{}</div>', '<div id="footer">{}</div>', '<div class="notice">{}</div>', '<nav>{}</nav>', '<div class="share">{}</div>', '<section id="reader-comments">{}</section>', '<div class="advertisement">{}</div>', '<div id="header">{}</div>',
+    '<div class="sponsored">{}</div>', '<div class="popup">{}</div>', '<div class="login">{}</div>', '<ol class="replies"><li>{}</li></ol>', '<div class="breadcrumb">{}</div>', '<div role="complementary">{}</div>', '<div class="copyright">{}</div>',
+)
+
+
+def _mixed(k: int) -> str:
+    """Main text in one of the wraps with blocks of the other kind within and around it. Both hold like
+    sentences, so that only the structure tells them apart."""
+    few = lambda j: "".join(f"<p>{_p(k + j + i, 1 + (k + i) % 2)}</p>" for i in range(1 + (k + j) % 3))
+    link = lambda j: f'<a href="/{j}">{_p(k + j)[: 12 + 9 * (j % 3)]}</a>'
+    beside = [_BESIDE[(k * 7 + j * 11) % len(_BESIDE)].format(few(j) if (k + j) % 4 else f"<p>{_p(k + j)[:30]}</p>" if j % 2 else f"<li>{link(j)}</li><li>{link(j + 1)}</li>") for j in range(6)]
+    inner = [b.replace(">", ' data-main="0">', 1) for b in beside[3:]]
+    text = [f"<h{1 + k % 3}>{_p(k)[: 10 + k % 30]}</h{1 + k % 3}>" if k % 3 else "", few(1), inner[0], few(2), inner[1] if k % 2 else f"<ul><li>{_p(k)}</li><li>{_p(k + 1)[:20]}</li></ul>", f"<p>{_p(k + 3)[:14]}</p>", f"<p>{_p(k + 2)} {link(2)} {_p(k + 5)}</p>", inner[2]]
+    if k % 4 == 1:  # little text, and sometimes nothing around it
+        text = [f"<p>{_p(k)[: 8 + k % 50]}</p>" for k in range(k, k + 1 + k % 3)] + [few(1)] * (k % 2)
+        beside = [b if (k + j) % 3 else "" for j, b in enumerate(beside)]
+        if k % 8 == 1:
+            return _WRAPS[k % len(_WRAPS)].format(m='data-main="1"').format("".join(text))
+    return _TOP + beside[0] + beside[1] + _WRAPS[k % len(_WRAPS)].format(m='data-main="1"').format("".join(text)) + beside[2] + _END
+
+
+PAGES = [page for k in range(3) for page in _page(k)] + [_mixed(k) for k in range(180)]
