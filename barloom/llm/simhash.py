@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.shared import connected_components, durable, fresh_name
+from barloom.llm.shared import bodies, connected_components, durable, fresh_name
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET = 20_000  #: fingerprints in a bucket beyond which it is dealt out again
@@ -56,14 +56,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "fp"])
+        found = [fingerprint(t) for _, texts in bodies(batch.column("text")) for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
     schema = T.StructType([documents.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return documents.select("doc_id", F.encode("text", "utf-8").alias("body")).mapInArrow(_prints, schema)
+    return documents.select("doc_id", "text").mapInArrow(_prints, schema)
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
