@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.shared import bodies
+
 LEAST, NORMAL, MOST = 8, 32, 128  #: bytes in a chunk
 _HARD, _EASY = np.uint32(0x3F << 20), np.uint32(0x07 << 20)  # 6 and 3 bits: one more and two less than log2(NORMAL)
 _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
@@ -98,10 +100,11 @@ def fingerprint(documents: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoded(chunks(t or b"")) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            found = [encoded(chunks(t or b"")) for _, texts in bodies(batch.column("text")) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     schema = T.StructType([documents.schema["doc_id"], T.StructField("fingerprint", T.StringType())])
-    return documents.select("doc_id", F.encode("text", "utf-8").alias("body")).mapInArrow(made, schema)
+    return documents.select("doc_id", "text").mapInArrow(made, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -113,9 +116,9 @@ def edited(text: str, following: str) -> str:
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of runs of ids, in order, each with the row after it; a run's tail is only looked at."""
     last = None  # run, tail, doc_id, body, chunks
-    for batch in batches:
+    for batch, a, texts in ((batch, a, texts) for batch in batches for a, texts in bodies(batch.column("text"))):
         out = []
-        for run, tail, doc_id, body in zip(*(batch.column(c).to_pylist() for c in ("run", "tail", "doc_id", "body"))):
+        for run, tail, doc_id, body in zip(*(batch.column(c).slice(a, len(texts)).to_pylist() for c in ("run", "tail", "doc_id")), texts):
             body = body or b""
             found = last[4] if last is not None and last[3] == body else chunks(body)
             if last is not None and last[0] == run and not last[1]:
@@ -154,7 +157,7 @@ def report(documents: DataFrame, runs: int | None = None) -> DataFrame:
     the bounds and the first ids of the runs come to the driver.
     """
     spark = documents.sparkSession
-    light = documents.select(F.col("doc_id"), F.encode("text", "utf-8").alias("body"))
+    light = documents.select("doc_id", "text")
     runs = runs or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = documents.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)] or [0.5], max(10_000, 20 * runs))).first()[0]
     bounds = sorted(set(at or []), reverse=True) if runs > 1 else []
@@ -163,7 +166,7 @@ def report(documents: DataFrame, runs: int | None = None) -> DataFrame:
         light = light.withColumn("coarse", coarse)
     else:
         run = F.lit(0)
-    dealt = light.select("doc_id", "body", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(run).cast("int").alias("run"))
+    dealt = light.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(run).cast("int").alias("run"))
     firsts = {r.run: r.first for r in dealt.groupBy("run").agg(F.max("doc_id").alias("first")).collect()}
     order = sorted(firsts)
     first_of = F.array(*[F.lit(firsts.get(r)).cast("bigint") for r in range(len(bounds) + 2)])
@@ -171,7 +174,7 @@ def report(documents: DataFrame, runs: int | None = None) -> DataFrame:
     place = lambda r, tail: F.struct(r.alias("run"), F.lit(tail).alias("tail"))
     is_first = F.col("doc_id").eqNullSafe(F.get(first_of, F.col("run")))
     places = F.when(is_first, F.array(place(F.col("run"), False), place(F.get(before, F.col("run")), True))).otherwise(F.array(place(F.col("run"), False)))
-    sent = dealt.select("doc_id", "body", F.explode(places).alias("place")).select("place.run", "place.tail", "doc_id", "body")
-    runs_in_order = sent.repartition("run").sortWithinPartitions("run", "tail", F.desc_nulls_last("doc_id"), "body")
+    sent = dealt.select("doc_id", "text", F.explode(places).alias("place")).select("place.run", "place.tail", "doc_id", "text")
+    runs_in_order = sent.repartition("run").sortWithinPartitions("run", "tail", F.desc_nulls_last("doc_id"), "text")
     schema = T.StructType([documents.schema["doc_id"], *T.StructType.fromDDL(_REPORT)])
     return runs_in_order.mapInArrow(_paired, schema)
