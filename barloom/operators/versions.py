@@ -103,9 +103,9 @@ def coverage(rows: DataFrame, required: DataFrame) -> DataFrame:
 
 def role_violations(rows: DataFrame) -> DataFrame:
     """(version_id, trade_date, problem): roles selected wrongly, and dates with more than one selected row."""
-    wrong = rows.where(F.col("selected") != (F.col("role") != "validation")).select("version_id", "trade_date", F.lit("selection_against_role").alias("problem"))
-    twice = rows.where("selected").groupBy("version_id", "trade_date").count().where("count > 1").select("version_id", "trade_date", F.lit("two_selected").alias("problem"))
-    return wrong.unionByName(twice)
+    per = rows.groupBy("version_id", "trade_date").agg(F.bool_or(F.col("selected") != (F.col("role") != "validation")).alias("wrong"), F.count_if("selected").alias("n"))
+    problems = F.array_compact(F.array(F.when(F.col("wrong"), "selection_against_role"), F.when(F.col("n") > 1, "two_selected")))
+    return per.select("version_id", "trade_date", F.explode(problems).alias("problem"))
 
 
 def state_violations(versions: DataFrame) -> DataFrame:
@@ -130,11 +130,11 @@ def reconcile(versions: DataFrame, rows: DataFrame, arrived: DataFrame, required
     hit = held.where("role = 'supplemental'").join(late, ["symbol", "trade_date"])
     differs = F.array_contains(F.array(*[F.coalesce(F.col(c) != F.col(f"new_{c}"), F.lit(True)) for c in OHLCV]), True)
     outcomes = hit.groupBy("version_id").agg(F.count("*").alias("reconciled"), F.count_if(differs).alias("new_discrepancies"))
-    touched = held.join(outcomes.select("version_id"), "version_id", "left_semi").join(late.select("symbol", "trade_date", F.lit(True).alias("late")), ["symbol", "trade_date"], "left")
-    moved = F.col("late").isNotNull() & (F.col("role") == "supplemental")
-    kept = touched.select("version_id", "symbol", "trade_date", *OHLCV, "provider", F.when(moved, "validation").otherwise(F.col("role")).alias("role"), (F.col("selected") & ~moved).alias("selected"))
-    fresh = hit.select("version_id", "symbol", "trade_date", *(F.col(f"new_{c}").alias(c) for c in OHLCV), F.col("new_provider").alias("provider"), F.lit("canonical").alias("role"), F.lit(True).alias("selected"))
-    child_rows = kept.unionByName(fresh).withColumn("row_sha256", row_hash())
+    touched = held.join(outcomes.select("version_id"), "version_id", "left_semi").join(late, ["symbol", "trade_date"], "left")
+    moved = F.col("new_provider").isNotNull() & (F.col("role") == "supplemental")
+    stays = F.struct(*OHLCV, "provider", F.when(moved, "validation").otherwise(F.col("role")).alias("role"), (F.col("selected") & ~moved).alias("selected"))
+    comes = F.struct(*(F.col(f"new_{c}").alias(c) for c in OHLCV), F.col("new_provider").alias("provider"), F.lit("canonical").alias("role"), F.lit(True).alias("selected"))
+    child_rows = touched.select("version_id", "symbol", "trade_date", F.explode(F.when(moved, F.array(stays, comes)).otherwise(F.array(stays))).alias("r")).select("version_id", "symbol", "trade_date", "r.*").withColumn("row_sha256", row_hash())
     ids = child_rows.groupBy("version_id", "symbol").agg(group_id(F.concat_ws(":", "row_sha256", "role")).alias("provenance_sha256"))
     ids = ids.withColumn("child_id", content_id(F.col("version_id"), F.col("symbol"), F.col("provenance_sha256"), length=32))
     seen = coverage(child_rows, required)
