@@ -24,11 +24,13 @@ def shown(df: DataFrame) -> DataFrame:
 
 
 class Panel:
-    """The derived tables of one directory, and the day that screens are run for."""
+    """The derived tables of one directory, and the day that screens are run for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    With ``stored``, for queries that read the bars many times, bars are derived once and stored."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.bars = market.bars(spark, sf_dir)
+        self.bars = durable(market.bars(spark, sf_dir)) if stored else market.bars(spark, sf_dir)
 
     @property
     def second(self) -> DataFrame:
@@ -207,21 +209,21 @@ def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(Panel(spark, sf_dir).first()[0])
+    return shown(Panel(spark, sf_dir, stored=True).first()[0])
 
 
 def first_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = Panel(spark, sf_dir).first()[1]
+    reasons = Panel(spark, sf_dir, stored=True).first()[1]
     return shown(reasons.select("symbol", "code", "metric", "component", "current", "role", "class_priority", "threshold_multiple"))
 
 
 def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the first screen of every symbol, ranked."""
-    return shown(first_screen.candidates(Panel(spark, sf_dir).first()[2]))
+    return shown(first_screen.candidates(Panel(spark, sf_dir, stored=True).first()[2]))
 
 
 def first_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Panel(spark, sf_dir)
+    p = Panel(spark, sf_dir, stored=True)
     return first_screen.counts(p.first(every=False)[2], p.members())
 
 
@@ -245,16 +247,16 @@ def _second(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataF
 
 def second_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deep metrics of every symbol, not of the candidates alone."""
-    p = Panel(spark, sf_dir)
+    p = Panel(spark, sf_dir, stored=True)
     return shown(second_screen.metrics(p.symbols.select("symbol"), p.bars, p.ratios, p.day, p.first()[0]))
 
 
 def second_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_second(Panel(spark, sf_dir))[3])
+    return shown(_second(Panel(spark, sf_dir, stored=True))[3])
 
 
 def second_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_second(Panel(spark, sf_dir))[4])
+    return shown(_second(Panel(spark, sf_dir, stored=True))[4])
 
 
 def latest_day_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,16 +297,16 @@ def _versions(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 
 def version_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(Panel(spark, sf_dir))[0].select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status")
+    return _versions(Panel(spark, sf_dir, stored=True))[0].select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status")
 
 
 def version_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, rows, _, _ = _versions(Panel(spark, sf_dir))
+    made, rows, _, _ = _versions(Panel(spark, sf_dir, stored=True))
     return rows.groupBy("symbol", "provider", "role", "selected").agg(F.count("*").alias("n"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
 
 def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, rows, required, late = _versions(Panel(spark, sf_dir))
+    made, rows, required, late = _versions(Panel(spark, sf_dir, stored=True))
     children, _ = versions.reconcile(made, rows, late, required)
     return children.select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status", "discrepancies")
 
@@ -316,13 +318,13 @@ def _children(p: Panel) -> tuple[DataFrame, ...]:
 
 
 def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, _, children, _ = _children(Panel(spark, sf_dir))
+    made, _, children, _ = _children(Panel(spark, sf_dir, stored=True))
     return versions.leaves(made.unionByName(children)).groupBy("leaf_state").agg(F.count("*").alias("symbols"), F.count("version_id").alias("named"))
 
 
 def version_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that hold by construction: no row breaks them, parents and children alike."""
-    made, rows, children, child_rows = _children(Panel(spark, sf_dir))
+    made, rows, children, child_rows = _children(Panel(spark, sf_dir, stored=True))
     wrong = versions.role_violations(rows).unionByName(versions.role_violations(child_rows)).select("problem")
     states = versions.state_violations(made).unionByName(versions.state_violations(children)).select("problem")
     return wrong.unionByName(states).agg(F.count("*").alias("violations"))
@@ -344,11 +346,11 @@ def _decisions(p: Panel) -> DataFrame:
 
 
 def supplement_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(Panel(spark, sf_dir))
+    return _decisions(Panel(spark, sf_dir, stored=True))
 
 
 def supplement_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.routed(_decisions(Panel(spark, sf_dir))).groupBy("route", "reason").agg(F.count("*").alias("symbols"))
+    return versions.routed(_decisions(Panel(spark, sf_dir, stored=True))).groupBy("route", "reason").agg(F.count("*").alias("symbols"))
 
 
 def result_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,14 +18,16 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: a symbol per supplier, a price per line of an order, in the order of the lines."""
     price = F.lit(100) + F.lit(50) * F.col("l_discount") + F.col("l_extendedprice") / 100000
     lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("trade_date"), price.alias("px"), "l_quantity", "l_discount",
+        code("l_suppkey").alias("symbol"), F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("trade_date"), price.alias("px"), "l_quantity", "l_discount",
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount").alias("place"),
     )
-    daily = lines.groupBy("supplier", "trade_date").agg(
+    # there is hardly more than a line per symbol and day, so adding up before the shuffle saves nothing; dealt by
+    # symbol, the bars need no other shuffle for windows and aggregates per symbol
+    daily = lines.repartition("symbol").groupBy("symbol", "supplier", "trade_date").agg(
         F.min_by("px", "place").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "place").alias("close"),
         F.sum("l_quantity").cast("long").alias("volume"), F.max("l_discount").alias("top_discount"),
     )
-    return daily.select(code("supplier").alias("symbol"), "trade_date", "open", "high", "low", "close", "volume", F.lit("primary").alias("source"), "top_discount", "supplier")
+    return daily.select("symbol", "trade_date", "open", "high", "low", "close", "volume", F.lit("primary").alias("source"), "top_discount", "supplier")
 
 
 def second_bars(first: DataFrame) -> DataFrame:
