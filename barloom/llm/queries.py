@@ -104,10 +104,36 @@ SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS n_common,
 FROM placed GROUP BY conv_id, n
 """
 
+_OP5 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key, greatest(CAST(ceil(coalesce(strlen(text), 0) / 4.0) AS BIGINT), 1) AS n, md5('mix:doc:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS doc_key FROM documents
+), stats AS (SELECT key, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY key),
+shares AS (SELECT key, docs, tokens, CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM stats) AS s FROM stats),
+ends AS (SELECT min(s) AS a, max(s) AS z FROM shares),
+halves(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL SELECT i + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(a, (lo + hi) / 2 - 1) / pow(z, (lo + hi) / 2 - 1) <= 2 + 1e-12 AS fits FROM halves, ends WHERE i < 50)
+), exponent AS (SELECT CASE WHEN z / a <= 2 + 1e-12 THEN 0 ELSE hi END AS x FROM halves, ends WHERE i = 50),
+weights AS (SELECT key, docs, tokens, pow(s, x) / sum(pow(s, x)) OVER () AS w FROM shares, exponent),
+asked AS (SELECT key, docs, tokens, round(w, 9) AS weight, whole, CAST(round(round(w, 9) * whole) AS BIGINT) AS share FROM weights, (SELECT max(tokens / w) AS whole FROM weights)),
+budgets AS (SELECT *, CASE WHEN abs(share - CAST(round(share / tokens) AS BIGINT) * tokens) <= whole * 2e-9 + 1 THEN CAST(round(share / tokens) AS BIGINT) * tokens ELSE share END AS budget FROM asked),
+goal AS (SELECT *, budget // tokens AS epochs, budget % tokens AS rest FROM budgets),
+placed AS (
+  SELECT *, md5('mix:block:' || key || ':' || block) AS block_order
+  FROM (SELECT d.*, docs, weight, budget, epochs, rest, CAST('0x' || substr(doc_key, 1, 8) AS BIGINT) % CAST(ceil(sqrt(docs)) AS BIGINT) AS block FROM d JOIN goal USING (key))
+), blocks AS (SELECT key, block_order, rest, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY key ORDER BY block_order) AS upto FROM placed WHERE rest > 0 GROUP BY key, block_order, rest),
+cut AS (SELECT key, block_order AS cut_order, rest - upto + n AS room FROM blocks WHERE upto > rest AND upto - n <= rest),
+inside AS (SELECT key, doc_key, room, sum(sum(n)) OVER (PARTITION BY key ORDER BY doc_key) AS upto FROM placed JOIN cut USING (key) WHERE block_order = cut_order GROUP BY key, doc_key, room),
+last AS (SELECT key, max(doc_key) AS cut_key FROM inside WHERE upto <= room GROUP BY key)
+SELECT doc_id, source, n AS n_tokens, CAST(epochs + CAST(coalesce(block_order < cut_order OR (block_order = cut_order AND doc_key <= cut_key), false) AS INTEGER) AS INTEGER) AS copies, weight, CAST(budget AS BIGINT) AS budget
+FROM placed LEFT JOIN cut USING (key) LEFT JOIN last USING (key)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_preferences, op5_mixing, op6_main_text, op7_simhash, op8_secrets, op9_fingerprints, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_preferences": _OP4}
+    return {"op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_preferences": _OP4, "op5_mixing": _OP5}
