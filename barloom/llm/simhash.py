@@ -23,11 +23,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.shared import bodies, connected_components, durable, fresh_name
+from barloom.llm.shared import bodies, connected_components, durable, fresh_name, wide_hash
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 BUCKET = 20_000  #: fingerprints in a bucket beyond which it is dealt out again
@@ -57,13 +57,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t) for _, texts in bodies(batch.column("text")) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+        keep = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], [*keep, "fp"])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
-    schema = T.StructType([documents.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return documents.select("doc_id", "text").mapInArrow(_prints, schema)
+def fingerprints(documents: DataFrame, **more: Column) -> DataFrame:
+    """(doc_id, fp) of every document, and ``more`` columns; fp is the fingerprint as a signed long."""
+    light = documents.select("doc_id", "text", *(c.alias(n) for n, c in more.items()))
+    schema = T.StructType([light.schema[0], *light.schema[2:], T.StructField("fp", T.LongType())])
+    return light.mapInArrow(_prints, schema)
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -275,9 +277,9 @@ def components(documents: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     return prints.join(component_ids(prints, radius, bucket), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def component_ids(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of (doc_id, fp)."""
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def component_ids(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, name: str | Column = "doc_id") -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint of (doc_id, fp); the least ``name`` is the id."""
+    distinct = durable(prints.groupBy("fp").agg(F.min(name).alias("least")))
     roots = connected_components(links(distinct, radius, bucket))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -290,12 +292,16 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, the one with the least id, with its columns. Rows that share
-    an id are one document: one of them stays. If all ids of a component are null, one row stays."""
-    prints = durable(fingerprints(documents))
-    found = prints.join(component_ids(prints, radius), "fp", "left")
-    gone = durable(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    name = fresh_name(documents, "gone_id")
-    kept = documents.join(gone.withColumnRenamed("doc_id", name), documents["doc_id"].eqNullSafe(F.col(name)), "left_anti")
-    repeats = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each component, with its columns: that of the least id (null ids last), and among rows
+    of that id the one whose text hashes lowest. Components that share an id, or have null ids only,
+    keep a row each."""
+    prints = durable(fingerprints(documents, own=wide_hash(F.col("text"))))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")
+    found = prints.join(component_ids(prints, radius, name=rank), "fp", "left")
+    gone = durable(found.where(~rank.eqNullSafe(F.col("component_id"))).select("doc_id", "own").distinct())
+    own, gone_id, gone_own = (fresh_name(documents, n) for n in ("own", "gone_id", "gone_own"))
+    left = documents.withColumn(own, wide_hash(F.col("text")))
+    right = gone.select(F.col("doc_id").alias(gone_id), F.col("own").alias(gone_own))
+    kept = left.join(right, left["doc_id"].eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_own)), "left_anti")
+    repeats = prints.groupBy("doc_id", "own").agg(F.count("*").alias("n")).where("n > 1")
+    return (kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", own])).drop(own)

@@ -109,6 +109,19 @@ def test_keep_one(docs, odd, none):
     assert simhash.report(odd).count() == odd.count()
 
 
+def test_keep_one_decides_by_row(docs):
+    ten = [f"{w} {w}{w} text of its own, unlike the {w} others" for w in ("red", "oak", "sun")]
+    rows = [(None, ten[0]), (None, ten[1]), (None, ten[2]), (None, ten[2]), (1, ten[1].upper())]  # null ids, one near to an id
+    rows += [(5, "five words that stand alone"), (5, "a b c d e"), (2, "A b c d e"), (6, "two texts of one id"), (6, "and neither has any copy")]
+    rows += [(8, "a row that comes twice"), (8, "a row that comes twice")]
+    frame = clashing(docs(rows))
+    for dealt in (frame, frame.repartition(3)):
+        out = simhash.keep_one(dealt)
+        assert out.columns == frame.columns
+        want = [(None, ten[0]), (None, ten[2]), (1, ten[1].upper()), (2, "A b c d e"), (5, "five words that stand alone"), (6, "two texts of one id"), (6, "and neither has any copy"), (8, "a row that comes twice")]
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (None, 3)], "a long, b long")
     found = {r.node: r.root for r in connected_components(edges).collect()}
