@@ -89,7 +89,11 @@ def targets(documents: DataFrame, max_epochs: float | None = MAX_EPOCHS, least_e
     that drops nothing: the source with most documents for its weight is seen once.
     """
     sized = documents.select(source_key(F.col("source")).alias("key"), tokens(F.col("text")).alias("tokens"))
-    stats = sized.groupBy("key").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    return budgets(sized.groupBy("key").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), max_epochs, least_entropy, budget)
+
+
+def budgets(stats: DataFrame, max_epochs: float | None = MAX_EPOCHS, least_entropy: float | None = None, budget: int | None = None) -> DataFrame:
+    """``targets`` from (key, docs, tokens) of each source. Only the weight that is shown is rounded."""
     # sources in one row, in order of their key: as many as there are sources, and they are also broadcast
     table = stats.agg(F.array_sort(F.collect_list(F.struct("key", "docs", "tokens"))).alias("all"))
     total = F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + s["tokens"])
@@ -100,11 +104,14 @@ def targets(documents: DataFrame, max_epochs: float | None = MAX_EPOCHS, least_e
         exponent = _smallest(F.col("shares"), lambda shares, x: _epochs(shares, x) <= max_epochs + 1e-12)
     table = table.withColumn("exponent", exponent).withColumn("weights", _weights(F.col("shares"), F.col("exponent")))
     whole = F.lit(float(budget)) if budget is not None else F.array_max(F.zip_with("all", "weights", lambda s, w: s["tokens"] / w))
-    rows = table.select("exponent", whole.alias("whole"), F.explode(F.arrays_zip("all", "weights")).alias("r")).select("r.all.*", F.round("r.weights", 9).alias("weight"), "exponent", F.col("whole"))
-    # whole tokens; a budget that rounding leaves a hair under a full epoch is that epoch
-    share = F.round(F.col("weight") * F.col("whole")).cast("long")
+    rows = table.select("exponent", whole.alias("whole"), F.explode(F.arrays_zip("all", "weights")).alias("r")).select("r.all.*", "r.weights", "exponent", "whole")
+    # whole tokens; a budget that the doubles leave a hair off a full epoch is that epoch
+    share = F.round(F.col("weights") * F.col("whole")).cast("long")
     near = F.round(share / F.col("tokens")).cast("long") * F.col("tokens")
-    return rows.select("key", "docs", "tokens", "weight", "exponent", F.when(F.abs(share - near) <= F.col("whole") * 2e-9 + 1, near).otherwise(share).alias("budget"))
+    share = F.when(F.abs(share - near) <= F.col("tokens") * 1e-12, near).otherwise(share)
+    if budget is None:
+        share = F.greatest(share, F.col("tokens"))
+    return rows.select("key", "docs", "tokens", F.round("weights", 9).alias("weight"), "exponent", share.alias("budget"))
 
 
 def _order(*parts: Column) -> Column:

@@ -65,3 +65,16 @@ def test_a_hot_source_is_ordered_in_blocks(docs):
     copies = {r.doc_id: r.copies for r in mixing.report(frame, max_epochs=1.5).collect()}
     cold = [copies[k] for k in range(2000, 2100)]
     assert 40 < sum(c == 2 for c in cold) < 60 and set(cold) == {1, 2}
+
+
+@pytest.mark.parametrize("total", [7_500_000_000, 250_000_000_000, 2_500_000_000_000])
+def test_tiny_sources_beside_a_huge_one_keep_their_epochs(docs, monkeypatch, total):
+    monkeypatch.setattr(mixing, "tokens", lambda text: text.cast("long"))  # texts say their own size
+    sizes = [total, total // 100, 1, 2, 3, 10, 50, 200]
+    frame = docs([(k, str(n), f"t{n}") for k, n in enumerate(sizes)])
+    goal = {r.tokens: r.budget for r in mixing.targets(frame).collect()}
+    assert sorted(goal) == sorted(sizes) and all(n <= b <= 2 * n for n, b in goal.items())  # nothing dropped, and no more epochs than asked
+    assert goal[total] == total and goal[1] == 2
+    assert {r.doc_id for r in mixing.mix(frame).collect()} == set(range(len(sizes)))
+    given = mixing.targets(frame, budget=total // 2).collect()
+    assert sum(r.budget for r in given) == pytest.approx(total // 2, abs=len(sizes))
