@@ -10,9 +10,10 @@ Pages are parsed in tasks, one by one; the message passing runs level by level o
 batch at once.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; unclosed and
-misnested tags are closed as browsers do for the common cases, a tag that the page's end cuts off is
-dropped; scripts, styles, comments and the head give no text; rows that repeat give the same text;
-an empty table gives an empty result; other columns are ignored.
+misnested tags are closed as browsers do for the common cases, an open head at the first tag or text
+that can't stand in it, a tag that the page's end cuts off is dropped; scripts, styles, comments and
+the head give no text; rows that repeat give the same text; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ _BLOCK = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALL = frozenset("ul ol dl table tr td th div section article main body html aside nav header footer form blockquote".split())
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: a tag's attributes; a quote opens a value only right after the "=" of a name
+_ATTRS = r"(?>[\s/]+|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*|(?=>))|(?!\s*=)))*+"
+_TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS})>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -72,6 +76,8 @@ class Tree:
             while begin >= 0 and not (m := match(html, begin)):
                 begin = find("<", begin + 1)
             stop = begin if begin >= 0 else end
+            if silent and stop > at and self.tag[stack[-1]] == "head" and html[at:stop].strip(" \t\n\f\r"):
+                silent -= self._leave_head(stack)
             if stop > at and not silent:
                 text = html[at:stop]
                 self._add(stack[-1], "", unescape(text) if "&" in text else text, (), None)
@@ -90,6 +96,8 @@ class Tree:
                         del stack[k:]
                         break
                 continue
+            if silent and name not in _IN_HEAD:
+                silent -= self._leave_head(stack)
             if name in ("html", "body"):
                 continue
             shut = {"p"} if name in _BLOCK else _CLOSES.get(name, ())
@@ -116,6 +124,17 @@ class Tree:
             stack.append(node)
             silent += name in _SILENT
 
+    def _leave_head(self, stack: list[int]) -> int:
+        """Closes an open head; how many silent elements that closes."""
+        tags = [self.tag[v] for v in stack]
+        if "head" not in tags:
+            return 0
+        k = tags.index("head")
+        if "template" in tags[k:] or "noframes" in tags[k:]:  # their content isn't the page's
+            return 0
+        del stack[k:]
+        return sum(t in _SILENT for t in tags[k:])
+
     def _add(self, parent: int, tag: str, text: str | None, words: tuple[str, ...], main: re.Match | None) -> int:
         self.parent.append(parent)
         self.tag.append(tag)

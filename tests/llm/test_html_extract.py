@@ -41,6 +41,27 @@ def test_main_text(model, html, want):
     assert model.texts([html])[0] == "\n".join(want)
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<head><title>x</title><body><article>{MAIN}</article>",
+        f"<html><head><meta charset=utf-8><title>x</title><style>p{{}}</style><article>{MAIN}</article>",
+        f"<head><template><p>Not a part of the page, this one.</p></template><link rel=x><body><article>{MAIN}</article>",
+        f"<html><head><head><title>x</title></body><body class=page><article>{MAIN}</article></html>",
+        f"<article><p title=it's>{BODY[0]}</p><p>{BODY[1]}</p><p title=it's>{BODY[2]}</p></article>",
+        f'<article><p id="x"">{BODY[0]}</p><p>{BODY[1]}</p><p id="y"">{BODY[2]}</p></article>',
+        f'<article><p title=/s?q="x>{BODY[0]}</p><p \'>{BODY[1]}</p><p ">{BODY[2]}</p></article>',
+        f"<article><p title = 'a > b'>{BODY[0]}</p><p title=\"a > 'b\" id=>{BODY[1]}</p><p a='x'b=\">\"/>{BODY[2]}</article>",
+    ],
+)
+def test_open_heads_and_stray_quotes(model, html):
+    assert model.texts([html])[0] == "\n".join(BODY)
+
+
+def test_text_closes_an_open_head():
+    assert [t for t in html_extract.Tree("<head>\n<title>x</title>\nOut <b>of</b> it<meta>").text if t] == ["\nOut ", "of", " it"]
+
+
 def test_labelled_pages_are_told_apart(model):
     wrong = total = 0
     trees = [html_extract.Tree(p) for p in PAGES]
