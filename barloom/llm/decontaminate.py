@@ -155,17 +155,24 @@ def _merged(one: list[tuple[int, int]], other: list[tuple[int, int]]) -> list[tu
     return out
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark's items, streamed to the driver in lists of about ``block_words`` words."""
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark's items, streamed to the driver in lists of ``block_words`` words (and less than a
+    window more). An item that doesn't fit is cut into pieces that share window - 1 words. Always one list
+    at least."""
     kept: list[tuple[str | None, bytes]] = []
-    size = 0
+    size, first = 0, True
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.encode("text", "utf-8").alias("t")).where("t is not null").toLocalIterator():
-        kept.append((r.i, bytes(r.t)))
-        size += len(words(kept[-1][1]))
-        if size >= block_words:
-            yield kept
-            kept, size = [], 0
-    if kept:
+        left = words(bytes(r.t))
+        at, end = 0, len(left)
+        while end and (at == 0 or end - at >= window):
+            piece = left[at : at + max(block_words - size, window)]
+            kept.append((r.i, b" ".join(piece)))
+            size += len(piece)
+            if size >= block_words:
+                yield kept
+                kept, size, first = [], 0, False
+            at += max(len(piece) - window + 1, 1)
+    if kept or first:
         yield kept
 
 
@@ -196,7 +203,7 @@ def annotate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     name = fresh_name(documents, "found")
     out = documents.withColumn(name, F.lit(None).cast(_FOUND))
     schema = out.schema
-    for items in [*blocks(benchmark, block_words)] or [[]]:
+    for items in blocks(benchmark, block_words, window):  # one list in the driver at a time
         block = Block(items, window, shingle)
         block.order(_rarity(documents, block) if len(block.windows) else {})
         out = out.mapInArrow(_finder(documents, block, schema), schema)

@@ -57,3 +57,25 @@ def test_empty_tables_and_odd_rows(spark, odd, none):
     kept = decontaminate.clean(frame, item)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 7, 8, 9}
     assert decontaminate.clean(frame, nothing).count() == frame.count()
+
+
+def test_blocks_are_bounded_and_read_one_at_a_time(spark, docs, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(200))
+    table = spark.createDataFrame([(1, item), (2, "short one"), (3, item + " end")], "item_id long, text string")
+    lists = list(decontaminate.blocks(table, 50))
+    assert all(sum(len(words(t.decode())) for _, t in x) < 50 + 10 for x in lists)
+    cut = {(i, tuple(w[a : a + 10])) for x in lists for i, t in x for w in [words(t.decode())] for a in range(max(1, len(w) - 9))}
+    assert cut == {(str(i), tuple(w[a : a + 10])) for i, t in [(1, item), (2, "short one"), (3, item + " end")] for w in [words(t)] for a in range(max(1, len(w) - 9))}
+    log, real, rarity = [], decontaminate.blocks, decontaminate._rarity
+
+    def told(*args):
+        for x in real(*args):
+            log.append("read")
+            yield x
+
+    monkeypatch.setattr(decontaminate, "blocks", told)
+    monkeypatch.setattr(decontaminate, "_rarity", lambda *args: log.append("used") or rarity(*args))
+    rows = [(1, item), (2, "a short one"), (3, " ".join(f"w{k}" for k in range(30, 75))), (4, "w1 w2 w3")]
+    out = decontaminate.report(docs(rows), table, block_words=150)
+    assert log == ["read", "used"] * (len(log) // 2) and len(log) > 4
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows, [(1, item), (2, "short one"), (3, item + " end")])
