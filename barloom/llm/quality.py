@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.shared import bodies, fresh_name
+from barloom.llm.shared import bodies, fresh_name, wide_hash
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "digit", "other_ascii", "pipe", "bang", "noise", "sentence", "comma", "high", "newline",
@@ -159,14 +159,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, texts in bodies(batch.column("text")):
             rows = [features(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, len(rows)), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"])
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, len(rows)) for c in keep), pa.array(rows, pa.list_(pa.float64()))], [*keep, "x"])
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
     """Fits on up to ``max_rows`` labelled documents outside the held-out fifth.
 
     The sample is the rows whose id hashes lowest, so it doesn't depend on how the table is dealt
-    out. Its ids (``max_rows`` at most) are broadcast to pick the texts in one scan.
+    out. Its ids (``max_rows`` at most) are broadcast to pick the texts in one scan, and of the rows of an
+    id the one whose text hashes lowest is learnt from.
     """
     agreed = (
         labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
@@ -174,7 +176,9 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     )
     chosen = agreed.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     picked = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = picked.select(F.col("label").cast("double").alias("label"), "text").mapInArrow(_features, "label double, x array<double>").toPandas()
+    light = picked.select("doc_id", F.col("label").cast("double").alias("label"), wide_hash(F.col("text")).alias("own"), "text")
+    schema = T.StructType([*light.schema[:3], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    rows = light.mapInArrow(_features, schema).groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("x", "own").alias("x")).select("label", "x").toPandas()
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["label"]))  # the fit doesn't depend on the order of arrival
     return AdditiveModel.fit(x[order], rows["label"].to_numpy(dtype=np.float64)[order])

@@ -51,3 +51,17 @@ def test_pairs_are_learnt():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality.AdditiveModel.fit(x, y)
     assert (1, 0) in model.pairs and np.mean((model.score(x) > 0.5) == y) > 0.9
+
+
+def test_an_id_of_many_rows_is_learnt_from_once(spark, docs, monkeypatch):
+    frame, labels = corpus(docs, spark)
+    hot = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5)
+    more = frame.union(docs([(hot, f"{PROSE} {k}") for k in range(300)]))
+    seen = []
+    monkeypatch.setattr(quality.AdditiveModel, "fit", classmethod(lambda cls, x, y: seen.append((x, y))))
+    for table in (more, more.repartition(5)):
+        quality.train(table, labels)
+    assert len(seen[0][0]) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(400))
+    assert all(np.array_equal(a, b) for a, b in zip(*seen))
+    quality.train(more, labels, max_rows=50)
+    assert len(seen[2][0]) == len(seen[2][1]) == 50
