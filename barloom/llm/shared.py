@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.session import durable, shared_folder
 
-__all__ = ["ascii_lower", "bodies", "connected_components", "durable", "fresh_name", "shared_folder", "table", "wide_hash"]
+__all__ = ["ascii_lower", "bodies", "connected_components", "durable", "fresh_name", "let", "offsets", "shared_folder", "table", "wide_hash"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,6 +45,27 @@ def wide_hash(value: Column) -> Column:
     return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit("second"), value).alias("b"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def offsets(sizes: Column, block: int = 128) -> Column:
+    """The running total before each element of an array of whole numbers. As arrays grow by being copied,
+    totals run inside blocks first and over the blocks then."""
+    none = F.array().cast("array<int>")
+
+    def running(xs: Column) -> Column:
+        step = lambda s, x: F.struct((s["total"] + x).alias("total"), F.concat(s["out"], F.array(s["total"])).alias("out"))
+        return F.aggregate(xs, F.struct(F.lit(0).alias("total"), none.alias("out")), step)
+
+    def whole(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: running(F.slice(xs, b * block + 1, block)))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, running(F.transform(bs, lambda b: b["total"]))["out"], lambda b, before: F.transform(b["out"], lambda x: x + before))))
+
+    return let(sizes, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(none))
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}
