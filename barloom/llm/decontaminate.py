@@ -2,31 +2,37 @@
 
 A benchmark item is cut into windows of ten words. Each window is a set of shingles ordered by
 rarity in the documents; as a window has to be contained whole, its necessary prefix is its rarest
-shingle alone. Documents are probed for that shingle, the window's place is fixed by the shingle's
-offset and has to lie within the document, and what is left is compared word by word.
+shingle alone. Documents that are shorter than the shortest window can't contain one and are passed
+over; the others are probed for that shingle, the window's place is fixed by the shingle's offset and
+has to lie within the document, and what is left is compared word by word.
 
-The benchmark is taken in blocks of bounded size, each of them broadcast; with more blocks the
-documents pass through one block after another, still without a shuffle.
+The benchmark is read in blocks of bounded size, one in the driver at a time, and each is broadcast and
+let go again. A benchmark of one block is looked for in the pass that gives the result, without a
+shuffle. With more blocks, each pass stores only what it hit, and the hits meet their documents by one
+join; so neither the driver nor a worker ever holds two blocks.
 
 Defined cases: a null or wordless text has no words and no hits; items without words are no windows;
-an item with a null id marks words but isn't counted; items that repeat count once per id; an empty
+an item with a null id marks words but isn't counted; items that repeat count once per id; an item of
+any length is cut into pieces that share its windows; rows that repeat have the same hits; an empty
 benchmark hits nothing; other columns pass through ``annotate`` and are ignored by ``report``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.shared import bodies, fresh_name
+from barloom.llm.shared import bodies, durable, fresh_name, wide_hash
 
 WINDOW, SHINGLE = 10, 3
-BLOCK_WORDS = 2_000_000  #: words of benchmark items in a block: bounds what is broadcast
+BLOCK_WORDS = 500_000  #: words of benchmark items in a block: bounds what the driver builds and broadcasts
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
 
@@ -51,8 +57,8 @@ class Block:
         self.windows = sorted(owners)
         self.owners = [owners[w] for w in self.windows]
         self.base = len(self.ids) + 1
-        if self.base ** shingle >= 2**63:
-            raise ValueError("too many different words in a block for shingle codes")
+        if self.base**shingle >= 2**63:
+            raise ValueError("block_words has to be smaller for shingles of so many words")
         self.widths = sorted({min(shingle, len(w)) for w in self.windows})
         self.codes = {k: np.unique(np.concatenate([self.coded(np.array(w), k) for w in self.windows if min(shingle, len(w)) == k])) for k in self.widths}
 
@@ -108,6 +114,8 @@ class Block:
     def find(self, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text its number of words, the merged spans of words hit, and the items found."""
         ids, starts = self.numbered(texts)
+        lengths = np.diff(starts) - 1
+        shortest = self.lengths.min() if len(self.windows) else 0
         begins, wins = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for k in self.widths:
             rare, first, many, number, offset = self.prefix[k]
@@ -116,13 +124,17 @@ class Block:
             slot = np.minimum(np.searchsorted(rare, code[at]), len(rare) - 1)
             hit = rare[slot] == code[at]
             at, slot = at[hit], slot[hit]
+            own = np.searchsorted(starts, at, side="right") - 1
+            long = lengths[own] >= shortest  # the bound on lengths
+            at, slot, own = at[long], slot[long], own[long]
             step = max(1, 4_000_000 // max(1, int(many.max())))
             for a in range(0, len(at), step):  # bounds the candidates in memory at once
-                p, s = at[a : a + step], slot[a : a + step]
+                p, s, d = at[a : a + step], slot[a : a + step], own[a : a + step]
                 n = many[s]
                 pick = np.repeat(first[s] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 begin, win = np.repeat(p, n) - offset[pick], number[pick]
-                ok = (begin >= 0) & (begin + self.lengths[win] < len(ids) + 0)
+                doc = np.repeat(d, n)
+                ok = (begin >= starts[doc]) & (begin + self.lengths[win] <= starts[doc] + lengths[doc])  # the bound on positions
                 begin, win = begin[ok], win[ok]
                 for j in range(self.padded.shape[1]):  # verification; most fail at once
                     want = self.padded[win, j]
@@ -194,6 +206,7 @@ def _rarity(documents: DataFrame, block: Block) -> dict[int, np.ndarray]:
     out = {k: np.zeros(len(c), dtype=np.int64) for k, c in block.codes.items()}
     for r in sums.toLocalIterator():
         out[r.k][r["at"]] = r.n
+    shared.unpersist()
     return out
 
 
@@ -201,28 +214,58 @@ def annotate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """``documents`` with all their columns and one more, and its name: a struct of n_words, the
     spans of hit words (merged, ends exclusive) and the ids of the items found (as sorted strings)."""
     name = fresh_name(documents, "found")
-    out = documents.withColumn(name, F.lit(None).cast(_FOUND))
-    schema = out.schema
-    for items in blocks(benchmark, block_words, window):  # one list in the driver at a time
-        block = Block(items, window, shingle)
-        block.order(_rarity(documents, block) if len(block.windows) else {})
-        out = out.mapInArrow(_finder(documents, block, schema), schema)
-    return out, name
+    rest = blocks(benchmark, block_words, window)
+    items, more = next(rest), next(rest, None)
+    if more is None:
+        out = documents.withColumn(name, F.lit(None).cast(_FOUND))
+        return out.mapInArrow(_finder(_indexed(documents, Block(items, window, shingle)), out.schema), out.schema), name
+    hits = None
+    for items in chain((items, more), rest):
+        block = _indexed(documents, Block(items, window, shingle))
+        light = documents.select("text").withColumn(name, F.lit(None).cast(_FOUND))
+        found = light.mapInArrow(_finder(block, light.schema), light.schema).where(F.size(f"{name}.spans") > 0)
+        found = durable(found.select(wide_hash(F.col("text")).alias("own"), F.col(f"{name}.spans").alias("spans"), F.col(f"{name}.items").alias("items")).distinct())
+        block.unpersist()
+        hits = found if hits is None else hits.union(found)
+    return _gathered(documents, hits, name), name
+
+
+def _gathered(documents: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """``documents`` with the hits of all blocks; a text has a row of hits per block at most. Documents meet
+    them by the hash of their text, and only texts with hits do, so texts that are hit by few blocks
+    are few rows; a hash of a text that a third of all rows have is a skewed key on the documents' side alone."""
+    own, key = fresh_name(documents, "own"), fresh_name(documents, "own_key")
+    texts = hits.groupBy("own").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = documents.withColumn(own, wide_hash(F.col("text"))).join(texts.select(F.col("own").alias(key), F.struct(F.lit(0).cast("long").alias("n_words"), "spans", "items").alias(name)), F.col(own) == F.col(key), "left")
+    out = joined.select(*(documents[c] for c in documents.columns), name)
+    names = out.columns
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, texts in bodies(batch.column("text"), 10_000):
+                for t, old in zip(texts, batch.column(batch.num_columns - 1).slice(a, len(texts)).to_pylist()):
+                    spans = _merged([(s["start"], s["end"]) for s in old["spans"]], []) if old else []
+                    rows.append({"n_words": len(words(t)), "spans": [{"start": a, "end": z} for a, z in spans], "items": old["items"] if old else []})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, batch.column(batch.num_columns - 1).type)], names)
 
-def _finder(documents: DataFrame, block: Block, schema: T.StructType):
-    shared = documents.sparkSession.sparkContext.broadcast(block)
+    return out.mapInArrow(counted, out.schema)
 
+
+def _indexed(documents: DataFrame, block: Block) -> Broadcast:
+    """The block with its windows' prefixes chosen, on all workers."""
+    block.order(_rarity(documents, block) if len(block.windows) else {})
+    return documents.sparkSession.sparkContext.broadcast(block)
+
+
+def _finder(shared: Broadcast, schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, rows = batch.column(batch.num_columns - 1), []
-            for a, texts in bodies(batch.column("text"), 10_000):
-                for (n, spans, items), old in zip(shared.value.find(texts), before.slice(a, len(texts)).to_pylist()):
-                    if old:
-                        spans = _merged(spans, [(s["start"], s["end"]) for s in old["spans"]])
-                        items = sorted({*items, *old["items"]})
-                    rows.append({"n_words": n, "spans": [{"start": a, "end": z} for a, z in spans], "items": items})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, before.type)], schema.names)
+            rows = [
+                {"n_words": n, "spans": [{"start": a, "end": z} for a, z in spans], "items": items}
+                for _, texts in bodies(batch.column("text"), 10_000) for n, spans, items in shared.value.find(texts)
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, batch.column(batch.num_columns - 1).type)], schema.names)
 
     return found
 
