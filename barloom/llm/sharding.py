@@ -4,40 +4,58 @@ Records hash into thousands of slots, bytes are added up per slot, and a small v
 which shard holds which slot. Rebalancing writes a new version that moves as few slots as it can;
 records never move on their own.
 
-Defined cases: a null text counts no bytes; null ids are placed by their text; equal rows share a
-slot; an empty table gives an empty result and a map of empty slots; other columns are ignored.
+Rows that repeat id and text are one group with a count, added up before any shuffle. Groups are cut into
+runs of at most ``RUN`` rows, and each run hashes to a slot of its own; so a third of all rows may be the
+same row and still spread evenly, and no task orders or writes more than its share.
+
+Defined cases: a null text counts no bytes; null ids are placed by their text; equal rows are spread over
+slots by their number; an empty table gives an empty result and a map of empty slots; other columns are
+ignored, and those named like the ones ``place_rows`` adds keep their names, with an underscore at the new.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.shared import durable, fresh_name, shared_folder
+
 SLOTS, SHARDS, OVERHEAD = 4096, 24, 8
+RUN = 64  #: equal rows in a run: they share a slot
+TOLERANCE = 0.001  #: how far the heaviest shard may be over the mean before slots move
 MAP_SCHEMA = "version int, vslot int, shard int, slot_bytes long, slot_rows long, first_slot long"
 
 
 def sizes(documents: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot) of every row; the text itself goes no further."""
+    return _measured(documents).withColumn("vslot", slot_of(n_slots, F.col("doc_id"), F.col("text_crc32"), F.lit(0)))
+
+
+def _measured(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return documents.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        slot_of(n_slots).alias("vslot"),
-    )
+    return documents.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text).alias("text_crc32"))
+
 
+def runs(documents: DataFrame, n_slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, run, rows, vslot): a row per run of equal rows, nearly always of one."""
+    groups = _measured(documents).groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("all_rows"))
+    last = F.floor((F.col("all_rows") - 1) / RUN)
+    cut = groups.select("doc_id", "size", "text_crc32", "all_rows", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("run"))
+    return cut.select("doc_id", "size", "text_crc32", "run", F.least(F.lit(RUN), F.col("all_rows") - F.col("run") * RUN).alias("rows"), slot_of(n_slots, F.col("doc_id"), F.col("text_crc32"), F.col("run")).alias("vslot"))
 
-def slot_of(n_slots: int) -> Column:
-    """The virtual slot of a row; it never depends on the number of shards."""
-    return F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")))), F.lit(n_slots)).cast("int")
+
+def slot_of(n_slots: int, doc_id: Column, crc: Column, run: Column) -> Column:
+    """The virtual slot of a run of rows; it never depends on the number of shards."""
+    return F.pmod(F.xxhash64(doc_id, crc, run.cast("long")), F.lit(n_slots)).cast("int")
 
 
 def slot_totals(sized: DataFrame) -> DataFrame:
-    """(vslot, slot_bytes, slot_rows): a row per slot that has rows, so never more than n_slots."""
-    return sized.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.count("*").alias("slot_rows"))
+    """(vslot, slot_bytes, slot_rows) of ``sizes`` or ``runs``: a row per slot that has rows, so never more than n_slots."""
+    rows = F.col("rows") if "rows" in sized.columns else F.lit(1)
+    return sized.groupBy("vslot").agg(F.sum(F.col("size") * rows).alias("slot_bytes"), F.sum(rows).alias("slot_rows"))
 
 
 def place(loads: dict[int, tuple[int, int]], shards: int, n_slots: int) -> dict[int, int]:
@@ -98,16 +116,25 @@ def as_map(spark: SparkSession, shard_of: dict[int, int], loads: dict[int, tuple
     return spark.createDataFrame(rows, MAP_SCHEMA)
 
 
+def dealt_map(spark: SparkSession, shards: int = SHARDS, n_slots: int = SLOTS) -> DataFrame:
+    """Version 0 of the map, before anything is known: slots dealt in turn."""
+    return as_map(spark, {v: v % shards for v in range(n_slots)}, {}, 0)
+
+
 def slot_map(totals: DataFrame, shards: int = SHARDS, n_slots: int = SLOTS) -> DataFrame:
     """Version 1 of the map. Only the n_slots totals come to the driver."""
-    loads = {r.vslot: (r.slot_bytes, r.slot_rows) for r in totals.collect()}
+    loads = _loads(totals)
     return as_map(totals.sparkSession, place(loads, shards, n_slots), loads, 1)
 
 
-def rebalance(old: DataFrame, totals: DataFrame, shards: int, tolerance: float = 0.01) -> DataFrame:
+def _loads(totals: DataFrame) -> dict[int, tuple[int, int]]:
+    return {r.vslot: (r.slot_bytes, r.slot_rows) for r in totals.collect()}
+
+
+def rebalance(old: DataFrame, totals: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
     """The next version of ``old`` for new totals or another number of shards."""
     rows = old.collect()
-    loads = {r.vslot: (r.slot_bytes, r.slot_rows) for r in totals.collect()}
+    loads = _loads(totals)
     shard_of = move({r.vslot: r.shard for r in rows}, loads, shards, tolerance)
     return as_map(old.sparkSession, shard_of, loads, max(r.version for r in rows) + 1)
 
@@ -124,23 +151,30 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
 
 
 def place_rows(documents: DataFrame, slots: DataFrame, n_slots: int = SLOTS) -> DataFrame:
-    """``documents`` with shard and vslot (their own columns of these names give way). No shuffle:
-    the map has n_slots rows, so it is broadcast."""
-    kept = documents.drop("shard", "vslot").withColumn("vslot", slot_of(n_slots))
-    return kept.join(F.broadcast(slots.select("vslot", "shard")), "vslot").select(*documents.drop("shard", "vslot").columns, "shard", "vslot")
+    """``documents`` with shard and vslot. No shuffle: the map has n_slots rows, so it is broadcast. All
+    copies of a row count as one run here and share a slot."""
+    shard, vslot = (fresh_name(documents, n) for n in ("shard", "vslot"))
+    placed = documents.withColumn(vslot, slot_of(n_slots, F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))), F.lit(0)))
+    right = slots.select(F.col("vslot").alias(f"{vslot}_key"), F.col("shard").alias(shard))
+    return placed.join(F.broadcast(right), placed[vslot] == right[f"{vslot}_key"]).select(*documents.columns, shard, vslot)
 
 
-def shard(documents: DataFrame, shards: int = SHARDS, n_slots: int = SLOTS) -> DataFrame:
+def shard(documents: DataFrame, shards: int = SHARDS, n_slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """A row per document with its shard and its place there, ``slot``, gapless from 0.
 
-    Places are counted inside the virtual slots, never over a whole shard: a shard's slots follow
-    each other and the map has where each begins.
+    The map is kept in ``folder`` (by default a new one in the shared folder): its newest version, or one
+    that deals slots in turn, is edited for the bytes there are now, stored as the next version, and read
+    back from there. Places are counted inside the virtual slots, never over a whole shard: a shard's slots
+    follow each other and the map has where each begins.
     """
-    sized = sizes(documents, n_slots)
-    slots = slot_map(slot_totals(sized), shards, n_slots)
-    inside = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")).cast("long") - 1
-    return (
-        sized.withColumn("inside", inside)
-        .join(F.broadcast(slots), "vslot")
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_slot") + F.col("inside")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"))
-    )
+    spark = documents.sparkSession
+    cut = durable(runs(documents, n_slots))
+    if folder is None:
+        folder = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+        save_map(dealt_map(spark, shards, n_slots), folder)
+    save_map(rebalance(load_map(spark, folder), slot_totals(cut), shards), folder)
+    slots = load_map(spark, folder)
+    before = F.sum("rows").over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "run").rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(slots), "vslot")
+    place = F.explode(F.sequence(F.col("first_slot") + F.col("before"), F.col("first_slot") + F.col("before") + F.col("rows") - 1))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", place.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.col("version").alias("map_version"))
