@@ -6,8 +6,8 @@ potential; a table of potentials joins each node to its parent. Messages pass up
 (sum-product), which gives exact marginals on a tree, and pieces of text that are more likely main
 text than not are kept. The weights maximise the likelihood of labelled pages by the same two passes.
 
-Pages are parsed in tasks, one by one; the message passing runs level by level over all trees of a
-batch at once.
+Pages are parsed in tasks, one by one; the message passing runs level by level over the trees of up to
+64 pages at once, or of fewer if they are over 4 MB together.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; unclosed and
 misnested tags are closed as browsers do for the common cases, an open head at the first tag or text
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from barloom.llm.labelled_pages import PAGES
+from barloom.llm.shared import bodies
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset("head script style noscript template title textarea select option button svg iframe object canvas".split())
@@ -293,9 +294,9 @@ def extract(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                texts = shared.value.texts(part.column(2).to_pylist())
+            for a, raw in bodies(batch.column(2), 64):
+                part = batch.slice(a, len(raw))
+                texts = shared.value.texts([p and p.decode() for p in raw])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     light = pages.select("page_id", "url", pages["html"].cast("string").alias("html"))

@@ -1,9 +1,11 @@
 import itertools
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from barloom.llm import html_extract
-from barloom.llm.labelled_pages import PAGES
+from barloom.llm.labelled_pages import PAGES, _page
 
 SCHEMA = "page_id long, url string, html string"
 BODY = ["The council met on Tuesday and agreed to repair the harbour wall.", "Work begins in spring, if the weather allows it.", "Nobody spoke against the plan."]
@@ -80,6 +82,35 @@ def test_training_generalises_to_pages_left_out():
     assert np.mean(right) > 0.9
 
 
+def right(model, pages):
+    trees = [html_extract.Tree(p) for p in pages]
+    return np.mean([(c[v] >= 0.5) == (y >= 0.5) for t, c in zip(trees, model.marginals(trees)) for v, y in enumerate(t.labels()) if t.text[v] is not None and t.text[v].strip()])
+
+
+def test_training_generalises_to_layouts_left_out():
+    """Each of the ten hand-written layouts in turn is left out with all its pages."""
+    scores = []
+    for held in range(10):
+        own = [p for k in range(3) for n, p in enumerate(_page(k)) if n == held]
+        rest = [p for k in range(3) for n, p in enumerate(_page(k)) if n != held] + PAGES[30:]
+        scores.append(right(html_extract.Model.fit(rest), own))
+    assert np.mean(scores) >= 0.8, scores
+
+
+def test_training_without_any_words(monkeypatch):
+    """By tags, lengths and links alone, with the words of classes, ids, roles and texts unknown."""
+    full = right(html_extract.Model.fit([p for k, p in enumerate(PAGES) if k % 7]), PAGES[::7])
+    monkeypatch.setattr(html_extract, "_CUES", re.compile(r"(?!)"))
+    monkeypatch.setattr(html_extract, "_ATTR", re.compile(r"(?!)"))
+    score = right(html_extract.Model.fit([p for k, p in enumerate(PAGES) if k % 7]), PAGES[::7])
+    assert 0.6 < score <= full, (score, full)
+
+
+def test_long_pages_are_taken_few_at_a_time():
+    taken = [(start, len(part)) for start, part in html_extract.bodies(pa.array(["x" * 3_000_000] * 5 + ["y"] * 100), 64)]
+    assert taken[:2] == [(0, 2), (2, 2)] and max(n for _, n in taken) <= 64
+
+
 def test_messages_give_exact_marginals():
     rng = np.random.default_rng(1)
     tree = html_extract.Tree("<div><p>a<b>b</b></p><ul><li>c</li></ul></div>d")
