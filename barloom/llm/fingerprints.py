@@ -9,7 +9,8 @@ is the share of its bytes in chunks that both have.
 Defined cases: a null text is an empty one, with an empty fingerprint; likeness is 1 for equal
 fingerprints and 0 if just one of them is empty; rows follow each other by id in descending order,
 null ids last, and rows that repeat an id by their text; the row after the last is the first; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored. ``report`` orders by number, so ids that
+aren't whole numbers raise a ``TypeError`` before anything runs; ``fingerprint`` takes ids of any type.
 """
 
 from __future__ import annotations
@@ -156,6 +157,8 @@ def report(documents: DataFrame, runs: int | None = None) -> DataFrame:
     row of a run goes to the end of the run before it as well, so that every row meets the next. Only
     the bounds and the first ids of the runs come to the driver.
     """
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id has to be a whole number, as rows follow each other by it")
     spark = documents.sparkSession
     light = documents.select("doc_id", "text")
     runs = runs or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from barloom.llm import fingerprints
 from tests.llm.conftest import PROSE, clashing
 
@@ -37,6 +39,13 @@ def test_odd_rows(docs, odd, none):
     assert {r.fingerprint for r in fingerprints.fingerprint(docs([(1, None), (2, "")])).collect()} == {""}
 
 
+def test_ids_that_are_no_numbers(spark):
+    named = spark.createDataFrame([("a", PROSE), (None, None)], "doc_id string, text string")
+    assert {r.doc_id for r in fingerprints.fingerprint(named).collect()} == {"a", None}
+    with pytest.raises(TypeError):
+        fingerprints.report(named)
+
+
 def test_chunks_cover_and_survive_shifts():
     rng = random.Random(8)
     text = text_of(rng, 3000).encode()
