@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -28,3 +32,21 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and cut from its lineage, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that doesn't exist yet, in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder: later filters and choices of columns reach its scan."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this library's own, wherever it is stored."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,18 +1,24 @@
 """The corpus pipeline: each stage works on all that the one before it kept.
 
 Between stages the documents are written as Parquet in the folder that the cluster shares, as rows of
-``documents``; the last stage adds the shard of each.
+``documents``; the last stage adds the shard of each. What a stage has read is deleted when its result is
+written, so two copies of the documents exist at most, and one is left for the result to be read from.
+
+Defined cases, stage by stage: null, empty and very long texts are scored like any other, and null or
+repeated ids change nothing (quality); rows whose texts link are one group whatever their ids, and unlinked
+rows stay, null ids included (near-dedup); a text without words is clean (decontamination); a null source
+is a source of its own (mixing); a null text has no bytes (sharding). An empty table gives an empty result
+with the same columns, and columns beyond those of ``documents`` pass through all stages.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.session import fresh_folder, remove_folder
 from barloom.llm import decontaminate, mixing, quality, sharding, simhash
-from barloom.llm.shared import shared_folder, table
+from barloom.llm.shared import table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +63,10 @@ ORACLE_SQL = None  # a fitted model decides the first stage; tests/llm holds the
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
