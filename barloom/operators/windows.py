@@ -2,29 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import settled
 
 def by_date():
     return Window.partitionBy("symbol").orderBy("trade_date")
 
 
-def last(n: int):
-    """The frame of the last n observations."""
-    return by_date().rowsBetween(-(n - 1), 0)
-
-
 def change_pct(n: int = 1) -> Column:
     """Return over n observations in percent; needs n + 1 of them, and a positive start."""
     start = F.lag("close", n).over(by_date())
     return F.when(start > 0, (F.col("close") / start - 1) * 100)
 
 
-def mean_of(column: str, n: int) -> Column:
-    """Mean of the last n observations, the current one included; null if there are fewer."""
-    return F.when(F.count(F.lit(1)).over(last(n)) == n, F.avg(column).over(last(n)))
+class Spans:
+    """Aggregates over the last n rows of each symbol, for any n, from those over the last 1, 2, 4, 8, ... rows.
+
+    Each doubling joins a row's span to the one that ends where it begins, by ``lag``; a span of n rows is
+    joined from the powers of two in n. So a row costs the logarithm of the window, not the window, nothing
+    is subtracted (sums stay exact to the last bits), and all stages share one shuffle and one sort."""
+
+    def __init__(self, rows: DataFrame, one: dict[str, Column], joined: dict[str, Callable[[dict[str, Column], dict[str, Column]], Column]]) -> None:
+        self.columns, self.joined, self.names = rows.columns, joined, list(one)
+        self.rows, self.made = rows.select("*", *(c.alias(f"{k}__1") for k, c in one.items())), [1]
+
+    def _at(self, n: int, back: int = 0) -> dict[str, Column]:
+        return {k: F.lag(f"{k}__{n}", back).over(by_date()) if back else F.col(f"{k}__{n}") for k in self.names}
+
+    def grow(self, windows: Iterable[int]) -> Spans:
+        """Adds columns ``name__n`` for each n of ``windows``; null where there are fewer rows."""
+        parts = {n: [b for b in (1 << k for k in range(n.bit_length())) if n & b] for n in windows}
+        while self.made[-1] * 2 <= max((p[-1] for p in parts.values()), default=1):
+            half = self.made[-1]
+            earlier, later = self._at(half, half), self._at(half)
+            self.rows = self.rows.select("*", *(f(earlier, later).alias(f"{k}__{2 * half}") for k, f in self.joined.items()))
+            self.made.append(2 * half)
+        for step in range(1, max(map(len, parts.values()), default=1)):
+            # of a window's powers, greatest last: the span so far, then the next power before it
+            more = []
+            for n, powers in parts.items():
+                if len(powers) > step:
+                    done = sum(powers[-step:])
+                    so_far = self._at(done) if step == 1 else {k: F.col(f"{k}__{n}_{step}") for k in self.names}
+                    name = f"__{n}" if step == len(powers) - 1 else f"__{n}_{step + 1}"
+                    more += [f(self._at(powers[-step - 1], done), so_far).alias(k + name) for k, f in self.joined.items()]
+            self.rows = self.rows.select("*", *more)
+        return self
+
+
+ADD = lambda name: lambda earlier, later: earlier[name] + later[name]
+DRAWDOWN = {
+    "top": lambda a, z: F.when(a["top"].isNotNull(), F.greatest(a["top"], z["top"])),
+    "low": lambda a, z: F.when(a["low"].isNotNull(), F.least(a["low"], z["low"])),
+    "fall": lambda a, z: F.when(a["fall"].isNotNull(), F.least(a["fall"], z["fall"], F.coalesce(F.try_divide(z["low"], a["top"]) - 1, F.lit(0.0)) * 100)),
+}
 
 
 def drawdown_of(closes: Column) -> Column:
@@ -38,36 +72,50 @@ def drawdown_of(closes: Column) -> Column:
     return F.aggregate(closes, start, step, lambda s: s["worst"])
 
 
-def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volatility_window: int = 60) -> DataFrame:
-    """Indicators of every symbol on every date; all frames share one sort.
-
-    Volatility is the population deviation of the last daily returns, not annualised, from two of them on."""
-    out = bars.select("symbol", "trade_date", "close", "volume").withColumn("daily", change_pct(1) / 100)
-    seen = F.count("daily").over(last(volatility_window))
-    more = {"return_1d": F.col("daily") * 100}
+def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volatility_window: int = 60, drawdowns: tuple[int, ...] = ()) -> DataFrame:
+    """Indicators of every symbol on every date.
+
+    Volatility is the population deviation of the last daily returns, not annualised, from two of them on.
+    ``drawdowns`` asks for the largest fall inside the last n observations as well."""
+    rows = bars.select("symbol", "trade_date", "close", "volume", *(change_pct(n).alias(f"return_{n}d") for n in (1, *windows)))
+    daily = F.col("return_1d") / 100
+    returns = {"r": F.coalesce(daily, F.lit(0.0)), "rr": F.coalesce(daily * daily, F.lit(0.0)), "k": daily.isNotNull().cast("long")}
+    start = {"close": F.col("close"), "volume": F.col("volume").cast("double"), **returns}
+    join = {k: ADD(k) for k in start}
+    if drawdowns:
+        start |= {"top": F.col("close"), "low": F.col("close"), "fall": F.lit(0.0)}
+        join |= DRAWDOWN
+    # before the window is full, volatility is that of all rows so far
+    so_far = [F.sum(c).over(by_date().rowsBetween(Window.unboundedPreceding, 0)).alias(f"{k}_so_far") for k, c in returns.items()]
+    spans = Spans(rows.select("*", *so_far), start, join).grow(sorted({*windows, volatility_window, 20, *drawdowns})).rows
+    out = {"return_1d": F.col("return_1d")}
     for n in windows:
-        average = mean_of("close", n)
-        more |= {f"return_{n}d": change_pct(n), f"ma_{n}": average, f"ma_distance_{n}d": (F.try_divide(F.col("close"), average) - 1) * 100}
-    volume = mean_of("volume", 20)
+        average = F.col(f"close__{n}") / n
+        out |= {f"return_{n}d": F.col(f"return_{n}d"), f"ma_{n}": average, f"ma_distance_{n}d": (F.try_divide(F.col("close"), average) - 1) * 100}
+    volume = F.col("volume__20") / 20
     ratio = F.try_divide(F.col("volume"), volume)
-    more |= {
+    total, squares, seen = (F.coalesce(f"{k}__{volatility_window}", f"{k}_so_far") for k in returns)
+    variance = squares / seen - (total / seen) * (total / seen)
+    out |= {
         "volume_avg_20": volume,
-        "volatility_60d": F.when(seen >= 2, F.stddev_pop("daily").over(last(volatility_window)) * 100),
+        "volatility_60d": F.when(seen >= 2, F.sqrt(F.greatest(variance, F.lit(0.0))) * 100),
         "volatility_observations": seen,
         "volume_ratio_20d": ratio,
         "volume_state": volume_state(ratio),
     }
-    return out.select("symbol", "trade_date", *(c.alias(k) for k, c in more.items()))
+    out |= {f"max_drawdown_{n}d": F.col(f"fall__{n}") for n in drawdowns}
+    return spans.select("symbol", "trade_date", *(c.alias(k) for k, c in out.items()))
 
 
 def volume_state(ratio: Column) -> Column:
     return F.when(ratio.isNull(), "insufficient").when(ratio >= 2, "high").when(ratio <= 0.5, "low").otherwise("normal")
 
 
-def drawdowns(bars: DataFrame, windows: tuple[int, ...] = (20, 60)) -> DataFrame:
-    """Drawdown inside the last n observations on every date. Costs n per row, so only for windows asked for."""
-    held = bars.select("symbol", "trade_date", *(F.collect_list("close").over(last(n)).alias(f"c{n}") for n in windows))
-    return held.select("symbol", "trade_date", *(F.when(F.size(f"c{n}") == n, drawdown_of(F.col(f"c{n}"))).alias(f"max_drawdown_{n}d") for n in windows))
+def drawdowns(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250)) -> DataFrame:
+    """Largest fall in percent from a running peak inside the last n observations, on every date."""
+    rows = bars.select("symbol", "trade_date", "close")
+    spans = Spans(rows, {"top": F.col("close"), "low": F.col("close"), "fall": F.lit(0.0)}, DRAWDOWN).grow(windows).rows
+    return spans.select("symbol", "trade_date", *(F.col(f"fall__{n}").alias(f"max_drawdown_{n}d") for n in windows))
 
 
 def whole_history(bars: DataFrame) -> DataFrame:
@@ -91,7 +139,3 @@ def summary(bars: DataFrame, metrics: DataFrame) -> DataFrame:
     latest = metrics.groupBy("symbol", "name").agg(F.max_by("value", F.struct("metric_date", "source")).alias("value"))
     wide = latest.groupBy("symbol").pivot("name", ["price_earnings_ratio", "price_to_book_ratio", "dividend_yield_pct"]).agg(F.round(F.first("value"), 2))
     return shown.join(wide, "symbol", "left")
-
-
-def rounded(value: Column) -> Column:
-    return settled(value)
