@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SENSITIVE_KEYS = ("access_token", "api_key", "apikey", "authorization", "client_secret", "key", "password", "secret", "signature", "token")
+# Names of query parameters that carry credentials.
+SENSITIVE_KEYS = (
+    "api_key", "apikey", "access_token", "api_token", "api-token", "x-api-key", "x_api_key", "authorization", "auth", "bearer", "credential", "credentials",
+    "key", "password", "secret", "signature", "token", "client_secret", "private_key", "x-amz-credential", "x-amz-signature",
+)
+#: words before whose value error text is cut, with any of - _ or nothing for the blank
+CREDENTIAL_WORDS = ("password", "passphrase", "token", "secret", "api key", "access key", "private key", "authorization")
 
 
 def settled(value: Column, places: int = 12) -> Column:
@@ -78,17 +84,35 @@ def previous_month_start(day: Column) -> Column:
 
 
 def redacted(message: Column, limit: int = 1000) -> Column:
-    """Error text without the values of credentials, cut to ``limit`` characters."""
-    named = F.regexp_replace(message, r"(?i)\b(api[_-]?key|token|secret|password|authorization)\b(\s*[:=]\s*)(?:Bearer\s+)?[^\s,;&]+", "$1$2[redacted]")
-    return F.substring(F.regexp_replace(named, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"), 1, limit)
+    """Error text in one line without the values of credentials, cut to ``limit`` characters.
+
+    A value is what follows a credential's name and a colon or equals sign - in quotes, or up to a blank, comma,
+    semicolon or ampersand - or the word Bearer."""
+    words = "|".join(w.replace(" ", "[-_ ]?") for w in CREDENTIAL_WORDS)
+    value = r"""(?:"[^"]*"|'[^']*'|[^\s,;&]+)"""
+    line = F.btrim(F.translate(message, "\r\n", "  "))
+    line = F.regexp_replace(line, rf"(?i)\bbearer\s+{value}", "Bearer [redacted]")
+    line = F.regexp_replace(line, rf"(?i)\b((?:{words})[\"']?)\s*[:=]\s*(?!Bearer \[redacted\]){value}", "$1=[redacted]")
+    return F.substring(line, 1, limit)
 
 
 def is_clean_reference(uri: Column) -> Column:
-    """An absolute http(s) address without user information and without credentials among its query keys."""
-    query = F.try_parse_url(uri, F.lit("QUERY"))
-    keys = F.transform(F.split(F.coalesce(query, F.lit("")), "&"), lambda kv: F.lower(F.element_at(F.split(kv, "="), 1)))
-    bare = F.try_parse_url(uri, F.lit("USERINFO")).isNull() & F.try_parse_url(uri, F.lit("HOST")).isNotNull()
-    return F.coalesce(uri.rlike("^https?://") & bare & ~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in SENSITIVE_KEYS])), F.lit(False))
+    """An absolute reference of any scheme without user information and without credentials among its query
+    keys, which are compared decoded and whatever their case."""
+    scheme, rest = r"^[a-zA-Z][a-zA-Z0-9+.-]*:", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/?#]*)?[^?#]*\?([^#]*)"
+    pairs = F.split(F.regexp_extract(uri, rest, 1), "&")
+    keys = F.transform(pairs, lambda kv: F.lower(F.coalesce(F.try_url_decode(F.element_at(F.split(kv, "="), 1)), F.element_at(F.split(kv, "="), 1))))
+    user = uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*@")
+    return F.coalesce(uri.rlike(scheme) & ~user & ~F.arrays_overlap(keys, F.array(*[F.lit(k) for k in SENSITIVE_KEYS])), F.lit(False))
+
+
+def json_scalar(value: Column) -> Column:
+    """A scalar from JSON text as (kind, number, text, truth). JSON's null is the kind ``null``, other than no
+    JSON scalar at all, which has no kind."""
+    t = F.btrim(value)
+    kind = F.when(t == "null", "null").when(t.isin("true", "false"), "boolean").when(t.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "number").when(t.rlike(r'^"([^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"$'), "string")
+    text = F.element_at(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 1)
+    return F.struct(kind.alias("kind"), F.when(kind == "number", t.try_cast("double")).alias("number"), F.when(kind == "string", text).alias("text"), F.when(kind == "boolean", t == "true").alias("truth"))
 
 
 def canonical_json(**fields: Column) -> Column:
