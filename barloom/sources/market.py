@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,15 +17,16 @@ def code(number: str) -> F.Column:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars: a symbol per supplier, a price per line of an order, in the order of the lines."""
-    price = F.lit(100) + F.lit(50) * F.col("l_discount") + F.col("l_extendedprice") / 100000
+    """Daily bars: a symbol per supplier, a price per line of an order, in the order of the lines.
+
+    Lines are added up before they are shuffled, so a supplier with a third of all lines is no more than a bar a
+    day from each task. What looks at a symbol's history deals the bars again, by symbol: a row a day at most."""
+    price = F.floor(F.lit(10000) + F.lit(5000) * F.col("l_discount") + F.col("l_extendedprice") / 1000) / 100  # two decimals
     lines = table(spark, sf_dir, "lineitem").select(
         code("l_suppkey").alias("symbol"), F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("trade_date"), price.alias("px"), "l_quantity", "l_discount",
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount").alias("place"),
     )
-    # there is hardly more than a line per symbol and day, so adding up before the shuffle saves nothing; dealt by
-    # symbol, the bars need no other shuffle for windows and aggregates per symbol
-    daily = lines.repartition("symbol").groupBy("symbol", "supplier", "trade_date").agg(
+    daily = lines.groupBy("symbol", "supplier", "trade_date").agg(
         F.min_by("px", "place").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "place").alias("close"),
         F.sum("l_quantity").cast("long").alias("volume"), F.max("l_discount").alias("top_discount"),
     )
@@ -45,7 +48,7 @@ def valuations(first: DataFrame) -> DataFrame:
     pe = F.when((F.col("supplier") + F.dayofmonth("trade_date")) % 11 != 0, F.col("close") / (1 + F.col("supplier") % 7))
     wide = first.select("symbol", F.col("trade_date").alias("metric_date"), pe.alias("price_earnings_ratio"), (F.col("close") / 50).alias("price_to_book_ratio"), (100 * F.col("top_discount")).alias("dividend_yield_pct"))
     long = wide.unpivot(["symbol", "metric_date"], ["price_earnings_ratio", "price_to_book_ratio", "dividend_yield_pct"], "name", "value").where("value is not null")
-    return long.withColumn("unit", F.when(F.col("name") == "dividend_yield_pct", "percent").otherwise("ratio")).withColumn("source", F.lit("primary"))
+    return long.withColumn("unit", F.when(F.col("name") == "dividend_yield_pct", "%").otherwise("ratio")).withColumn("source", F.lit("primary"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,22 +57,29 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(code("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.col("n_name").alias("market"), F.lit("TWD").alias("currency"), (F.col("s_acctbal") >= 0).alias("is_active"), F.col("s_suppkey").alias("supplier"))
 
 
-def best_date(panel: DataFrame, since: str = "2000-06-01"):
-    """The date from ``since`` on with most symbols, the latest of equals; None without any."""
-    counts = panel.where(F.col("trade_date") >= F.lit(since).cast("date")).groupBy("trade_date").agg(F.count("*").alias("n"))
-    best = counts.agg(F.max(F.struct("n", "trade_date")).alias("best")).first().best
-    return best.trade_date if best else None
+def best_dates(panel: DataFrame, since: str = "2000-06-01") -> tuple:
+    """The date from ``since`` on with most symbols, the latest of equals, and the date before it; None without any.
+
+    One job; as many counts as there are dates come to the driver."""
+    counts = {r.trade_date: r.n for r in panel.groupBy("trade_date").agg(F.count("*").alias("n")).collect()}
+    start = dt.date.fromisoformat(since)
+    best = max(((n, d) for d, n in counts.items() if d >= start), default=(0, None))[1]
+    return best, max((d for d in counts if best and d < best), default=None)
+
 
+def feeds(names: DataFrame, panel: DataFrame, day) -> dict[str, DataFrame]:
+    """What a universe is built from, as of ``day``: identity, trading, valuation, classification, delisting.
 
-def feeds(spark: SparkSession, sf_dir: str, day) -> dict[str, DataFrame]:
-    """What a universe is built from, as of ``day``: identity, trading, valuation, classification, delisting."""
-    names, panel = symbols(spark, sf_dir), bars(spark, sf_dir)
+    Some rows come twice, some contradict themselves, some names differ between feeds and some are listed later."""
     key = F.col("supplier")
     kind = F.when(key % 13 == 5, "etf").when(key % 17 == 3, "tdr").when(key % 19 == 7, "unknown").otherwise("common_stock")
-    today = panel.where(F.col("trade_date") == F.lit(day)).join(names.select("symbol", "name"), "symbol")
+    today = panel.where(F.col("trade_date") == F.lit(day)).select("symbol").join(names.select("symbol", "name", "supplier"), "symbol")
+    listed = F.when(key % 43 == 8, F.date_add(F.lit(day), 30)).otherwise(F.lit("1990-01-01").cast("date"))
+    copies = F.explode(F.when(key % 47 == 9, F.array(F.lit(""), F.lit(" B"))).when(key % 7 == 0, F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.lit("")))).alias("mark")
+    identity = names.where(key % 10 != 9).select("symbol", "name", listed.alias("listing_date"), copies)
     return {
-        "identity": names.where(key % 10 != 9).select("symbol", "name", F.lit("1990-01-01").cast("date").alias("listing_date")),
-        "trading": today.select("symbol", "name", (F.col("supplier") % 29 != 1).alias("price_available")),
+        "identity": identity.select("symbol", F.concat("name", "mark").alias("name"), "listing_date"),
+        "trading": today.select("symbol", F.when(key % 41 == 6, F.concat("name", F.lit(" X"))).otherwise(F.col("name")).alias("name"), (key % 29 != 1).alias("price_available")),
         "valuation": today.where(key % 31 != 2).select("symbol", "name"),
         "classification": names.where(key % 37 != 4).select("symbol", kind.alias("class")),
         "delisting": names.where(key % 23 == 11).select("symbol", "name", F.lit("1999-01-01").cast("date").alias("delisting_date")),

@@ -1,44 +1,64 @@
-"""Parquet sinks: the latest row of a key wins, or a key is written once and never again."""
+"""Parquet and JSON sinks: the last write of a key wins, or a key is written once and never again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.session import fresh_folder, remove_folder
 
-def latest_wins(old: DataFrame | None, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key, the one with the greatest ``version``; of equals the new one."""
+
+def one_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in ``order``; rows that tie there are told apart by all their columns, so the
+    choice never depends on how they were dealt."""
+    rest = [F.desc_nulls_last(c) for c, t in rows.dtypes if c not in keys and not t.startswith("map")]
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))).where("_rn = 1").drop("_rn")
+
+
+def latest_wins(old: DataFrame | None, new: DataFrame, keys: list[str], arrived: list[str]) -> DataFrame:
+    """One row per key: a new row over an old one, whatever they say, and of new ones the last by ``arrived``."""
     rows = new.withColumn("_new", F.lit(1))
-    rows = rows.unionByName(old.withColumn("_new", F.lit(0))) if old is not None else rows
-    newest = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"))
-    return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", "_new")
+    rows = rows.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True) if old is not None else rows
+    return one_per_key(rows, keys, [F.desc("_new"), *(F.desc_nulls_last(c) for c in arrived)]).drop("_new")
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], version: str, partition: str) -> None:
-    """Merges rows into a table partitioned by ``partition``; only the partitions that they touch are read
-    and written. The merged rows go to the shared folder first, as a table can't be read while it is overwritten."""
-    spark = new.sparkSession
-    touched = [r[0] for r in new.select(partition).distinct().collect()]  # partitions of one load
+def stored_table(spark, path: str) -> DataFrame | None:
+    """The table at ``path``, none before its first load."""
     try:
-        old = spark.read.parquet(path).where(F.col(partition).isin(touched)).select(new.columns)
-    except Exception as e:  # the table's first load
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        old = None
-    merged = latest_wins(old, new, keys, version)
-    staged = f"{path.rstrip('/')}__staged"
-    merged.write.mode("overwrite").parquet(staged)
+        return None
+
+
+def upsert(new: DataFrame, path: str, keys: list[str], arrived: list[str], partition: str) -> None:
+    """Merges a load into a table partitioned by ``partition``: the last write of a key wins. Columns named in
+    ``arrived`` say in which order the rows of the load came and aren't stored, unless they are keys.
+
+    Only the partitions that the load touches are read and written. The merged rows go to a folder of their own in
+    the shared folder first, as a table can't be read while it is overwritten; a load that is lost in between
+    is written again by running it again."""
+    spark = new.sparkSession
+    touched = [r[0] for r in new.select(partition).distinct().collect()]  # partitions of one load
+    columns = [c for c in new.columns if c not in arrived or c in keys]
+    old = stored_table(spark, path)
+    old = old.where(F.col(partition).isin(touched)).select(columns) if old is not None else None
+    merged = latest_wins(old, new, keys, arrived).select(columns)
+    staged = fresh_folder(spark, "staged")
+    merged.write.parquet(staged)
     spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    remove_folder(spark, staged)
 
 
 def insert_once(new: DataFrame, old: DataFrame | None, keys: list[str], payload: str = "payload_sha256") -> tuple[DataFrame, DataFrame]:
-    """(rows to append, conflicts): a known key with the same payload is nothing to do, with another one a conflict."""
-    if old is None:
-        twice = new.groupBy(*keys).agg(F.count_distinct(payload).alias("n")).where("n > 1").select(*keys)
-        return new.dropDuplicates([*keys, payload]).join(twice, keys, "left_anti"), new.join(twice, keys, "left_semi")
-    known = old.select(*keys, F.col(payload).alias("_known"))
-    conflicts = new.join(known, keys).where(F.col(payload) != F.col("_known")).drop("_known")
-    return new.dropDuplicates([*keys, payload]).join(known.select(*keys), keys, "left_anti"), conflicts
+    """(rows to append, conflicts): a known key with the same payload is nothing to do; a key with two payloads,
+    stored or in the load itself, is a conflict, and none of its rows is appended."""
+    each = new.select(*keys, payload)
+    each = each.unionByName(old.select(*keys, payload)) if old is not None else each
+    differ = each.groupBy(*keys).agg(F.count_distinct(F.struct(payload)).alias("n")).where("n > 1").select(*keys)
+    once = new.join(differ, keys, "left_anti").dropDuplicates([*keys, payload])
+    return (once.join(old.select(*keys), keys, "left_anti") if old is not None else once), new.join(differ, keys, "left_semi")
 
 
 def keyed_read(table: DataFrame, symbol: str | None = None, start=None, end=None) -> DataFrame:
@@ -51,3 +71,10 @@ def keyed_read(table: DataFrame, symbol: str | None = None, start=None, end=None
 
 def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_universe(members: DataFrame, day, path: str, parts: int = 16) -> None:
+    """A day's universe as JSON documents, each with a part of the members in order, so that none is gathered whole."""
+    member = F.struct("symbol", "name", "status", "reason")
+    split = members.select(F.pmod(F.xxhash64("symbol"), F.lit(parts)).alias("part"), member.alias("m")).groupBy("part").agg(F.array_sort(F.collect_list("m")).alias("members"))
+    split.select(F.lit(day).alias("market_date"), "members").write.mode("append").json(path)

@@ -15,22 +15,34 @@ from barloom.sources import sinks
 
 def _stream(spark: SparkSession, incoming: str, schema: str, checkpoint: str, batch: Callable[[DataFrame, int], None], per_trigger: int) -> StreamingQuery:
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(incoming)
+    source = source.select("*", F.col("_metadata.file_modification_time").alias("arrived_at"), F.col("_metadata.file_path").alias("arrived_from"))
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def backfill(spark: SparkSession, incoming: str, table: str, checkpoint: str, per_trigger: int = 10) -> StreamingQuery:
-    """Loads the files of bars not seen before into ``table``, keyed by symbol and date, and stops."""
+def backfill(spark: SparkSession, incoming: str, table: str, checkpoint: str, per_trigger: int = 10, target_rows: int | None = None, max_months: int | None = None) -> StreamingQuery:
+    """Loads the files of bars not seen before into ``table``, keyed by symbol, date and source, and stops; the bar
+    that arrived last wins.
+
+    With ``target_rows`` a symbol takes no more once it has so many bars, and with ``max_months`` once it has
+    bars of so many months; a symbol is looked at before each batch of ``per_trigger`` files."""
 
     def load(rows: DataFrame, _: int) -> None:
-        keyed = rows.dropDuplicates(["symbol", "trade_date", "source"]).withColumn("month", F.date_format("trade_date", "yyyy-MM"))
-        sinks.upsert(keyed, table, ["symbol", "trade_date"], "source", "month")
+        held = sinks.stored_table(spark, table)
+        if held is not None and (target_rows or max_months):
+            full = backfill_state(held, target_rows, max_months).where("state <> 'pending'")
+            rows = rows.join(full.select("symbol"), "symbol", "left_anti")
+        keyed = rows.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
+        sinks.upsert(keyed, table, ["symbol", "trade_date", "source"], ["arrived_at", "arrived_from"], "month")
 
     return _stream(spark, incoming, BARS, checkpoint, load, per_trigger)
 
 
-def needs_more(table: DataFrame, target_rows: int) -> DataFrame:
-    """Symbols whose history is still shorter than wanted."""
-    return table.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") < target_rows)
+def backfill_state(table: DataFrame, target_rows: int | None, max_months: int | None) -> DataFrame:
+    """(symbol, bars, months, state): complete with enough bars, out of months with too few after too many, else pending."""
+    per = table.groupBy("symbol").agg(F.count_distinct("trade_date").alias("bars"), F.count_distinct(F.date_format("trade_date", "yyyy-MM")).alias("months"))
+    enough = F.col("bars") >= target_rows if target_rows else F.lit(False)
+    over = F.col("months") >= max_months if max_months else F.lit(False)
+    return per.withColumn("state", F.when(enough, "complete").when(over, "out_of_months").otherwise("pending"))
 
 
 def reconcile_arrivals(spark: SparkSession, incoming: str, versions: str, observations: str, required: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -40,8 +52,9 @@ def reconcile_arrivals(spark: SparkSession, incoming: str, versions: str, observ
 
     def resolve(rows: DataFrame, _: int) -> None:
         known, held = spark.read.parquet(versions), spark.read.parquet(observations)
+        once = sinks.one_per_key(rows, ["symbol", "trade_date"], [F.desc("arrived_at"), F.desc("arrived_from")])
         tips = v.leaves(known).where("leaf_state = 'open'").select("version_id")
-        children, child_rows = v.reconcile(known.join(tips, "version_id", "left_semi"), held, rows, required)
+        children, child_rows = v.reconcile(known.join(tips, "version_id", "left_semi"), held, once, required)
         fresh = children.join(known.select("version_id"), "version_id", "left_anti").persist()
         unwritten = child_rows.join(fresh.select("version_id"), "version_id", "left_semi").join(held.select("version_id").distinct(), "version_id", "left_anti")
         unwritten.select(held.columns).write.mode("append").parquet(observations)
@@ -52,16 +65,12 @@ def reconcile_arrivals(spark: SparkSession, incoming: str, versions: str, observ
 
 
 def replay(spark: SparkSession, incoming: str, schema: str, table: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends results whose key isn't stored yet; a finished key keeps its stored result."""
+    """Appends results whose key isn't stored yet; a finished key keeps its stored result, and of results of one
+    key in a batch the first to arrive is stored."""
 
     def append(rows: DataFrame, _: int) -> None:
-        try:
-            known = spark.read.parquet(table)
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        once = rows.dropDuplicates(keys)
+        known = sinks.stored_table(spark, table)
+        once = sinks.one_per_key(rows, keys, [F.asc("arrived_at"), F.asc("arrived_from")]).drop("arrived_at", "arrived_from")
         (once if known is None else once.join(known.select(*keys), keys, "left_anti")).write.mode("append").parquet(table)
 
     return _stream(spark, incoming, schema, checkpoint, append, 1000)

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tests.test_versions_and_results import D, bars, required
 
 
+def texts(spark, *payloads, **asked):
+    """Payload rows of values or of texts as they are, with the same request beside each."""
+    rows = [(str(k), p if isinstance(p, str) else json.dumps(p, ensure_ascii=False), *asked.values()) for k, p in enumerate(payloads)]
+    return spark.createDataFrame(rows, "payload_id string, payload string" + "".join(f", {k} {'string' if k == 'symbol' else 'date'}" for k in asked))
+
+
 def write(path, value):
     path.write_text(json.dumps(value), encoding="utf-8")
     return str(path)
@@ -19,47 +25,82 @@ def day_row(**changes):
     return dict.fromkeys(payloads.DAILY, "0") | {"Date": "1130105", "Code": "1101", "Name": "Cement", "TradeVolume": "1,234", "OpeningPrice": "10.5", "HighestPrice": "11", "LowestPrice": "10", "ClosingPrice": "10.75"} | changes
 
 
-def test_daily_snapshot(spark, tmp_path):
-    rows = [day_row(), day_row(Code="1102", OpeningPrice="0", HighestPrice="0", LowestPrice="0", ClosingPrice="0"), day_row(Code="1103", HighestPrice="1"), day_row(Code="1104", Date="1131305"), {k: v for k, v in day_row(Code="1105").items() if k != "Change"}]
-    good, bad = payloads.daily_snapshot(spark, write(tmp_path / "a.json", rows))
+def test_daily_snapshot(spark):
+    rows = [day_row(), day_row(Code="1102", OpeningPrice="0", HighestPrice="0", LowestPrice="0", ClosingPrice="0"), day_row(Code="1103", HighestPrice="1"), day_row(Code="1104", Date="1131305"), day_row(Code=" ")]
+    good, bad = payloads.daily_snapshot(texts(spark, rows))
     row = good.first()
     assert (row.symbol, row.trade_date, row.open, row.volume) == ("1101", dt.date(2024, 1, 5), 10.5, 1234) and good.count() == 1
-    assert {r.symbol: r.problem for r in bad.collect()} == {"1102": "price_unavailable", "1103": "high_not_highest", "1104": "date_invalid", "1105": "field_missing"}
+    assert {r.position: r.problem for r in bad.collect()} == {1: "price_unavailable", 2: "high_not_highest", 3: "date_invalid", 4: "identity_missing"}
+    lacking = {k: v for k, v in day_row().items() if k != "Change"}
+    whole = [[day_row(), lacking], [day_row(), day_row(Change=1)], [day_row(), day_row(Change=None)], [day_row(), 5], [], {"a": 1}, '[{"Code": ', "", [day_row()]]
+    good, bad = payloads.daily_snapshot(texts(spark, *whole))  # one bad record refuses its payload
+    assert good.count() == 1
+    assert {r.payload_id: (r.position, r.problem) for r in bad.collect()} == {str(k): (None, p) for k, p in enumerate(["field_missing", "field_not_text", "field_not_text", "item_not_an_object", "not_a_record_array", "not_a_record_array", "malformed_json", "malformed_json"])}
 
 
-def test_valuation_snapshot(spark, tmp_path):
+def test_valuation_snapshot(spark):
     rows = [{"Date": "1130105", "Code": "1101", "Name": "C", "PEratio": "", "DividendYield": "4.5", "PBratio": "1.2"}, {"Date": "1130105", "Code": "1102", "Name": "D", "PEratio": "x", "DividendYield": "", "PBratio": ""}]
-    good, bad = payloads.valuation_snapshot(spark, write(tmp_path / "a.json", rows))
-    assert {(r.symbol, r.name, r.value, r.unit) for r in good.collect()} == {("1101", "dividend_yield_pct", 4.5, "percent"), ("1101", "price_to_book_ratio", 1.2, "ratio")}
+    good, bad = payloads.valuation_snapshot(texts(spark, rows))
+    assert {(r.symbol, r.name, r.value, r.unit) for r in good.collect()} == {("1101", "dividend_yield_pct", 4.5, "%"), ("1101", "price_to_book_ratio", 1.2, "ratio")}
     assert [r.problem for r in bad.collect()] == ["value_invalid"]
-
-
-def month(rows, total=None, stat="OK", date="20240101"):
-    return {"stat": stat, "date": date, "title": "113/01 1101 Cement daily", "fields": [str(k) for k in range(10)], "data": rows, "notes": [], "total": len(rows) if total is None else total}
-
-
-def test_monthly_history(spark, tmp_path):
-    row = lambda day, *p: [f"113/01/{day}", "1,000", "9", *(p or ("10", "11", "9", "10")), "0", "1", ""]
-    good, bad = payloads.monthly_history(spark, write(tmp_path / "a.json", month([row("02"), row("03", "--", "--", "--", "--"), row("04", "10", "--", "9", "10"), row("05")])))
-    assert [r.trade_date.day for r in good.orderBy("trade_date").collect()] == [2, 5] and [r.problem for r in bad.collect()] == ["price_partial"]
-    for name, payload, want in (("b", month([row("05"), row("02")]), "dates_not_ascending"), ("c", month([row("02")], total=2), "total_mismatch"), ("d", month([row("02")], stat="no"), "status_not_ok"), ("e", month([row("02")], date="20240201"), "date_out_of_month")):
-        good, bad = payloads.monthly_history(spark, write(tmp_path / f"{name}.json", payload))
-        assert good.count() == 0 and {r.problem for r in bad.collect()} == {want}
-
-
-def test_second_source(spark, tmp_path):
+    good, bad = payloads.valuation_snapshot(texts(spark, [{k: v for k, v in rows[0].items() if k != "PBratio"}], []))
+    assert good.count() == 0 and sorted(r.problem for r in bad.collect()) == ["field_missing", "not_a_record_array"]
+
+
+def month(rows, **changes):
+    return {"stat": "OK", "date": "20240101", "title": "113年01月 1101 台泥 各日成交資訊", "fields": list(payloads.MONTHLY), "data": rows, "notes": [], "total": len(rows)} | changes
+
+
+def test_monthly_history(spark):
+    row = lambda day, *p, **c: [*[f"113/01/{day}", "1,000", "9", *(p or ("10", "11", "9", "10")), "0", "1", ""], *c.get("more", [])]
+    none = ("--",) * 4
+    good, bad = payloads.monthly_history(texts(spark, month([row("02"), row("03", *none), row("05")])))
+    assert [(r.symbol, r.trade_date.day, r.volume) for r in good.orderBy("trade_date").collect()] == [("1101", 2, 1000), ("1101", 5, 1000)] and bad.count() == 0
+    two = [row("02"), row("05")]
+    cases = [
+        (month([row("02"), row("04", "10", "--", "9", "10")]), "price_partial"), (month([row("05"), row("02")]), "dates_not_ascending"), (month([row("02"), row("02")]), "dates_not_ascending"), (month(two, total=3), "total_mismatch"), (month(two, total="2"), "envelope_malformed"),
+        (month(two, stat="no"), "status_not_ok"), (month([], stat="no"), "no_trading_data"), (month([["113/02/05", *row("05")[1:]]]), "date_out_of_month"), (month([row("30"), ["113/01/32", *row("05")[1:]]]), "date_invalid"), (month(two, fields=list(payloads.MONTHLY)[:9]), "fields_unknown"),
+        (month(two, fields=[*payloads.MONTHLY[1:], payloads.MONTHLY[0]]), "fields_unknown"), (month(two, title="1101 of January"), "title_mismatch"), (month([row("02", more=["x"])]), "row_malformed"), (month([[*row("02")[:9], 5]]), "row_malformed"), (month([row("02", "1O", "11", "9", "10")]), "number_invalid"),
+        (month([row("02", "10", "11", "9", "10,5")]), "number_invalid"), (month([row("02", "10", "9", "9", "10")]), "high_not_highest"), (month([row("03", *none)]), "no_trading_data"), ({k: v for k, v in month(two).items() if k != "notes"}, "field_missing"), ("{", "malformed_json"),
+    ]
+    good, bad = payloads.monthly_history(texts(spark, *(p for p, _ in cases)))
+    assert good.count() == 0 and {int(r.payload_id): r.problem for r in bad.collect()} == dict(enumerate(want for _, want in cases))
+    asked = lambda **c: payloads.monthly_history(texts(spark, month(two), **({"symbol": "1101", "month": dt.date(2024, 1, 1), "start_date": dt.date(2024, 1, 3), "end_date": dt.date(2024, 1, 31)} | c)))
+    assert [r.trade_date.day for r in asked()[0].collect()] == [5]
+    assert asked(symbol="1102")[1].first().problem == "title_mismatch" and asked(month=dt.date(2024, 2, 1))[1].first().problem == "month_mismatch" and asked(start_date=dt.date(2024, 1, 6))[1].first().problem == "no_trading_data"
+
+
+def test_second_source(spark):
     bar = lambda day, **c: {"date": f"2024-01-{day:02}", "open": 1.0, "high": 2.0, "low": 1.0, "close": 2.0, "volume": 5, "turnover": 1.0, "change": 0.1} | c
-    path = write(tmp_path / "a.json", {"type": "EQUITY", "exchange": "X", "market": "M", "symbol": "1101", "timeframe": "D", "sort": "desc", "data": [bar(3), bar(2), bar(2), bar(1, low=1.5)]})
-    good, bad = payloads.candles(spark, path)
-    assert [r.trade_date.day for r in good.collect()] == [3] and sorted(r.problem for r in bad.collect()) == ["duplicate_date", "duplicate_date", "low_not_lowest"]
+    whole = lambda *bars, **c: {"type": "EQUITY", "exchange": "TWSE", "market": "TSE", "symbol": "1101", "timeframe": "D", "sort": "desc", "data": list(bars)} | c
+    good, bad = payloads.candles(texts(spark, whole(bar(3), bar(2), bar(1))))
+    assert sorted(r.trade_date.day for r in good.collect()) == [1, 2, 3] and bad.count() == 0
+    cases = [
+        (whole(bar(3), bar(2), bar(2)), "date_repeated"), (whole(bar(3), bar(1, low=1.5)), "price_relation"), (whole(bar(1, open=0.0)), "price_not_positive"), (whole(bar(1, volume=-1)), "volume_invalid"), (whole(bar(1, volume=None)), "volume_invalid"), (whole(bar(1, turnover=-1.0)), "number_invalid"),
+        (whole(bar(1, close=None)), "number_invalid"), (whole(bar(1, date="soon")), "date_invalid"), (whole(), "no_trading_data"), (whole(data=None), "data_not_an_array"), (whole(bar(1), timeframe="W"), "timeframe_not_daily"), (whole(bar(1), sort="up"), "sort_unknown"),
+        (whole(bar(1), type="FUND"), "identity_mismatch"), (whole(bar(1), exchange="X"), "identity_mismatch"), (whole(bar(1), market=None), "identity_mismatch"), (whole(bar(1), symbol="1102"), "identity_mismatch"), (whole(bar(9)), "date_out_of_range"), ("nothing", "malformed_json"),
+    ]
+    good, bad = payloads.candles(texts(spark, *(p for p, _ in cases), symbol="1101", start_date=dt.date(2024, 1, 1), end_date=dt.date(2024, 1, 5)))
+    assert good.count() == 0 and {int(r.payload_id): r.problem for r in bad.collect()} == dict(enumerate(want for _, want in cases))
     micros = int(dt.datetime(2024, 1, 4, 17, 0, tzinfo=dt.UTC).timestamp() * 1e6)  # one o'clock on the 5th at the exchange
-    quote = {"date": "2024-01-05", "type": "q", "exchange": "X", "market": "M", "symbol": "1101", "name": "C", "openPrice": 1.0, "highPrice": 2.0, "lowPrice": 1.0, "closePrice": 2.0, "lastUpdated": micros, "isClose": True, "total": {"tradeVolume": 7}}
-    good, _ = payloads.quotes(spark, write(tmp_path / "q.json", quote))
-    assert good.first().volume == 7
-    for k, change, want in (("x", {"date": "2024-01-04"}, "timestamp_off_date"), ("y", {"lowPrice": None}, "price_partial")):
-        assert payloads.quotes(spark, write(tmp_path / f"{k}.json", quote | change))[1].first().problem == want
-    good, bad = payloads.yearly_stats(spark, write(tmp_path / "s.json", {"date": "2024-01-05", "symbol": "1101", "name": "C", "previousClose": 1.0, "week52High": 1.0, "week52Low": 2.0}))
-    assert bad.first().problem == "high_under_low"
+    quote = {"date": "2024-01-05", "type": "EQUITY", "exchange": "TWSE", "market": "TSE", "symbol": "1101", "name": "C", "openPrice": 1.0, "highPrice": 2.0, "lowPrice": 1.0, "closePrice": 2.0, "lastUpdated": micros, "isClose": True, "total": {"tradeVolume": 7}}
+    none = dict.fromkeys(("openPrice", "highPrice", "lowPrice", "closePrice"))
+    good, bad = payloads.quotes(texts(spark, quote, quote | none, quote | {"date": "2024-01-04"}, quote | {"lowPrice": None}, quote | {"type": "q"}, quote | {"total": {"tradeVolume": -7}}, symbol="1101"))
+    assert sorted((r.open is None, r.volume) for r in good.collect()) == [(False, 7), (True, 7)]
+    assert {r.payload_id: r.problem for r in bad.collect()} == {"2": "timestamp_off_date", "3": "price_partial", "4": "identity_mismatch", "5": "volume_invalid"}
+    stats = {k: quote[k] for k in ("date", "type", "exchange", "market", "symbol", "name")} | {"previousClose": 1.5, "week52High": 2.0, "week52Low": 1.0}
+    good, bad = payloads.yearly_stats(texts(spark, stats, stats | {"week52Low": 3.0}, stats | {"previousClose": 0.0}, stats | {"week52High": None}, stats | {"date": ""}))
+    assert good.first().high_52w == 2.0 and {r.payload_id: r.problem for r in bad.collect()} == {"1": "high_under_low", "2": "price_not_positive", "3": "price_not_positive", "4": "date_invalid"}
+
+
+def test_payloads_of_files_and_their_evidence(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes(b"\xef\xbb\xbf" + json.dumps([day_row()]).encode())
+    (tmp_path / "b.json").write_text(json.dumps([day_row()], indent=2))
+    files = payloads.payload_files(spark, str(tmp_path / "*.json"))
+    assert payloads.daily_snapshot(files)[0].count() == 2
+    plain = json.dumps([day_row()], sort_keys=True, separators=(",", ":")).encode()
+    assert {(r.payload_sha256, r.payload_size_bytes) for r in payloads.payload_evidence(files).collect()} == {(hashlib.sha256(plain).hexdigest(), len(plain))}
+    assert payloads.payload_evidence(texts(spark, "{")).first().payload_sha256 is None
 
 
 def test_files_and_listings(spark, tmp_path):
@@ -73,6 +114,9 @@ def test_files_and_listings(spark, tmp_path):
     assert [r.symbol for r in gone.collect()] == ["1109"]
     members = payloads.universe_snapshot(spark, write(tmp_path / "u.json", {"market_date": "2024-01-05", "members": [{"symbol": "1101", "name": "C", "status": "inactive", "reason": "x"}]}))
     assert members.first().market_date == dt.date(2024, 1, 5)
+    sinks.write_universe(members.drop("market_date"), dt.date(2024, 1, 6), str(tmp_path / "universe"))
+    sinks.write_universe(members.drop("market_date").withColumn("reason", F.lit(None).cast("string")), dt.date(2024, 1, 7), str(tmp_path / "universe"))
+    assert sorted((str(r.market_date), r.reason) for r in payloads.universe_snapshot(spark, str(tmp_path / "universe")).collect()) == [("2024-01-06", "x"), ("2024-01-07", None)]
 
 
 def test_scalars(spark):
@@ -87,19 +131,34 @@ def test_scalars(spark):
     assert "abc123" not in row.f and "xyz.1" not in row.f
 
 
+def test_references_redaction_and_json(spark):
+    refs = {"ftp://h.example/x": True, "dataset://d/1": True, "s3://bucket/key?part=1": True, "ftp://u@h.example/": False, "https://h.example/?X-Amz-Signature=1": False, "https://h.example/?private%5Fkey=1": False, "https://h.example/?a=1&auth": False, "https://h.example/#token=1": True, "//h.example/x": False, "": False, None: False}
+    got = {r.u: r.c for r in spark.createDataFrame([(u,) for u in refs], "u string").select("u", scalar.is_clean_reference(F.col("u")).alias("c")).collect()}
+    assert got == refs
+    texts_ = {"token=abc": "token=[redacted]", "my_token=abc": "my_token=abc", "Private Key : 'a b' rest": "Private Key=[redacted] rest", 'password: "x, y";': "password=[redacted];", "bearer abc, then": "Bearer [redacted], then", "a\nb": "a b"}
+    assert {r.m: r.c for r in spark.createDataFrame([(m,) for m in texts_], "m string").select("m", scalar.redacted(F.col("m")).alias("c")).collect()} == texts_
+    values = {"null": ("null", None), "1.5": ("number", 1.5), "-2e3": ("number", -2000.0), "true": ("boolean", True), '"a\\"b"': ("string", 'a"b'), "01": (None, None), "[1]": (None, None), "": (None, None), None: (None, None), '"': (None, None)}
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", scalar.json_scalar(F.col("v")).alias("s")).collect()
+    assert {r.v: (r.s.kind, next((x for x in (r.s.number, r.s.text, r.s.truth) if x is not None), None)) for r in rows} == values
+
+
 def test_sinks(spark, tmp_path):
     path = str(tmp_path / "bars")
-    months = lambda f: f.withColumn("month", F.date_format("trade_date", "'m'yyyyMM"))
-    sinks.upsert(months(bars(spark, [1, 2, 20])).withColumn("v", F.lit(1)), path, ["symbol", "trade_date"], "v", "month")
-    sinks.upsert(months(bars(spark, [2, 3], close=7.0)).withColumn("v", F.lit(2)), path, ["symbol", "trade_date"], "v", "month")
+    months = lambda f, n: f.withColumn("month", F.date_format("trade_date", "'m'yyyyMM")).withColumn("n", F.lit(n))
+    key = ["symbol", "trade_date"]
+    sinks.upsert(months(bars(spark, [1, 2, 20]), 9), path, key, ["n"], "month")
+    twice = months(bars(spark, [2, 3], close=7.0), 1).unionByName(months(bars(spark, [3], close=8.0), 2)).unionByName(months(bars(spark, [3], close=6.0), 0))
+    sinks.upsert(twice, path, key, ["n"], "month")  # the last write wins, whatever the first said of its order
     got = {r.trade_date: r.close for r in sinks.keyed_read(spark.read.parquet(path), "0001").collect()}
-    assert got == {D(1): 10.0, D(2): 7.0, D(3): 7.0, D(20): 10.0}
-    old = spark.createDataFrame([(1, "x")], "k int, payload_sha256 string")
-    fresh, conflicts = sinks.insert_once(spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], old.schema), old, ["k"])
-    assert [r.k for r in fresh.collect()] == [2] and conflicts.count() == 0
-    assert sinks.insert_once(spark.createDataFrame([(1, "z")], old.schema), old, ["k"])[1].count() == 1
+    assert got == {D(1): 10.0, D(2): 7.0, D(3): 8.0, D(20): 10.0} and "n" not in spark.read.parquet(path).columns
+    old = spark.createDataFrame([(1, "x"), (4, "w")], "k int, payload_sha256 string")
+    load = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, "a"), (3, "b"), (4, "v"), (5, None)], old.schema)
+    fresh, conflicts = sinks.insert_once(load, old, ["k"])
+    assert sorted(r.k for r in fresh.collect()) == [2, 5] and sorted(r.k for r in conflicts.collect()) == [3, 3, 4]
+    fresh, conflicts = sinks.insert_once(load, None, ["k"])
+    assert sorted(r.k for r in fresh.collect()) == [1, 2, 4, 5] and sorted(r.k for r in conflicts.collect()) == [3, 3]
     sinks.write_report(old, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report")).count() == 1
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
 
 
 def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
@@ -110,7 +169,21 @@ def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
     incremental.backfill(spark, incoming, table, point).awaitTermination()
     incremental.backfill(spark, incoming, table, point).awaitTermination()
     assert sorted(r.trade_date for r in spark.read.parquet(table).collect()) == [D(1), D(2), D(3)]
-    assert incremental.needs_more(spark.read.parquet(table), 4).first().n == 3
+    assert {r.source for r in spark.read.parquet(table).collect()} == {"primary"}
+    bars(spark, [3], "primary", close=3.0).write.mode("append").parquet(incoming)
+    bars(spark, [3], "secondary", close=4.0).write.mode("append").parquet(incoming)
+    incremental.backfill(spark, incoming, table, point).awaitTermination()  # a later row wins over its own source's alone
+    assert sorted((r.source, r.close) for r in spark.read.parquet(table).where(F.col("trade_date") == F.lit(D(3))).collect()) == [("primary", 3.0), ("secondary", 4.0)]
+    assert incremental.backfill_state(spark.read.parquet(table), 4, 1).first().state == "out_of_months" and incremental.backfill_state(spark.read.parquet(table), 3, 1).first().state == "complete"
+
+
+def test_backfill_stops_at_enough_rows(spark, tmp_path):
+    incoming, table = str(tmp_path / "in"), str(tmp_path / "table")
+    for k in range(4):  # a file a load, in order
+        bars(spark, [3 * k + 1, 3 * k + 2, 3 * k + 3]).coalesce(1).write.mode("append").parquet(incoming)
+        bars(spark, [3 * k + 1], symbol="0002").coalesce(1).write.mode("append").parquet(incoming)
+        incremental.backfill(spark, incoming, table, str(tmp_path / "p"), per_trigger=2, target_rows=5).awaitTermination()
+    assert {r.symbol: r["count"] for r in spark.read.parquet(table).groupBy("symbol").count().collect()} == {"0001": 6, "0002": 4}
 
 
 def test_late_bars_open_child_versions_once(spark, tmp_path):
