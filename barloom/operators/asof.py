@@ -67,12 +67,13 @@ def merged_history(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def sources_union(*tables: DataFrame) -> DataFrame:
-    """Sorted distinct sources of each symbol over several tables."""
-    parts = [t.select("symbol", "source").distinct() for t in tables]
+    """Sorted distinct sources of each symbol over several tables, and their endpoints where a table has them."""
+    endpoint = lambda t: F.col("endpoint") if "endpoint" in t.columns else F.lit(None).cast("string").alias("endpoint")
+    parts = [t.select("symbol", "source", endpoint(t)).distinct() for t in tables]
     every = parts[0]
     for t in parts[1:]:
         every = every.unionByName(t)
-    return every.groupBy("symbol").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return every.groupBy("symbol").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("endpoint")).alias("endpoints"))
 
 
 def market_day_state(day: Column, latest: Column) -> Column:
@@ -106,14 +107,37 @@ def short_history(bars: DataFrame, listed: DataFrame, day, required: int = 250)
 
 
 def readiness(symbols: DataFrame, bars: DataFrame, day, required: int = 62, allowed: tuple[str, ...] = ("primary",)) -> DataFrame:
-    """Per symbol: ready, short, of a source that isn't allowed, or missing."""
-    known = prices_as_of(bars, day).groupBy("symbol").agg(F.count("*").alias("n"), F.max(~F.col("source").isin(*allowed)).alias("other"))
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("other"), "illegal_source").when(F.col("n") < required, "short").otherwise("ready")
+    """Per symbol: ready, ready but short, of a source that isn't allowed, or missing - as it also is if its last
+    bar isn't the day's."""
+    known = prices_as_of(bars, day).groupBy("symbol").agg(F.count("*").alias("n"), F.max("trade_date").alias("latest"), F.max(~F.col("source").isin(*allowed)).alias("other"))
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("other"), "illegal_source").when(F.col("latest") != F.lit(day), "missing").when(F.col("n") < required, "short").otherwise("ready")
     return symbols.select("symbol").join(known, "symbol", "left").select("symbol", state.alias("readiness"))
 
 
+def readiness_totals(of: DataFrame) -> DataFrame:
+    """One row: how many are ready, how many of them short, how many not, and whether a scan may start."""
+    is_ = lambda *s: F.count_if(F.col("readiness").isin(*s))
+    return of.agg(F.count("*").alias("eligible"), is_("ready", "short").alias("ready"), is_("short").alias("short"), is_("illegal_source").alias("illegal_source"), is_("missing", "illegal_source").alias("missing"), (is_("ready", "short") == F.count("*")).alias("complete"))
+
+
 def version_snapshot(observations: DataFrame, version_id: str | DataFrame) -> DataFrame:
     """The selected rows of explicitly named versions; there is no latest one to fall back to."""
     if isinstance(version_id, str):
         return observations.where((F.col("version_id") == version_id) & F.col("selected"))
     return observations.join(version_id.select("version_id").distinct(), "version_id", "left_semi").where("selected")
+
+
+def validation_view(observations: DataFrame, days: DataFrame) -> DataFrame:
+    """(version_id, status, outcome, left_provider, right_provider, fields): the canonical row of a version's day
+    against its validation row of the first provider by name, field by field.
+
+    ``days`` has version_id and target_date. Without one of the rows the source is missing."""
+    on_day = observations.join(days.select("version_id", F.col("target_date").alias("trade_date")), ["version_id", "trade_date"])
+    bar = F.struct("provider", *OHLCV)
+    per = on_day.groupBy("version_id").agg(F.min_by(bar, F.when((F.col("role") == "canonical") & F.col("selected"), F.col("provider"))).alias("l"), F.min_by(bar, F.when(F.col("role") == "validation", F.col("provider"))).alias("r"))
+    both = days.select("version_id").join(per, "version_id", "left")
+    there = F.col("l").isNotNull() & F.col("r").isNotNull()
+    fields = F.array_join(F.array_compact(F.array(*[F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), c) for c in OHLCV])), ",")
+    status = F.when(~there, "missing_source").when(fields != "", "source_discrepancy").otherwise("available")
+    outcome = F.when(there, F.when(fields != "", "discrepancy").otherwise("match"))
+    return both.select("version_id", status.alias("status"), outcome.alias("outcome"), F.when(there, F.col("l.provider")).alias("left_provider"), F.when(there, F.col("r.provider")).alias("right_provider"), F.when(there, fields).otherwise("").alias("fields"))

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import settled
+from barloom.functions.scalar import first_of, settled
 from barloom.operators import asof
 from barloom.operators.rules import FIRST_RULES, fired, rule_table
 
 LOOKBACK = 62
 PRICE_METRICS = ("price_change_1d", "volume_anomaly", "return_20d_change", "volatility_regime_change", "ma_distance_change")
+# Units of a metric's values and of its change, by metric and component.
+UNITS = {
+    ("price_change_1d", None): ("percent", "percentage_point"), ("volume_anomaly", None): ("ratio", "ratio"), ("return_20d_change", None): ("percent", "percentage_point"),
+    ("volatility_regime_change", None): ("annualized_percent", "percentage_point"), ("ma_distance_change", None): ("percent", "percentage_point"),
+    ("valuation_update", "pe_ratio"): ("ratio", "percent_relative_change"), ("valuation_update", "pb_ratio"): ("ratio", "percent_relative_change"), ("valuation_update", "dividend_yield"): ("percent", "percentage_point"),
+}
 COMPONENTS = {"price_earnings_ratio": "pe_ratio", "price_to_book_ratio": "pb_ratio", "dividend_yield_pct": "dividend_yield"}
 
 
@@ -85,11 +91,13 @@ def valuation_changes(members: DataFrame, metrics: DataFrame, day, previous_day)
 
 
 def metrics(members: DataFrame, bars: DataFrame, ratios: DataFrame, day, previous_day) -> DataFrame:
-    """(symbol, metric, component, status, previous, current, delta): eight rows for every member."""
+    """(symbol, metric, component, status, previous, current, delta, value_unit, delta_unit): eight rows for every member."""
     inputs = members.select("symbol").join(price_inputs(bars, day), "symbol", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     status = F.when(F.col("latest_date").isNull(), "missing_source").when(F.col("latest_date") == F.lit(day), "available").otherwise("market_date_mismatch")
     prices = inputs.withColumn("price_status", status).select("symbol", F.explode(F.array(*_price_metrics())).alias("m")).select("symbol", "m.*")
-    return prices.unionByName(valuation_changes(members, ratios, day, previous_day))
+    every = prices.unionByName(valuation_changes(members, ratios, day, previous_day))
+    unit = lambda k: first_of(*(((F.col("metric") == m) & F.col("component").eqNullSafe(F.lit(c)), u[k]) for (m, c), u in UNITS.items()))
+    return every.select("*", unit(0).alias("value_unit"), unit(1).alias("delta_unit"))
 
 
 def reasons(of: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
@@ -121,7 +129,7 @@ def counts(evaluated: DataFrame, universe: DataFrame, limit: int = 30) -> DataFr
     """Universe, screened, triggered and candidate counts of a scan, and whether the limit cut it."""
     scan = evaluated.agg(F.count("*").alias("screened_count"), F.count_if("triggered").alias("triggered_count"))
     every = universe.agg(F.count("*").alias("universe_count"))
-    return every.join(F.broadcast(scan)).select("universe_count", "screened_count", "triggered_count", F.least(F.col("triggered_count"), F.lit(limit)).alias("candidate_count"), (F.col("triggered_count") > limit).alias("truncated"))
+    return every.crossJoin(F.broadcast(scan)).select("universe_count", "screened_count", "triggered_count", F.least(F.col("triggered_count"), F.lit(limit)).alias("candidate_count"), (F.col("triggered_count") > limit).alias("truncated"))
 
 
 def input_gaps(members: DataFrame, inputs: DataFrame) -> DataFrame:

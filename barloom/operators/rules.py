@@ -66,4 +66,4 @@ def fired(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     fires, times = _matched()
     named = F.broadcast(rules.withColumnsRenamed({"metric": "rule_metric", "component": "rule_component"}))
     joined = metrics.where(F.col("status") == "available").join(named, (F.col("metric") == F.col("rule_metric")) & F.col("component").eqNullSafe(F.col("rule_component")))
-    return joined.where(fires).select("symbol", "code", "metric", "component", "previous", "current", "delta", rules["unit"] if "unit" not in metrics.columns else F.col("metric_unit"), "operator", "threshold", "role", "trigger_class", "class_priority", "reason_order", times.alias("threshold_multiple"))
+    return joined.where(fires).select("symbol", "code", "metric", "component", "previous", "current", "delta", "unit", "operator", "threshold", "role", "trigger_class", "class_priority", "reason_order", times.alias("threshold_multiple"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import first_of, settled
-from barloom.operators import asof
+from barloom.operators import asof, versions
 from barloom.operators.rules import CONFIRMED, SECOND_RULES, STATUS_RULES, fired, rule_table
 from barloom.operators.windows import drawdown_of
 
@@ -139,3 +139,28 @@ def states_of(members: DataFrame, bars: DataFrame, day, validation: DataFrame) -
     """price_status and validation_status of each member; no validation is a missing source."""
     prices = asof.price_status(members, bars, day).select("symbol", "price_status")
     return prices.join(validation.select("symbol", F.col("outcome").alias("validation_status")), "symbol", "left").withColumn("validation_status", F.coalesce("validation_status", F.lit("missing_source")))
+
+
+def failed_metrics(failed: DataFrame) -> DataFrame:
+    """The sixteen metrics of candidates whose analysis failed: all null, with that as their status."""
+    null = F.lit(None).cast("double")
+    names = F.explode(F.array(*[F.lit(m) for m in (*PRICE_METRICS, *VALUATION_METRICS)])).alias("metric")
+    return failed.select("symbol", names).select("symbol", "metric", F.lit(None).cast("string").alias("component"), F.lit("analysis_failed").alias("status"), null.alias("previous"), null.alias("current"), null.alias("delta"), F.lit(0).alias("observations"))
+
+
+def isolated(of: DataFrame, failed: DataFrame) -> DataFrame:
+    """Metrics with those of failed candidates replaced: one that fails keeps its place and spoils no other."""
+    return of.join(failed.select("symbol"), "symbol", "left_anti").unionByName(failed_metrics(failed))
+
+
+def provenance(candidates: DataFrame, made: DataFrame, rows: DataFrame) -> DataFrame:
+    """What stands behind each candidate: its version with states and counts, and the sources of each role.
+
+    A candidate without a version has nulls, empty lists and canonical quality."""
+    state = versions.states(F.col("status"))
+    source = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("provider")))), ",").alias(f"{role}_sources")
+    by_role = rows.groupBy("version_id").agg(*(source(r) for r in ("canonical", "supplemental", "validation")))
+    behind = made.select("symbol", "version_id", "parent_id", "provenance_sha256", state["source"].alias("source_status"), state["authority"].alias("authority"), state["reconciliation"].alias("reconciliation"), state["quality"].alias("research_quality"), "canonical", "supplemental", "missing", "discrepancies")
+    joined = candidates.select("symbol").join(behind, "symbol", "left").join(by_role, "version_id", "left")
+    blank = {f"{r}_sources": "" for r in ("canonical", "supplemental", "validation")} | {"research_quality": "canonical"}
+    return joined.fillna(blank).select("symbol", *(c for c in joined.columns if c != "symbol"))

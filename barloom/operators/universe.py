@@ -17,15 +17,30 @@ def enumerated(*feeds: DataFrame) -> DataFrame:
 
 
 def merged(feed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A feed with equal duplicates made one, and the symbols whose duplicates differ."""
-    once = feed.distinct()
-    return once, once.groupBy("symbol").count().where("count > 1").select("symbol")
+    """A feed with equal duplicates made one, a row per symbol, and the symbols whose duplicates differ; of those
+    the least row stays."""
+    rest = [c for c in feed.columns if c != "symbol"]
+    row = F.struct(*rest) if rest else F.lit(True)
+    per = feed.groupBy("symbol").agg(F.min(row).alias("row"), (F.max(row) != F.min(row)).alias("differ"))
+    once = per.select("symbol", "row.*") if rest else per.select("symbol")
+    return once, per.where("differ").select("symbol")
+
+
+def conflicts(feeds: dict[str, DataFrame]) -> DataFrame:
+    """(symbol, feed) of feeds that contradict themselves on a symbol."""
+    every = None
+    for name, feed in feeds.items():
+        found = merged(feed)[1].withColumn("feed", F.lit(name))
+        every = found if every is None else every.unionByName(found)
+    return every
 
 
 def members(feeds: dict[str, DataFrame], day) -> DataFrame:
-    """(symbol, name, status, reason), decided by the first case that applies."""
-    one = {k: f.distinct() for k, f in feeds.items()}
+    """(symbol, name, status, reason), one row a symbol, decided by the first case that applies. A symbol that a
+    feed contradicts itself on is unresolved whatever else is known; ``conflicts`` says where."""
+    one = {k: merged(f)[0] for k, f in feeds.items()}
     out = enumerated(one["identity"], one["trading"], one["valuation"], one["classification"])
+    out = out.join(conflicts(feeds).select("symbol").distinct().withColumn("contradicted", F.lit(True)), "symbol", "left")
     for key, extra in (("identity", ["listing_date"]), ("trading", ["price_available"]), ("valuation", []), ("classification", ["class"]), ("delisting", ["delisting_date"])):
         named = ["name"] if "name" in one[key].columns else []
         side = one[key].select("symbol", *(F.col(c).alias(f"{key}_{c}") for c in [*named, *extra]), F.lit(True).alias(f"has_{key}"))
@@ -34,6 +49,7 @@ def members(feeds: dict[str, DataFrame], day) -> DataFrame:
     has = lambda k: F.col(f"has_{k}").isNotNull()
     kind = F.col("classification_class")
     state = first_of(
+        (F.col("contradicted"), _state("classification_unresolved", "feed_conflict")),
         (F.size(F.array_distinct(names)) > 1, _state("classification_unresolved", "identity_conflict")),
         (F.col("identity_listing_date") > F.lit(day), _state("classification_unresolved", "listing_after_day")),
         (F.col("delisting_delisting_date") <= F.lit(day), _state("inactive", "delisted")),

@@ -7,28 +7,74 @@ never selected. Versions don't change: a later one names its parent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import content_id, first_of, group_id
 from barloom.operators.validate import bar_problem
 from barloom.schemas import OHLCV
 
-# Failures of the canonical source after which the other may fill in.
-FILLABLE = ("temporary_unavailable", "delayed_publication", "timeout", "rate_limited")
+# Failures of the canonical source after which the other may fill in, and those after which it may not.
+FILLABLE = ("temporary", "delayed", "pacing_blocked", "timeout")
+NOT_FILLABLE = ("malformed", "permanent", "identity_mismatch", "unavailable")
 
+# What a version's status says of its sources, their authority, reconciliation and quality.
+STATES = {
+    "canonical_complete": ("canonical_complete", "complete", "not_applicable", "canonical"),
+    "provisional_complete": ("provisional_mixed", "incomplete", "pending", "provisional"),
+    "reconciliation_pending": ("provisional_mixed", "incomplete", "pending", "provisional"),
+    "reconciled_equal": ("reconciled", "reconciled", "reconciled_equal", "reconciled"),
+    "reconciled_discrepant": ("reconciled", "reconciled", "reconciled_discrepant", "reconciled"),
+}
+COMPLETE = ("canonical_complete", "reconciled_equal", "reconciled_discrepant")
 
-def structure(rows: DataFrame, order: str = "position") -> DataFrame:
-    """(symbol, problem) of a source's run: checks of the whole run first, then of the first bad row.
+# The dimensions of an instrument's identity in order, and the reason each mismatch gives.
+IDENTITY = {"symbol": "identity_mismatch", "market": "market_mismatch", "exchange": "identity_mismatch", "currency": "currency_mismatch", "security_type": "security_type_mismatch"}
+# Which source may hold which role.
+PROVIDERS = {"canonical": ("primary",), "supplemental": ("secondary",), "validation": ("primary", "secondary")}
+
+
+def states(status: Column) -> Column:
+    """(source, authority, reconciliation, quality) of a version's status; null for an unknown one."""
+    part = lambda k: first_of(*((status == s, v[k]) for s, v in STATES.items()))
+    return F.struct(*(part(k).alias(n) for k, n in enumerate(("source", "authority", "reconciliation", "quality"))))
+
+
+def identity_status(symbol: Column, requested: Column, returned: Column) -> Column:
+    """Whether the instrument that a source returned is the one asked for: five dimensions in their order, the
+    first that differs names the status. Both are structs of the dimensions; one that lacks is unavailable."""
+    differs = lambda k: ~requested[k].eqNullSafe(returned[k])
+    own = ~requested["symbol"].eqNullSafe(symbol)
+    cases = [((own | differs(k)) if k == "symbol" else differs(k), f"{k}_mismatch") for k in IDENTITY]
+    return first_of((requested.isNull() | returned.isNull(), "unavailable"), *cases, otherwise="verified")
 
-    Rows have start_date and target_date beside the bar; ``order`` is their place in the source."""
-    judged = rows.withColumn("problem", bar_problem()).withColumn("outside", ~F.coalesce(F.col("trade_date").between(F.col("start_date"), F.col("target_date")), F.lit(False)))
+
+def identity_reason(status: Column) -> Column:
+    """The reason of a decision that an identity status gives; none if it is verified."""
+    return first_of((status == "verified", F.lit(None).cast("string")), (status == "unavailable", "instrument_unavailable"), *((status == f"{k}_mismatch", r) for k, r in IDENTITY.items()), otherwise="unknown_fail_closed")
+
+
+def structure(rows: DataFrame, order: str = "position") -> DataFrame:
+    """(symbol, problem) of a source's run: checks of the whole run first - dates there and ascending, once each,
+    none in the future, none before the start - then of the first bad row.
+
+    Rows have start_date and target_date beside the bar, ``order`` is their place in the source, and
+    ``row_symbol``, if there is one, the symbol that the row itself names."""
+    prices = [F.col(c).isNull().cast("int") for c in OHLCV[:4]]
+    lacking = sum(prices[1:], prices[0])
+    own = [(F.col("row_symbol").isNotNull() & (F.col("row_symbol") != F.col("symbol")), "identity_mismatch")] if "row_symbol" in rows.columns else []
+    problem = first_of(*own, (lacking.between(1, 3), "partial_ohlc"), (bar_problem().isNotNull(), "malformed_payload"))
+    back = F.lag("trade_date").over(Window.partitionBy("symbol").orderBy(order))
+    judged = rows.select("symbol", "trade_date", "start_date", "target_date", F.col(order).alias("place"), back.alias("back"), problem.alias("row_problem"))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     per = judged.groupBy("symbol").agg(
-        F.max("outside").alias("outside"), (F.count_distinct("trade_date") < F.count("*")).alias("repeated"),
-        (F.transform(F.array_sort(F.collect_list(F.struct(order, "trade_date"))), lambda r: r["trade_date"]) != F.array_sort(F.collect_list("trade_date"))).alias("unordered"),
-        F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col(order))).alias("row_problem"),
+        some(F.col("trade_date").isNull() | (F.col("trade_date") < F.col("back"))).alias("unordered"), some(F.col("trade_date") == F.col("back")).alias("repeated"),
+        some(F.col("trade_date") > F.col("target_date")).alias("future"), some(F.col("trade_date") < F.col("start_date")).alias("early"),
+        F.min_by("row_problem", F.when(F.col("row_problem").isNotNull(), F.col("place"))).alias("row_problem"),
     )
-    return per.select("symbol", first_of((F.col("repeated"), "duplicate_date"), (F.col("unordered"), "dates_not_ascending"), (F.col("outside"), "date_out_of_range"), otherwise=F.col("row_problem")).alias("problem"))
+    return per.select("symbol", first_of((F.col("unordered"), "malformed_payload"), (F.col("repeated"), "duplicate_trade_date"), (F.col("future"), "future_trade_date"), (F.col("early"), "unexpected_observation_date"), otherwise=F.col("row_problem")).alias("problem"))
 
 
 def date_sets(required: DataFrame, canonical: DataFrame, other: DataFrame) -> DataFrame:
@@ -39,35 +85,44 @@ def date_sets(required: DataFrame, canonical: DataFrame, other: DataFrame) -> Da
 
 
 def eligibility(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The decision per symbol, by the first case that applies, and the dates behind it.
-
-    ``candidates`` has symbol, failure (class of the canonical source's failure), evidence_ok, identity_ok,
-    security_ok, problem and canonical_problem (of the structure checks)."""
-    missing = F.col("required") & F.col("c").isNull()
+    """The decision per symbol, by the first case that applies, and the counts of dates behind it.
+
+    ``candidates`` has symbol, failure (class of the canonical source's failure), evidence_ok (null if there is
+    no evidence to doubt), requested and returned (structs of the identity), security_ok, problem and
+    canonical_problem (of the structure checks). Rejected are all dates of the other source where it was
+    refused, and those that both have where it wasn't."""
+    c, s = F.col("c").isNotNull(), F.col("s").isNotNull()
+    missing = F.col("required") & ~c
     facts = sets.groupBy("symbol").agg(
-        F.count_if(missing).alias("missing"), F.count_if(missing & F.col("s").isNotNull()).alias("eligible"), F.count_if(F.col("c").isNotNull() & F.col("s").isNotNull()).alias("overlap"),
-        F.count_if(F.col("c").isNotNull() & F.col("s").isNotNull() & (F.col("c") != F.col("s"))).alias("differing"),
-        F.count_if(F.col("s").isNotNull() & F.col("c").isNull() & ~F.col("required")).alias("unexpected"),
+        F.count_if(missing).alias("missing"), F.count_if(missing & s).alias("eligible"), F.count_if(c & s).alias("overlap"), F.count_if(s).alias("other"),
+        F.count_if(c & s & (F.col("c") != F.col("s"))).alias("differing"), F.count_if(s & ~c & ~F.col("required")).alias("unexpected"),
     )
-    joined = candidates.join(facts, "symbol", "left").fillna(0, ["missing", "eligible", "overlap", "differing", "unexpected"])
-    reason = first_of(
+    joined = candidates.join(facts, "symbol", "left").fillna(0, ["missing", "eligible", "overlap", "other", "differing", "unexpected"])
+    joined = joined.withColumn("identity", identity_status(F.col("symbol"), F.col("requested"), F.col("returned")))
+    before = [
         (F.col("missing") == 0, "not_needed"),
         (~F.coalesce(F.col("failure").isin(*FILLABLE), F.lit(False)), "failure_not_eligible"),
         (~F.col("evidence_ok"), "unknown_fail_closed"),
-        (~F.col("identity_ok"), "identity_mismatch"),
-        (~F.col("security_ok"), "security_boundary_failed"),
+    ]
+    after = [
+        (F.col("identity") != "verified", identity_reason(F.col("identity"))),
+        (~F.coalesce("security_ok", F.lit(False)), "security_boundary_failed"),
+        (F.col("other") == 0, "insufficient_supplemental_coverage"),
         (F.col("problem").isNotNull(), F.col("problem")),
         (F.col("canonical_problem").isNotNull(), "unknown_fail_closed"),
         (F.col("unexpected") > 0, "unexpected_observation_date"),
         (F.col("differing") > 0, "overlap_discrepancy"),
-        (F.col("eligible") == 0, "insufficient_supplemental_coverage"),
-        (F.col("eligible") < F.col("missing"), "insufficient_supplemental_coverage"),
-        otherwise="eligible_verified_supplemental",
-    )
-    out = joined.withColumn("reason", reason)
-    through = (F.col("reason") == "eligible_verified_supplemental") | ((F.col("reason") == "insufficient_supplemental_coverage") & (F.col("eligible") > 0))
-    complete = F.col("reason").isin("not_needed", "eligible_verified_supplemental")
-    return out.select("symbol", "reason", through.alias("is_eligible"), "missing", F.when(through, F.col("eligible")).otherwise(0).alias("eligible_dates"), F.when(through, F.col("missing") - F.col("eligible")).otherwise(F.col("missing")).alias("remaining_dates"), complete.alias("coverage_complete"))
+    ]
+    accepted = first_of(*((cond, F.lit(False)) for cond, _ in [*before, *after]), otherwise=F.lit(True))
+    out = joined.select("*", accepted.alias("accepted"), first_of(*before, *after, (F.col("eligible") < F.col("missing"), "insufficient_supplemental_coverage"), otherwise="eligible_verified_supplemental").alias("reason"))
+    through = F.col("accepted") & (F.col("eligible") > 0)
+    looked = first_of(*((cond, F.lit("not_checked")) for cond, _ in before), otherwise=F.col("identity"))
+    overlap = F.when(F.col("reason") == "overlap_discrepancy", "discrepancy").when(F.col("accepted") & (F.col("overlap") > 0), "exact_match").otherwise("not_applicable")
+    return out.select(
+        "symbol", "reason", through.alias("is_eligible"), looked.alias("identity_status"), overlap.alias("overlap_status"), "missing", F.when(through, F.col("eligible")).otherwise(0).alias("eligible_dates"),
+        F.when(F.col("reason") == "not_needed", 0).when(F.col("accepted"), F.col("overlap")).otherwise(F.col("other")).alias("rejected_dates"),
+        F.when(through, F.col("missing") - F.col("eligible")).otherwise(F.col("missing")).alias("remaining_dates"), F.col("reason").isin("not_needed", "eligible_verified_supplemental").alias("coverage_complete"),
+    )
 
 
 def row_hash() -> Column:
@@ -75,7 +130,8 @@ def row_hash() -> Column:
 
 
 def build(canonical: DataFrame, supplemental: DataFrame, validation: DataFrame, required: DataFrame, target) -> tuple[DataFrame, DataFrame]:
-    """(versions, observations) with one version per symbol.
+    """(versions, observations) with one version per symbol whose required dates are all covered: canonical, or
+    provisional where the other source fills in. What is incomplete becomes no version.
 
     Supplemental rows on dates that are canonical, or not required, are left out of the selection."""
     role = lambda t, r, s: t.select("symbol", "trade_date", *OHLCV, F.col("source").alias("provider"), F.lit(r).alias("role"), F.lit(s).alias("selected"))
@@ -83,13 +139,13 @@ def build(canonical: DataFrame, supplemental: DataFrame, validation: DataFrame,
     fill = role(supplemental, "supplemental", True).join(required.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_semi").join(main.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
     rows = main.unionByName(fill).unionByName(role(validation, "validation", False)).withColumn("row_sha256", row_hash())
     ids = rows.groupBy("symbol").agg(group_id(F.concat_ws(":", "row_sha256", "role")).alias("provenance_sha256")).withColumn("version_id", content_id(F.col("symbol"), F.lit(str(target)), F.col("provenance_sha256"), length=32))
-    seen = coverage(rows, required)
-    versions = ids.join(seen, "symbol").select("version_id", "symbol", F.lit(target).alias("target_date"), F.lit(None).cast("string").alias("parent_id"), "provenance_sha256", "required", "canonical", "supplemental", "missing", "remaining", status_of().alias("status"), F.lit(0).cast("long").alias("discrepancies"))
-    return versions, rows.join(ids.select("symbol", "version_id"), "symbol")
+    whole = coverage(rows, required).where("remaining = 0")
+    versions = ids.join(whole, "symbol").select("version_id", "symbol", F.lit(target).alias("target_date"), F.lit(None).cast("string").alias("parent_id"), "provenance_sha256", "required", "canonical", "supplemental", "missing", "remaining", status_of().alias("status"), F.lit(0).cast("long").alias("discrepancies"))
+    return versions, rows.join(versions.select("symbol", "version_id"), "symbol")
 
 
 def status_of() -> Column:
-    return F.when(F.col("remaining") > 0, "incomplete").when(F.col("supplemental") > 0, "provisional_complete").otherwise("canonical_complete")
+    return F.when(F.col("supplemental") > 0, "provisional_complete").otherwise("canonical_complete")
 
 
 def coverage(rows: DataFrame, required: DataFrame) -> DataFrame:
@@ -102,29 +158,94 @@ def coverage(rows: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def role_violations(rows: DataFrame) -> DataFrame:
-    """(version_id, trade_date, problem): roles selected wrongly, and dates with more than one selected row."""
-    per = rows.groupBy("version_id", "trade_date").agg(F.bool_or(F.col("selected") != (F.col("role") != "validation")).alias("wrong"), F.count_if("selected").alias("n"))
-    problems = F.array_compact(F.array(F.when(F.col("wrong"), "selection_against_role"), F.when(F.col("n") > 1, "two_selected")))
+    """(version_id, trade_date, problem): rows selected against their role or of a source that can't hold it,
+    rows that repeat, and dates with more than one selected row."""
+    allowed = F.lit(False)
+    for role, sources in PROVIDERS.items():
+        allowed = allowed | ((F.col("role") == role) & F.col("provider").isin(*sources))
+    per = rows.groupBy("version_id", "trade_date").agg(
+        F.bool_or(F.col("selected") != (F.col("role") != "validation")).alias("against"), F.bool_or(~F.coalesce(allowed, F.lit(False))).alias("foreign"),
+        (F.count("*") > F.count_distinct("provider", "role", "selected", "row_sha256")).alias("twice"), F.count_if("selected").alias("n"),
+    )
+    problems = F.array_compact(F.array(F.when(F.col("against"), "selection_against_role"), F.when(F.col("foreign"), "source_against_role"), F.when(F.col("twice"), "row_repeated"), F.when(F.col("n") > 1, "two_selected")))
     return per.select("version_id", "trade_date", F.explode(problems).alias("problem"))
 
 
-def state_violations(versions: DataFrame) -> DataFrame:
-    """Versions whose counts and status don't go together."""
+def described(made: DataFrame) -> DataFrame:
+    """Versions with the statuses and counts that ``state_violations`` looks at."""
+    state = states(F.col("status"))
+    selected = F.col("canonical") + F.col("supplemental")
+    return made.select("*", *(state[k].alias(k) for k in ("source", "authority", "reconciliation")), selected.alias("selected"), (selected == F.col("required")).alias("coverage_complete"))
+
+
+def state_violations(made: DataFrame) -> DataFrame:
+    """(version_id, problem) of versions whose counts and statuses don't go together, by the first rule they break:
+    the identities of coverage, then the matrix of source, authority and reconciliation."""
+    have = F.col("canonical") + F.col("supplemental")
+    is_ = lambda source: F.col("source") == source
+    gaps = F.col("canonical") != F.col("required")
     problem = first_of(
+        ((F.col("required") <= 0) | (F.least("canonical", "supplemental", "missing", "discrepancies") < 0), "count_invalid"),
+        (have > F.col("required"), "more_than_required"),
         (F.col("missing") != F.col("required") - F.col("canonical"), "missing_count"),
-        (F.col("remaining") != F.col("missing") - F.col("supplemental"), "remaining_count"),
-        ((F.col("status") == "canonical_complete") & (F.col("missing") > 0), "complete_with_gaps"),
-        ((F.col("status") == "provisional_complete") & (F.col("supplemental") == 0), "provisional_without_supplement"),
-        (F.col("status").isin("reconciled_equal") & (F.col("discrepancies") > 0), "equal_with_discrepancies"),
+        (F.col("selected") != have, "selected_count"),
+        (F.col("coverage_complete") != (have == F.col("required")), "coverage_flag"),
+        (is_("canonical_complete") & (F.col("authority") != "complete"), "canonical_authority"),
+        (is_("canonical_complete") & (F.col("reconciliation") != "not_applicable"), "canonical_reconciliation"),
+        (is_("canonical_complete") & (F.col("supplemental") != 0), "canonical_with_supplement"),
+        (is_("canonical_complete") & gaps, "canonical_with_gaps"),
+        (is_("provisional_mixed") & (F.col("supplemental") <= 0), "provisional_without_supplement"),
+        (is_("provisional_mixed") & (F.col("authority") != "incomplete"), "provisional_authority"),
+        (is_("provisional_mixed") & (F.col("reconciliation") != "pending"), "provisional_reconciliation"),
+        (is_("reconciled") & (F.col("authority") != "reconciled"), "reconciled_authority"),
+        (is_("reconciled") & ~F.col("reconciliation").isin("reconciled_equal", "reconciled_discrepant"), "reconciled_reconciliation"),
+        (is_("reconciled") & (F.col("supplemental") != 0), "reconciled_with_supplement"),
+        (is_("reconciled") & gaps, "reconciled_with_gaps"),
+        ((F.col("reconciliation") == "reconciled_equal") & (F.col("discrepancies") > 0), "equal_with_discrepancies"),
+        ((F.col("reconciliation") == "reconciled_discrepant") & (F.col("discrepancies") <= 0), "discrepant_without_discrepancies"),
+        (~F.coalesce(F.col("source").isin("canonical_complete", "provisional_mixed", "reconciled"), F.lit(False)), "source_unknown"),
     )
-    return versions.withColumn("problem", problem).where("problem is not null").select("version_id", "problem")
+    return made.withColumn("problem", problem).where("problem is not null").select("version_id", "problem")
+
+
+def reconcile_problems(parents: DataFrame, rows: DataFrame, arrived: DataFrame, targets: DataFrame, canonical: tuple[str, ...] = PROVIDERS["canonical"]) -> DataFrame:
+    """(version_id, problem) of every asked reconciliation, null if it may run; the first rule it breaks counts.
+
+    ``targets`` has version_id, trade_date and run_id: the dates asked for, of one source run. ``arrived`` has
+    version_id, symbol, trade_date, provider, role, selected and run_id of the rows that came."""
+    asked = targets.groupBy("version_id").agg(F.min("run_id").alias("asked_run"), (F.count_distinct("run_id") > 1).alias("runs"))
+    came = arrived.join(parents.select("version_id", F.col("symbol").alias("own")), "version_id", "left").join(asked, "version_id", "left")
+    proper = (F.col("symbol") == F.col("own")) & F.col("provider").isin(*canonical) & (F.col("role") == "canonical") & F.col("selected") & (F.col("run_id") == F.col("asked_run"))
+    by_date = came.groupBy("version_id", "trade_date").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(proper, F.lit(False))).alias("proper"))
+    filled = rows.where("selected and role = 'supplemental'").select("version_id", "trade_date", F.lit(True).alias("filled"))
+    wanted = targets.select("version_id", "trade_date", F.lit(True).alias("wanted")).distinct()
+    each = wanted.join(by_date, ["version_id", "trade_date"], "full").join(filled, ["version_id", "trade_date"], "left")
+    each = each.join(parents.select("version_id", "target_date"), "version_id", "left")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    per = each.groupBy("version_id").agg(
+        (F.sum("n").isNull()).alias("none"), some(~F.col("proper")).alias("improper"), some(F.col("n") > 1).alias("twice"), (F.count("wanted") == 0).alias("no_dates"),
+        some(F.col("wanted").isNull() | F.col("n").isNull()).alias("differ"), some(F.col("wanted") & (F.col("trade_date") > F.col("target_date"))).alias("future"), some(F.col("wanted") & F.col("filled").isNull()).alias("unfilled"),
+    )
+    named = parents.select("version_id", states(F.col("status"))["source"].alias("source"))
+    joined = per.join(named, "version_id", "left").join(asked.select("version_id", "runs"), "version_id", "left")
+    problem = first_of(
+        (F.col("source").isNull() | (F.col("source") != "provisional_mixed"), "parent_not_open"),
+        (F.col("none"), "no_rows"),
+        (F.col("improper") | F.coalesce("runs", F.lit(False)), "rows_not_canonical_of_the_run"),
+        (F.col("twice"), "date_repeated"),
+        (F.col("no_dates"), "no_dates"),
+        (F.col("differ"), "dates_differ"),
+        (F.col("future"), "date_in_the_future"),
+        (F.col("unfilled"), "date_not_supplemental"),
+    )
+    return joined.select("version_id", problem.alias("problem"))
 
 
 def reconcile(versions: DataFrame, rows: DataFrame, arrived: DataFrame, required: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Children of the open provisional versions for which canonical rows have arrived; parents stay as they are.
 
     A supplemental row that a canonical one now covers becomes validation, unselected."""
-    open_ = versions.where(F.col("status").isin("provisional_complete", "incomplete", "reconciliation_pending"))
+    open_ = versions.where(F.col("status").isin("provisional_complete", "reconciliation_pending"))
     late = arrived.select("symbol", "trade_date", *(F.col(c).alias(f"new_{c}") for c in OHLCV), F.col("source").alias("new_provider"))
     held = rows.join(open_.select("version_id"), "version_id", "left_semi")
     hit = held.where("role = 'supplemental'").join(late, ["symbol", "trade_date"])
@@ -146,38 +267,56 @@ def reconcile(versions: DataFrame, rows: DataFrame, arrived: DataFrame, required
 
 
 def leaves(versions: DataFrame) -> DataFrame:
-    """Per symbol the version to go on with: a complete one wins; else the one open leaf; two are ambiguous."""
-    parents = versions.where("parent_id is not null").select(F.col("parent_id").alias("version_id"))
-    tips = versions.join(parents, "version_id", "left_anti")
-    done = F.col("status").isin("canonical_complete", "reconciled_equal", "reconciled_discrepant")
-    per = tips.groupBy("symbol").agg(F.max(F.when(done, F.col("version_id"))).alias("complete"), F.count_if(~done).alias("open"), F.max(F.when(~done, F.col("version_id"))).alias("leaf"))
-    state = F.when(F.col("complete").isNotNull(), "complete").when(F.col("open") > 1, "ambiguous").otherwise("open")
-    return per.select("symbol", F.when(state != "ambiguous", F.coalesce("complete", "leaf")).alias("version_id"), state.alias("leaf_state"))
+    """Per symbol and target date the version to go on with: the complete one, else the one open version that is
+    nobody's parent. Two of a kind are ambiguous, and none is named."""
+    parents = versions.where("parent_id is not null").select(F.col("parent_id").alias("version_id")).distinct().withColumn("has_child", F.lit(True))
+    done = F.col("status").isin(*COMPLETE)
+    tips = versions.join(parents, "version_id", "left").where(done | F.col("has_child").isNull())
+    per = tips.groupBy("symbol", "target_date").agg(F.count_if(done).alias("complete"), F.count_if(~done).alias("open"), F.max(F.when(done, F.col("version_id"))).alias("whole"), F.max(F.when(~done, F.col("version_id"))).alias("leaf"))
+    state = F.when((F.col("complete") > 1) | ((F.col("complete") == 0) & (F.col("open") > 1)), "ambiguous").when(F.col("complete") == 1, "complete").otherwise("open")
+    return per.select("symbol", "target_date", F.when(state != "ambiguous", F.coalesce("whole", "leaf")).alias("version_id"), state.alias("leaf_state"))
 
 
 def lineage(versions: DataFrame, version_id: str) -> DataFrame:
-    """A version and its ancestors with their distance, by a recursive query."""
-    versions.select("version_id", "parent_id").createOrReplaceTempView("barloom_lineage")
-    return versions.sparkSession.sql(
-        "WITH RECURSIVE up(version_id, parent_id, depth) AS (SELECT version_id, parent_id, 0 FROM barloom_lineage WHERE version_id = :id"
-        " UNION ALL SELECT v.version_id, v.parent_id, depth + 1 FROM barloom_lineage v JOIN up ON v.version_id = up.parent_id) SELECT version_id, depth FROM up",
+    """A version and its ancestors with their distance, by a recursive query over a view of a name of its own."""
+    spark, view = versions.sparkSession, f"barloom_lineage_{uuid.uuid4().hex}"
+    versions.select("version_id", "parent_id").createOrReplaceTempView(view)
+    found = spark.sql(
+        f"WITH RECURSIVE up(version_id, parent_id, depth) AS (SELECT version_id, parent_id, 0 FROM {view} WHERE version_id = :id"
+        f" UNION ALL SELECT v.version_id, v.parent_id, depth + 1 FROM {view} v JOIN up ON v.version_id = up.parent_id) SELECT version_id, depth FROM up",
         args={"id": version_id},
     )
-
-
-def routed(decisions: DataFrame) -> DataFrame:
-    """Where each symbol goes: canonical as it is, filled in, or failed."""
-    route = F.when(F.col("reason") == "not_needed", "canonical").when(F.col("is_eligible") & F.col("coverage_complete"), "supplement").otherwise("fail")
-    return decisions.select("symbol", route.alias("route"), "reason")
+    spark.catalog.dropTempView(view)
+    return found
+
+
+def routed(decisions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Where each symbol goes: on with the complete version it has; where the canonical source is complete, to its
+    reconciliation if a provisional version is open and to a canonical version if not; else to a provisional
+    one if the other source covers all, or to failure. ``known`` has the leaves of stored versions."""
+    out = decisions if known is None else decisions.join(known.select("symbol", "leaf_state"), "symbol", "left")
+    leaf = F.lit(None).cast("string") if known is None else F.col("leaf_state")
+    route = first_of(
+        (leaf == "complete", "replay"),
+        (leaf == "ambiguous", "ambiguous"),
+        ((F.col("reason") == "not_needed") & (leaf == "open"), "reconcile"),
+        (F.col("reason") == "not_needed", "canonical"),
+        (F.col("is_eligible") & F.col("coverage_complete"), "supplement"),
+        (F.col("is_eligible"), "supplement_incomplete"),
+        otherwise="supplement_rejected",
+    )
+    return out.select("symbol", route.alias("route"), "reason")
 
 
 def gate(members: DataFrame, versions: DataFrame) -> DataFrame:
-    """One row: whether every eligible member has a complete version, and how many lack one."""
-    ready = versions.where("status <> 'incomplete'").select("symbol").distinct()
+    """One row: whether every eligible member has a version, and how many lack one."""
+    ready = versions.select("symbol").distinct()
     lacking = members.where("status = 'active_scan_eligible'").join(ready, "symbol", "left_anti")
     return lacking.agg(F.count("*").alias("lacking"), (F.count("*") == 0).alias("open"))
 
 
 def from_plain_history(bars: DataFrame, target) -> DataFrame:
     """Histories from before versions: canonical and complete by definition."""
-    return bars.groupBy("symbol").agg(F.count("*").alias("required")).select("symbol", F.lit(target).alias("target_date"), F.lit("canonical_complete").alias("status"), "required", F.col("required").alias("canonical"), F.lit(0).alias("supplemental"), F.lit(0).alias("missing"))
+    counted = bars.where(F.col("trade_date") <= F.lit(target)).groupBy("symbol").agg(F.count("*").alias("required"))
+    none = F.lit(0).cast("long")
+    return described(counted.select("symbol", F.lit(target).alias("target_date"), F.lit("canonical_complete").alias("status"), "required", F.col("required").alias("canonical"), none.alias("supplemental"), none.alias("missing"), none.alias("remaining"), none.alias("discrepancies")))

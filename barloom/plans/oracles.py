@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-P, NUDGE = 6, "1.3e-9"
+from barloom.plans import reading_sql
+from barloom.plans.panel import PLACES, SETTLED
 
 _BARS = """
 raw AS (
-  SELECT l_suppkey AS supplier, printf('%04d', l_suppkey) AS symbol, CAST(l_shipdate AS DATE) AS trade_date, 100 + 50 * l_discount + l_extendedprice / 100000 AS px,
+  SELECT l_suppkey AS supplier, printf('%04d', l_suppkey) AS symbol, CAST(l_shipdate AS DATE) AS trade_date, floor(10000 + 5000 * l_discount + l_extendedprice / 1000) / 100 AS px,
          l_quantity, l_discount, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
 ), b AS (
   SELECT supplier, symbol, trade_date, first(px ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount) AS open, max(px) AS high, min(px) AS low,
@@ -18,7 +19,7 @@ raw AS (
 ), ratios AS (
   SELECT symbol, trade_date AS metric_date, 'price_earnings_ratio' AS name, close / (1 + supplier % 7) AS value, 'ratio' AS unit, 'primary' AS source FROM b WHERE (supplier + day(trade_date)) % 11 <> 0
   UNION ALL SELECT symbol, trade_date, 'price_to_book_ratio', close / 50, 'ratio', 'primary' FROM b
-  UNION ALL SELECT symbol, trade_date, 'dividend_yield_pct', 100 * top_discount, 'percent', 'primary' FROM b
+  UNION ALL SELECT symbol, trade_date, 'dividend_yield_pct', 100 * top_discount, '%', 'primary' FROM b
 ), names AS (SELECT s_suppkey AS supplier, printf('%04d', s_suppkey) AS symbol, s_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 best AS (SELECT trade_date AS d FROM b WHERE trade_date >= DATE '2000-06-01' GROUP BY trade_date ORDER BY count(*) DESC, trade_date DESC LIMIT 1),
 prior AS (SELECT max(trade_date) AS d FROM b WHERE trade_date < (SELECT d FROM best))"""
@@ -42,20 +43,24 @@ panel AS (
 
 _UNIVERSE = """
 today AS (SELECT b.supplier, b.symbol, name FROM b JOIN names USING (symbol) WHERE trade_date = (SELECT d FROM best)),
-ident AS (SELECT symbol, name FROM names WHERE supplier % 10 <> 9),
-trading AS (SELECT symbol, name, supplier % 29 <> 1 AS price_available FROM today),
+told AS (SELECT symbol, name || mark AS name, listing FROM (SELECT symbol, name, CASE WHEN supplier % 43 = 8 THEN (SELECT d FROM best) + 30 ELSE DATE '1990-01-01' END AS listing, unnest(CASE WHEN supplier % 47 = 9 THEN ['', ' B'] WHEN supplier % 7 = 0 THEN ['', ''] ELSE [''] END) AS mark FROM names WHERE supplier % 10 <> 9)),
+ident AS (SELECT symbol, min(name) AS name, min(listing) AS listing FROM told GROUP BY symbol),
+clash AS (SELECT symbol FROM told GROUP BY symbol HAVING count(DISTINCT name) > 1),
+trading AS (SELECT symbol, name || CASE WHEN supplier % 41 = 6 THEN ' X' ELSE '' END AS name, supplier % 29 <> 1 AS price_available FROM today),
 valued AS (SELECT symbol, name FROM today WHERE supplier % 31 <> 2),
 classed AS (SELECT symbol, CASE WHEN supplier % 13 = 5 THEN 'etf' WHEN supplier % 17 = 3 THEN 'tdr' WHEN supplier % 19 = 7 THEN 'unknown' ELSE 'common_stock' END AS class FROM names WHERE supplier % 37 <> 4),
 gone AS (SELECT symbol, name FROM names WHERE supplier % 23 = 11),
 keys AS (SELECT symbol FROM ident UNION SELECT symbol FROM trading UNION SELECT symbol FROM valued UNION SELECT symbol FROM classed),
-members AS (
+judged AS (
   SELECT k.symbol, coalesce(i.name, t.name, v.name, g.name) AS name,
-    CASE WHEN g.symbol IS NOT NULL THEN 'inactive' WHEN c.symbol IS NULL OR class = 'unknown' THEN 'classification_unresolved' WHEN class IN ('etf', 'tdr') THEN 'excluded_non_common_equity'
-         WHEN i.symbol IS NULL THEN 'classification_unresolved' WHEN t.symbol IS NULL OR NOT price_available OR v.symbol IS NULL THEN 'active_scan_unavailable' ELSE 'active_scan_eligible' END AS status,
-    CASE WHEN g.symbol IS NOT NULL THEN 'delisted' WHEN c.symbol IS NULL THEN 'classification_missing' WHEN class = 'unknown' THEN 'classification_unknown' WHEN class IN ('etf', 'tdr') THEN class
+    CASE WHEN x.symbol IS NOT NULL THEN 'feed_conflict' WHEN i.name <> t.name OR i.name <> v.name OR i.name <> g.name OR t.name <> v.name OR t.name <> g.name OR v.name <> g.name THEN 'identity_conflict'
+         WHEN i.listing > (SELECT d FROM best) THEN 'listing_after_day' WHEN g.symbol IS NOT NULL THEN 'delisted' WHEN c.symbol IS NULL THEN 'classification_missing' WHEN class = 'unknown' THEN 'classification_unknown' WHEN class IN ('etf', 'tdr') THEN class
          WHEN i.symbol IS NULL THEN 'identity_missing' WHEN t.symbol IS NULL AND v.symbol IS NULL THEN 'both_feeds_missing' WHEN t.symbol IS NULL THEN 'trading_missing'
          WHEN NOT price_available THEN 'price_unavailable' WHEN v.symbol IS NULL THEN 'valuation_missing' END AS reason
-  FROM keys k LEFT JOIN ident i USING (symbol) LEFT JOIN trading t USING (symbol) LEFT JOIN valued v USING (symbol) LEFT JOIN classed c USING (symbol) LEFT JOIN gone g USING (symbol)
+  FROM keys k LEFT JOIN ident i USING (symbol) LEFT JOIN trading t USING (symbol) LEFT JOIN valued v USING (symbol) LEFT JOIN classed c USING (symbol) LEFT JOIN gone g USING (symbol) LEFT JOIN clash x USING (symbol)
+), members AS (
+  SELECT symbol, name, CASE WHEN reason IS NULL THEN 'active_scan_eligible' WHEN reason = 'delisted' THEN 'inactive' WHEN reason IN ('etf', 'tdr') THEN 'excluded_non_common_equity'
+    WHEN reason IN ('both_feeds_missing', 'trading_missing', 'price_unavailable', 'valuation_missing') THEN 'active_scan_unavailable' ELSE 'classification_unresolved' END AS status, reason FROM judged
 )"""
 
 # The rules of the first screen.
@@ -131,38 +136,64 @@ differing AS (SELECT symbol, trade_date, f.field AS field, f.l AS left_value, f.
 
 _RUNS = """
 runs AS (SELECT CAST(trade_date AS VARCHAR) AS run_id, trade_date AS market_date, CASE WHEN day(trade_date) % 2 = 0 THEN 'v2' ELSE 'v1' END AS methodology, CASE WHEN day(trade_date) % 7 = 0 THEN 'failed' WHEN day(trade_date) % 11 = 0 THEN 'open' ELSE 'succeeded' END AS status FROM b GROUP BY trade_date),
-picked AS (SELECT *, CAST(trade_date AS VARCHAR) AS run_id, (close / open - 1) * 100 AS move FROM b WHERE abs((close / open - 1) * 100) >= 1.5),
-chosen AS (SELECT run_id, symbol, 1 AS rank, CASE WHEN volume > 60 THEN 'warning' ELSE 'clean' END AS quality, CASE supplier % 3 WHEN 0 THEN 'canonical_complete' WHEN 1 THEN 'provisional_complete' ELSE 'reconciliation_pending' END AS version_status, supplier % 4 AS supplemental, supplier % 5 AS discrepancies, source AS provider, CASE WHEN day(trade_date) % 19 = 0 THEN 'failed' ELSE 'done' END AS state FROM picked),
+picked AS (SELECT *, CAST(trade_date AS VARCHAR) AS run_id, day(trade_date) AS n, (close / open - 1) * 100 AS move FROM b WHERE abs((close / open - 1) * 100) >= 1.5),
+marked AS (SELECT *, CASE supplier % 5 WHEN 0 THEN 'canonical_complete' WHEN 1 THEN 'provisional_complete' WHEN 2 THEN 'reconciliation_pending' WHEN 3 THEN 'reconciled_equal' ELSE 'reconciled_discrepant' END AS version_status, n = 17 OR (n = 13 AND supplier % 2 = 0) AS plain FROM picked),
+chosen AS (SELECT run_id, symbol, 1 AS rank, CASE WHEN volume > 60 THEN 'warning' ELSE 'clean' END AS quality, version_status, CASE WHEN NOT plain THEN symbol || '-' || version_status END AS version_id, 60 - supplier % 4 AS canonical, supplier % 4 AS supplemental, supplier % 4 AS missing, supplier % 5 AS discrepancies,
+  CASE WHEN supplier % 8 < 4 THEN 'secondary' ELSE 'third' END AS supplemental_source, CASE WHEN n = 18 OR (n = 19 AND supplier % 2 = 0) THEN 'failed' WHEN n = 16 AND supplier % 3 = 0 THEN 'open' ELSE 'done' END AS state FROM marked),
 why AS (SELECT run_id, symbol, 'first' AS stage, CASE WHEN move > 0 THEN 'rise' ELSE 'fall' END AS code, 'move' AS metric FROM picked UNION ALL SELECT run_id, symbol, 'second', 'heavy', 'volume' FROM picked WHERE volume > 60),
 done AS (SELECT * FROM runs WHERE status = 'succeeded')"""
 
 _NEED = """
 need AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM b WHERE trade_date <= (SELECT d FROM best)) WHERE rn <= 60),
 canon AS (SELECT need.* FROM need WHERE day(trade_date) < 20 OR supplier % 3 = 0),
-fill AS (SELECT b2.* FROM b2 JOIN need USING (symbol, trade_date) ANTI JOIN canon USING (symbol, trade_date)),
+filler AS (SELECT * FROM b2 WHERE CAST(symbol AS INT) % 19 <> 4),
+fill AS (SELECT filler.* FROM filler JOIN need USING (symbol, trade_date) ANTI JOIN canon USING (symbol, trade_date)),
 cover AS (SELECT n.symbol, count(*) AS required, count(c.symbol) AS canonical, count(f.symbol) AS supplemental, count(*) - count(c.symbol) AS missing, count(*) - count(c.symbol) - count(f.symbol) AS remaining
   FROM need n LEFT JOIN canon c USING (symbol, trade_date) LEFT JOIN fill f USING (symbol, trade_date) GROUP BY n.symbol),
-made AS (SELECT *, CASE WHEN remaining > 0 THEN 'incomplete' WHEN supplemental > 0 THEN 'provisional_complete' ELSE 'canonical_complete' END AS status FROM cover WHERE canonical + supplemental > 0),
+made AS (SELECT *, CASE WHEN supplemental > 0 THEN 'provisional_complete' ELSE 'canonical_complete' END AS status FROM cover WHERE remaining = 0),
+held AS (
+  SELECT symbol, trade_date, 'primary' AS provider, 'canonical' AS role, true AS selected, close, volume FROM canon WHERE symbol IN (SELECT symbol FROM made)
+  UNION ALL SELECT symbol, trade_date, 'secondary', 'supplemental', true, close, volume FROM fill WHERE symbol IN (SELECT symbol FROM made)
+  UNION ALL SELECT f.symbol, f.trade_date, 'secondary', 'validation', false, f.close, f.volume FROM filler f JOIN canon USING (symbol, trade_date) WHERE f.symbol IN (SELECT symbol FROM made)),
 hit AS (SELECT f.symbol, f.trade_date, l.open <> f.open OR l.high <> f.high OR l.low <> f.low OR l.close <> f.close OR l.volume <> f.volume AS differs FROM fill f JOIN need l USING (symbol, trade_date) JOIN made USING (symbol) WHERE day(f.trade_date) >= 20 AND status <> 'canonical_complete'),
 kids AS (SELECT symbol, count(*) AS moved, count(*) FILTER (differs) AS wrong FROM hit GROUP BY symbol),
-children AS (SELECT m.symbol, m.required, m.canonical + moved AS canonical, m.supplemental - moved AS supplemental, m.missing - moved AS missing, m.remaining, CASE WHEN m.supplemental - moved > 0 OR m.remaining > 0 THEN 'reconciliation_pending' WHEN wrong > 0 THEN 'reconciled_discrepant' ELSE 'reconciled_equal' END AS status, wrong AS discrepancies FROM made m JOIN kids USING (symbol))"""
+children AS (SELECT m.symbol, m.required, m.canonical + moved AS canonical, m.supplemental - moved AS supplemental, m.missing - moved AS missing, m.remaining, CASE WHEN m.supplemental - moved > 0 THEN 'reconciliation_pending' WHEN wrong > 0 THEN 'reconciled_discrepant' ELSE 'reconciled_equal' END AS status, wrong AS discrepancies FROM made m JOIN kids USING (symbol))"""
 
 _DECIDE = """
 need AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM b WHERE trade_date <= (SELECT d FROM best)) WHERE rn <= 60),
 canon AS (SELECT * FROM need WHERE day(trade_date) < 20 OR supplier % 3 = 0),
 other AS (SELECT b2.* FROM b2 JOIN need USING (symbol, trade_date) WHERE day(b2.trade_date) <> 28 AND (day(b2.trade_date) <> 27 OR CAST(b2.symbol AS INT) % 4 <> 0)),
-facts AS (SELECT n.symbol, count(*) FILTER (c.symbol IS NULL) AS missing, count(*) FILTER (c.symbol IS NULL AND o.symbol IS NOT NULL) AS eligible, count(*) FILTER (c.symbol IS NOT NULL AND o.symbol IS NOT NULL AND (c.open <> o.open OR c.high <> o.high OR c.low <> o.low OR c.close <> o.close OR c.volume <> o.volume)) AS differing
+facts AS (SELECT n.symbol, CAST(n.symbol AS INT) AS k, count(*) FILTER (c.symbol IS NULL) AS missing, count(*) FILTER (c.symbol IS NULL AND o.symbol IS NOT NULL) AS eligible, count(o.symbol) AS other, count(*) FILTER (c.symbol IS NOT NULL AND o.symbol IS NOT NULL) AS overlap,
+    count(*) FILTER (c.symbol IS NOT NULL AND o.symbol IS NOT NULL AND (c.open <> o.open OR c.high <> o.high OR c.low <> o.low OR c.close <> o.close OR c.volume <> o.volume)) AS differing
   FROM need n LEFT JOIN canon c USING (symbol, trade_date) LEFT JOIN other o USING (symbol, trade_date) GROUP BY n.symbol),
 broken AS (SELECT DISTINCT symbol FROM other WHERE CAST(symbol AS INT) % 17 = 5 AND day(trade_date) = 25),
-decided AS (
-  SELECT symbol, missing, eligible, CASE WHEN missing = 0 THEN 'not_needed' WHEN CAST(symbol AS INT) % 8 IN (3, 6) THEN 'failure_not_eligible' WHEN CAST(symbol AS INT) % 31 = 9 THEN 'unknown_fail_closed' WHEN CAST(symbol AS INT) % 29 = 10 THEN 'identity_mismatch'
-    WHEN CAST(symbol AS INT) % 37 = 12 THEN 'security_boundary_failed' WHEN symbol IN (SELECT symbol FROM broken) THEN 'price_not_positive' WHEN differing > 0 THEN 'overlap_discrepancy' WHEN eligible < missing THEN 'insufficient_supplemental_coverage' ELSE 'eligible_verified_supplemental' END AS reason FROM facts
+known AS (
+  SELECT *, CASE k % 29 WHEN 9 THEN 'unavailable' WHEN 10 THEN 'symbol_mismatch' WHEN 11 THEN 'market_mismatch' WHEN 12 THEN 'exchange_mismatch' WHEN 13 THEN 'currency_mismatch' WHEN 14 THEN 'security_type_mismatch' ELSE 'verified' END AS identity,
+    CASE k % 29 WHEN 9 THEN 'instrument_unavailable' WHEN 10 THEN 'identity_mismatch' WHEN 11 THEN 'market_mismatch' WHEN 12 THEN 'identity_mismatch' WHEN 13 THEN 'currency_mismatch' WHEN 14 THEN 'security_type_mismatch' END AS identity_reason FROM facts
+), decided AS (
+  SELECT *, CASE WHEN missing = 0 THEN 'not_needed' WHEN k % 8 IN (4, 5) THEN 'failure_not_eligible' WHEN k % 31 = 9 THEN 'unknown_fail_closed' WHEN identity_reason IS NOT NULL THEN identity_reason
+    WHEN k % 37 = 12 THEN 'security_boundary_failed' WHEN other = 0 THEN 'insufficient_supplemental_coverage' WHEN symbol IN (SELECT symbol FROM broken) THEN 'malformed_payload' WHEN differing > 0 THEN 'overlap_discrepancy' END AS refused FROM known
 ), decisions AS (
-  SELECT symbol, reason, through AS is_eligible, missing, CASE WHEN through THEN eligible ELSE 0 END AS eligible_dates, CASE WHEN through THEN missing - eligible ELSE missing END AS remaining_dates, reason IN ('not_needed', 'eligible_verified_supplemental') AS coverage_complete
-  FROM (SELECT *, reason = 'eligible_verified_supplemental' OR (reason = 'insufficient_supplemental_coverage' AND eligible > 0) AS through FROM decided)
+  SELECT symbol, coalesce(refused, CASE WHEN eligible < missing THEN 'insufficient_supplemental_coverage' ELSE 'eligible_verified_supplemental' END) AS reason, refused IS NULL AND eligible > 0 AS is_eligible,
+    CASE WHEN missing = 0 OR k % 8 IN (4, 5) OR k % 31 = 9 THEN 'not_checked' ELSE identity END AS identity_status, CASE WHEN refused = 'overlap_discrepancy' THEN 'discrepancy' WHEN refused IS NULL AND overlap > 0 THEN 'exact_match' ELSE 'not_applicable' END AS overlap_status, missing,
+    CASE WHEN refused IS NULL THEN eligible ELSE 0 END AS eligible_dates, CASE WHEN missing = 0 THEN 0 WHEN refused IS NULL THEN overlap ELSE other END AS rejected_dates,
+    CASE WHEN refused IS NULL THEN missing - eligible ELSE missing END AS remaining_dates, coalesce(refused = 'not_needed', eligible >= missing) AS coverage_complete FROM decided
 )"""
 
 
+def _falls(*sizes: int) -> str:
+    """Tables fall20, fall60, ... of the largest fall inside the last rows of every date."""
+    one = (
+        "fall{n} AS (SELECT symbol, trade_date, min(fall) AS fall FROM (SELECT e.symbol, e.trade_date, (j.close / max(j.close) OVER (PARTITION BY e.symbol, e.i ORDER BY j.i) - 1) * 100 AS fall"
+        " FROM placed e JOIN placed j ON e.symbol = j.symbol AND j.i BETWEEN e.i - {n} + 1 AND e.i WHERE e.i >= {n}) GROUP BY symbol, trade_date)"
+    )
+    return "\nplaced AS (SELECT symbol, trade_date, close, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS i FROM b),\n" + ",\n".join(one.format(n=n) for n in sizes)
+
+
+_RESULTS = """
+wide AS (SELECT s.symbol, s.trade_date, s.close AS latest_close, CAST(s.volume AS DOUBLE) AS latest_volume, return_20d, return_60d, return_120d, CASE WHEN volatility_observations >= 60 THEN volatility_60d END AS volatility_60d, f20.fall AS max_drawdown_20d, f60.fall AS max_drawdown_60d, f120.fall AS max_drawdown_120d,
+  volume_ratio_20d, nullif(volume_state, 'insufficient') AS volume_anomaly, ma_distance_20d, ma_distance_60d, ma_distance_120d
+  FROM states s LEFT JOIN fall20 f20 USING (symbol, trade_date) LEFT JOIN fall60 f60 USING (symbol, trade_date) LEFT JOIN fall120 f120 USING (symbol, trade_date))"""
 
 def _second() -> str:
     """The deep metrics: each state is an aggregate over the last 250 rows, with (1) or without (0) the latest."""
@@ -201,25 +232,34 @@ deep_metrics AS (
 
 
 # The rules of the second screen on numbers.
-_SECOND_REASONS = """
+_SECOND_RULES = """
 rules2(code, metric, op, threshold, class_priority, reason_order) AS (VALUES
   ('drawdown_change', 'max_drawdown_120d', 'abs_delta_gte', 1.0, 20, 30), ('volatility_regime_change', 'volatility_60d', 'abs_delta_gte', 1.0, 20, 40), ('return_60d_change', 'return_60d', 'abs_delta_gte', 1.0, 30, 50),
   ('return_120d_state', 'return_120d', 'abs_current_gte', 10.0, 40, 60), ('ma_distance_change', 'ma_distance_60d', 'abs_delta_gte', 1.0, 50, 70), ('volume_anomaly', 'volume_ratio_20d', 'current_gte', 2.0, 60, 80)),
-kept AS (SELECT c.symbol, c.rank, c.primary_reasons, s.price_status, coalesce(o.outcome, 'missing_source') AS validation_status FROM candidates c JOIN status s USING (symbol) LEFT JOIN outcomes o USING (symbol)),
+kept AS (SELECT c.symbol, c.rank, c.primary_reasons, s.price_status, coalesce(o.outcome, 'missing_source') AS validation_status, FAILING AS failed FROM candidates c JOIN status s USING (symbol) LEFT JOIN outcomes o USING (symbol)),
 reasons2 AS (
   SELECT symbol, code, 'research_change' AS kind, class_priority, reason_order, round(greatest(size, 0.0) / threshold, 12) AS threshold_multiple
-  FROM (SELECT m.symbol, r.*, CASE op WHEN 'abs_delta_gte' THEN abs(delta) WHEN 'abs_current_gte' THEN abs(current) ELSE current END AS size FROM deep_metrics m JOIN rules2 r USING (metric) WHERE status = 'available' AND m.symbol IN (SELECT symbol FROM kept)) WHERE size >= threshold
+  FROM (SELECT m.symbol, r.*, CASE op WHEN 'abs_delta_gte' THEN abs(delta) WHEN 'abs_current_gte' THEN abs(current) ELSE current END AS size FROM deep_metrics m JOIN rules2 r USING (metric) WHERE status = 'available' AND m.symbol IN (SELECT symbol FROM kept WHERE NOT failed)) WHERE size >= threshold
   UNION ALL SELECT w.symbol, c.code, 'research_change', 70, c.reason_order, w.threshold_multiple
   FROM (SELECT * FROM reasons WHERE metric = 'valuation_update' AND role = 'primary' QUALIFY row_number() OVER (PARTITION BY symbol, component ORDER BY reason_order) = 1) w
     JOIN (VALUES ('valuation_update_pe', 'valuation_pe_ratio', 'pe_ratio', 90), ('valuation_update_pb', 'valuation_pb_ratio', 'pb_ratio', 100), ('valuation_update_yield', 'valuation_dividend_yield', 'dividend_yield', 110)) AS c(code, deep, component, reason_order) USING (component)
-    JOIN deep_metrics m ON m.symbol = w.symbol AND m.metric = c.deep AND m.status = 'available' WHERE abs(w.current - m.current) <= 1e-9 AND w.symbol IN (SELECT symbol FROM kept)
+    JOIN deep_metrics m ON m.symbol = w.symbol AND m.metric = c.deep AND m.status = 'available' WHERE abs(w.current - m.current) <= 1e-9 AND w.symbol IN (SELECT symbol FROM kept WHERE NOT failed)
   UNION ALL SELECT symbol, 'source_discrepancy', 'data_quality', 10, 10, 1.0 FROM kept WHERE validation_status = 'source_discrepancy'
   UNION ALL SELECT symbol, 'market_date_mismatch', 'data_quality', 10, 20, 1.0 FROM kept WHERE price_status = 'market_date_mismatch' OR validation_status = 'market_date_mismatch'
 ), final AS (
-  SELECT symbol, quality, CASE WHEN quality = 'blocked' OR q > 0 THEN 'data_quality_candidate' ELSE 'research_candidate' END AS kind, research_reasons, primary_reasons, class_priority, threshold_multiple, rank AS first_rank
-  FROM (SELECT k.symbol, k.rank, k.primary_reasons, CASE WHEN price_status <> 'available' THEN 'blocked' WHEN validation_status <> 'match' THEN 'warning' ELSE 'clean' END AS quality, count(*) FILTER (kind = 'data_quality') AS q, count(*) FILTER (kind = 'research_change') AS research_reasons,
-      coalesce(min(class_priority), 999) AS class_priority, coalesce(max(threshold_multiple), 0.0) AS threshold_multiple FROM kept k LEFT JOIN reasons2 USING (symbol) GROUP BY k.symbol, k.rank, k.primary_reasons, price_status, validation_status)
-), ranking AS (SELECT *, CASE WHEN quality = 'blocked' THEN 1 WHEN quality = 'warning' AND kind = 'data_quality_candidate' THEN 2 ELSE 4 END AS quality_group FROM final)"""
+  SELECT symbol, quality, CASE WHEN quality IN ('failed', 'blocked') OR q > 0 THEN 'data_quality_candidate' ELSE 'research_candidate' END AS kind, research_reasons, primary_reasons, class_priority, threshold_multiple, rank AS first_rank
+  FROM (SELECT k.symbol, k.rank, k.primary_reasons, CASE WHEN failed THEN 'failed' WHEN price_status <> 'available' THEN 'blocked' WHEN validation_status <> 'match' THEN 'warning' ELSE 'clean' END AS quality, count(*) FILTER (kind = 'data_quality') AS q, count(*) FILTER (kind = 'research_change') AS research_reasons,
+      coalesce(min(class_priority), 999) AS class_priority, coalesce(max(threshold_multiple), 0.0) AS threshold_multiple FROM kept k LEFT JOIN reasons2 USING (symbol) GROUP BY k.symbol, k.rank, k.primary_reasons, price_status, validation_status, failed)
+), ranking AS (SELECT *, CASE WHEN quality = 'failed' THEN 0 WHEN quality = 'blocked' THEN 1 WHEN quality = 'warning' AND kind = 'data_quality_candidate' THEN 2 ELSE 4 END AS quality_group FROM final)"""
+
+
+def _second_reasons(failing: str = "false") -> str:
+    """Reasons and ranking of the candidates, those for which ``failing`` holds having failed."""
+    return _SECOND_RULES.replace("FAILING", failing)
+
+
+_RANKING = """SELECT symbol, quality, kind, research_reasons, primary_reasons, class_priority, {multiple}, CAST(first_rank AS INT) AS first_rank, quality_group,
+  CAST(row_number() OVER (ORDER BY quality_group, research_reasons DESC, primary_reasons DESC, class_priority, ranking.threshold_multiple DESC, first_rank, symbol) AS INT) AS final_rank FROM ranking"""
 
 
 def _with(body: str, *parts: str) -> str:
@@ -227,13 +267,20 @@ def _with(body: str, *parts: str) -> str:
 
 
 def _r(*columns: str) -> str:
-    """Columns rounded as the queries round them: nudged off exact halves, without a negative zero."""
-    return ", ".join(f"CASE WHEN round({c} + {NUDGE}, {P}) = 0 THEN 0.0 ELSE round({c} + {NUDGE}, {P}) END AS {c}" for c in columns)
+    """Columns rounded as the queries round them, without a negative zero."""
+    return ", ".join(f"round(round({c}, {SETTLED}), {PLACES}) + 0.0 AS {c}" for c in columns)
 
 
 _PANEL_COLUMNS = ("return_1d", "return_20d", "ma_20", "ma_distance_20d", "return_60d", "ma_60", "ma_distance_60d", "return_120d", "ma_120", "ma_distance_120d", "return_250d", "ma_250", "ma_distance_250d", "volume_avg_20", "volatility_60d", "volume_ratio_20d")
 
-_CHANGING = ("return_1d", "return_20d", "return_60d", "return_120d", "volatility_60d", "volume_ratio_20d", "ma_distance_20d", "ma_distance_60d", "ma_distance_120d")
+_READY = (
+    "CASE WHEN n IS NULL THEN 'missing' WHEN supplier % 5 = 2 THEN 'illegal_source' WHEN latest <> {d} THEN 'missing' WHEN n < 62 THEN 'short' ELSE 'ready' END AS readiness FROM names LEFT JOIN (SELECT symbol, count(*) AS n, max(trade_date) AS latest FROM b WHERE supplier % 6 <> 1 AND (supplier % 8 <> 3 OR trade_date >= {d} - 100) AND trade_date <= {d} GROUP BY symbol) USING (symbol)"
+)
+
+_UNITS = {
+    "latest_close": "TWD", "latest_volume": "shares", "volume_ratio_20d": "ratio", "volume_anomaly": "state",
+    **{f"{m}_{n}d": "percentage_points" for m in ("return", "max_drawdown", "ma_distance") for n in (20, 60, 120)}, "volatility_60d": "percentage_points",
+}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -253,7 +300,8 @@ def oracle_sql() -> dict[str, str]:
             """SELECT symbol, 'canonical' AS role, CASE WHEN supplier % 4 = 0 THEN 'secondary' ELSE 'synthetic_a' END AS source, 'source_not_allowed' AS problem FROM b WHERE supplier % 4 = 0 OR supplier % 9 = 0 GROUP BY ALL
             UNION ALL SELECT DISTINCT symbol, NULL, NULL, 'synthetic_mixed' FROM b WHERE supplier % 9 = 0 AND supplier % 4 <> 0 AND symbol IN (SELECT symbol FROM b2)"""
         ),
-        "text_forms": f"SELECT p_partkey, {_r('number')}, p_partkey * 1000 AS whole, CAST(NULL AS BIGINT) AS fraction, 'P' || p_partkey AS symbol, true AS fits FROM (SELECT p_partkey, round(p_retailprice, 2) AS number FROM part)",
+        "text_forms": f"""SELECT p_partkey, {_r('number')}, whole, symbol, symbol IS NOT NULL AND p_partkey % 6 <> 1 AND length(symbol) <= 12 AS fits, truth FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 IN (1, 2) THEN NULL ELSE floor(p_retailprice) + 0.25 END AS number,
+          CASE p_partkey % 5 WHEN 1 THEN NULL WHEN 2 THEN p_partkey ELSE p_partkey * 1000 END AS whole, CASE p_partkey % 6 WHEN 1 THEN 'P-' || p_partkey WHEN 2 THEN NULL ELSE 'P' || p_partkey END AS symbol, CASE p_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS truth FROM part)""",
         "local_dates": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, d AS compact, d AS slashed, d AS flexible, last_day(d) AS month_end, CAST(date_trunc('month', d) - INTERVAL 1 MONTH AS DATE) AS previous_month FROM orders",
         "price_status": _with("SELECT symbol, latest_date, observations, price_status FROM status", _SOURCES),
         "last_bars": _with(
@@ -272,7 +320,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT symbol, trade_date, {_r('open', 'high', 'low', 'close')}, volume, conflict FROM (SELECT symbol, trade_date, coalesce(a.open, z.open) AS open, coalesce(a.high, z.high) AS high, coalesce(a.low, z.low) AS low, coalesce(a.close, z.close) AS close, coalesce(a.volume, z.volume) AS volume,
             coalesce(a.open <> z.open OR a.high <> z.high OR a.low <> z.low OR a.close <> z.close OR a.volume <> z.volume, false) AS conflict FROM (SELECT * FROM b WHERE day(trade_date) < 28) a FULL JOIN b2 z USING (symbol, trade_date))"""
         ),
-        "source_lists": _with("SELECT symbol, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (SELECT symbol, source FROM b UNION ALL SELECT symbol, source FROM b2 WHERE symbol >= '0003' UNION ALL SELECT symbol, source FROM ratios) GROUP BY symbol"),
+        "source_lists": _with(
+            """SELECT symbol, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, coalesce(string_agg(DISTINCT endpoint, ',' ORDER BY endpoint), '') AS endpoints
+            FROM (SELECT symbol, source, '/day/' || (supplier % 3) AS endpoint FROM b UNION ALL SELECT symbol, source, NULL FROM b2 WHERE symbol >= '0003' UNION ALL SELECT symbol, source, '/ratios' FROM ratios) GROUP BY symbol"""
+        ),
         "market_days": _with(
             f"""SELECT day, state, state = 'on_latest' AS market_day FROM (SELECT trade_date AS day, CASE WHEN day(trade_date) = 1 THEN 'closed' WHEN isodow(trade_date) >= 6 THEN 'weekend' WHEN trade_date < {d} THEN 'before_latest' WHEN trade_date = {d} THEN 'on_latest' ELSE 'after_latest' END AS state FROM b GROUP BY trade_date)"""
         ),
@@ -281,16 +332,16 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT symbol, count(l) AS observations, CASE WHEN count(l) >= 250 THEN 'complete' WHEN count(l) = 0 THEN 'missing' WHEN max(supplier) % 2 = 0 AND max(l) = {d} AND min(l) = min(listed) THEN 'legal_short' ELSE 'incomplete' END AS history_state
             FROM (SELECT symbol, supplier, CASE WHEN trade_date >= {d} - INTERVAL 2 MONTH AND trade_date <= {d} THEN trade_date END AS l, CASE WHEN trade_date >= {d} - INTERVAL 2 MONTH THEN trade_date END AS listed FROM b) GROUP BY symbol"""
         ),
-        "readiness": _with(
-            f"""SELECT symbol, CASE WHEN n IS NULL THEN 'missing' WHEN supplier % 5 = 2 THEN 'illegal_source' WHEN n < 62 THEN 'short' ELSE 'ready' END AS readiness FROM names LEFT JOIN (SELECT symbol, count(*) AS n FROM b WHERE supplier % 6 <> 1 AND trade_date <= {d} GROUP BY symbol) USING (symbol)"""
+        "readiness": _with(f"SELECT symbol, {_READY.format(d=d)}"),
+        "readiness_totals": _with(
+            f"""SELECT count(*) AS eligible, count(*) FILTER (readiness IN ('ready', 'short')) AS ready, count(*) FILTER (readiness = 'short') AS short, count(*) FILTER (readiness = 'illegal_source') AS illegal_source,
+            count(*) FILTER (readiness IN ('missing', 'illegal_source')) AS missing, count(*) FILTER (readiness IN ('ready', 'short')) = count(*) AS complete FROM (SELECT {_READY.format(d=d)})"""
         ),
+        "resolved_days": _with(f"SELECT DISTINCT trade_date AS day, CASE WHEN trade_date >= {d} THEN {d} END AS resolved FROM b"),
         "panel_indicators": _with(f"SELECT symbol, trade_date, {_r(*_PANEL_COLUMNS)}, volatility_observations, volume_state FROM states", _PANEL),
         "panel_drawdowns": _with(
-            f"SELECT symbol, trade_date, {_r('max_drawdown_20d', 'max_drawdown_60d')} FROM (SELECT symbol, trade_date, "
-            + ", ".join(
-                f"CASE WHEN len(c{n}) = {n} THEN list_min(list_transform(c{n}, lambda x, i: (x / list_max(c{n}[1:i]) - 1) * 100)) END AS max_drawdown_{n}d" for n in (20, 60)
-            )
-            + " FROM (SELECT symbol, trade_date, list(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 19 PRECEDING) AS c20, list(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 59 PRECEDING) AS c60 FROM b))"
+            f"SELECT symbol, trade_date, {_r('max_drawdown_20d', 'max_drawdown_60d', 'max_drawdown_120d')} FROM (SELECT symbol, trade_date, f20.fall AS max_drawdown_20d, f60.fall AS max_drawdown_60d, f120.fall AS max_drawdown_120d FROM b LEFT JOIN fall20 f20 USING (symbol, trade_date) LEFT JOIN fall60 f60 USING (symbol, trade_date) LEFT JOIN fall120 f120 USING (symbol, trade_date))",
+            _falls(20, 60, 120),
         ),
         "whole_history_risk": _with(
             f"""SELECT symbol, observations, first_date, last_date, {_r('first_close', 'last_close', 'min_close', 'max_close', 'total_return_pct', 'mean_daily_return_pct', 'annualized_volatility_pct', 'max_drawdown_pct', 'mean_volume')} FROM (
@@ -306,36 +357,81 @@ def oracle_sql() -> dict[str, str]:
               SELECT symbol, round(arg_max(value, metric_date) FILTER (name = 'price_earnings_ratio'), 2) AS pe, round(arg_max(value, metric_date) FILTER (name = 'price_to_book_ratio'), 2) AS pb, round(arg_max(value, metric_date) FILTER (name = 'dividend_yield_pct'), 2) AS dy FROM ratios GROUP BY symbol) USING (symbol) GROUP BY symbol""",
             _PANEL,
         ),
-        "first_metrics": _with(f"SELECT symbol, metric, component, status, {_r('previous', 'current', 'delta')} FROM metrics", _FIRST),
+        "first_metrics": _with(
+            f"""SELECT symbol, metric, component, status, {_r('previous', 'current', 'delta')}, CASE WHEN metric = 'volume_anomaly' OR component IN ('pe_ratio', 'pb_ratio') THEN 'ratio' WHEN metric = 'volatility_regime_change' THEN 'annualized_percent' ELSE 'percent' END AS value_unit,
+            CASE WHEN metric = 'volume_anomaly' THEN 'ratio' WHEN component IN ('pe_ratio', 'pb_ratio') THEN 'percent_relative_change' ELSE 'percentage_point' END AS delta_unit FROM metrics""",
+            _FIRST,
+        ),
         "first_reasons": _with(f"SELECT symbol, code, metric, component, {_r('current')}, role, class_priority, {_r('threshold_multiple')} FROM reasons", _FIRST),
         "first_candidates": _with(f"SELECT symbol, quality, primary_reasons, secondary_reasons, class_priority, {_r('threshold_multiple')}, codes, CAST(rank AS INT) AS rank FROM candidates", _FIRST),
         "first_counts": _with(
             "SELECT (SELECT count(*) FROM members) AS universe_count, count(*) AS screened_count, count(*) FILTER (primary_reasons > 0) AS triggered_count, least(count(*) FILTER (primary_reasons > 0), 30) AS candidate_count, count(*) FILTER (primary_reasons > 0) > 30 AS truncated FROM evaluated WHERE symbol IN (SELECT symbol FROM members WHERE status = 'active_scan_eligible')",
             _UNIVERSE, _FIRST,
         ),
+        "input_gaps": _with("SELECT symbol, CASE supplier % 5 WHEN 1 THEN 'duplicate' WHEN 2 THEN 'missing' ELSE 'extra' END AS problem FROM names WHERE supplier % 5 IN (1, 2, 3)"),
+        "screening_sources": _with("SELECT symbol, 'primary' AS seen_as, count(*) AS n FROM (SELECT symbol FROM b UNION ALL SELECT symbol FROM b2) GROUP BY symbol"),
+        "previous_conflicts": _with(f"SELECT symbol, name, {_r('value')}, CAST(symbol AS INT) % 3 <> 0 AS conflict FROM ratios WHERE metric_date = (SELECT d FROM prior)"),
         "universe_members": _with("SELECT * FROM members", _UNIVERSE),
+        "universe_conflicts": _with("SELECT symbol, 'identity' AS feed FROM clash", _UNIVERSE),
+        "class_assignments": _with("SELECT symbol, CASE WHEN class IN ('etf', 'tdr') THEN class WHEN i.symbol IS NOT NULL THEN 'common_stock' ELSE coalesce(class, 'unknown') END AS class FROM classed FULL JOIN ident i USING (symbol)", _UNIVERSE),
+        "feed_dates": _with(
+            f"SELECT coalesce(min(trade_date) = {d} AND max(trade_date) = {d}, false) AS agrees, feed FROM (VALUES ('day', 0), ('week', 6), ('none', -1)) AS f(feed, back) LEFT JOIN b ON back >= 0 AND trade_date BETWEEN {d} - back AND {d} GROUP BY feed"
+        ),
+        "watchlist": "SELECT 7 AS revision, printf('%04d', s_suppkey) AS symbol, s_name AS name FROM supplier WHERE s_acctbal >= 0",
+        "universe_files": _with(f"SELECT {d} AS market_date, symbol, name, status, reason FROM members", _UNIVERSE),
         "universe_counts": _with(
             "SELECT count(*) AS universe_count, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("active_scan_eligible", "active_scan_unavailable", "excluded_non_common_equity", "inactive", "classification_unresolved")) + " FROM members", _UNIVERSE
         ),
         "second_metrics": _with(f"SELECT symbol, metric, component, status, {_r('previous', 'current', 'delta')}, observations FROM deep_metrics", _FIRST, _second()),
-        "second_reasons": _with(f"SELECT symbol, code, kind, class_priority, reason_order, {_r('threshold_multiple')} FROM reasons2", _FIRST, _second(), _SOURCES, _SECOND_REASONS),
-        "second_ranking": _with(
-            f"SELECT symbol, quality, kind, research_reasons, primary_reasons, class_priority, {_r('threshold_multiple')}, CAST(first_rank AS INT) AS first_rank, quality_group, CAST(row_number() OVER (ORDER BY quality_group, research_reasons DESC, primary_reasons DESC, class_priority, ranking.threshold_multiple DESC, first_rank, symbol) AS INT) AS final_rank FROM ranking",
-            _FIRST, _second(), _SOURCES, _SECOND_REASONS,
-        ),
+        "second_reasons": _with(f"SELECT symbol, code, kind, class_priority, reason_order, {_r('threshold_multiple')} FROM reasons2", _FIRST, _second(), _SOURCES, _second_reasons()),
+        "second_ranking": _with(_RANKING.format(multiple=_r("threshold_multiple")), _FIRST, _second(), _SOURCES, _second_reasons()),
+        "failed_ranking": _with(_RANKING.format(multiple=_r("threshold_multiple")), _FIRST, _second(), _SOURCES, _second_reasons("c.rank % 4 = 2")),
+        "failed_metrics": _with(
+            """SELECT metric, status, count(*) AS n, count(current) AS known, CAST(sum(observations) AS BIGINT) AS observations FROM deep_metrics JOIN names USING (symbol) WHERE supplier % 4 <> 2 AND metric NOT LIKE 'valuation%' GROUP BY metric, status
+            UNION ALL SELECT metric, 'analysis_failed', count(*), 0, 0 FROM names, (SELECT DISTINCT metric FROM deep_metrics) WHERE supplier % 4 = 2 GROUP BY metric""",
+            _FIRST, _second(),
+        ),
+        "report_reasons": _with(
+            """SELECT CAST(row_number() OVER (ORDER BY quality_group, research_reasons DESC, primary_reasons DESC, class_priority, ranking.threshold_multiple DESC, first_rank, symbol) AS INT) AS final_rank, symbol, quality, kind,
+            coalesce((SELECT string_agg(code, ',' ORDER BY reason_order, code) FROM reasons2 w WHERE w.symbol = ranking.symbol), '') AS codes, 'Descriptive figures from past prices; no advice.' AS notice FROM ranking""",
+            _FIRST, _second(), _SOURCES, _second_reasons(),
+        ),
+        "report_totals": _with(
+            """SELECT (SELECT count(*) FROM names) AS universe_count, screened_count, triggered_count, least(triggered_count, 30) AS candidate_count, triggered_count > 30 AS truncated, supplemental_candidates, canonical, supplemental, missing, discrepancies, research_quality, versions, 30 AS candidate_limit, 'Descriptive figures from past prices; no advice.' AS notice
+            FROM (SELECT count(*) AS screened_count, count(*) FILTER (primary_reasons > 0) AS triggered_count FROM evaluated), (
+              SELECT count(*) FILTER (supplemental > 0) AS supplemental_candidates, CAST(coalesce(sum(m.canonical), 0) AS BIGINT) AS canonical, CAST(coalesce(sum(supplemental), 0) AS BIGINT) AS supplemental, CAST(coalesce(sum(m.missing), 0) AS BIGINT) AS missing, CAST(0 AS BIGINT) AS discrepancies,
+                CASE WHEN coalesce(bool_or(supplemental > 0), false) THEN 'provisional' ELSE 'canonical' END AS research_quality, count(m.symbol) AS versions FROM candidates c LEFT JOIN made m ON m.symbol = c.symbol)""",
+            _FIRST, _NEED,
+        ),
+        "candidate_provenance": _with(
+            """SELECT n.symbol, CASE m.status WHEN 'canonical_complete' THEN 'canonical_complete' WHEN 'provisional_complete' THEN 'provisional_mixed' END AS source_status, CASE m.status WHEN 'canonical_complete' THEN 'complete' WHEN 'provisional_complete' THEN 'incomplete' END AS authority,
+            CASE m.status WHEN 'canonical_complete' THEN 'not_applicable' WHEN 'provisional_complete' THEN 'pending' END AS reconciliation, CASE WHEN m.status = 'provisional_complete' THEN 'provisional' ELSE 'canonical' END AS research_quality, m.canonical, supplemental, m.missing, CASE WHEN m.symbol IS NOT NULL THEN 0 END AS discrepancies,
+            CASE WHEN m.canonical > 0 THEN 'primary' ELSE '' END AS canonical_sources, CASE WHEN supplemental > 0 THEN 'secondary' ELSE '' END AS supplemental_sources, CASE WHEN n.symbol IN (SELECT symbol FROM held WHERE role = 'validation') THEN 'secondary' ELSE '' END AS validation_sources FROM names n LEFT JOIN made m ON m.symbol = n.symbol""",
+            _NEED,
+        ),
         "result_changes": _with(
             f"""SELECT symbol, metric, change, changes, {_r('greatest')}, last_date FROM (SELECT symbol, metric, change, count(*) AS changes, max(delta) AS greatest, max(trade_date) AS last_date FROM (
-              SELECT symbol, metric, trade_date, round(value - before, 12) AS delta, CASE WHEN (value IS NULL) <> (before IS NULL) THEN 'availability' WHEN abs(round(value - before, 12)) >= CASE WHEN metric = 'volume_ratio_20d' THEN 0.25 ELSE 1.0 END THEN 'threshold' END AS change
-              FROM (SELECT symbol, metric, trade_date, value, lag(value) OVER w AS before, row_number() OVER w AS i FROM ({' UNION ALL '.join(f"SELECT symbol, trade_date, '{m}' AS metric, round({m}, 12) AS value FROM states" for m in _CHANGING)}) WINDOW w AS (PARTITION BY symbol, metric ORDER BY trade_date)) WHERE i > 1
+              SELECT symbol, metric, trade_date, round(value - before, 12) AS delta, CASE WHEN (value IS NULL AND state IS NULL) <> (before IS NULL AND state_before IS NULL) THEN 'availability_changed' WHEN state <> state_before THEN 'volume_anomaly_state_changed' WHEN abs(round(value - before, 12)) >= CASE WHEN metric = 'volume_ratio_20d' THEN 0.25 ELSE 1.0 END THEN 'metric_changed' END AS change
+              FROM (SELECT symbol, metric, trade_date, value, state, lag(value) OVER w AS before, lag(state) OVER w AS state_before, row_number() OVER w AS i FROM ({' UNION ALL '.join(f"SELECT symbol, trade_date, '{m}' AS metric, " + ("CAST(NULL AS DOUBLE) AS value, volume_anomaly AS state" if m == 'volume_anomaly' else f"round({m}, 12) AS value, NULL AS state") + " FROM wide" for m in _UNITS if not m.startswith('latest_'))}) WINDOW w AS (PARTITION BY symbol, metric ORDER BY trade_date)) WHERE i > 1
             ) WHERE change IS NOT NULL GROUP BY symbol, metric, change)""",
-            _PANEL,
+            _PANEL, _falls(20, 60, 120), _RESULTS,
+        ),
+        "daily_results": _with(
+            f"""SELECT symbol, metric, status, {_r('value')}, state, unit, as_of_date FROM (SELECT symbol, metric, unit, CASE WHEN price_status <> 'available' THEN price_status WHEN value IS NULL AND state IS NULL THEN 'insufficient_history' ELSE 'available' END AS status, CASE WHEN price_status = 'available' THEN value END AS value, CASE WHEN price_status = 'available' THEN state END AS state,
+            CASE WHEN price_status = 'available' AND (value IS NOT NULL OR state IS NOT NULL) THEN {d} END AS as_of_date FROM (
+              {' UNION ALL '.join(f"SELECT status.symbol, price_status, '{m}' AS metric, '{u}' AS unit, " + ("CAST(NULL AS DOUBLE) AS value, volume_anomaly AS state" if m == 'volume_anomaly' else f"round({m}, 12) AS value, NULL AS state") + f" FROM status LEFT JOIN wide ON wide.symbol = status.symbol AND wide.trade_date = {d}" for m, u in _UNITS.items())}))""",
+            _PANEL, _falls(20, 60, 120), _RESULTS, _SOURCES,
         ),
+        "result_ids": _with("SELECT symbol, trade_date AS market_date, 'daily-' || substr(sha256(symbol || '|' || CAST(trade_date AS VARCHAR) || '|v1'), 1, 32) AS result_id FROM b"),
         "discrepancy_changes": _with(
             """SELECT symbol, market_date, added, resolved FROM (SELECT symbol, market_date, array_to_string(list_sort(list_filter(found, lambda x: NOT list_contains(before, x))), ',') AS added, array_to_string(list_sort(list_filter(before, lambda x: NOT list_contains(found, x))), ',') AS resolved
             FROM (SELECT symbol, market_date, found, lag(found) OVER (PARTITION BY symbol ORDER BY market_date) AS before FROM (
               SELECT p.symbol, p.trade_date AS market_date, coalesce(list(field || ':' || reason) FILTER (field IS NOT NULL), CAST([] AS VARCHAR[])) AS found FROM (SELECT DISTINCT symbol, trade_date FROM paired) p LEFT JOIN differing USING (symbol, trade_date) GROUP BY ALL)) WHERE before IS NOT NULL) WHERE added <> '' OR resolved <> ''""",
             _FIELDS,
         ),
+        "timestamp_states": _with("SELECT symbol, CASE day(trade_date) WHEN 9 THEN 'missing' WHEN 11 THEN 'mismatch' ELSE 'match' END AS state, count(*) AS n FROM b GROUP BY 1, 2"),
+        "rendered_values": _with(r"SELECT DISTINCT CAST(round(close * 100) AS BIGINT) AS cents, regexp_replace(CAST(close AS VARCHAR), '\.0$', '') AS text FROM b"),
+        "table_digests": """SELECT count(*) AS "rows", CAST(sum(CAST(CAST('0x' || substr(md5(o_custkey || '|' || o_orderkey), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM orders""",
         "latest_day_outcomes": _with("SELECT * FROM outcomes", _SOURCES),
         "history_differences": _with(f"SELECT symbol, trade_date, field, {_r('left_value', 'right_value')}, reason, {_r('absolute_difference', 'relative_difference_pct')} FROM differing", _FIELDS),
         "history_summary": _with(
@@ -350,26 +446,62 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT symbol, least(x, 60) AS left_rows, least(y, 60) AS right_rows, x >= 60 AND y >= 60 AS covered FROM (SELECT symbol, coalesce(a.n, 0) AS x, coalesce(z.n, 0) AS y FROM (SELECT symbol, count(*) AS n FROM b WHERE trade_date <= {d} GROUP BY symbol) a FULL JOIN (SELECT symbol, count(*) AS n FROM b2 WHERE symbol <> '0002' AND trade_date <= {d} GROUP BY symbol) z USING (symbol))"""
         ),
         "version_coverage": _with(f"SELECT symbol, {d} AS target_date, required, canonical, supplemental, missing, remaining, status FROM made", _NEED),
-        "version_roles": _with(
-            """SELECT symbol, provider, role, selected, count(*) AS n, min(trade_date) AS first_date, max(trade_date) AS last_date FROM (
-            SELECT symbol, trade_date, 'primary' AS provider, 'canonical' AS role, true AS selected FROM canon UNION ALL SELECT symbol, trade_date, 'secondary', 'supplemental', true FROM fill
-            UNION ALL SELECT b2.symbol, b2.trade_date, 'secondary', 'validation', false FROM b2 JOIN canon USING (symbol, trade_date)) GROUP BY ALL""",
+        "version_roles": _with("SELECT symbol, provider, role, selected, count(*) AS n, min(trade_date) AS first_date, max(trade_date) AS last_date FROM held GROUP BY symbol, provider, role, selected", _NEED),
+        "version_snapshots": _with(f"SELECT symbol, trade_date, provider, role, {_r('close')}, volume FROM held WHERE selected AND CAST(symbol AS INT) % 2 = 0", _NEED),
+        "validation_views": _with(
+            """SELECT symbol, CASE WHEN z.symbol IS NULL THEN 'missing_source' WHEN fields <> '' THEN 'source_discrepancy' ELSE 'available' END AS status, CASE WHEN z.symbol IS NOT NULL THEN CASE WHEN fields <> '' THEN 'discrepancy' ELSE 'match' END END AS outcome, CASE WHEN z.symbol IS NOT NULL THEN 'primary' END AS left_provider,
+            CASE WHEN z.symbol IS NOT NULL THEN 'secondary' END AS right_provider, coalesce(fields, '') AS fields FROM (SELECT symbol, max(trade_date) AS trade_date FROM canon WHERE symbol IN (SELECT symbol FROM made) GROUP BY symbol) LEFT JOIN (
+              SELECT f.symbol, f.trade_date, array_to_string(list_filter([CASE WHEN c.open <> f.open THEN 'open' END, CASE WHEN c.high <> f.high THEN 'high' END, CASE WHEN c.low <> f.low THEN 'low' END, CASE WHEN c.close <> f.close THEN 'close' END, CASE WHEN c.volume <> f.volume THEN 'volume' END], lambda x: x IS NOT NULL), ',') AS fields FROM canon c JOIN filler f USING (symbol, trade_date)) z USING (symbol, trade_date)""",
             _NEED,
         ),
+        "versions_of": _with("SELECT symbol, status, supplemental FROM made WHERE status = 'provisional_complete'", _NEED),
         "version_reconciliation": _with(f"SELECT symbol, {d} AS target_date, required, canonical, supplemental, missing, remaining, status, discrepancies FROM children", _NEED),
         "version_leaves": _with(
-            """SELECT leaf_state, count(*) AS symbols, count(*) AS named FROM (SELECT CASE WHEN coalesce(c.status, m.status) IN ('canonical_complete', 'reconciled_equal', 'reconciled_discrepant') THEN 'complete' ELSE 'open' END AS leaf_state FROM made m LEFT JOIN children c USING (symbol)) GROUP BY leaf_state""",
+            f"""SELECT symbol, {d} AS target_date, leaf_state, leaf_state <> 'ambiguous' AS named FROM (SELECT symbol, CASE WHEN whole > 1 OR (whole = 0 AND open > 1) THEN 'ambiguous' WHEN whole = 1 THEN 'complete' ELSE 'open' END AS leaf_state FROM (
+              SELECT m.symbol, CAST(m.status = 'canonical_complete' AS INT) * (1 + twice) + CAST(coalesce(c.status LIKE 'reconciled%', false) AS INT) AS whole, CAST(m.status <> 'canonical_complete' AS INT) * (CAST(c.symbol IS NULL AS INT) + twice) + CAST(coalesce(c.status = 'reconciliation_pending', false) AS INT) AS open
+              FROM (SELECT *, CAST(CAST(symbol AS INT) % 7 = 2 AS INT) AS twice FROM made) m LEFT JOIN (SELECT * FROM children WHERE CAST(symbol AS INT) % 4 <> 1) c ON c.symbol = m.symbol))""",
             _NEED,
         ),
-        "version_problems": "SELECT CAST(0 AS BIGINT) AS violations",
+        "version_lineage": _with("SELECT 0 AS depth, symbol, status FROM children WHERE symbol = (SELECT min(symbol) FROM children) UNION ALL SELECT 1, symbol, status FROM made WHERE symbol = (SELECT min(symbol) FROM children)", _NEED),
+        "broken_rows": _with(
+            """SELECT problem, count(*) AS n FROM (SELECT DISTINCT symbol, trade_date, CAST(symbol AS INT) % 7 AS k FROM held), (VALUES (1, 'selection_against_role'), (2, 'source_against_role'), (3, 'row_repeated'), (3, 'two_selected')) AS p(n, problem) WHERE k = n GROUP BY problem""", _NEED
+        ),
+        "broken_versions": _with(
+            """SELECT symbol, CASE CAST(symbol AS INT) % 8 WHEN 1 THEN 'missing_count' WHEN 2 THEN 'selected_count' WHEN 3 THEN 'coverage_flag' WHEN 4 THEN kind || '_authority' WHEN 5 THEN kind || '_reconciliation' WHEN 6 THEN 'reconciled_authority' ELSE 'count_invalid' END AS problem
+            FROM (SELECT symbol, CASE WHEN status = 'canonical_complete' THEN 'canonical' ELSE 'provisional' END AS kind FROM made) WHERE CAST(symbol AS INT) % 8 <> 0""",
+            _NEED,
+        ),
+        "reconcile_inputs": _with(
+            """SELECT symbol, CASE WHEN status = 'canonical_complete' THEN 'parent_not_open' ELSE CASE CAST(symbol AS INT) % 11 WHEN 1 THEN 'no_rows' WHEN 2 THEN 'rows_not_canonical_of_the_run' WHEN 3 THEN 'date_repeated' WHEN 4 THEN 'dates_differ' WHEN 5 THEN 'date_in_the_future' WHEN 6 THEN 'date_not_supplemental' WHEN 7 THEN 'rows_not_canonical_of_the_run' END END AS problem FROM made""",
+            _NEED,
+        ),
+        "version_gate": _with("SELECT count(*) AS lacking, count(*) = 0 AS open FROM members WHERE status = 'active_scan_eligible' AND symbol NOT IN (SELECT symbol FROM made)", _UNIVERSE, _NEED),
+        "plain_versions": _with(
+            f"SELECT symbol, {d} AS target_date, 'canonical_complete' AS status, count(*) AS required, count(*) AS canonical, CAST(0 AS BIGINT) AS supplemental, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS discrepancies, 'canonical_complete' AS source, 'complete' AS authority, 'not_applicable' AS reconciliation, count(*) AS selected, true AS coverage_complete FROM b WHERE trade_date <= {d} GROUP BY symbol"
+        ),
+        "identity_statuses": _with("SELECT symbol, identity AS status, identity_reason AS reason FROM known", _DECIDE),
+        "structure_problems": _with(
+            f"""SELECT DISTINCT symbol, CASE CAST(symbol AS INT) % 9 WHEN 1 THEN 'malformed_payload' WHEN 2 THEN 'duplicate_trade_date' WHEN 3 THEN 'future_trade_date' WHEN 4 THEN 'unexpected_observation_date' WHEN 5 THEN 'partial_ohlc' WHEN 6 THEN 'malformed_payload' WHEN 7 THEN 'identity_mismatch' END AS problem FROM b2 WHERE trade_date <= {d}"""
+        ),
         "supplement_decisions": _with("SELECT * FROM decisions", _DECIDE),
-        "supplement_routes": _with("SELECT CASE WHEN reason = 'not_needed' THEN 'canonical' WHEN is_eligible AND coverage_complete THEN 'supplement' ELSE 'fail' END AS route, reason, count(*) AS symbols FROM decisions GROUP BY ALL", _DECIDE),
-        "ratio_changes": _with(f"SELECT symbol, name, changes, last_date, {_r('greatest')} FROM (SELECT symbol, name, count(*) AS changes, max(metric_date) AS last_date, max(value) AS greatest FROM (SELECT *, lag(value) OVER (PARTITION BY symbol, name ORDER BY metric_date) AS before FROM ratios) WHERE before IS NOT NULL AND before <> value GROUP BY symbol, name)"),
+        "supplement_routes": _with(
+            """SELECT route, reason, count(*) AS symbols FROM (SELECT reason, CASE WHEN supplier % 5 = 1 THEN 'replay' WHEN supplier % 25 = 2 THEN 'ambiguous' WHEN reason = 'not_needed' AND supplier % 5 = 0 THEN 'reconcile' WHEN reason = 'not_needed' THEN 'canonical'
+            WHEN is_eligible AND coverage_complete THEN 'supplement' WHEN is_eligible THEN 'supplement_incomplete' ELSE 'supplement_rejected' END AS route FROM decisions JOIN names USING (symbol)) GROUP BY route, reason""",
+            _DECIDE,
+        ),
+        "ratio_changes": _with(
+            f"""SELECT symbol, name, change, changes, last_date, as_of_date, {_r('greatest')} FROM (SELECT symbol, name, change, count(*) AS changes, max(d) AS last_date, max(as_of_date) AS as_of_date, max(value) AS greatest FROM (
+              SELECT *, CASE WHEN (value IS NULL) <> (value_before IS NULL) THEN 'availability_changed' WHEN value <> value_before OR as_of_date <> date_before THEN 'valuation_updated' END AS change
+              FROM (SELECT *, lag(value) OVER w AS value_before, lag(as_of_date) OVER w AS date_before, row_number() OVER w AS i FROM (
+                SELECT q.symbol, q.name, q.d, k.value, k.metric_date AS as_of_date FROM (SELECT symbol, name, trade_date AS d FROM b, (VALUES ('price_earnings_ratio'), ('price_to_book_ratio'), ('dividend_yield_pct')) AS v(name) WHERE day(trade_date) % 2 = 0) q
+                ASOF LEFT JOIN (SELECT * FROM ratios WHERE day(metric_date) % 3 = 0) k ON q.symbol = k.symbol AND q.name = k.name AND q.d >= k.metric_date) WINDOW w AS (PARTITION BY symbol, name ORDER BY d)) WHERE i > 1
+            ) WHERE change IS NOT NULL GROUP BY symbol, name, change)"""
+        ),
         "volume_state_changes": _with("SELECT symbol, trade_date AS market_date, volume_state AS state, before AS previous_state FROM (SELECT *, lag(volume_state) OVER (PARTITION BY symbol ORDER BY trade_date) AS before FROM states) WHERE before <> volume_state", _PANEL),
         "result_quality": _with(
-            """SELECT symbol, price_status, outcome AS validation_status, CASE WHEN price_status <> 'available' THEN 'unavailable' WHEN outcome = 'match' THEN 'clean' ELSE 'warning' END AS quality,
+            """SELECT symbol, price_status, CASE WHEN outcome IS NULL THEN 'missing_source' WHEN outcome = 'match' THEN 'available' ELSE outcome END AS validation_status, CASE WHEN price_status = 'available' AND outcome = 'match' THEN 'clean' WHEN price_status = 'missing_source' THEN 'unavailable' ELSE 'warning' END AS quality, latest_date, coalesce(n, 0) AS discrepancies,
             CASE WHEN left_date = right_date THEN array_to_string(list_filter([CASE WHEN l.close <> r.close THEN 'close' END, CASE WHEN l.high <> r.high THEN 'high' END, CASE WHEN l.low <> r.low THEN 'low' END, CASE WHEN l.open <> r.open THEN 'open' END, CASE WHEN l.volume <> r.volume THEN 'volume' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS fields
-            FROM status JOIN outcomes USING (symbol) JOIN latest USING (symbol, left_date, right_date)""",
+            FROM status LEFT JOIN (SELECT symbol, outcome, CAST(n AS BIGINT) AS n, left_date, right_date, l, r FROM outcomes JOIN counted USING (symbol, left_date, right_date)) USING (symbol)""",
             _SOURCES,
         ),
         "result_provenance": _with(
@@ -377,7 +509,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "selections_per_symbol": _with("SELECT symbol, count(*) AS selections FROM chosen JOIN done USING (run_id) GROUP BY symbol", _RUNS),
         "reason_frequency": _with("SELECT stage, code, metric, count(*) AS times, count(DISTINCT symbol) AS symbols FROM why JOIN done USING (run_id) GROUP BY ALL", _RUNS),
-        "daily_candidates": _with(f"SELECT chosen.*, market_date, methodology FROM chosen JOIN done USING (run_id) WHERE market_date = {d}", _RUNS),
+        "daily_candidates": _with(f"SELECT run_id, symbol, rank, quality, version_status, market_date, methodology FROM chosen JOIN done USING (run_id) WHERE market_date = (SELECT max(market_date) FROM done WHERE market_date <= {d})", _RUNS),
         "quality_frequency": _with(
             "SELECT market_date, quality, version_status, count(DISTINCT run_id) AS runs, count(*) AS candidates, CAST(sum(supplemental) AS BIGINT) AS supplemental, count(*) FILTER (version_status = 'reconciliation_pending') AS pending, CAST(sum(discrepancies) AS BIGINT) AS discrepancies FROM chosen JOIN done USING (run_id) GROUP BY ALL", _RUNS
         ),
@@ -387,10 +519,22 @@ def oracle_sql() -> dict[str, str]:
             "SELECT symbol, x AS left_selections, y AS right_selections, CASE WHEN x > 0 AND y > 0 THEN 'both' WHEN x > 0 THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT symbol, count(*) FILTER (methodology = 'v1') AS x, count(*) FILTER (methodology = 'v2') AS y FROM chosen JOIN done USING (run_id) GROUP BY symbol)", _RUNS
         ),
         "run_roll_ups": _with(
-            """SELECT run_id, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'failed') AS failed, count(*) AS candidates, CASE WHEN bool_or(state = 'open') THEN 'open' WHEN bool_or(state = 'failed') THEN 'failed' ELSE 'succeeded' END AS status,
-            CASE WHEN bool_or(version_status = 'reconciliation_pending') THEN 'pending' WHEN bool_or(version_status = 'provisional_complete') THEN 'provisional' WHEN bool_or(discrepancies > 0) THEN 'discrepant' ELSE 'formal' END AS quality, CAST(sum(supplemental) AS BIGINT) AS supplemental, CAST(sum(discrepancies) AS BIGINT) AS differing, 'primary' AS providers FROM chosen GROUP BY run_id""",
+            """SELECT run_id, open, failed, done, candidates, CASE WHEN open > 0 OR failed = 0 THEN 'running' WHEN done > 0 THEN 'partial_success' ELSE 'failed' END AS status, CASE WHEN open > 0 OR failed = 0 THEN NULL WHEN done > 0 THEN 'candidate_failure' ELSE 'all_candidates_failed' END AS error_code
+            FROM (SELECT run_id, count(*) FILTER (state = 'open') AS open, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'done') AS done, count(*) AS candidates FROM chosen GROUP BY run_id)""",
+            _RUNS,
+        ),
+        "run_quality": _with(
+            """SELECT run_id, CASE WHEN mixed THEN 'mixed_policies' END AS problem, CASE WHEN NOT mixed THEN CASE quality WHEN 'provisional' THEN 'provisional_success' ELSE 'success' END END AS execution_status, CASE WHEN NOT mixed THEN CASE quality WHEN 'provisional' THEN 'provisional_mixed' WHEN 'reconciled' THEN 'reconciled' ELSE 'canonical_complete' END END AS source_status,
+              CASE WHEN NOT mixed THEN quality END AS quality, CASE WHEN NOT mixed THEN CASE quality WHEN 'provisional' THEN 'incomplete' WHEN 'reconciled' THEN 'reconciled' ELSE 'complete' END END AS authority, CASE WHEN NOT mixed THEN reconciliation END AS reconciliation,
+              CASE WHEN NOT mixed THEN canonical END AS canonical, CASE WHEN NOT mixed THEN supplemental END AS supplemental, CASE WHEN NOT mixed THEN missing END AS missing, CASE WHEN NOT mixed THEN discrepancies END AS discrepancies, CASE WHEN NOT mixed THEN supplemental_candidates END AS supplemental_candidates, CASE WHEN NOT mixed THEN supplemental_sources END AS supplemental_sources, CASE WHEN NOT mixed THEN version_ids END AS version_ids
+            FROM (SELECT run_id, bool_or(v) AND NOT bool_and(v) AS mixed,
+              CASE WHEN coalesce(bool_or(version_status IN ('provisional_complete', 'reconciliation_pending')) FILTER (v), false) THEN 'provisional' WHEN coalesce(bool_or(version_status LIKE 'reconciled%') FILTER (v), false) THEN 'reconciled' ELSE 'canonical' END AS quality,
+              CASE WHEN coalesce(bool_or(version_status IN ('provisional_complete', 'reconciliation_pending')) FILTER (v), false) THEN 'pending' WHEN coalesce(bool_or(version_status = 'reconciled_discrepant') FILTER (v), false) THEN 'reconciled_discrepant' WHEN coalesce(bool_or(version_status = 'reconciled_equal') FILTER (v), false) THEN 'reconciled_equal' ELSE 'not_applicable' END AS reconciliation,
+              CAST(coalesce(sum(canonical) FILTER (v), 0) AS BIGINT) AS canonical, CAST(coalesce(sum(supplemental) FILTER (v), 0) AS BIGINT) AS supplemental, CAST(coalesce(sum(missing) FILTER (v), 0) AS BIGINT) AS missing, CAST(coalesce(sum(discrepancies) FILTER (v), 0) AS BIGINT) AS discrepancies, count(*) FILTER (v AND supplemental > 0) AS supplemental_candidates,
+              coalesce(string_agg(DISTINCT supplemental_source, ',' ORDER BY supplemental_source) FILTER (v AND supplemental > 0), '') AS supplemental_sources, coalesce(string_agg(version_id, ',' ORDER BY symbol, version_id) FILTER (v), '') AS version_ids FROM (SELECT *, version_id IS NOT NULL AS v FROM chosen) GROUP BY run_id)""",
             _RUNS,
         ),
         "batch_roll_ups": "SELECT l_orderkey AS batch_id, count(*) FILTER (l_returnflag NOT IN ('R', 'A')) AS success, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_returnflag = 'A') AS skipped, CASE WHEN count(*) FILTER (l_returnflag = 'R') = 0 THEN 'success' WHEN count(*) FILTER (l_returnflag NOT IN ('R', 'A')) > 0 THEN 'partial_success' ELSE 'failed' END AS status FROM lineitem GROUP BY l_orderkey",
         "bar_coverage": _with("SELECT symbol, count(*) AS n, min(trade_date) AS first_date, max(trade_date) AS last_date FROM b GROUP BY symbol"),
+        **reading_sql.oracle_sql(_with, _r),
     }

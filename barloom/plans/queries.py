@@ -2,74 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import asof, compare, first_screen, history, results, second_screen, universe, validate, versions, windows
 from barloom.functions import scalar
 from barloom.functions.session import durable
+from barloom.operators import asof, compare, first_screen, history, results, second_screen, universe, validate, versions, windows
+from barloom.plans import reading
+from barloom.plans.panel import Panel, Query, shown
 from barloom.sources import market
 
-Query = Callable[[SparkSession, str], DataFrame]
-PLACES, NUDGE = 6, 1.3e-9  #: digits of floating-point results
-
-
-def shown(df: DataFrame) -> DataFrame:
-    """Doubles to a few digits, so that equal results are equal in any engine: nudged off the exact halves
-    that prices of seven digits come to, and without a negative zero."""
-    near = lambda c: F.round(F.col(c) + NUDGE, PLACES)
-    return df.select(*(F.when(near(c) == 0, 0.0).otherwise(near(c)).alias(c) if kind == "double" else df[c] for c, kind in df.dtypes))
-
-
-class Panel:
-    """The derived tables of one directory, and the day that screens are run for.
-
-    With ``stored``, for queries that read the bars many times, bars are derived once and stored."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
-        self.bars = durable(market.bars(spark, sf_dir)) if stored else market.bars(spark, sf_dir)
-
-    @property
-    def second(self) -> DataFrame:
-        return market.second_bars(self.bars)
-
-    @property
-    def ratios(self) -> DataFrame:
-        return market.valuations(self.bars)
-
-    @property
-    def symbols(self) -> DataFrame:
-        return market.symbols(self.spark, self.sf_dir)
-
-    @property
-    def day(self):
-        if not hasattr(self, "_day"):
-            self._day = market.best_date(self.bars)
-            self._before = self.bars.where(F.col("trade_date") < F.lit(self._day)).agg(F.max("trade_date")).first()[0]
-        return self._day
-
-    @property
-    def before(self):
-        return self.day and self._before
-
-    def members(self) -> DataFrame:
-        return universe.members(market.feeds(self.spark, self.sf_dir, self.day), self.day)
-
-    def eligible(self) -> DataFrame:
-        return self.members().where("status = 'active_scan_eligible'").select("symbol", "name")
-
-    def first(self, every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Metrics, reasons and evaluations of the first screen, of all symbols or the eligible ones.
-
-        The metrics, eight rows a symbol, are stored once for all that reads them."""
-        members = self.symbols.select("symbol") if every else self.eligible()
-        metrics = durable(first_screen.metrics(members, self.bars, self.ratios, self.day, self.before))
-        reasons = first_screen.reasons(metrics)
-        return metrics, reasons, first_screen.evaluations(metrics, reasons)
-
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(market.bars(spark, sf_dir).drop("supplier", "top_discount"))
@@ -107,11 +49,14 @@ def source_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and numbers of the order tables in the forms that providers send, read back."""
-    part = market.table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"))
-    grouped = F.format_string("%,.2f", F.round("price", 2))
-    code = F.concat(F.lit("  p"), F.col("p_partkey").cast("string"), F.lit(" "))
-    return shown(part.select("p_partkey", scalar.to_number(grouped).alias("number"), scalar.to_integer(F.format_string("%,d", F.col("p_partkey") * 1000)).alias("whole"), scalar.to_integer(F.concat(F.col("p_partkey").cast("string"), F.lit(".5"))).alias("fraction"), scalar.clean_symbol(code).alias("symbol"), scalar.is_symbol(scalar.clean_symbol(code)).alias("fits")))
+    """Names and numbers of the order tables in the forms that providers send, some of them broken, read back."""
+    part = market.table(spark, sf_dir, "part").select("p_partkey", F.floor("p_retailprice").alias("price"))
+    k = F.col("p_partkey")
+    number = F.when(k % 7 == 1, F.concat(F.format_string("%,d", F.col("price")), F.lit(",5"))).when(k % 7 == 2, "1e400").otherwise(F.format_string("%,d.25", F.col("price")))
+    whole = F.when(k % 5 == 1, F.concat(k.cast("string"), F.lit(".5"))).when(k % 5 == 2, F.concat(k.cast("string"), F.lit(".0"))).otherwise(F.format_string("%,d", k * 1000))
+    code = F.when(k % 6 == 1, F.concat(F.lit(" p-"), k.cast("string"))).when(k % 6 == 2, "   ").otherwise(F.concat(F.lit("  p"), k.cast("string"), F.lit(" ")))
+    word = F.element_at(F.array(*[F.lit(w) for w in (" Yes ", "no", "TRUE", "0", "maybe")]), (k % 5 + 1).cast("int"))
+    return shown(part.select("p_partkey", scalar.to_number(number).alias("number"), scalar.to_integer(whole).alias("whole"), scalar.clean_symbol(code).alias("symbol"), scalar.is_symbol(scalar.clean_symbol(code)).alias("fits"), scalar.to_boolean(word).alias("truth")))
 
 
 def local_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +105,8 @@ def merged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Panel(spark, sf_dir)
-    out = asof.sources_union(p.bars, p.second.where(F.col("symbol") >= "0003"), p.ratios)
-    return out.select("symbol", F.array_join("sources", ",").alias("sources"))
+    out = asof.sources_union(p.bars.withColumn("endpoint", F.concat(F.lit("/day/"), (F.col("supplier") % 3).cast("string"))), p.second.where(F.col("symbol") >= "0003"), p.ratios.withColumn("endpoint", F.lit("/ratios")))
+    return out.select("symbol", F.array_join("sources", ",").alias("sources"), F.array_join("endpoints", ",").alias("endpoints"))
 
 
 def market_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,10 +130,23 @@ def short_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.short_history(late, listed, p.day)
 
 
+def _readiness(p: Panel) -> DataFrame:
+    mixed = p.bars.where((F.col("supplier") % 6 != 1) & ((F.col("supplier") % 8 != 3) | (F.col("trade_date") >= F.date_sub(F.lit(p.day), 100)))).select("symbol", "trade_date", F.when(F.col("supplier") % 5 == 2, "synthetic").otherwise(F.col("source")).alias("source"))
+    return asof.readiness(p.symbols, mixed, p.day)
+
+
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _readiness(Panel(spark, sf_dir))
+
+
+def readiness_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.readiness_totals(_readiness(Panel(spark, sf_dir)))
+
+
+def resolved_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which trading day a request of each date means."""
     p = Panel(spark, sf_dir)
-    mixed = p.bars.where(F.col("supplier") % 6 != 1).select("symbol", "trade_date", F.when(F.col("supplier") % 5 == 2, "synthetic").otherwise(F.col("source")).alias("source"))
-    return asof.readiness(p.symbols, mixed, p.day)
+    return p.bars.select(F.col("trade_date").alias("day")).distinct().select("day", asof.resolved_day(F.col("day"), F.lit(p.day)).alias("resolved"))
 
 
 def panel_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +154,7 @@ def panel_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(windows.drawdowns(Panel(spark, sf_dir).bars))
+    return shown(windows.drawdowns(Panel(spark, sf_dir).bars, (20, 60, 120)))
 
 
 def whole_history_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,54 +167,138 @@ def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(Panel(spark, sf_dir, stored=True).first()[0])
+    return shown(Panel(spark, sf_dir).first()[0])
 
 
 def first_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reasons = Panel(spark, sf_dir, stored=True).first()[1]
+    reasons = Panel(spark, sf_dir).first()[1]
     return shown(reasons.select("symbol", "code", "metric", "component", "current", "role", "class_priority", "threshold_multiple"))
 
 
 def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the first screen of every symbol, ranked."""
-    return shown(first_screen.candidates(Panel(spark, sf_dir, stored=True).first()[2]))
+    return shown(first_screen.candidates(Panel(spark, sf_dir).first()[2]))
 
 
 def first_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Panel(spark, sf_dir, stored=True)
+    p = Panel(spark, sf_dir)
     return first_screen.counts(p.first(every=False)[2], p.members())
 
 
+def input_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of a scan against its members: some lack, some are no members, some come twice."""
+    p = Panel(spark, sf_dir)
+    key = F.col("supplier")
+    copies = F.explode(F.when(key % 5 == 1, F.array(F.lit(1), F.lit(2))).when(key % 5 == 2, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))))
+    inputs = p.symbols.select("symbol", copies.alias("k"))
+    return first_screen.input_gaps(p.symbols.where(key % 5 != 3), inputs)
+
+
+def screening_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both sources as the screen sees them."""
+    p = Panel(spark, sf_dir)
+    rows = p.bars.select("symbol", "source").unionByName(p.second.select("symbol", "source"))
+    return rows.groupBy("symbol", first_screen.screening_source(F.col("source")).alias("seen_as")).agg(F.count("*").alias("n"))
+
+
+def previous_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios given twice, equally or not."""
+    p = Panel(spark, sf_dir)
+    last = p.ratios.where(F.col("metric_date") == F.lit(p.before))
+    other = last.select("symbol", "name", F.when(F.col("symbol").cast("int") % 3 == 1, F.col("value") + 1).when(F.col("symbol").cast("int") % 3 == 2, F.lit(None)).otherwise(F.col("value")).alias("value"))
+    return shown(first_screen.merged_previous(last.select("symbol", "name", "value").unionByName(other)))
+
+
 def universe_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Panel(spark, sf_dir).members()
 
 
+def universe_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.conflicts(Panel(spark, sf_dir).feeds)
+
+
 def universe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.status_counts(Panel(spark, sf_dir).members())
 
 
-def _second(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def class_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of the next day from those of the day and the new identities."""
+    feeds = Panel(spark, sf_dir).feeds
+    return universe.assigned_classes(feeds["classification"], universe.merged(feeds["identity"])[0])
+
+
+def feed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a feed is all of the day: the day's bars are, the week's aren't, an empty one isn't."""
+    p = Panel(spark, sf_dir)
+    cases = {"day": p.bars.where(F.col("trade_date") == F.lit(p.day)), "week": p.bars.where(F.col("trade_date").between(F.date_sub(F.lit(p.day), 6), F.lit(p.day))), "none": p.bars.where("symbol = ''")}
+    parts = [universe.feed_date_agrees(f, p.day).withColumn("feed", F.lit(k)) for k, f in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.watchlist_revision(Panel(spark, sf_dir).symbols, 7)
+
+
+def _second(p: Panel, failing: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     metrics, reasons, evaluated = p.first()
-    best = first_screen.candidates(evaluated)
-    outcome, _ = compare.latest_day(p.bars, p.second, p.day)
-    states = second_screen.states_of(best, p.bars, p.day, outcome)
-    deep = second_screen.metrics(best, p.bars, p.ratios, p.day, metrics)
-    why = second_screen.reasons(deep, reasons.join(best.select("symbol"), "symbol", "left_semi"), states)
-    return best, states, deep, why, second_screen.ranked(best, why, states)
+    best = durable(first_screen.candidates(evaluated))
+    outcome, _ = compare.latest_day(p.recent, p.recent_second, p.day)
+    states = second_screen.states_of(best, p.recent, p.day, outcome)
+    deep = second_screen.metrics(best, p.recent, p.recent_ratios, p.day, metrics)
+    failed = best.where("rank % 4 = 2").select("symbol") if failing else None
+    deep = second_screen.isolated(deep, failed) if failing else deep
+    why = durable(second_screen.reasons(deep, reasons.join(F.broadcast(best.select("symbol")), "symbol", "left_semi"), states))
+    return best, why, second_screen.ranked(best, why, states, failed)
 
 
 def second_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deep metrics of every symbol, not of the candidates alone."""
-    p = Panel(spark, sf_dir, stored=True)
-    return shown(second_screen.metrics(p.symbols.select("symbol"), p.bars, p.ratios, p.day, p.first()[0]))
+    p = Panel(spark, sf_dir)
+    return shown(second_screen.metrics(p.symbols.select("symbol"), p.recent, p.recent_ratios, p.day, p.first()[0]))
 
 
 def second_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_second(Panel(spark, sf_dir, stored=True))[3])
+    return shown(_second(Panel(spark, sf_dir))[1])
 
 
 def second_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_second(Panel(spark, sf_dir, stored=True))[4])
+    return shown(_second(Panel(spark, sf_dir))[2])
+
+
+def failed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of symbols of which some couldn't be analysed."""
+    p = Panel(spark, sf_dir)
+    deep = second_screen.price_metrics(p.symbols.select("symbol"), p.recent, p.day)
+    return second_screen.isolated(deep, p.symbols.where("supplier % 4 = 2")).groupBy("metric", "status").agg(F.count("*").alias("n"), F.count("current").alias("known"), F.sum("observations").alias("observations"))
+
+
+def failed_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final ranking where some candidates' analysis failed: they keep a place."""
+    return shown(_second(Panel(spark, sf_dir), failing=True)[2])
+
+
+def report_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates as a report lists them, with the codes of their nested reasons."""
+    _, why, ranked = _second(Panel(spark, sf_dir))
+    rows = results.report_rows(ranked, why)
+    return rows.select("final_rank", "symbol", "quality", "kind", F.coalesce(F.array_join(F.transform("reasons", lambda r: r["code"]), ","), F.lit("")).alias("codes"), "notice")
+
+
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of a report: counts of the scan, and what stands behind its candidates."""
+    p = Panel(spark, sf_dir)
+    made, rows, _, _ = _versions(p)
+    evaluated = durable(p.first()[2])
+    best = durable(first_screen.candidates(evaluated))
+    counts = first_screen.counts(evaluated, p.symbols)
+    return results.report_totals(counts, best, second_screen.provenance(best, made, rows), 30)
+
+
+def candidate_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands behind every symbol: its version, states, counts and sources by role."""
+    p = Panel(spark, sf_dir)
+    made, rows, _, _ = _versions(p)
+    return second_screen.provenance(p.symbols, made, rows).drop("version_id", "parent_id", "provenance_sha256")
 
 
 def latest_day_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,70 +329,179 @@ def coverage_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _versions(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Versions for the day: the primary source lacks the 20th and later days of months, the secondary the 13th."""
-    required = durable(asof.last_bars(p.bars.select("symbol", "trade_date"), p.day, 60).select("symbol", "trade_date"))
+    required = durable(asof.last_bars(p.recent.select("symbol", "trade_date"), p.day, 60).select("symbol", "trade_date"))
     of = lambda t: t.join(required, ["symbol", "trade_date"], "left_semi")
-    canonical = of(p.bars.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0)))
-    other = of(p.second)
+    canonical = of(p.recent.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0)))
+    other = of(p.recent_second).where("cast(symbol as int) % 19 <> 4")
     made, rows = versions.build(canonical, other, other.join(canonical.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_semi"), required, p.day)
     made, rows = durable(made), durable(rows)  # versions are stored tables
-    return made, rows, required, of(p.bars.where(F.dayofmonth("trade_date") >= 20))
+    return made, rows, required, of(p.recent.where(F.dayofmonth("trade_date") >= 20))
 
 
 def version_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(Panel(spark, sf_dir, stored=True))[0].select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status")
+    return _versions(Panel(spark, sf_dir))[0].select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status")
 
 
 def version_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, rows, _, _ = _versions(Panel(spark, sf_dir, stored=True))
+    _, rows, _, _ = _versions(Panel(spark, sf_dir))
     return rows.groupBy("symbol", "provider", "role", "selected").agg(F.count("*").alias("n"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
 
 
+def version_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected rows of named versions, here those of every second symbol."""
+    made, rows, _, _ = _versions(Panel(spark, sf_dir))
+    return shown(asof.version_snapshot(rows, made.where("cast(symbol as int) % 2 = 0")).select("symbol", "trade_date", "provider", "role", "close", "volume"))
+
+
+def validation_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources' rows of each version's last canonical date."""
+    made, rows, _, _ = _versions(Panel(spark, sf_dir))
+    last = rows.where("role = 'canonical'").groupBy("version_id").agg(F.max("trade_date").alias("target_date"))
+    return asof.validation_view(rows, last).join(made.select("version_id", "symbol"), "version_id").drop("version_id")
+
+
+def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Panel(spark, sf_dir)
+    return history.versions_of(_versions(p)[0], target=p.day, status="provisional_complete").select("symbol", "status", "supplemental")
+
+
 def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, rows, required, late = _versions(Panel(spark, sf_dir, stored=True))
+    made, rows, required, late = _versions(Panel(spark, sf_dir))
     children, _ = versions.reconcile(made, rows, late, required)
     return children.select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status", "discrepancies")
 
 
-def _children(p: Panel) -> tuple[DataFrame, ...]:
-    made, rows, required, late = _versions(p)
-    children, child_rows = versions.reconcile(made, rows, late, required)
-    return made, rows, durable(children), durable(child_rows)
+def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each symbol stands after reconciliation; some have a second complete or a second open version."""
+    made, rows, required, late = _versions(Panel(spark, sf_dir))
+    children, _ = versions.reconcile(made, rows, late.where("cast(symbol as int) % 4 <> 1"), required)
+    twice = made.where("cast(symbol as int) % 7 = 2").withColumn("version_id", F.concat(F.lit("x"), "version_id"))
+    return versions.leaves(made.unionByName(children).unionByName(twice)).select("symbol", "target_date", "leaf_state", F.col("version_id").isNotNull().alias("named"))
 
 
-def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made, _, children, _ = _children(Panel(spark, sf_dir, stored=True))
-    return versions.leaves(made.unionByName(children)).groupBy("leaf_state").agg(F.count("*").alias("symbols"), F.count("version_id").alias("named"))
+def version_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each ancestor of the first reconciled version is."""
+    made, rows, required, late = _versions(Panel(spark, sf_dir))
+    children, _ = versions.reconcile(made, rows, late, required)
+    every = durable(made.unionByName(children.select(made.columns)))
+    child = every.where("parent_id is not null").agg(F.min_by("version_id", "symbol").alias("v")).first().v
+    return versions.lineage(every, child or "").join(every.select("version_id", "symbol", "status"), "version_id").drop("version_id")
+
+
+def broken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of versions after some were spoilt: selected against their role, of another source, or doubled."""
+    _, rows, _, _ = _versions(Panel(spark, sf_dir))
+    k = F.col("symbol").cast("int") % 7
+    spoilt = rows.withColumn("selected", F.when(k == 1, ~F.col("selected")).otherwise(F.col("selected"))).withColumn("provider", F.when(k == 2, "other").otherwise(F.col("provider")))
+    doubled = spoilt.select("*", F.explode(F.when(k == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")).drop("copy")
+    return versions.role_violations(doubled).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def broken_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of which some were spoilt, each with the first rule it breaks."""
+    made = versions.described(_versions(Panel(spark, sf_dir))[0])
+    k = F.col("symbol").cast("int") % 8
+    change = lambda c, n, v: F.when(k == n, v).otherwise(F.col(c)).alias(c)
+    spoilt = made.select(
+        "version_id", "symbol", "canonical", "supplemental", "discrepancies", change("required", 7, F.lit(0).cast("long")), change("missing", 1, F.col("missing") + 1), change("selected", 2, F.col("selected") - 1),
+        change("coverage_complete", 3, ~F.col("coverage_complete")), change("authority", 4, F.lit("reconciled")), change("reconciliation", 5, F.lit("reconciled_equal")), change("source", 6, F.lit("reconciled")),
+    )
+    return versions.state_violations(spoilt).join(made.select("version_id", "symbol"), "version_id").select("symbol", "problem")
+
+
+def reconcile_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked of reconciliation, spoilt for some symbols, with the rule that each breaks."""
+    p = Panel(spark, sf_dir)
+    made, rows, _, _ = _versions(p)
+    k = F.col("symbol").cast("int") % 11
+    open_ = rows.where("role = 'supplemental'").join(made.select("version_id", "status"), "version_id")
+    closed = rows.join(made.where("status = 'canonical_complete'").select("version_id", "status"), "version_id").where("role = 'canonical'")
+    closed = closed.groupBy("version_id", "symbol").agg(F.min("trade_date").alias("trade_date"))
+    canonical = rows.where("role = 'canonical'").groupBy("version_id", "symbol").agg(F.min("trade_date").alias("trade_date")).where(k == 6)
+    future = made.where((k == 5) & (F.col("status") == "provisional_complete")).select("version_id", "symbol", F.date_add("target_date", 1).alias("trade_date"))
+    asked = open_.select("version_id", "symbol", "trade_date").unionByName(closed).unionByName(canonical).unionByName(future).distinct()
+    first = asked.groupBy("version_id").agg(F.min("trade_date").alias("first_date"))
+    targets = asked.join(first, "version_id").where(~((k == 4) & (F.col("trade_date") == F.col("first_date")))).select("version_id", "trade_date", F.lit("r1").alias("run_id"))
+    copies = F.explode(F.when(k == 1, F.array().cast("array<int>")).when(k == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    arrived = asked.select("version_id", "symbol", "trade_date", F.when(k == 2, "secondary").otherwise("primary").alias("provider"), F.lit("canonical").alias("role"), F.lit(True).alias("selected"), F.when(k == 7, "r2").otherwise("r1").alias("run_id"), copies.alias("copy"))
+    return versions.reconcile_problems(made, rows, arrived.drop("copy"), targets).join(made.select("version_id", "symbol"), "version_id").select("symbol", "problem")
+
+
+def version_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Panel(spark, sf_dir)
+    return versions.gate(p.members(), _versions(p)[0])
 
 
-def version_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that hold by construction: no row breaks them, parents and children alike."""
-    made, rows, children, child_rows = _children(Panel(spark, sf_dir, stored=True))
-    wrong = versions.role_violations(rows).unionByName(versions.role_violations(child_rows)).select("problem")
-    states = versions.state_violations(made).unionByName(versions.state_violations(children)).select("problem")
-    return wrong.unionByName(states).agg(F.count("*").alias("violations"))
+def plain_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Panel(spark, sf_dir)
+    return versions.from_plain_history(p.bars, p.day)
 
 
-def _decisions(p: Panel) -> DataFrame:
-    required = asof.last_bars(p.bars.select("symbol", "trade_date", "supplier"), p.day, 60)
+def _candidates(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Required dates, both sources' rows, and what is known of the other source's run of each symbol."""
+    required = durable(asof.last_bars(p.recent.select("symbol", "trade_date", "supplier"), p.day, 60))
     of = lambda t: t.join(required.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_semi")
-    canonical = of(p.bars.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0)))
-    other = of(p.second.where(F.dayofmonth("trade_date") != 28)).where("dayofmonth(trade_date) <> 27 or cast(symbol as int) % 4 <> 0")
+    canonical = of(p.recent.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0)))
+    other = of(p.recent_second.where(F.dayofmonth("trade_date") != 28)).where("dayofmonth(trade_date) <> 27 or cast(symbol as int) % 4 <> 0")
     key = F.col("symbol").cast("int")
-    first = F.min("trade_date")
-    spans = required.groupBy("symbol").agg(first.alias("start_date"))
+    spans = required.groupBy("symbol").agg(F.min("trade_date").alias("start_date"))
     shaped = other.join(spans, "symbol").withColumn("target_date", F.lit(p.day)).withColumn("position", F.datediff("trade_date", F.lit("1970-01-01").cast("date")))
     shaped = shaped.withColumn("open", F.when((key % 17 == 5) & (F.dayofmonth("trade_date") == 25), -1.0).otherwise(F.col("open")))
-    failure = F.when(key % 8 == 1, "temporary_unavailable").when(key % 8 == 2, "delayed_publication").when(key % 8 == 3, "malformed_payload").when(key % 8 == 4, "timeout").when(key % 8 == 5, "rate_limited").when(key % 8 == 6, "identity_mismatch").otherwise("temporary_unavailable")
-    candidates = spans.select("symbol", failure.alias("failure"), (key % 31 != 9).alias("evidence_ok"), (key % 29 != 10).alias("identity_ok"), (key % 37 != 12).alias("security_ok"), F.lit(None).cast("string").alias("canonical_problem")).join(versions.structure(shaped), "symbol", "left")
-    return versions.eligibility(versions.date_sets(required, canonical, other), candidates)
+    failures = (*versions.FILLABLE, *versions.NOT_FILLABLE[:2])
+    failure = F.element_at(F.array(*[F.lit(f) for f in failures]), (key % 8 + 1).cast("int"))
+    failure = F.when(key % 8 < 6, failure).otherwise("temporary")
+    names = F.struct(F.col("symbol").alias("symbol"), F.lit("TSE").alias("market"), F.lit("TWSE").alias("exchange"), F.lit("TWD").alias("currency"), F.lit("EQUITY").alias("security_type"))
+    returned = F.struct(*(F.when(key % 29 == n, "?").otherwise(names[d]).alias(d) for n, d in enumerate(versions.IDENTITY, 10)))
+    known = spans.select("symbol", failure.alias("failure"), (key % 31 != 9).alias("evidence_ok"), names.alias("requested"), F.when(key % 29 != 9, returned).alias("returned"), (key % 37 != 12).alias("security_ok"), F.lit(None).cast("string").alias("canonical_problem"))
+    return required, canonical, other, known.join(versions.structure(shaped), "symbol", "left")
+
+
+def identity_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _candidates(Panel(spark, sf_dir))[3]
+    status = versions.identity_status(F.col("symbol"), F.col("requested"), F.col("returned"))
+    return known.select("symbol", status.alias("status"), versions.identity_reason(status).alias("reason"))
+
+
+def structure_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the other source, spoilt in one way for each remainder of the symbol, with what is wrong with them."""
+    p = Panel(spark, sf_dir)
+    rows = asof.last_bars(p.recent_second, p.day, 60)
+    k, rn = F.col("symbol").cast("int") % 9, F.col("rn")
+    later = F.lag("trade_date").over(windows.by_date())
+    rows = rows.withColumn("before", later).select(
+        "symbol", F.when((k == 2) & (rn == 1), F.col("before")).otherwise(F.col("trade_date")).alias("trade_date"), F.when(((k == 5) & (rn == 3)) | ((k == 6) & (rn == 2)), F.lit(None)).otherwise(F.col("open")).alias("open"),
+        "high", "low", "close", F.when((k == 6) & (rn == 4), -1).otherwise(F.col("volume")).alias("volume"), F.when((k == 7) & (rn == 5), "ZZZZ").alias("row_symbol"),
+        F.when(k == 4, F.lit(p.day)).otherwise(F.lit("1900-01-01").cast("date")).alias("start_date"), F.when(k == 3, F.date_sub(F.lit(p.day), 2000)).otherwise(F.lit(p.day)).alias("target_date"), F.when(k == 1, rn).otherwise(-rn).alias("position"),
+    )
+    return versions.structure(rows)
+
+
+def _decisions(p: Panel) -> DataFrame:
+    required, canonical, other, known = _candidates(p)
+    return versions.eligibility(versions.date_sets(required, canonical, other), known)
 
 
 def supplement_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decisions(Panel(spark, sf_dir, stored=True))
+    return _decisions(Panel(spark, sf_dir))
 
 
 def supplement_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.routed(_decisions(Panel(spark, sf_dir, stored=True))).groupBy("route", "reason").agg(F.count("*").alias("symbols"))
+    """Where each symbol goes, some having a stored version already."""
+    p = Panel(spark, sf_dir)
+    k = F.col("supplier")
+    known = p.symbols.select("symbol", F.when(k % 5 == 0, "open").when(k % 5 == 1, "complete").when(k % 25 == 2, "ambiguous").alias("leaf_state")).where("leaf_state is not null")
+    return versions.routed(_decisions(p), known).groupBy("route", "reason").agg(F.count("*").alias("symbols"))
+
+
+def daily_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fourteen metrics of every symbol as of the day."""
+    p = Panel(spark, sf_dir)
+    return shown(results.daily_as_of(p.symbols, p.bars, p.day))
+
+
+def result_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Panel(spark, sf_dir).bars.select("symbol", F.col("trade_date").alias("market_date"))
+    return rows.select("symbol", "market_date", results.result_id("v1").alias("result_id"))
 
 
 def result_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +511,11 @@ def result_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratio_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(results.valuation_changes(Panel(spark, sf_dir).ratios).groupBy("symbol", "name").agg(F.count("*").alias("changes"), F.max("metric_date").alias("last_date"), F.max("value").alias("greatest")))
+    """Changes of the ratios of the results on even days, so that values are carried forward in between."""
+    p = Panel(spark, sf_dir)
+    days = p.bars.where(F.dayofmonth("trade_date") % 2 == 0).select("symbol", F.col("trade_date").alias("market_date"))
+    found = results.valuation_changes(results.daily_valuations(days, p.ratios.where(F.dayofmonth("metric_date") % 3 == 0)))
+    return shown(found.groupBy("symbol", "name", "change").agg(F.count("*").alias("changes"), F.max("market_date").alias("last_date"), F.max("as_of_date").alias("as_of_date"), F.max("value").alias("greatest")))
 
 
 def volume_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +533,7 @@ def discrepancy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Panel(spark, sf_dir)
     outcome, differences = compare.latest_day(p.bars, p.second, p.day)
-    return results.quality(asof.price_status(p.symbols, p.bars, p.day).select("symbol", "price_status"), outcome, differences)
+    return results.quality(asof.price_status(p.symbols, p.bars, p.day), outcome, differences)
 
 
 def result_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,8 +547,14 @@ def _runs(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame]:
     runs = p.bars.groupBy("trade_date").agg(F.count("*").alias("n")).select(F.col("trade_date").cast("string").alias("run_id"), F.col("trade_date").alias("market_date"), F.when(day % 2 == 0, "v2").otherwise("v1").alias("methodology"), F.when(day % 7 == 0, "failed").when(day % 11 == 0, "open").otherwise("succeeded").alias("status"))
     move = (F.col("close") / F.col("open") - 1) * 100
     picked = p.bars.withColumn("move", move).where(F.abs("move") >= 1.5)
-    status = F.when(F.col("supplier") % 3 == 0, "canonical_complete").when(F.col("supplier") % 3 == 1, "provisional_complete").otherwise("reconciliation_pending")
-    candidates = picked.select(F.col("trade_date").cast("string").alias("run_id"), "symbol", F.lit(1).alias("rank"), F.when(F.col("volume") > 60, "warning").otherwise("clean").alias("quality"), status.alias("version_status"), (F.col("supplier") % 4).alias("supplemental"), (F.col("supplier") % 5).alias("discrepancies"), F.col("source").alias("provider"), F.when(day % 19 == 0, "failed").otherwise("done").alias("state"))
+    key = F.col("supplier")
+    status = F.element_at(F.array(*[F.lit(s) for s in versions.STATES]), (key % 5 + 1).cast("int"))
+    plain = (day == 17) | ((day == 13) & (key % 2 == 0))  # runs without versions, and runs that mix both kinds
+    state = F.when((day == 19) & (key % 2 == 0) | (day == 18), "failed").when((day == 16) & (key % 3 == 0), "open").otherwise("done")
+    candidates = picked.select(
+        F.col("trade_date").cast("string").alias("run_id"), "symbol", F.lit(1).alias("rank"), F.when(F.col("volume") > 60, "warning").otherwise("clean").alias("quality"), status.alias("version_status"), F.when(~plain, F.concat("symbol", F.lit("-"), status)).alias("version_id"),
+        (60 - key % 4).alias("canonical"), (key % 4).alias("supplemental"), (key % 4).alias("missing"), (key % 5).alias("discrepancies"), F.when(key % 8 < 4, "secondary").otherwise("third").alias("supplemental_source"), F.col("source").alias("provider"), state.alias("state"),
+    )
     reasons = picked.select(F.col("trade_date").cast("string").alias("run_id"), "symbol", F.lit("first").alias("stage"), F.when(F.col("move") > 0, "rise").otherwise("fall").alias("code"), F.lit("move").alias("metric"))
     heavy = picked.where("volume > 60").select(F.col("trade_date").cast("string").alias("run_id"), "symbol", F.lit("second").alias("stage"), F.lit("heavy").alias("code"), F.lit("volume").alias("metric"))
     return runs, candidates, reasons.unionByName(heavy)
@@ -410,9 +571,11 @@ def reason_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the last sealed run up to the day."""
     p = Panel(spark, sf_dir)
     runs, candidates, _ = _runs(p)
-    return history.daily_candidates(candidates, runs, p.day)
+    last = history.sealed(runs).where(F.col("market_date") <= F.lit(p.day)).agg(F.max("market_date").alias("d")).first().d
+    return history.daily_candidates(candidates, runs, last).select("run_id", "symbol", "rank", "quality", "version_status", "market_date", "methodology")
 
 
 def quality_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,8 +599,11 @@ def methodology_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_roll_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs, candidates, _ = _runs(Panel(spark, sf_dir))
-    return history.run_status(candidates).join(history.run_quality(candidates).withColumnRenamed("discrepancies", "differing"), "run_id")
+    return history.run_status(_runs(Panel(spark, sf_dir))[1])
+
+
+def run_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.run_quality(_runs(Panel(spark, sf_dir))[1])
 
 
 def batch_roll_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,16 +617,37 @@ def bar_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.coverage(Panel(spark, sf_dir).bars, "symbol")
 
 
+def timestamp_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When both sources say that they were updated."""
+    p = Panel(spark, sf_dir)
+    day = F.dayofmonth("trade_date")
+    at = p.bars.select("symbol", "trade_date", F.col("trade_date").cast("timestamp").alias("l"), F.when(day == 9, F.lit(None)).when(day == 11, F.timestamp_seconds(F.unix_seconds(F.col("trade_date").cast("timestamp")) + 1)).otherwise(F.col("trade_date").cast("timestamp")).alias("r"))
+    return at.groupBy("symbol", compare.timestamp_state(F.col("l"), F.col("r")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def rendered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as text, as a difference is shown."""
+    rows = Panel(spark, sf_dir).bars.select(F.col("close").alias("c")).distinct()
+    return rows.select(F.round(F.col("c") * 100).cast("long").alias("cents"), compare.shown(F.col("c")).alias("text"))
+
+
+def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = market.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return history.digest(orders).select("rows", F.col("digest").cast("string").alias("digest"))
+
+
 ALL: tuple[Query, ...] = (
     bars, valuation_rows, bar_checks, repeated_orders, batch_identity, source_roles, text_forms, local_dates, price_status, last_bars, valuations_as_of,
-    validation_runs, previous_results, merged_history, source_lists, market_days, latest_dates, short_histories, readiness, panel_indicators, panel_drawdowns,
-    whole_history_risk, research_summary, first_metrics, first_reasons, first_candidates, first_counts, universe_members, universe_counts, second_metrics,
-    second_reasons, second_ranking, latest_day_outcomes, history_differences, history_summary, differences_by_field, coverage_condition, version_coverage,
-    version_roles, version_reconciliation, version_leaves, version_problems, supplement_decisions, supplement_routes, result_changes, ratio_changes,
+    validation_runs, previous_results, merged_history, source_lists, market_days, resolved_days, latest_dates, short_histories, readiness, readiness_totals, panel_indicators, panel_drawdowns,
+    whole_history_risk, research_summary, first_metrics, first_reasons, first_candidates, first_counts, input_gaps, screening_sources, previous_conflicts,
+    universe_members, universe_conflicts, universe_counts, class_assignments, feed_dates, watchlist, second_metrics, second_reasons, second_ranking, failed_metrics, failed_ranking,
+    report_reasons, report_totals, candidate_provenance, latest_day_outcomes, history_differences, history_summary, differences_by_field, coverage_condition, timestamp_states, rendered_values,
+    version_coverage, version_roles, version_snapshots, validation_views, versions_of, version_reconciliation, version_leaves, version_lineage, broken_rows, broken_versions, reconcile_inputs,
+    version_gate, plain_versions, identity_statuses, structure_problems, supplement_decisions, supplement_routes, daily_results, result_ids, result_changes, ratio_changes,
     volume_state_changes, discrepancy_changes, result_quality, result_provenance, selections_per_symbol, reason_frequency, daily_candidates, quality_frequency,
-    date_totals, symbol_reasons, methodology_comparison, run_roll_ups, batch_roll_ups, bar_coverage,
+    date_totals, symbol_reasons, methodology_comparison, run_roll_ups, run_quality, batch_roll_ups, bar_coverage, table_digests,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in (*ALL, *reading.ALL)}
