@@ -24,10 +24,10 @@ CHANGE_THRESHOLDS = {"return_": 1.0, "volatility_": 1.0, "max_drawdown_": 1.0, "
 
 def _wide(bars: DataFrame) -> DataFrame:
     """A column per metric on every date of every symbol, from the whole history up to it."""
-    w = panel(bars, (20, 60, 120), drawdowns=(20, 60, 120))
-    latest = bars.select("symbol", "trade_date", F.col("close").alias("latest_close"), F.col("volume").cast("double").alias("latest_volume"))
+    w = panel(bars, (20, 60, 120), drawdowns=(20, 60, 120), keep=("close", "volume"))
     full = F.col("volatility_observations") >= 60
-    return latest.join(w, ["symbol", "trade_date"]).withColumn("volatility_60d", F.when(full, F.col("volatility_60d"))).withColumn("volume_anomaly", F.nullif("volume_state", F.lit("insufficient")))
+    made = {"latest_close": F.col("close"), "latest_volume": F.col("volume").cast("double"), "volatility_60d": F.when(full, F.col("volatility_60d")), "volume_anomaly": F.nullif("volume_state", F.lit("insufficient"))}
+    return w.select("symbol", "trade_date", *(made.get(m, F.col(m)).alias(m) for m in METRICS))
 
 
 def _long(wide: DataFrame, status: Column, *keys: str) -> DataFrame:
@@ -70,13 +70,37 @@ def changes(results: DataFrame) -> DataFrame:
     back = [F.lag(c).over(before).alias(f"previous_{n}") for c, n in (("market_date", "date"), ("status", "status"), ("value", "value"), ("state", "state"))]
     rows = results.where(F.col("metric").isin(*CHANGING)).select("symbol", "methodology", "metric", "market_date", "status", "value", "state", "unit", *back)
     limit = first_of(*((F.col("metric").startswith(k), F.lit(v)) for k, v in CHANGE_THRESHOLDS.items()))
-    delta = settled(F.col("value") - F.col("previous_value"))
-    same = F.col("status") == "available"
-    kind = F.when(F.col("status") != F.col("previous_status"), "availability_changed").when(same & (F.col("metric") == "volume_anomaly") & (F.col("state") != F.col("previous_state")), "volume_anomaly_state_changed").when(same & (F.abs(delta) >= limit), "metric_changed")
+    delta, kind = _change(F.col("status"), F.col("previous_status"), F.col("value"), F.col("previous_value"), F.col("state"), F.col("previous_state"), limit)
     told = rows.where("previous_date is not null").withColumn("delta", delta).withColumn("change", kind).where("change is not null")
     return told.select("symbol", "methodology", "metric", "previous_date", "market_date", "previous_status", "status", "previous_value", "value", "previous_state", "state", "delta", "unit", "change")
 
 
+def _change(status: Column, before: Column, value: Column, value_before: Column, state: Column, state_before: Column, limit: Column) -> tuple[Column, Column]:
+    """By how much a value moved, and the kind of change, null for none."""
+    delta = settled(value - value_before)
+    known = status == "available"
+    kind = F.when(status != before, "availability_changed").when(known & (state != state_before), "volume_anomaly_state_changed").when(known & (F.abs(delta) >= limit), "metric_changed")
+    return delta, kind
+
+
+def history_changes(bars: DataFrame, methodology: str = "v1") -> DataFrame:
+    """``changes`` of ``daily`` results, straight from bars: all metrics of a date are compared with those of the date
+    before in one row, so what is sorted is a row a date and only changes become rows."""
+    wide = _wide(bars).select("symbol", "trade_date", F.struct(*(settled(F.col(m)).alias(m) if m != "volume_anomaly" else F.col(m) for m in CHANGING), "trade_date").alias("now"))
+    rows = wide.withColumn("then", F.lag("now").over(Window.partitionBy("symbol").orderBy("trade_date"))).where("then is not null")
+    each = []
+    for m in CHANGING:
+        now, then = F.col("now")[m], F.col("then")[m]
+        status = lambda c: F.when(c.isNull(), "insufficient_history").otherwise("available")
+        number = lambda c: F.lit(None).cast("double") if m == "volume_anomaly" else c  # noqa: B023, E731
+        text = lambda c: c if m == "volume_anomaly" else F.lit(None).cast("string")  # noqa: B023, E731
+        limit = F.lit(next((v for k, v in CHANGE_THRESHOLDS.items() if m.startswith(k)), None)).cast("double")
+        delta, kind = _change(status(now), status(then), number(now), number(then), text(now), text(then), limit)
+        each.append(F.struct(F.lit(m).alias("metric"), F.col("then")["trade_date"].alias("previous_date"), F.col("trade_date").alias("market_date"), status(then).alias("previous_status"), status(now).alias("status"), number(then).alias("previous_value"), number(now).alias("value"), text(then).alias("previous_state"), text(now).alias("state"), delta.alias("delta"), F.lit(METRICS[m]).alias("unit"), kind.alias("change")))
+    told = F.filter(F.array(*each), lambda c: c["change"].isNotNull())
+    return rows.select("symbol", F.lit(methodology).alias("methodology"), F.inline(told))
+
+
 def state_changes(states: DataFrame, column: str) -> DataFrame:
     """Rows on which a state differs from the one before, nulls included."""
     before = Window.partitionBy("symbol").orderBy("market_date")

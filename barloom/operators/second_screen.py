@@ -98,12 +98,11 @@ def reasons(of: DataFrame, first_reasons: DataFrame, states: DataFrame, rules: l
     ``states`` has price_status and validation_status of each symbol."""
     numbers = fired(of, rule_table(of.sparkSession, rules or SECOND_RULES)).select("symbol", "code", F.lit("research_change").alias("kind"), "class_priority", "reason_order", "threshold_multiple")
     seen = first_reasons.where("metric = 'valuation_update' and role = 'primary'").groupBy("symbol", "component").agg(F.min_by(F.struct("current", "threshold_multiple"), "reason_order").alias("r"))
-    confirmed = None
-    for rule, (metric, component, order) in CONFIRMED.items():
-        now = of.where((F.col("metric") == metric) & (F.col("status") == "available")).select("symbol", F.col("current").alias("now"))
-        one = seen.where(F.col("component") == component).join(now, "symbol").where(F.abs(F.col("r.current") - F.col("now")) <= 1e-9)
-        one = one.select("symbol", F.lit(rule).alias("code"), F.lit("research_change").alias("kind"), F.lit(70).alias("class_priority"), F.lit(order).alias("reason_order"), settled(F.col("r.threshold_multiple")).alias("threshold_multiple"))
-        confirmed = one if confirmed is None else confirmed.unionByName(one)
+    sure = F.col("status") == "available"
+    rule = lambda k: first_of(*((F.col("metric") == m, F.lit(v)) for code, (m, component, order) in CONFIRMED.items() for v in [(code, component, order)[k]]))
+    now = of.where(sure & F.col("metric").isin(*(m for m, _, _ in CONFIRMED.values()))).select("symbol", F.col("current").alias("now"), rule(0).alias("code"), rule(1).alias("component"), rule(2).alias("reason_order"))
+    confirmed = seen.join(now, ["symbol", "component"]).where(F.abs(F.col("r.current") - F.col("now")) <= 1e-9)
+    confirmed = confirmed.select("symbol", "code", F.lit("research_change").alias("kind"), F.lit(70).alias("class_priority"), "reason_order", settled(F.col("r.threshold_multiple")).alias("threshold_multiple"))
     found = {"source_discrepancy": F.col("validation_status") == "source_discrepancy", "market_date_mismatch": (F.col("price_status") == "market_date_mismatch") | (F.col("validation_status") == "market_date_mismatch")}
     marks = F.array_compact(F.array(*[F.when(F.coalesce(found[c], F.lit(False)), F.struct(F.lit(c).alias("code"), F.lit("data_quality").alias("kind"), F.lit(p).alias("class_priority"), F.lit(o).alias("reason_order"), F.lit(1.0).alias("threshold_multiple"))) for c, (p, o) in STATUS_RULES.items()]))
     return numbers.unionByName(confirmed).unionByName(states.select("symbol", F.inline(marks)))

@@ -26,31 +26,33 @@ class Spans:
     is subtracted (sums stay exact to the last bits), and all stages share one shuffle and one sort."""
 
     def __init__(self, rows: DataFrame, one: dict[str, Column], joined: dict[str, Callable[[dict[str, Column], dict[str, Column]], Column]]) -> None:
-        self.columns, self.joined, self.names = rows.columns, joined, list(one)
-        self.rows, self.made = rows.select("*", *(c.alias(f"{k}__1") for k, c in one.items())), [1]
-
-    def _at(self, n: int, back: int = 0) -> dict[str, Column]:
-        return {k: F.lag(f"{k}__{n}", back).over(by_date()) if back else F.col(f"{k}__{n}") for k in self.names}
-
-    def grow(self, windows: Iterable[int]) -> Spans:
-        """Adds columns ``name__n`` for each n of ``windows``; null where there are fewer rows."""
-        parts = {n: [b for b in (1 << k for k in range(n.bit_length())) if n & b] for n in windows}
-        while self.made[-1] * 2 <= max((p[-1] for p in parts.values()), default=1):
-            half = self.made[-1]
-            earlier, later = self._at(half, half), self._at(half)
-            self.rows = self.rows.select("*", *(f(earlier, later).alias(f"{k}__{2 * half}") for k, f in self.joined.items()))
-            self.made.append(2 * half)
+        self.joined, self.rows = joined, rows.select("*", *(c.alias(f"{k}__1") for k, c in one.items()))
+
+    def _at(self, names: list[str], n: int, back: int = 0) -> dict[str, Column]:
+        return {k: F.lag(f"{k}__{n}", back).over(by_date()) if back else F.col(f"{k}__{n}") for k in names}
+
+    def grow(self, wanted: dict[str, Iterable[int]]) -> DataFrame:
+        """The rows with columns ``name__n`` for each n that is wanted of a name; null where there are fewer rows."""
+        parts = {n: [1 << k for k in range(n.bit_length()) if n >> k & 1] for ns in wanted.values() for n in ns}
+        top = {k: max((parts[n][-1] for n in ns), default=1) for k, ns in wanted.items()}
+        half = 1
+        while half < max(top.values(), default=1):
+            names = [k for k, t in top.items() if t > half]
+            earlier, later = self._at(names, half, half), self._at(names, half)
+            self.rows = self.rows.select("*", *(self.joined[k](earlier, later).alias(f"{k}__{2 * half}") for k in names))
+            half *= 2
         for step in range(1, max(map(len, parts.values()), default=1)):
             # of a window's powers, greatest last: the span so far, then the next power before it
             more = []
             for n, powers in parts.items():
+                names = [k for k, ns in wanted.items() if n in ns]
                 if len(powers) > step:
                     done = sum(powers[-step:])
-                    so_far = self._at(done) if step == 1 else {k: F.col(f"{k}__{n}_{step}") for k in self.names}
+                    so_far = self._at(names, done) if step == 1 else {k: F.col(f"{k}__{n}_{step}") for k in names}
                     name = f"__{n}" if step == len(powers) - 1 else f"__{n}_{step + 1}"
-                    more += [f(self._at(powers[-step - 1], done), so_far).alias(k + name) for k, f in self.joined.items()]
+                    more += [self.joined[k](self._at(names, powers[-step - 1], done), so_far).alias(k + name) for k in names]
             self.rows = self.rows.select("*", *more)
-        return self
+        return self.rows
 
 
 ADD = lambda name: lambda earlier, later: earlier[name] + later[name]
@@ -72,11 +74,11 @@ def drawdown_of(closes: Column) -> Column:
     return F.aggregate(closes, start, step, lambda s: s["worst"])
 
 
-def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volatility_window: int = 60, drawdowns: tuple[int, ...] = ()) -> DataFrame:
+def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volatility_window: int = 60, drawdowns: tuple[int, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """Indicators of every symbol on every date.
 
     Volatility is the population deviation of the last daily returns, not annualised, from two of them on.
-    ``drawdowns`` asks for the largest fall inside the last n observations as well."""
+    ``drawdowns`` asks for the largest fall inside the last n observations as well, and ``keep`` for close or volume."""
     rows = bars.select("symbol", "trade_date", "close", "volume", *(change_pct(n).alias(f"return_{n}d") for n in (1, *windows)))
     daily = F.col("return_1d") / 100
     returns = {"r": F.coalesce(daily, F.lit(0.0)), "rr": F.coalesce(daily * daily, F.lit(0.0)), "k": daily.isNotNull().cast("long")}
@@ -87,7 +89,8 @@ def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volati
         join |= DRAWDOWN
     # before the window is full, volatility is that of all rows so far
     so_far = [F.sum(c).over(by_date().rowsBetween(Window.unboundedPreceding, 0)).alias(f"{k}_so_far") for k, c in returns.items()]
-    spans = Spans(rows.select("*", *so_far), start, join).grow(sorted({*windows, volatility_window, 20, *drawdowns})).rows
+    wanted = {"close": windows, "volume": (20,)} | dict.fromkeys(returns, (volatility_window,)) | dict.fromkeys(DRAWDOWN if drawdowns else (), drawdowns)
+    spans = Spans(rows.select("*", *so_far), start, join).grow(wanted)
     out = {"return_1d": F.col("return_1d")}
     for n in windows:
         average = F.col(f"close__{n}") / n
@@ -104,7 +107,7 @@ def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volati
         "volume_state": volume_state(ratio),
     }
     out |= {f"max_drawdown_{n}d": F.col(f"fall__{n}") for n in drawdowns}
-    return spans.select("symbol", "trade_date", *(c.alias(k) for k, c in out.items()))
+    return spans.select("symbol", "trade_date", *keep, *(c.alias(k) for k, c in out.items()))
 
 
 def volume_state(ratio: Column) -> Column:
@@ -114,7 +117,7 @@ def volume_state(ratio: Column) -> Column:
 def drawdowns(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250)) -> DataFrame:
     """Largest fall in percent from a running peak inside the last n observations, on every date."""
     rows = bars.select("symbol", "trade_date", "close")
-    spans = Spans(rows, {"top": F.col("close"), "low": F.col("close"), "fall": F.lit(0.0)}, DRAWDOWN).grow(windows).rows
+    spans = Spans(rows, {"top": F.col("close"), "low": F.col("close"), "fall": F.lit(0.0)}, DRAWDOWN).grow(dict.fromkeys(DRAWDOWN, windows))
     return spans.select("symbol", "trade_date", *(F.col(f"fall__{n}").alias(f"max_drawdown_{n}d") for n in windows))
 
 

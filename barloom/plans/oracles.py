@@ -268,7 +268,7 @@ def _with(body: str, *parts: str) -> str:
 
 def _r(*columns: str) -> str:
     """Columns rounded as the queries round them, without a negative zero."""
-    return ", ".join(f"round(round({c}, {SETTLED}), {PLACES}) + 0.0 AS {c}" for c in columns)
+    return ", ".join(f"CAST(round(CAST({c} AS DECIMAL(30, {SETTLED})), {PLACES}) AS DOUBLE) AS {c}" for c in columns)
 
 
 _PANEL_COLUMNS = ("return_1d", "return_20d", "ma_20", "ma_distance_20d", "return_60d", "ma_60", "ma_distance_60d", "return_120d", "ma_120", "ma_distance_120d", "return_250d", "ma_250", "ma_distance_250d", "volume_avg_20", "volatility_60d", "volume_ratio_20d")

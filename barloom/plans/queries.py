@@ -246,7 +246,7 @@ def _second(p: Panel, failing: bool = False) -> tuple[DataFrame, DataFrame, Data
     states = second_screen.states_of(best, p.recent, p.day, outcome)
     deep = second_screen.metrics(best, p.recent, p.recent_ratios, p.day, metrics)
     failed = best.where("rank % 4 = 2").select("symbol") if failing else None
-    deep = second_screen.isolated(deep, failed) if failing else deep
+    deep = durable(second_screen.isolated(deep, failed) if failing else deep)  # sixteen rows a candidate
     why = durable(second_screen.reasons(deep, reasons.join(F.broadcast(best.select("symbol")), "symbol", "left_semi"), states))
     return best, why, second_screen.ranked(best, why, states, failed)
 
@@ -506,7 +506,7 @@ def result_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every change worth telling, on every date of every symbol, by metric and kind."""
-    found = results.changes(results.daily(Panel(spark, sf_dir).bars))
+    found = results.history_changes(Panel(spark, sf_dir).bars)
     return shown(found.groupBy("symbol", "metric", "change").agg(F.count("*").alias("changes"), F.max("delta").alias("greatest"), F.max("market_date").alias("last_date")))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import clean_text, first_of, flexible_date, is_common_stock_code, roc_date, to_integer, to_number
+from barloom.functions.scalar import clean_text, first_of, flexible_date, is_common_stock_code, let, roc_date, to_integer, to_number
 from barloom.operators.validate import bar_problem, price_class
 
 ZONE = "Asia/Taipei"
@@ -38,7 +38,7 @@ def _split(rows: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("problem is null").select(*keep), rows.where("problem is not null").select("payload_id", "position", "problem")
 
 
-def _worked_out(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+def _worked_out(rows: DataFrame, keep: list[str], /, **columns: Column) -> DataFrame:
     """``rows`` with columns that are worked out once each: a filter on what is made of them can't be pushed below
     and repeat them."""
     return rows.select(*keep, F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
@@ -72,7 +72,7 @@ def _records(payloads: DataFrame, fields: tuple[str, ...]) -> DataFrame:
         (some(lacking), "field_missing"),
         (some(other), "field_not_text"),
     )
-    read = _parsed(payloads).withColumn("items", items).withColumn("problem", whole)
+    read = _worked_out(_worked_out(_parsed(payloads), ["payload_id", "payload", "v"], items=items), ["payload_id", "payload"], problem=whole)
     schema = "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>"
     records = F.when(F.col("problem").isNull(), F.from_json("payload", schema))
     return read.select("payload_id", F.col("problem").alias("whole"), F.posexplode_outer(records).alias("position", "r")).select("payload_id", "whole", "position", "r.*")
@@ -128,27 +128,29 @@ def monthly_history(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def judged(r: Column, c: Column) -> Column:
         dash = [(cell(r, k) == "--").cast("int") for k in range(3, 7)]
-        dashes = sum(dash[1:], dash[0])
-        day = F.when(cell(r, 0).rlike("^[0-9]{3}/[0-9]{2}/[0-9]{2}$"), roc_date(cell(r, 0)))
-        prices = [F.when(cell(r, k).rlike(grouped + r"(?:\.[0-9]+)?$"), to_number(cell(r, k))) for k in range(3, 7)]
-        whole = F.array(*[~F.coalesce(cell(r, k).rlike(grouped + "$"), F.lit(False)) for k in (1, 2, 8)])
-        o, h, lo, cl = prices
-        lacking = o.isNull() | h.isNull() | lo.isNull() | cl.isNull()
+        price = lambda k: let(cell(r, k), lambda t: F.when(t.rlike(grouped + r"(?:\.[0-9]+)?$"), F.replace(t, F.lit(","), F.lit("")).try_cast("double")))
+        parts = {"open": price(3), "high": price(4), "low": price(5), "close": price(6), "volume": to_integer(cell(r, 1)), "dashes": sum(dash[1:], dash[0]), "trade_date": F.when(cell(r, 0).rlike("^[0-9]{3}/[0-9]{2}/[0-9]{2}$"), roc_date(cell(r, 0)))}
+        whole = F.forall(F.array(*[cell(r, k) for k in (1, 2, 8)]), lambda t: F.coalesce(t.rlike(grouped + "$"), F.lit(False)))
+        malformed = (F.size(c) != len(MONTHLY)) | F.exists(c, lambda x: _type(x) != "STRING")
+        return let(F.struct(*(v.alias(k) for k, v in parts.items()), whole.alias("whole"), malformed.alias("malformed")), told)
+
+    def told(x: Column) -> Column:
+        o, h, lo, cl = (x[k] for k in ("open", "high", "low", "close"))
         problem = first_of(
-            ((F.size(c) != len(MONTHLY)) | F.exists(c, lambda x: _type(x) != "STRING"), "row_malformed"),
-            (day.isNull(), "date_invalid"),
-            (F.date_format(day, "yyyyMM") != of_month, "date_out_of_month"),
-            (F.array_contains(whole, True), "number_invalid"),
-            (dashes == 4, F.lit(None).cast("string")),
-            (dashes > 0, "price_partial"),
-            (lacking, "number_invalid"),
+            (x["malformed"], "row_malformed"),
+            (x["trade_date"].isNull(), "date_invalid"),
+            (F.date_format(x["trade_date"], "yyyyMM") != of_month, "date_out_of_month"),
+            (~x["whole"], "number_invalid"),
+            (x["dashes"] == 4, F.lit(None).cast("string")),
+            (x["dashes"] > 0, "price_partial"),
+            (o.isNull() | h.isNull() | lo.isNull() | cl.isNull(), "number_invalid"),
             (F.least(o, h, lo, cl) <= 0, "price_not_positive"),
             (h < F.greatest(o, lo, cl), "high_not_highest"),
             (lo > F.least(o, h, cl), "low_not_lowest"),
         )
-        return F.struct(problem.alias("problem"), day.alias("trade_date"), o.alias("open"), h.alias("high"), lo.alias("low"), cl.alias("close"), to_integer(cell(r, 1)).alias("volume"), (dashes == 4).alias("no_trade"))
+        return F.struct(problem.alias("problem"), *(x[k].alias(k) for k in ("trade_date", "open", "high", "low", "close", "volume")), (x["dashes"] == 4).alias("no_trade"))
 
-    read = read.withColumn("rows", F.zip_with("data", "cells", judged))
+    read = _worked_out(read, read.columns, rows=F.zip_with("data", "cells", judged))
     inside = lambda d: F.coalesce(d >= F.col("start_date"), F.lit(True)) & F.coalesce(d <= F.col("end_date"), F.lit(True))
     kept = F.filter("rows", lambda r: ~r["no_trade"] & inside(r["trade_date"]))
     dates = F.transform("rows", lambda r: r["trade_date"])
@@ -166,7 +168,8 @@ def monthly_history(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.col("total") != F.size("data"), "total_mismatch"),
         (F.size(kept) == 0, "no_trading_data"),
     )
-    out = read.withColumn("problem", whole).select("payload_id", "problem", "symbol", F.posexplode_outer(F.when(F.col("problem").isNull(), kept)).alias("position", "r"))
+    judged_ = _worked_out(read, ["payload_id", "symbol"], problem=whole, kept=kept)
+    out = judged_.select("payload_id", "problem", "symbol", F.posexplode_outer(F.when(F.col("problem").isNull(), F.col("kept"))).alias("position", "r"))
     rows = out.select("payload_id", "position", "problem", "symbol", "r.trade_date", "r.open", "r.high", "r.low", "r.close", "r.volume", F.lit("primary").alias("source"))
     return _split(rows, *BAR)
 
@@ -214,7 +217,7 @@ def candles(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.size(F.array_distinct(days)) < F.size(days), F.coalesce(F.get(F.filter(problems, lambda p: p == "date_invalid"), F.lit(0)), F.lit("date_repeated"))),
         (F.size(problems) > 0, F.get(problems, F.lit(0))),
     )
-    out = raw.withColumn("problem", whole).select("payload_id", "problem", "symbol", F.posexplode_outer(F.when(F.col("problem").isNull(), F.col("data"))).alias("position", "d"))
+    out = _worked_out(raw, ["payload_id", "symbol", "data"], problem=whole).select("payload_id", "problem", "symbol", F.posexplode_outer(F.when(F.col("problem").isNull(), F.col("data"))).alias("position", "d"))
     return _split(out.select("payload_id", "position", "problem", F.btrim("symbol").alias("symbol"), day(F.col("d")).alias("trade_date"), "d.open", "d.high", "d.low", "d.close", "d.volume", F.lit("secondary").alias("source")), *BAR)
 
 

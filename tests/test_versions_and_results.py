@@ -274,6 +274,14 @@ def test_changes(spark):
     ]
 
 
+def test_changes_straight_from_bars_are_those_of_the_results(spark):
+    import math
+
+    frame = series(spark, [100 + 9 * math.sin(k / 5) + (k % 7) for k in range(150)], volumes=[1000 + (k % 11 == 0) * 3000 for k in range(150)])
+    stored, straight = results.changes(results.daily(frame)), results.history_changes(frame)
+    assert sorted(map(tuple, stored.select(straight.columns).collect()), key=str) == sorted(map(tuple, straight.collect()), key=str) and stored.count() > 300
+
+
 def test_valuations_are_carried_and_their_date_counts(spark):
     days = spark.createDataFrame([("a", D(k)) for k in (1, 2, 3, 4, 5)], "symbol string, market_date date")
     ratios = spark.createDataFrame([("a", D(2), "price_to_book_ratio", 1.5, "s"), ("a", D(4), "price_to_book_ratio", 1.5, "s"), ("a", D(4), "price_to_book_ratio", 1.0, "r")], "symbol string, metric_date date, name string, value double, source string")
