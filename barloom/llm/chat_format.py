@@ -11,7 +11,8 @@ Defined cases: a null text is an empty one and a null role is ``unknown``; turns
 role and text, null turns first, and repeated rows stay repeated; a pair with one side missing has an
 empty conversation there; pairs with equal sides have all turns in the prompt and empty completions;
 rows without an id belong to no conversation and are left out; empty tables give an empty result;
-other columns are ignored.
+other columns are ignored. ``swapped_answers`` finds neighbours by the lowest bit of the id, so ids have to
+be whole numbers there; ``format_pairs`` takes ids of any type.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.shared import offsets
+
 OPEN, END = "<|", "<|end|>\n"
 
 
@@ -52,15 +55,14 @@ def rendered(turns: Column) -> Column:
 
 def learnt(turns: Column, role: str = "assistant") -> Column:
     """start:end of the ranges of ``rendered(turns)`` to learn from, in code points, ends exclusive, comma-joined."""
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
+    sizes = F.transform(turns, lambda t: F.char_length(_head(t)) + F.char_length(t["text"]) + len(END))
 
-    def step(s: Column, t: Column) -> Column:
-        begin = s["pos"] + F.char_length(_head(t))
+    def spanned(t: Column, before: Column) -> Column:
+        begin = before + F.char_length(_head(t))
         stop = begin + F.char_length(t["text"]) + (len(END) - 1)
-        own = F.when(t["role"] == role, F.array(F.concat_ws(":", begin.cast("string"), stop.cast("string")))).otherwise(F.array().cast("array<string>"))
-        return F.struct((stop + 1).alias("pos"), F.concat(s["out"], own).alias("out"))
+        return F.when(t["role"] == role, F.concat_ws(":", begin.cast("string"), stop.cast("string")))
 
-    return F.aggregate(turns, start, step, lambda s: F.array_join(s["out"], ","))
+    return F.array_join(F.array_compact(F.zip_with(turns, offsets(sizes), spanned)), ",")
 
 
 def format_pairs(pairs: DataFrame) -> DataFrame:

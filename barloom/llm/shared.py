@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.scalar import let
 from barloom.functions.session import durable, shared_folder
 
 __all__ = ["ascii_lower", "bodies", "connected_components", "durable", "fresh_name", "let", "offsets", "shared_folder", "table", "wide_hash"]
@@ -45,11 +46,6 @@ def wide_hash(value: Column) -> Column:
     return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit("second"), value).alias("b"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def offsets(sizes: Column, block: int = 128) -> Column:
     """The running total before each element of an array of whole numbers. As arrays grow by being copied,
     totals run inside blocks first and over the blocks then."""
