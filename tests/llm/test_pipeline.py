@@ -5,6 +5,8 @@ import __spark_entry__
 import corpus_pipeline
 from barloom.llm import decontaminate, mixing, quality, queries, sharding, simhash
 
+from tests.llm.conftest import clashing
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -43,6 +45,22 @@ def test_run_is_the_stages_in_order(spark, stages):
     assert [name for name, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns; then an empty table."""
+    rows = clashing(odd)
+    for docs in (rows, clashing(none)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == rows.columns
+            docs = spark.createDataFrame(docs.collect(), rows.schema)  # as if written and read again
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert last.columns == [*rows.columns, "shard", "vslot_"] and last.count() == docs.count()
+    # near copies stay once whatever their ids, and rows without id or text aren't lost but to the classifier
+    single = corpus_pipeline.near_dedup(spark, rows, SF)
+    kept = sorted({(r.text or "").strip().lower()[:40] for r in single.collect()})
+    assert kept == sorted({(r.text or "").strip().lower()[:40] for r in rows.collect()}) and single.count() < rows.count()
+
+
 def test_registered_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
