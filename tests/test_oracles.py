@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 QUICK = (
     "bars", "bar_checks", "batch_identity", "source_roles", "text_forms", "local_dates", "price_status", "valuations_as_of", "previous_results", "merged_history", "market_days", "readiness",
     "panel_indicators", "panel_drawdowns", "whole_history_risk", "first_candidates", "universe_members", "second_ranking", "history_summary", "version_coverage", "supplement_decisions",
-    "result_changes", "discrepancy_changes", "quality_frequency", "run_roll_ups",
+    "result_changes", "discrepancy_changes", "quality_frequency", "run_roll_ups", "run_quality", "broken_versions", "broken_rows", "reconcile_inputs", "structure_problems", "universe_conflicts", "daily_results",
+    "month_rejects", "candle_rejects", "snapshot_rejects", "insert_conflicts", "upserts", "redacted_messages", "clean_references", "json_scalars", "table_digests",
 )
 
 
