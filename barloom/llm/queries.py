@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import chat_format, conversation_sql, conversation_trie, decontaminate, fingerprints, html_extract, line_dedup, mixing, quality, secret_scan, sharding, simhash
+from barloom.llm import chat_format, conversation_repair, conversation_sql, conversation_trie, decontaminate, embedding_dedup, fingerprints, html_extract, line_dedup, mixing, quality, secret_scan, sharding, simhash
 from barloom.llm.shared import table
 
 
@@ -54,6 +54,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 _OP2 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -136,8 +144,8 @@ FROM placed LEFT JOIN cut USING (key) LEFT JOIN last USING (key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_preferences, op5_mixing, op6_main_text, op7_simhash, op8_secrets, op9_fingerprints, op10_quality, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_preferences, op5_mixing, op6_main_text, op7_simhash, op8_secrets, op9_fingerprints, op10_quality, op11_prefix_trie, op12_embedding_dedup, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_preferences": _OP4, "op5_mixing": _OP5, "op11_prefix_trie": conversation_sql.OP11}
+    return {"op2_decontamination": _OP2, "op3_line_dedup": _OP3, "op4_preferences": _OP4, "op5_mixing": _OP5, "op11_prefix_trie": conversation_sql.OP11, "op12_embedding_dedup": conversation_sql.OP12, "op13_conversation_repair": conversation_sql.OP13}
