@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from barloom.llm.shared import connected_components, durable, wide_hash
 
 THRESHOLD = 0.98
-RECALL = 1.0  #: share of pairs at the threshold that the visited cells have to hold
+RECALL = 0.999  #: share of pairs at the threshold, the hardest, that the visited cells have to hold; 1 misses none
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000  #: most vectors, and most numbers, that codebooks are fitted on
+PAIRS = 10_000  #: pairs at the threshold that say how far to go
 OCCUPANCY = 64  #: vectors of the largest label that a cell is meant for
 MAX_CENTROIDS = 1024
 BLOCK = 1024  #: vectors of a side of a cell that are verified at once
@@ -116,14 +117,17 @@ def fit(sample: np.ndarray, largest: int, threshold: float = THRESHOLD, recall:
     if recall >= 1:
         return Index(books, cut, whole * (1 + 1e-9))
     rng = np.random.default_rng(seed)
-    x = sample[rng.integers(0, len(sample), 4000)]
-    aside = rng.standard_normal(x.shape)
-    aside -= (aside * x).sum(axis=1, keepdims=True) * x
-    y = threshold * x + (1 - threshold**2) ** 0.5 * aside / np.linalg.norm(aside, axis=1, keepdims=True)
-    needed = np.zeros(len(x))
-    for part, book in ((slice(0, cut), books[0]), (slice(cut, None), books[1])):
-        needed += ways(x[:, part], book)[np.arange(len(x)), squared(y[:, part], book).argmin(axis=1)]
-    return Index(books, cut, float(min(whole, np.quantile(needed, recall))))
+    x, other, third = (sample[rng.integers(0, len(sample), PAIRS)] for _ in range(3))
+    reach = 0.0
+    for aside in (rng.standard_normal(x.shape), other - third):  # any direction, and those in which vectors differ
+        aside = aside - (aside * x).sum(axis=1, keepdims=True) * x
+        long = np.linalg.norm(aside, axis=1, keepdims=True)
+        y = threshold * x + (1 - threshold**2) ** 0.5 * aside / long.clip(1e-12)
+        needed = np.zeros(len(x))
+        for part, book in ((slice(0, cut), books[0]), (slice(cut, None), books[1])):
+            needed += ways(x[:, part], book)[np.arange(len(x)), squared(y[:, part], book).argmin(axis=1)]
+        reach = max(reach, float(np.quantile(needed[long[:, 0] > 1e-9], recall))) if (long > 1e-9).any() else reach
+    return Index(books, cut, min(whole * (1 + 1e-9), reach))
 
 
 def traversal(first: np.ndarray, second: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
