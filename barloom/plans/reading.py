@@ -227,14 +227,16 @@ def _loads(p: Panel) -> tuple[DataFrame, DataFrame]:
 
 
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table after two loads, of which the second repeats rows of itself and writes over the first."""
+    """The table after three loads: the second repeats rows of itself and writes over the first, and the third moves some
+    days of every month to another partition, and others to none."""
     one, two = _loads(Panel(spark, sf_dir))
-    path = fresh_folder(spark, "upserts")
-    again = two.select("*", F.explode(F.when(DAY("trade_date") == 16, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn"))
+    path, day = fresh_folder(spark, "upserts"), DAY("trade_date")
+    again = two.select("*", F.explode(F.when(day == 16, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn"))
     again = again.withColumn("volume", F.col("volume") + F.col("turn") - 1)
-    sinks.upsert(one.withColumn("turn", F.lit(9)), path, ["symbol", "trade_date"], ["turn"], "year")
-    sinks.upsert(again, path, ["symbol", "trade_date"], ["turn"], "year")
-    return spark.read.parquet(path).select("symbol", "trade_date", "volume")
+    moved = one.where(day.isin(4, 9)).withColumn("year", F.when(day == 4, F.concat("year", F.lit("b")))).withColumn("volume", -F.col("volume"))
+    for load in (one.withColumn("turn", F.lit(9)), again, moved.withColumn("turn", F.lit(0))):
+        sinks.upsert(load, path, ["symbol", "trade_date"], ["turn"], "year")
+    return sinks.stored_table(spark, path).select("symbol", "trade_date", "volume", "year")
 
 
 def insert_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +287,7 @@ def backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
         if load is not None:
             _bar_files(load, incoming)
         incremental.backfill(spark, incoming, table, point).awaitTermination()
-    return spark.read.parquet(table).select("symbol", "trade_date", "volume", "source")
+    return sinks.stored_table(spark, table).select("symbol", "trade_date", "volume", "source")
 
 
 def backfill_states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,10 @@ def oracle_sql(with_: Callable[..., str], r: Callable[..., str]) -> dict[str, st
         "clean_references": "SELECT o_orderkey AS k, o_orderkey % 9 IN (0, 3) AS clean FROM orders",
         "json_scalars": f"""SELECT k, kind, {r('number')}, text, truth FROM (SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'number' WHEN 3 THEN 'string' WHEN 6 THEN 'number' END AS kind, CASE o_orderkey % 9 WHEN 2 THEN o_orderkey + 0.5 WHEN 6 THEN CAST(o_orderkey AS DOUBLE) END AS number,
             CASE WHEN o_orderkey % 9 = 3 THEN 'a' || o_orderkey || chr(10) END AS text, CASE WHEN o_orderkey % 9 = 1 THEN true END AS truth FROM orders)""",
-        "upserts": with_("SELECT symbol, trade_date, volume + CASE WHEN day(trade_date) = 16 THEN 8 WHEN day(trade_date) >= 15 THEN 7 ELSE 0 END AS volume FROM b"),
+        "upserts": with_(
+            """SELECT symbol, trade_date, CASE WHEN day(trade_date) IN (4, 9) THEN -volume WHEN day(trade_date) = 16 THEN volume + 8 WHEN day(trade_date) >= 15 THEN volume + 7 ELSE volume END AS volume,
+            CASE day(trade_date) WHEN 4 THEN 'm' || year(trade_date) || 'b' WHEN 9 THEN NULL ELSE 'm' || year(trade_date) END AS year FROM b"""
+        ),
         "insert_conflicts": with_(
             """SELECT symbol, outcome, CAST(sum(n) AS BIGINT) AS n FROM (SELECT symbol, CASE WHEN day(trade_date) % 5 = 0 OR (day(trade_date) % 3 = 0 AND day(trade_date) % 2 = 0) THEN 'conflict' WHEN day(trade_date) % 2 = 1 THEN 'appended' END AS outcome, CASE WHEN day(trade_date) % 5 = 0 THEN 2 ELSE 1 END AS n FROM b) WHERE outcome IS NOT NULL GROUP BY symbol, outcome"""
         ),

@@ -1,29 +1,20 @@
-"""Parquet and JSON sinks: the last write of a key wins, or a key is written once and never again."""
+"""Parquet and JSON sinks: a key is written once and never again, or the last write of a key wins (``keyed_table``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.session import fresh_folder, remove_folder
+from barloom.sources.keyed_table import current, latest_wins, one_per_key, upsert
 
-
-def one_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in ``order``; rows that tie there are told apart by all their columns, so the
-    choice never depends on how they were dealt."""
-    rest = [F.desc_nulls_last(c) for c, t in rows.dtypes if c not in keys and not t.startswith("map")]
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))).where("_rn = 1").drop("_rn")
-
-
-def latest_wins(old: DataFrame | None, new: DataFrame, keys: list[str], arrived: list[str]) -> DataFrame:
-    """One row per key: a new row over an old one, whatever they say, and of new ones the last by ``arrived``."""
-    rows = new.withColumn("_new", F.lit(1))
-    rows = rows.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True) if old is not None else rows
-    return one_per_key(rows, keys, [F.desc("_new"), *(F.desc_nulls_last(c) for c in arrived)]).drop("_new")
+__all__ = ["insert_once", "keyed_read", "latest_wins", "one_per_key", "stored_table", "upsert", "write_report", "write_universe"]
 
 
 def stored_table(spark, path: str) -> DataFrame | None:
-    """The table at ``path``, none before its first load."""
+    """The table at ``path``, of keys or of plain Parquet, none before its first load."""
+    keyed = current(spark, path)
+    if keyed is not None:
+        return keyed
     try:
         return spark.read.parquet(path)
     except Exception as e:
@@ -32,25 +23,6 @@ def stored_table(spark, path: str) -> DataFrame | None:
         return None
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], arrived: list[str], partition: str) -> None:
-    """Merges a load into a table partitioned by ``partition``: the last write of a key wins. Columns named in
-    ``arrived`` say in which order the rows of the load came and aren't stored, unless they are keys.
-
-    Only the partitions that the load touches are read and written. The merged rows go to a folder of their own in
-    the shared folder first, as a table can't be read while it is overwritten; a load that is lost in between
-    is written again by running it again."""
-    spark = new.sparkSession
-    touched = [r[0] for r in new.select(partition).distinct().collect()]  # partitions of one load
-    columns = [c for c in new.columns if c not in arrived or c in keys]
-    old = stored_table(spark, path)
-    old = old.where(F.col(partition).isin(touched)).select(columns) if old is not None else None
-    merged = latest_wins(old, new, keys, arrived).select(columns)
-    staged = fresh_folder(spark, "staged")
-    merged.write.parquet(staged)
-    spark.read.schema(merged.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    remove_folder(spark, staged)
-
-
 def insert_once(new: DataFrame, old: DataFrame | None, keys: list[str], payload: str = "payload_sha256") -> tuple[DataFrame, DataFrame]:
     """(rows to append, conflicts): a known key with the same payload is nothing to do; a key with two payloads,
     stored or in the load itself, is a conflict, and none of its rows is appended."""

@@ -149,8 +149,8 @@ def test_sinks(spark, tmp_path):
     sinks.upsert(months(bars(spark, [1, 2, 20]), 9), path, key, ["n"], "month")
     twice = months(bars(spark, [2, 3], close=7.0), 1).unionByName(months(bars(spark, [3], close=8.0), 2)).unionByName(months(bars(spark, [3], close=6.0), 0))
     sinks.upsert(twice, path, key, ["n"], "month")  # the last write wins, whatever the first said of its order
-    got = {r.trade_date: r.close for r in sinks.keyed_read(spark.read.parquet(path), "0001").collect()}
-    assert got == {D(1): 10.0, D(2): 7.0, D(3): 8.0, D(20): 10.0} and "n" not in spark.read.parquet(path).columns
+    got = {r.trade_date: r.close for r in sinks.keyed_read(sinks.stored_table(spark, path), "0001").collect()}
+    assert got == {D(1): 10.0, D(2): 7.0, D(3): 8.0, D(20): 10.0} and "n" not in sinks.stored_table(spark, path).columns
     old = spark.createDataFrame([(1, "x"), (4, "w")], "k int, payload_sha256 string")
     load = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, "a"), (3, "b"), (4, "v"), (5, None)], old.schema)
     fresh, conflicts = sinks.insert_once(load, old, ["k"])
@@ -168,13 +168,13 @@ def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
     bars(spark, [2, 3]).write.mode("append").parquet(incoming)
     incremental.backfill(spark, incoming, table, point).awaitTermination()
     incremental.backfill(spark, incoming, table, point).awaitTermination()
-    assert sorted(r.trade_date for r in spark.read.parquet(table).collect()) == [D(1), D(2), D(3)]
-    assert {r.source for r in spark.read.parquet(table).collect()} == {"primary"}
+    assert sorted(r.trade_date for r in sinks.stored_table(spark, table).collect()) == [D(1), D(2), D(3)]
+    assert {r.source for r in sinks.stored_table(spark, table).collect()} == {"primary"}
     bars(spark, [3], "primary", close=3.0).write.mode("append").parquet(incoming)
     bars(spark, [3], "secondary", close=4.0).write.mode("append").parquet(incoming)
     incremental.backfill(spark, incoming, table, point).awaitTermination()  # a later row wins over its own source's alone
-    assert sorted((r.source, r.close) for r in spark.read.parquet(table).where(F.col("trade_date") == F.lit(D(3))).collect()) == [("primary", 3.0), ("secondary", 4.0)]
-    assert incremental.backfill_state(spark.read.parquet(table), 4, 1).first().state == "out_of_months" and incremental.backfill_state(spark.read.parquet(table), 3, 1).first().state == "complete"
+    assert sorted((r.source, r.close) for r in sinks.stored_table(spark, table).where(F.col("trade_date") == F.lit(D(3))).collect()) == [("primary", 3.0), ("secondary", 4.0)]
+    assert incremental.backfill_state(sinks.stored_table(spark, table), 4, 1).first().state == "out_of_months" and incremental.backfill_state(sinks.stored_table(spark, table), 3, 1).first().state == "complete"
 
 
 def test_backfill_stops_at_enough_rows(spark, tmp_path):
@@ -183,7 +183,7 @@ def test_backfill_stops_at_enough_rows(spark, tmp_path):
         bars(spark, [3 * k + 1, 3 * k + 2, 3 * k + 3]).coalesce(1).write.mode("append").parquet(incoming)
         bars(spark, [3 * k + 1], symbol="0002").coalesce(1).write.mode("append").parquet(incoming)
         incremental.backfill(spark, incoming, table, str(tmp_path / "p"), per_trigger=2, target_rows=5).awaitTermination()
-    assert {r.symbol: r["count"] for r in spark.read.parquet(table).groupBy("symbol").count().collect()} == {"0001": 6, "0002": 4}
+    assert {r.symbol: r["count"] for r in sinks.stored_table(spark, table).groupBy("symbol").count().collect()} == {"0001": 6, "0002": 4}
 
 
 def test_late_bars_open_child_versions_once(spark, tmp_path):
@@ -205,4 +205,4 @@ def test_replay_keeps_the_stored_result(spark, tmp_path):
     incremental.replay(spark, incoming, schema, table, ["k"], str(tmp_path / "p")).awaitTermination()
     spark.createDataFrame([(1, "z"), (3, "c")], schema).write.mode("append").parquet(incoming)
     incremental.replay(spark, incoming, schema, table, ["k"], str(tmp_path / "p")).awaitTermination()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted((r.k, r.v) for r in sinks.stored_table(spark, table).collect()) == [(1, "a"), (2, "b"), (3, "c")]
