@@ -36,6 +36,7 @@ SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000  #: most vectors, and most numbers, t
 PAIRS = 10_000  #: pairs at the threshold that say how far to go
 OCCUPANCY = 64  #: vectors of the largest label that a cell is meant for
 MAX_CENTROIDS = 1024
+BROADCAST_CELLS = 100_000  #: large cells, of four numbers each, up to which they are sent to all
 BLOCK = 1024  #: vectors of a side of a cell that are verified at once
 
 
@@ -225,7 +226,9 @@ def linked(distinct: DataFrame, index: Index, threshold: float = THRESHOLD, bloc
     rows = distinct.select("label", "rid", "n", "vec")
     places = rows.mapInArrow(_visits(index, False), T.StructType([label, *cells]))
     large = places.groupBy(*key).agg(F.count_if("home").alias("stored"), F.count("*").alias("asking")).where(F.greatest("stored", "asking") > block)
-    cuts = large.select(*key, *[F.ceil(F.col(c) / block).cast("int").alias(f"{c}_blocks") for c in ("stored", "asking")])
+    cuts = durable(large.select(*key, *[F.ceil(F.col(c) / block).cast("int").alias(f"{c}_blocks") for c in ("stored", "asking")]))
+    if cuts.count() <= BROADCAST_CELLS:
+        cuts = F.broadcast(cuts)
     visits = rows.mapInArrow(_visits(index, True), T.StructType([label, distinct.schema["rid"], distinct.schema["n"], distinct.schema["vec"], *cells]))
     dealt = visits.join(cuts, key, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("stored_blocks", "asking_blocks")})
     own_i = F.pmod(F.xxhash64("rid"), F.col("stored_blocks")).cast("int")
