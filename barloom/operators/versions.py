@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import content_id, first_of, group_id
+from barloom.functions.session import durable
 from barloom.operators.validate import bar_problem
 from barloom.schemas import OHLCV
 
@@ -28,10 +29,12 @@ STATES = {
     "reconciled_equal": ("reconciled", "reconciled", "reconciled_equal", "reconciled"),
     "reconciled_discrepant": ("reconciled", "reconciled", "reconciled_discrepant", "reconciled"),
 }
+OPEN = ("provisional_complete", "reconciliation_pending")
 COMPLETE = ("canonical_complete", "reconciled_equal", "reconciled_discrepant")
 
 # The dimensions of an instrument's identity in order, and the reason each mismatch gives.
 IDENTITY = {"symbol": "identity_mismatch", "market": "market_mismatch", "exchange": "identity_mismatch", "currency": "currency_mismatch", "security_type": "security_type_mismatch"}
+KEY = ("symbol", "target_date")
 # Which source may hold which role.
 PROVIDERS = {"canonical": ("primary",), "supplemental": ("secondary",), "validation": ("primary", "secondary")}
 
@@ -78,26 +81,34 @@ def structure(rows: DataFrame, order: str = "position") -> DataFrame:
 
 
 def date_sets(required: DataFrame, canonical: DataFrame, other: DataFrame) -> DataFrame:
-    """A row per symbol and date of either source or the required dates, with what is there and whether both agree."""
-    side = lambda t, n: t.select("symbol", "trade_date", F.struct(*OHLCV).alias(n))
-    need = required.select("symbol", "trade_date", F.lit(True).alias("required"))
-    return need.join(side(canonical, "c"), ["symbol", "trade_date"], "full").join(side(other, "s"), ["symbol", "trade_date"], "full").select("symbol", "trade_date", F.coalesce("required", F.lit(False)).alias("required"), "c", "s")
+    """A row per symbol and date of either source or the required dates - and per target date, if the required dates
+    have one: whether it is required, which source has it (c, s), and whether any of their rows differ. Rows
+    that repeat a date make it no second one."""
+    keys = [c for c in KEY if c in required.columns]
+    of_targets = lambda t: t if "target_date" in t.columns or len(keys) == 1 else t.join(required.select(*keys).distinct(), "symbol").where("trade_date <= target_date")
+    side = lambda t, n: of_targets(t).select(*keys, "trade_date", F.struct(*OHLCV).alias(n))
+    need = required.select(*keys, "trade_date", F.lit(True).alias("required"))
+    joined = need.join(side(canonical, "c"), [*keys, "trade_date"], "full").join(side(other, "s"), [*keys, "trade_date"], "full")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return joined.groupBy(*keys, "trade_date").agg(some(F.col("required")).alias("required"), (F.count("c") > 0).alias("c"), (F.count("s") > 0).alias("s"), some(F.col("c") != F.col("s")).alias("differs"))
 
 
 def eligibility(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     """The decision per symbol, by the first case that applies, and the counts of dates behind it.
 
-    ``candidates`` has symbol, failure (class of the canonical source's failure), evidence_ok (null if there is
+    Dates are counted once each, however often a source has them. With target dates in ``sets`` and
+    ``candidates`` there is a decision for each. ``candidates`` has symbol, failure (class of the canonical source's failure), evidence_ok (null if there is
     no evidence to doubt), requested and returned (structs of the identity), security_ok, problem and
     canonical_problem (of the structure checks). Rejected are all dates of the other source where it was
     refused, and those that both have where it wasn't."""
-    c, s = F.col("c").isNotNull(), F.col("s").isNotNull()
+    keys = [k for k in KEY if k in sets.columns]
+    c, s = F.col("c"), F.col("s")
     missing = F.col("required") & ~c
-    facts = sets.groupBy("symbol").agg(
+    facts = sets.groupBy(*keys).agg(
         F.count_if(missing).alias("missing"), F.count_if(missing & s).alias("eligible"), F.count_if(c & s).alias("overlap"), F.count_if(s).alias("other"),
-        F.count_if(c & s & (F.col("c") != F.col("s"))).alias("differing"), F.count_if(s & ~c & ~F.col("required")).alias("unexpected"),
+        F.count_if("differs").alias("differing"), F.count_if(s & ~c & ~F.col("required")).alias("unexpected"),
     )
-    joined = candidates.join(facts, "symbol", "left").fillna(0, ["missing", "eligible", "overlap", "other", "differing", "unexpected"])
+    joined = candidates.join(facts, keys, "left").fillna(0, ["missing", "eligible", "overlap", "other", "differing", "unexpected"])
     joined = joined.withColumn("identity", identity_status(F.col("symbol"), F.col("requested"), F.col("returned")))
     before = [
         (F.col("missing") == 0, "not_needed"),
@@ -119,7 +130,7 @@ def eligibility(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     looked = first_of(*((cond, F.lit("not_checked")) for cond, _ in before), otherwise=F.col("identity"))
     overlap = F.when(F.col("reason") == "overlap_discrepancy", "discrepancy").when(F.col("accepted") & (F.col("overlap") > 0), "exact_match").otherwise("not_applicable")
     return out.select(
-        "symbol", "reason", through.alias("is_eligible"), looked.alias("identity_status"), overlap.alias("overlap_status"), "missing", F.when(through, F.col("eligible")).otherwise(0).alias("eligible_dates"),
+        *(k for k in KEY if k in candidates.columns), "reason", through.alias("is_eligible"), looked.alias("identity_status"), overlap.alias("overlap_status"), "missing", F.when(through, F.col("eligible")).otherwise(0).alias("eligible_dates"),
         F.when(F.col("reason") == "not_needed", 0).when(F.col("accepted"), F.col("overlap")).otherwise(F.col("other")).alias("rejected_dates"),
         F.when(through, F.col("missing") - F.col("eligible")).otherwise(F.col("missing")).alias("remaining_dates"), F.col("reason").isin("not_needed", "eligible_verified_supplemental").alias("coverage_complete"),
     )
@@ -129,19 +140,25 @@ def row_hash() -> Column:
     return content_id(F.col("symbol"), F.col("trade_date"), *(F.col(c) for c in OHLCV), F.col("provider"))
 
 
-def build(canonical: DataFrame, supplemental: DataFrame, validation: DataFrame, required: DataFrame, target) -> tuple[DataFrame, DataFrame]:
+def build(canonical: DataFrame, supplemental: DataFrame, validation: DataFrame, required: DataFrame, target=None) -> tuple[DataFrame, DataFrame]:
     """(versions, observations) with one version per symbol whose required dates are all covered: canonical, or
     provisional where the other source fills in. What is incomplete becomes no version.
 
-    Supplemental rows on dates that are canonical, or not required, are left out of the selection."""
-    role = lambda t, r, s: t.select("symbol", "trade_date", *OHLCV, F.col("source").alias("provider"), F.lit(r).alias("role"), F.lit(s).alias("selected"))
+    Without ``target`` the required dates have a target_date each, and a symbol gets a version for each, of the
+    rows up to it. Supplemental rows on dates that are canonical, or not required, are left out of the selection."""
+    if target is not None:
+        required = required.withColumn("target_date", F.lit(target))
+    targets = required.select(*KEY).distinct()
+    given = lambda t: t.withColumn("target_date", F.lit(target)) if target is not None else t.join(targets, "symbol").where("trade_date <= target_date")
+    role = lambda t, r, s: given(t).select(*KEY, "trade_date", *OHLCV, F.col("source").alias("provider"), F.lit(r).alias("role"), F.lit(s).alias("selected"))
+    dates = [*KEY, "trade_date"]
     main = role(canonical, "canonical", True)
-    fill = role(supplemental, "supplemental", True).join(required.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_semi").join(main.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
+    fill = role(supplemental, "supplemental", True).join(required.select(dates), dates, "left_semi").join(main.select(dates), dates, "left_anti")
     rows = main.unionByName(fill).unionByName(role(validation, "validation", False)).withColumn("row_sha256", row_hash())
-    ids = rows.groupBy("symbol").agg(group_id(F.concat_ws(":", "row_sha256", "role")).alias("provenance_sha256")).withColumn("version_id", content_id(F.col("symbol"), F.lit(str(target)), F.col("provenance_sha256"), length=32))
+    ids = rows.groupBy(*KEY).agg(group_id(F.concat_ws(":", "row_sha256", "role")).alias("provenance_sha256")).withColumn("version_id", content_id(F.col("symbol"), F.col("target_date"), F.col("provenance_sha256"), length=32))
     whole = coverage(rows, required).where("remaining = 0")
-    versions = ids.join(whole, "symbol").select("version_id", "symbol", F.lit(target).alias("target_date"), F.lit(None).cast("string").alias("parent_id"), "provenance_sha256", "required", "canonical", "supplemental", "missing", "remaining", status_of().alias("status"), F.lit(0).cast("long").alias("discrepancies"))
-    return versions, rows.join(versions.select("symbol", "version_id"), "symbol")
+    versions = ids.join(whole, [*KEY]).select("version_id", *KEY, F.lit(None).cast("string").alias("parent_id"), "provenance_sha256", "required", "canonical", "supplemental", "missing", "remaining", status_of().alias("status"), F.lit(0).cast("long").alias("discrepancies"))
+    return versions, rows.join(versions.select(*KEY, "version_id"), [*KEY]).drop("target_date")
 
 
 def status_of() -> Column:
@@ -149,11 +166,11 @@ def status_of() -> Column:
 
 
 def coverage(rows: DataFrame, required: DataFrame) -> DataFrame:
-    """Counts per symbol over the required dates: missing is required less canonical, remaining what nothing selected covers."""
-    chosen = rows.where("selected").select("symbol", "trade_date", "role")
-    per = required.select("symbol", "trade_date").join(chosen, ["symbol", "trade_date"], "left").groupBy("symbol").agg(
-        F.count_distinct("trade_date").alias("required"), F.count_distinct(F.when(F.col("role") == "canonical", F.col("trade_date"))).alias("canonical"), F.count_distinct(F.when(F.col("role") == "supplemental", F.col("trade_date"))).alias("supplemental"),
-    )
+    """Counts per symbol and target date over the required dates: missing is required less canonical, remaining what nothing
+    selected covers."""
+    chosen = rows.where("selected").select(*KEY, "trade_date", "role")
+    dates = required.select(*KEY, "trade_date").join(chosen, [*KEY, "trade_date"], "left").groupBy(*KEY, "trade_date").agg(*(F.coalesce(F.bool_or(F.col("role") == r), F.lit(False)).alias(r) for r in ("canonical", "supplemental")))
+    per = dates.groupBy(*KEY).agg(F.count("*").alias("required"), F.count_if("canonical").alias("canonical"), F.count_if("supplemental").alias("supplemental"))
     return per.withColumn("missing", F.col("required") - F.col("canonical")).withColumn("remaining", F.col("missing") - F.col("supplemental"))
 
 
@@ -241,31 +258,54 @@ def reconcile_problems(parents: DataFrame, rows: DataFrame, arrived: DataFrame,
     return joined.select("version_id", problem.alias("problem"))
 
 
-def reconcile(versions: DataFrame, rows: DataFrame, arrived: DataFrame, required: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _arrivals(versions: DataFrame, rows: DataFrame, arrived: DataFrame) -> DataFrame:
+    """(version_id, trade_date, new_...) of the supplemental rows of open versions for which a canonical row has arrived, each
+    with the fields that differ."""
+    late = arrived.select("symbol", "trade_date", *(F.col(c).alias(f"new_{c}") for c in OHLCV), F.col("source").alias("new_provider"))
+    open_ = versions.where(F.col("status").isin(*OPEN)).select("version_id")
+    filled = rows.where("selected and role = 'supplemental'").join(open_, "version_id", "left_semi")
+    fields = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"new_{c}")), c) for c in OHLCV]))
+    return filled.join(late, ["symbol", "trade_date"]).select("version_id", "trade_date", *(f"new_{c}" for c in OHLCV), "new_provider", fields.alias("differing"))
+
+
+def reconcile(versions: DataFrame, rows: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Children of the open provisional versions for which canonical rows have arrived; parents stay as they are.
 
-    A supplemental row that a canonical one now covers becomes validation, unselected."""
-    open_ = versions.where(F.col("status").isin("provisional_complete", "reconciliation_pending"))
-    late = arrived.select("symbol", "trade_date", *(F.col(c).alias(f"new_{c}") for c in OHLCV), F.col("source").alias("new_provider"))
-    held = rows.join(open_.select("version_id"), "version_id", "left_semi")
-    hit = held.where("role = 'supplemental'").join(late, ["symbol", "trade_date"])
-    differs = F.array_contains(F.array(*[F.coalesce(F.col(c) != F.col(f"new_{c}"), F.lit(True)) for c in OHLCV]), True)
-    outcomes = hit.groupBy("version_id").agg(F.count("*").alias("reconciled"), F.count_if(differs).alias("new_discrepancies"))
-    touched = held.join(outcomes.select("version_id"), "version_id", "left_semi").join(late, ["symbol", "trade_date"], "left")
+    A supplemental row that a canonical one now covers becomes validation, unselected. Counts go on from the
+    parent's, as each row that moves makes one supplemental date of that version canonical; so versions of one
+    symbol for several target dates don't touch each other."""
+    came = _arrivals(versions, rows, arrived)
+    per = came.groupBy("version_id").agg(F.count("*").alias("reconciled"), F.count_if(F.size("differing") > 0).alias("wrong"))
+    touched = rows.join(per.select("version_id"), "version_id", "left_semi").join(came, ["version_id", "trade_date"], "left")
     moved = F.col("new_provider").isNotNull() & (F.col("role") == "supplemental")
     stays = F.struct(*OHLCV, "provider", F.when(moved, "validation").otherwise(F.col("role")).alias("role"), (F.col("selected") & ~moved).alias("selected"))
     comes = F.struct(*(F.col(f"new_{c}").alias(c) for c in OHLCV), F.col("new_provider").alias("provider"), F.lit("canonical").alias("role"), F.lit(True).alias("selected"))
     child_rows = touched.select("version_id", "symbol", "trade_date", F.explode(F.when(moved, F.array(stays, comes)).otherwise(F.array(stays))).alias("r")).select("version_id", "symbol", "trade_date", "r.*").withColumn("row_sha256", row_hash())
     ids = child_rows.groupBy("version_id", "symbol").agg(group_id(F.concat_ws(":", "row_sha256", "role")).alias("provenance_sha256"))
     ids = ids.withColumn("child_id", content_id(F.col("version_id"), F.col("symbol"), F.col("provenance_sha256"), length=32))
-    seen = coverage(child_rows, required)
-    total = F.col("discrepancies") + F.col("new_discrepancies")
-    status = F.when((F.col("c.supplemental") > 0) | (F.col("c.remaining") > 0), "reconciliation_pending").when(total > 0, "reconciled_discrepant").otherwise("reconciled_equal")
-    joined = ids.alias("i").join(outcomes, "version_id").join(versions.select("version_id", "target_date", "discrepancies"), "version_id").join(seen.alias("c"), "symbol")
-    children = joined.select(F.col("child_id").alias("version_id"), "symbol", "target_date", F.col("version_id").alias("parent_id"), "provenance_sha256", "c.required", "c.canonical", "c.supplemental", "c.missing", "c.remaining", status.alias("status"), total.alias("discrepancies"))
+    canonical, supplemental, total = F.col("canonical") + F.col("reconciled"), F.col("supplemental") - F.col("reconciled"), F.col("discrepancies") + F.col("wrong")
+    missing = F.col("required") - canonical
+    status = F.when((supplemental > 0) | (missing > supplemental), "reconciliation_pending").when(total > 0, "reconciled_discrepant").otherwise("reconciled_equal")
+    joined = ids.join(per, "version_id").join(versions.drop("symbol", "provenance_sha256", "parent_id", "status"), "version_id")
+    children = joined.select(
+        F.col("child_id").alias("version_id"), *KEY, F.col("version_id").alias("parent_id"), "provenance_sha256", "required", canonical.alias("canonical"), supplemental.alias("supplemental"), missing.alias("missing"),
+        (missing - supplemental).alias("remaining"), status.alias("status"), total.alias("discrepancies"),
+    )
     return children, child_rows.join(ids.select("version_id", "child_id"), "version_id").drop("version_id").withColumnRenamed("child_id", "version_id")
 
 
+def reconciliation_dates(versions: DataFrame, rows: DataFrame, arrived: DataFrame) -> DataFrame:
+    """(version_id, symbol, target_date, trade_date, outcome, fields, reconciled_through) for every supplemental date of the
+    open versions for which something has arrived: equal, discrepant in the named fields, or pending; and the
+    latest date that the version is reconciled on."""
+    came = _arrivals(versions, rows, arrived).select("version_id", "trade_date", "differing")
+    through = came.groupBy("version_id").agg(F.max("trade_date").alias("reconciled_through"))
+    filled = rows.where("selected and role = 'supplemental'").select("version_id", "trade_date").join(through, "version_id")
+    outcome = first_of((F.col("differing").isNull(), "pending"), (F.size("differing") > 0, "discrepant"), otherwise="equal")
+    dated = filled.join(came, ["version_id", "trade_date"], "left").join(versions.select("version_id", *KEY), "version_id")
+    return dated.select("version_id", *KEY, "trade_date", outcome.alias("outcome"), F.coalesce(F.array_join("differing", ","), F.lit("")).alias("fields"), "reconciled_through")
+
+
 def leaves(versions: DataFrame) -> DataFrame:
     """Per symbol and target date the version to go on with: the complete one, else the one open version that is
     nobody's parent. Two of a kind are ambiguous, and none is named."""
@@ -290,11 +330,47 @@ def lineage(versions: DataFrame, version_id: str) -> DataFrame:
     return found
 
 
+def ancestry(versions: DataFrame) -> DataFrame:
+    """(version_id, root_id, depth, tips) of all versions at once: the first version of each one's chain, how far that is,
+    and how many versions without a child there are below the root.
+
+    Pointers double: in each round a version takes over the pointer of the one it points to, so chains of a
+    million versions take twenty rounds, and versions that have reached their root drop out of the join. A
+    parent that isn't stored ends the chain. A chain that comes back to itself has no root; its depth is null."""
+    known = versions.select("version_id", "parent_id").distinct()
+    parents = known.select(F.col("version_id").alias("up"))
+    links = known.withColumnRenamed("parent_id", "up").join(parents.withColumn("stored", F.lit(True)), "up", "left")
+    links = durable(links.select("version_id", F.when(F.col("stored"), F.col("up")).otherwise(F.col("version_id")).alias("up"), F.col("stored").isNotNull().cast("long").alias("depth")))
+    done = links.where("depth = 0")
+    left = links.where("depth > 0")
+    finished = [done]
+    most = max(1, known.count()).bit_length() + 1
+    for _ in range(most):
+        if left.isEmpty():
+            break
+        over = links.select(F.col("version_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
+        jumped = durable(left.join(over, "up").select("version_id", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") == 0).alias("there")))
+        finished.append(jumped.where("there").drop("there"))
+        left = jumped.where("not there").drop("there")
+        links = finished[0]
+        for part in finished[1:]:
+            links = links.unionByName(part)
+        links = links.unionByName(left)
+    settled = finished[0]
+    for part in finished[1:]:
+        settled = settled.unionByName(part)
+    settled = settled.unionByName(left.select("version_id", F.lit(None).cast("string").alias("up"), F.lit(None).cast("long").alias("depth")))
+    tips = settled.join(known.where("parent_id is not null").select(F.col("parent_id").alias("version_id")).distinct(), "version_id", "left_anti").groupBy("up").agg(F.count("*").alias("tips"))
+    return durable(settled).join(tips, "up", "left").select("version_id", F.col("up").alias("root_id"), "depth", F.when(F.col("up").isNotNull(), F.coalesce("tips", F.lit(0))).alias("tips"))
+
+
 def routed(decisions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Where each symbol goes: on with the complete version it has; where the canonical source is complete, to its
     reconciliation if a provisional version is open and to a canonical version if not; else to a provisional
-    one if the other source covers all, or to failure. ``known`` has the leaves of stored versions."""
-    out = decisions if known is None else decisions.join(known.select("symbol", "leaf_state"), "symbol", "left")
+    one if the other source covers all, or to failure. ``known`` has the leaves of stored versions;
+    where both have target dates, a decision goes on with the leaf for its own."""
+    keys = [k for k in KEY if k in decisions.columns and (known is None or k in known.columns)]
+    out = decisions if known is None else decisions.join(known.select(*keys, "leaf_state"), keys, "left")
     leaf = F.lit(None).cast("string") if known is None else F.col("leaf_state")
     route = first_of(
         (leaf == "complete", "replay"),
@@ -305,7 +381,7 @@ def routed(decisions: DataFrame, known: DataFrame | None = None) -> DataFrame:
         (F.col("is_eligible"), "supplement_incomplete"),
         otherwise="supplement_rejected",
     )
-    return out.select("symbol", route.alias("route"), "reason")
+    return out.select(*(k for k in KEY if k in decisions.columns), route.alias("route"), "reason")
 
 
 def gate(members: DataFrame, versions: DataFrame) -> DataFrame:

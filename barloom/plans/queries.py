@@ -367,14 +367,14 @@ def versions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, rows, required, late = _versions(Panel(spark, sf_dir))
-    children, _ = versions.reconcile(made, rows, late, required)
+    children, _ = versions.reconcile(made, rows, late)
     return children.select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status", "discrepancies")
 
 
 def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each symbol stands after reconciliation; some have a second complete or a second open version."""
     made, rows, required, late = _versions(Panel(spark, sf_dir))
-    children, _ = versions.reconcile(made, rows, late.where("cast(symbol as int) % 4 <> 1"), required)
+    children, _ = versions.reconcile(made, rows, late.where("cast(symbol as int) % 4 <> 1"))
     twice = made.where("cast(symbol as int) % 7 = 2").withColumn("version_id", F.concat(F.lit("x"), "version_id"))
     return versions.leaves(made.unionByName(children).unionByName(twice)).select("symbol", "target_date", "leaf_state", F.col("version_id").isNotNull().alias("named"))
 
@@ -382,7 +382,7 @@ def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each ancestor of the first reconciled version is."""
     made, rows, required, late = _versions(Panel(spark, sf_dir))
-    children, _ = versions.reconcile(made, rows, late, required)
+    children, _ = versions.reconcile(made, rows, late)
     every = durable(made.unionByName(children.select(made.columns)))
     child = every.where("parent_id is not null").agg(F.min_by("version_id", "symbol").alias("v")).first().v
     return versions.lineage(every, child or "").join(every.select("version_id", "symbol", "status"), "version_id").drop("version_id")

@@ -4,10 +4,12 @@ import json
 
 from barloom.functions import scalar
 from barloom.operators import versions
+from barloom.schemas import BARS
 from barloom.sources import payloads, sinks
 from barloom.streaming import incremental
 from pyspark.sql import functions as F
-from tests.test_versions_and_results import D, bars, required
+
+from tests.test_versions_and_results import D, bars
 
 
 def texts(spark, *payloads, **asked):
@@ -186,16 +188,60 @@ def test_backfill_stops_at_enough_rows(spark, tmp_path):
     assert {r.symbol: r["count"] for r in sinks.stored_table(spark, table).groupBy("symbol").count().collect()} == {"0001": 6, "0002": 4}
 
 
+def test_backfill_by_month_stops_where_it_should(spark, tmp_path):
+    names = ("in", "table", "waiting", "cursor", "point")
+    incoming, table, waiting, cursor, point = (str(tmp_path / x) for x in names)
+    day = lambda y, m, d: dt.date(y, m, d)
+
+    def month(y, m, days, symbol="0001"):
+        rows = [(symbol, day(y, m, d), 1.0, 1.0, 1.0, 1.0, 1, "primary") for d in days]
+        spark.createDataFrame(rows, BARS).coalesce(1).write.mode("append").parquet(incoming)
+
+    def run():
+        incremental.backfill_by_month(spark, incoming, table, waiting, cursor, point, day(2024, 3, 20), target_rows=6, max_months=3).awaitTermination()
+        return {r.symbol: (r.bars, r.months, r.next_month, r.state) for r in incremental.month_cursors(sinks.stored_table(spark, cursor), day(2024, 3, 20), 6, 3).collect()}
+
+    month(2024, 1, [3, 4, 5])  # February lacks: March alone is taken, without the days after the target
+    month(2024, 3, [4, 5, 21, 22])
+    month(2024, 2, [1, 2], "0002")  # no March: nothing is taken
+    assert run() == {"0001": (2, 1, day(2024, 2, 1), "pending")}
+    month(2024, 2, [6, 7])
+    month(2023, 12, [6, 7])
+    month(2024, 3, [1])  # a month that was taken isn't taken again
+    month(2024, 3, [6], "0002")
+    month(2024, 1, [6], "0002")
+    month(2023, 12, [6, 7, 8], "0002")
+    assert run() == {"0001": (7, 3, day(2023, 12, 1), "complete"), "0002": (4, 3, day(2023, 12, 1), "out_of_months")}
+    month(2023, 12, [1])
+    assert run()["0001"] == (7, 3, day(2023, 12, 1), "complete")
+    got = sorted(r.trade_date for r in sinks.stored_table(spark, table).where("symbol = '0001'").collect())
+    assert got == [day(2024, 1, 3), day(2024, 1, 4), day(2024, 1, 5), day(2024, 2, 6), day(2024, 2, 7), day(2024, 3, 4), day(2024, 3, 5)]
+
+
 def test_late_bars_open_child_versions_once(spark, tmp_path):
-    incoming, v, o = (str(tmp_path / x) for x in ("in", "versions", "rows"))
-    made, rows = versions.build(bars(spark, range(1, 4)), bars(spark, range(1, 6), "secondary"), bars(spark, [], "secondary"), required(spark), D(5))
-    made.write.parquet(v)
-    rows.write.parquet(o)
-    bars(spark, [4, 5]).write.parquet(incoming)
-    for point in ("p1", "p2"):  # the second time from the start again
-        incremental.reconcile_arrivals(spark, incoming, v, o, required(spark), str(tmp_path / point)).awaitTermination()
-    assert sorted(r.status for r in spark.read.parquet(v).collect()) == ["provisional_complete", "reconciled_equal"]
-    assert spark.read.parquet(o).where("role = 'canonical'").count() == 3 + 5
+    incoming, store = (str(tmp_path / x) for x in ("in", "store"))
+    need = spark.createDataFrame([("0001", D(t), D(k)) for t in (4, 5) for k in range(1, t + 1)], "symbol string, target_date date, trade_date date")
+    made, rows = versions.build(bars(spark, range(1, 4)), bars(spark, range(1, 6), "secondary"), bars(spark, [], "secondary"), need)
+    others = [bars(spark, range(1, 6), symbol=f"{k:04}") for k in range(2, 40)]
+    for n, other in enumerate(others):
+        every = other if not n else every.unionByName(other)
+    more, more_rows = versions.build(every, every.where("1 = 0"), every.where("1 = 0"), every.select("symbol", "trade_date"), D(5))
+    incremental.store_versions(made.unionByName(more), rows.unionByName(more_rows), store)
+    bars(spark, [4]).write.parquet(incoming)
+    for point in ("p1", "p1", "p2"):  # the last time from the start again
+        incremental.reconcile_arrivals(spark, incoming, store, str(tmp_path / point)).awaitTermination()
+    got = lambda: sorted((r.target_date, r.status, r.supplemental) for r in incremental.stored_versions(spark, store)[0].where("symbol = '0001'").collect())
+    assert got() == [(D(4), "provisional_complete", 1), (D(4), "reconciled_equal", 0), (D(5), "provisional_complete", 2), (D(5), "reconciliation_pending", 1)]
+    bars(spark, [5], close=11.0).write.mode("append").parquet(incoming)
+    incremental.reconcile_arrivals(spark, incoming, store, str(tmp_path / "p1")).awaitTermination()
+    assert got()[-2:] == [(D(5), "reconciled_discrepant", 0), (D(5), "reconciliation_pending", 1)]
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit("0001")), F.lit(incremental.BUCKETS)).cast("int")).first()[0]
+    read = incremental.stored_versions(spark, store, [bucket])[1]
+    scan = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read.collect()
+    files = lambda t: len({r[0] for r in t.select(F.input_file_name()).collect()})
+    assert files(read) < files(incremental.stored_versions(spark, store)[1]) / 5
+    assert "PartitionFilters: [" in scan.toString() and "bucket" in scan.toString()
 
 
 def test_replay_keeps_the_stored_result(spark, tmp_path):

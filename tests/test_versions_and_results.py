@@ -118,7 +118,7 @@ def test_versions_build_and_reconcile(spark):
     assert versions.build(bars(spark, range(1, 4)).repartition(3), bars(spark, range(1, 6), "secondary"), bars(spark, range(1, 4), "secondary"), need, D(5))[0].first().version_id == parent.version_id
 
     def child_of(late):
-        children, child_rows = versions.reconcile(made, rows, late, need)
+        children, child_rows = versions.reconcile(made, rows, late)
         return children.first(), child_rows
 
     equal, equal_rows = child_of(bars(spark, [4, 5]))
@@ -127,13 +127,56 @@ def test_versions_build_and_reconcile(spark):
     assert child_of(bars(spark, [4]))[0].status == "reconciliation_pending"
     wrong, _ = child_of(bars(spark, [4, 5], close=12.0))
     assert (wrong.status, wrong.discrepancies) == ("reconciled_discrepant", 2)
-    assert versions.reconcile(made, rows, bars(spark, [1]), need)[0].count() == 0
-    both = made.unionByName(versions.reconcile(made, rows, bars(spark, [4]), need)[0])
+    assert versions.reconcile(made, rows, bars(spark, [1]))[0].count() == 0
+    both = made.unionByName(versions.reconcile(made, rows, bars(spark, [4]))[0])
     assert versions.leaves(both).first().leaf_state == "open"
     assert versions.build(bars(spark, range(1, 4)), bars(spark, [4], "secondary"), bars(spark, [], "secondary"), need, D(5))[0].count() == 0  # incomplete
     assert [(r.version_id == parent.version_id, r.depth) for r in versions.lineage(both, both.where("parent_id is not null").first().version_id).orderBy("depth").collect()] == [(False, 0), (True, 1)]
 
 
+def test_versions_for_two_target_dates_dont_touch_each_other(spark):
+    need = spark.createDataFrame([("0001", D(t), D(k)) for t in (4, 5) for k in range(1, t + 1)], "symbol string, target_date date, trade_date date")
+    none = bars(spark, [], "secondary")
+    made, rows = versions.build(bars(spark, [1, 2]), bars(spark, range(1, 6), "secondary"), none, need)
+    first, second = made.orderBy("target_date").collect()
+    assert [(r.required, r.canonical, r.supplemental, r.remaining) for r in (first, second)] == [(4, 2, 2, 0), (5, 2, 3, 0)]
+    children, child_rows = versions.reconcile(made, rows, bars(spark, [3, 4], close=12.0))
+    got = {r.target_date: r for r in children.collect()}
+    assert (got[D(4)].status, got[D(4)].supplemental, got[D(4)].canonical, got[D(4)].missing, got[D(4)].discrepancies) == ("reconciled_discrepant", 0, 4, 0, 2)
+    assert (got[D(5)].status, got[D(5)].supplemental, got[D(5)].canonical, got[D(5)].missing) == ("reconciliation_pending", 1, 4, 1)
+    assert child_rows.groupBy("version_id").count().count() == 2 and versions.role_violations(child_rows).count() == 0
+    assert versions.state_violations(versions.described(children)).count() == 0
+    only, _ = versions.reconcile(made, rows, bars(spark, [5]))  # in the later version alone
+    assert [(r.target_date, r.supplemental, r.parent_id == second.version_id) for r in only.collect()] == [(D(5), 2, True)]
+    told = {(r.target_date, r.trade_date): (r.outcome, r.fields, r.reconciled_through) for r in versions.reconciliation_dates(made, rows, bars(spark, [3, 4], close=12.0).where(F.col("trade_date") == F.lit(D(4))).unionByName(bars(spark, [3]))).collect()}
+    assert told[D(5), D(3)] == ("equal", "", D(4)) and told[D(5), D(4)] == ("discrepant", "open,high,low,close", D(4)) and told[D(5), D(5)] == ("pending", "", D(4)) and len(told) == 5
+    both = made.unionByName(children)
+    states = {r.target_date: (r.leaf_state, r.version_id) for r in versions.leaves(both).collect()}
+    assert states == {D(4): ("complete", got[D(4)].version_id), D(5): ("open", got[D(5)].version_id)}
+    decisions = spark.createDataFrame([("0001", D(t), "not_needed", False, True) for t in (4, 5, 6)], "symbol string, target_date date, reason string, is_eligible boolean, coverage_complete boolean")
+    assert {r.target_date: r.route for r in versions.routed(decisions, versions.leaves(both)).collect()} == {D(4): "replay", D(5): "reconcile", D(6): "canonical"}
+
+
+def test_a_date_that_a_source_repeats_counts_once(spark):
+    twice = bars(spark, [*range(1, 6), 4], "secondary")
+    got = decide(spark, bars(spark, range(1, 4)), twice)
+    assert (got.missing, got.eligible_dates, got.rejected_dates, got.remaining_dates, got.reason) == (2, 2, 3, 0, "eligible_verified_supplemental")
+    refused = decide(spark, bars(spark, [1, 2, 2, 3]), twice, security_ok=False)
+    assert (refused.missing, refused.eligible_dates, refused.rejected_dates, refused.remaining_dates) == (2, 0, 5, 2)
+    differing = decide(spark, bars(spark, range(1, 4)), twice.unionByName(bars(spark, [3], "secondary", 11.0)))
+    assert (differing.reason, differing.overlap_status) == ("overlap_discrepancy", "discrepancy")
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 33])
+def test_ancestry_of_chains_and_branches(spark, n):
+    rows = [(f"v{k}", f"v{k - 1}" if k else None) for k in range(n)] + [("b", "v0"), ("lost", "unknown"), ("x", "y"), ("y", "x"), ("z", "x")]
+    got = {r.version_id: (r.root_id, r.depth, r.tips) for r in versions.ancestry(spark.createDataFrame(rows, "version_id string, parent_id string")).collect()}
+    tips = 1 if n == 1 else 2
+    want = {f"v{k}": ("v0", k, tips) for k in range(n)} | {"b": ("v0", 1, tips), "lost": ("lost", 0, 1)} | {k: (None, None, None) for k in "xyz"}
+    assert got == want
+    assert versions.ancestry(spark.createDataFrame([], "version_id string, parent_id string")).count() == 0
+
+
 def test_ids_come_from_content(spark):
     import hashlib
 
