@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import first_of
@@ -27,11 +27,13 @@ def stage_order(stage: Column) -> Column:
 
 
 def reason_frequency(reasons: DataFrame, runs: DataFrame, stage: str | None = None, code: str | None = None) -> DataFrame:
+    """How often each reason was given, and its position in the order of reports."""
     rows = _of(reasons, runs)
     rows = rows.where(F.col("stage") == stage) if stage else rows
     rows = rows.where(F.col("code") == code) if code else rows
     per = rows.groupBy("stage", "code", "metric").agg(F.count("*").alias("times"), F.count_distinct("symbol").alias("symbols"))
-    return per.orderBy(stage_order(F.col("stage")), "code", "metric")
+    order = (stage_order(F.col("stage")), F.col("code"), F.col("metric"))
+    return per.withColumn("position", F.row_number().over(Window.orderBy(*order))).orderBy(*order)  # a row per kind of reason
 
 
 def daily_candidates(candidates: DataFrame, runs: DataFrame, day) -> DataFrame:

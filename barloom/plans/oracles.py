@@ -159,6 +159,15 @@ hit AS (SELECT f.symbol, f.trade_date, l.open <> f.open OR l.high <> f.high OR l
 kids AS (SELECT symbol, count(*) AS moved, count(*) FILTER (differs) AS wrong FROM hit GROUP BY symbol),
 children AS (SELECT m.symbol, m.required, m.canonical + moved AS canonical, m.supplemental - moved AS supplemental, m.missing - moved AS missing, m.remaining, CASE WHEN m.supplemental - moved > 0 THEN 'reconciliation_pending' WHEN wrong > 0 THEN 'reconciled_discrepant' ELSE 'reconciled_equal' END AS status, wrong AS discrepancies FROM made m JOIN kids USING (symbol))"""
 
+_TARGETS = """
+tneed AS (SELECT * FROM (SELECT b.*, t.d AS target_date, row_number() OVER (PARTITION BY symbol, t.d ORDER BY trade_date DESC) AS rn FROM b JOIN (SELECT d FROM best UNION ALL SELECT d FROM prior) t ON trade_date <= t.d) WHERE rn <= 60),
+tall AS (SELECT n.symbol, n.target_date, n.trade_date, day(n.trade_date) < 20 OR n.supplier % 3 = 0 AS canonical, z.symbol IS NOT NULL AS other, day(n.trade_date) >= 25 OR (day(n.trade_date) >= 20 AND n.supplier % 2 = 0) AS late,
+    array_to_string(list_filter([CASE WHEN n.open <> z.open THEN 'open' END, CASE WHEN n.high <> z.high THEN 'high' END, CASE WHEN n.low <> z.low THEN 'low' END, CASE WHEN n.close <> z.close THEN 'close' END, CASE WHEN n.volume <> z.volume THEN 'volume' END], lambda x: x IS NOT NULL), ',') AS fields
+  FROM tneed n LEFT JOIN (SELECT * FROM b2 WHERE CAST(symbol AS INT) % 19 <> 4) z USING (symbol, trade_date)),
+tmade AS (SELECT symbol, target_date, count(*) AS required, count(*) FILTER (canonical) AS canonical, count(*) FILTER (NOT canonical) AS supplemental, count(*) FILTER (NOT canonical) AS missing FROM tall GROUP BY symbol, target_date HAVING bool_and(canonical OR other)),
+tfill AS (SELECT tall.* FROM tall JOIN (SELECT symbol, target_date FROM tmade) USING (symbol, target_date) WHERE NOT tall.canonical),
+tkids AS (SELECT symbol, target_date, count(*) AS moved, count(*) FILTER (fields <> '') AS wrong, max(trade_date) AS through FROM tfill WHERE late GROUP BY symbol, target_date)"""
+
 _DECIDE = """
 need AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM b WHERE trade_date <= (SELECT d FROM best)) WHERE rn <= 60),
 canon AS (SELECT * FROM need WHERE day(trade_date) < 20 OR supplier % 3 = 0),
@@ -172,7 +181,7 @@ known AS (
     CASE k % 29 WHEN 9 THEN 'instrument_unavailable' WHEN 10 THEN 'identity_mismatch' WHEN 11 THEN 'market_mismatch' WHEN 12 THEN 'identity_mismatch' WHEN 13 THEN 'currency_mismatch' WHEN 14 THEN 'security_type_mismatch' END AS identity_reason FROM facts
 ), decided AS (
   SELECT *, CASE WHEN missing = 0 THEN 'not_needed' WHEN k % 8 IN (4, 5) THEN 'failure_not_eligible' WHEN k % 31 = 9 THEN 'unknown_fail_closed' WHEN identity_reason IS NOT NULL THEN identity_reason
-    WHEN k % 37 = 12 THEN 'security_boundary_failed' WHEN other = 0 THEN 'insufficient_supplemental_coverage' WHEN symbol IN (SELECT symbol FROM broken) THEN 'malformed_payload' WHEN differing > 0 THEN 'overlap_discrepancy' END AS refused FROM known
+    WHEN k % 37 = 12 THEN 'security_boundary_failed' WHEN other = 0 THEN 'insufficient_supplemental_coverage' WHEN k % 23 = 6 THEN 'duplicate_trade_date' WHEN symbol IN (SELECT symbol FROM broken) THEN 'malformed_payload' WHEN differing > 0 THEN 'overlap_discrepancy' END AS refused FROM known
 ), decisions AS (
   SELECT symbol, coalesce(refused, CASE WHEN eligible < missing THEN 'insufficient_supplemental_coverage' ELSE 'eligible_verified_supplemental' END) AS reason, refused IS NULL AND eligible > 0 AS is_eligible,
     CASE WHEN missing = 0 OR k % 8 IN (4, 5) OR k % 31 = 9 THEN 'not_checked' ELSE identity END AS identity_status, CASE WHEN refused = 'overlap_discrepancy' THEN 'discrepancy' WHEN refused IS NULL AND overlap > 0 THEN 'exact_match' ELSE 'not_applicable' END AS overlap_status, missing,
@@ -357,6 +366,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT symbol, round(arg_max(value, metric_date) FILTER (name = 'price_earnings_ratio'), 2) AS pe, round(arg_max(value, metric_date) FILTER (name = 'price_to_book_ratio'), 2) AS pb, round(arg_max(value, metric_date) FILTER (name = 'dividend_yield_pct'), 2) AS dy FROM ratios GROUP BY symbol) USING (symbol) GROUP BY symbol""",
             _PANEL,
         ),
+        "prior_dates": _with(f"SELECT symbol, count(*) AS n, max(trade_date) AS latest_date, max(trade_date) FILTER (rn = 2) AS prior_date FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM b WHERE trade_date <= {d}) WHERE rn <= 62 GROUP BY symbol"),
         "first_metrics": _with(
             f"""SELECT symbol, metric, component, status, {_r('previous', 'current', 'delta')}, CASE WHEN metric = 'volume_anomaly' OR component IN ('pe_ratio', 'pb_ratio') THEN 'ratio' WHEN metric = 'volatility_regime_change' THEN 'annualized_percent' ELSE 'percent' END AS value_unit,
             CASE WHEN metric = 'volume_anomaly' THEN 'ratio' WHEN component IN ('pe_ratio', 'pb_ratio') THEN 'percent_relative_change' ELSE 'percentage_point' END AS delta_unit FROM metrics""",
@@ -462,6 +472,22 @@ def oracle_sql() -> dict[str, str]:
               FROM (SELECT *, CAST(CAST(symbol AS INT) % 7 = 2 AS INT) AS twice FROM made) m LEFT JOIN (SELECT * FROM children WHERE CAST(symbol AS INT) % 4 <> 1) c ON c.symbol = m.symbol))""",
             _NEED,
         ),
+        "target_reconciliation": _with("SELECT symbol, target_date, required, canonical + moved AS canonical, supplemental - moved AS supplemental, missing - moved AS missing, 0 AS remaining, CASE WHEN supplemental > moved THEN 'reconciliation_pending' WHEN wrong > 0 THEN 'reconciled_discrepant' ELSE 'reconciled_equal' END AS status, wrong AS discrepancies FROM tmade JOIN tkids USING (symbol, target_date)", _TARGETS),
+        "reconciliation_dates": _with("SELECT symbol, target_date, trade_date, CASE WHEN NOT late THEN 'pending' WHEN fields <> '' THEN 'discrepant' ELSE 'equal' END AS outcome, CASE WHEN late THEN fields ELSE '' END AS fields, through AS reconciled_through FROM tfill JOIN tkids USING (symbol, target_date)", _TARGETS),
+        "version_ids": _with(
+            f"""SELECT symbol, target_date, substr(sha256(symbol || '|' || target_date || '|' || provenance), 1, 32) AS version_id, provenance AS provenance_sha256 FROM (
+              SELECT symbol, {d} AS target_date, sha256(string_agg(h, ',' ORDER BY h)) AS provenance FROM (
+                SELECT symbol, sha256(concat_ws('|', symbol, trade_date, open, high, low, close, volume, provider)) || ':' || role AS h FROM (
+                  SELECT symbol, trade_date, open, high, low, close, volume, 'primary' AS provider, 'canonical' AS role FROM canon UNION ALL SELECT symbol, trade_date, open, high, low, close, volume, 'secondary', 'supplemental' FROM fill
+                  UNION ALL SELECT f.symbol, f.trade_date, f.open, f.high, f.low, f.close, f.volume, 'secondary', 'validation' FROM filler f JOIN canon USING (symbol, trade_date))) GROUP BY symbol) WHERE symbol IN (SELECT symbol FROM made)""",
+            _NEED,
+        ),
+        "version_ancestry": _with(
+            """SELECT version_id, root_id, depth, tips FROM chain JOIN (SELECT root_id, count(*) AS tips FROM chain WHERE version_id NOT IN (SELECT parent_id FROM links WHERE parent_id IS NOT NULL) GROUP BY root_id) USING (root_id)""",
+            """links AS (SELECT version_id, CASE WHEN month(month) % 7 = 0 THEN NULL WHEN supplier % 3 = 0 AND month(month) % 5 = 0 THEN lag(version_id, 2) OVER w ELSE lag(version_id) OVER w END AS parent_id
+              FROM (SELECT DISTINCT symbol, supplier, date_trunc('month', trade_date) AS month, symbol || '/' || strftime(trade_date, '%Y-%m') AS version_id FROM b) WINDOW w AS (PARTITION BY symbol ORDER BY month)),
+            chain AS (SELECT version_id, version_id AS root_id, 0::BIGINT AS depth FROM links WHERE parent_id IS NULL UNION ALL SELECT l.version_id, c.root_id, c.depth + 1 FROM links l JOIN chain c ON l.parent_id = c.version_id)""",
+        ),
         "version_lineage": _with("SELECT 0 AS depth, symbol, status FROM children WHERE symbol = (SELECT min(symbol) FROM children) UNION ALL SELECT 1, symbol, status FROM made WHERE symbol = (SELECT min(symbol) FROM children)", _NEED),
         "broken_rows": _with(
             """SELECT problem, count(*) AS n FROM (SELECT DISTINCT symbol, trade_date, CAST(symbol AS INT) % 7 AS k FROM held), (VALUES (1, 'selection_against_role'), (2, 'source_against_role'), (3, 'row_repeated'), (3, 'two_selected')) AS p(n, problem) WHERE k = n GROUP BY problem""", _NEED
@@ -483,7 +509,7 @@ def oracle_sql() -> dict[str, str]:
         "structure_problems": _with(
             f"""SELECT DISTINCT symbol, CASE CAST(symbol AS INT) % 9 WHEN 1 THEN 'malformed_payload' WHEN 2 THEN 'duplicate_trade_date' WHEN 3 THEN 'future_trade_date' WHEN 4 THEN 'unexpected_observation_date' WHEN 5 THEN 'partial_ohlc' WHEN 6 THEN 'malformed_payload' WHEN 7 THEN 'identity_mismatch' END AS problem FROM b2 WHERE trade_date <= {d}"""
         ),
-        "supplement_decisions": _with("SELECT * FROM decisions", _DECIDE),
+        "supplement_decisions": _with(f"SELECT *, {d} AS target_date FROM decisions", _DECIDE),
         "supplement_routes": _with(
             """SELECT route, reason, count(*) AS symbols FROM (SELECT reason, CASE WHEN supplier % 5 = 1 THEN 'replay' WHEN supplier % 25 = 2 THEN 'ambiguous' WHEN reason = 'not_needed' AND supplier % 5 = 0 THEN 'reconcile' WHEN reason = 'not_needed' THEN 'canonical'
             WHEN is_eligible AND coverage_complete THEN 'supplement' WHEN is_eligible THEN 'supplement_incomplete' ELSE 'supplement_rejected' END AS route FROM decisions JOIN names USING (symbol)) GROUP BY route, reason""",
@@ -508,7 +534,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT symbol, string_agg(DISTINCT source, ',' ORDER BY source) AS price_sources, min(trade_date) AS first_date, max(trade_date) AS last_date, 'primary' AS valuation_sources, max(k) AS ratios FROM (SELECT symbol, trade_date, source FROM b UNION ALL SELECT symbol, trade_date, source FROM b2) JOIN (SELECT symbol, count(DISTINCT name) AS k FROM ratios GROUP BY symbol) USING (symbol) GROUP BY symbol"
         ),
         "selections_per_symbol": _with("SELECT symbol, count(*) AS selections FROM chosen JOIN done USING (run_id) GROUP BY symbol", _RUNS),
-        "reason_frequency": _with("SELECT stage, code, metric, count(*) AS times, count(DISTINCT symbol) AS symbols FROM why JOIN done USING (run_id) GROUP BY ALL", _RUNS),
+        "reason_frequency": _with("SELECT *, CAST(row_number() OVER (ORDER BY CASE stage WHEN 'first' THEN 1 WHEN 'second' THEN 2 ELSE 3 END, code, metric) AS INT) AS position FROM (SELECT stage, code, metric, count(*) AS times, count(DISTINCT symbol) AS symbols FROM why JOIN done USING (run_id) GROUP BY ALL)", _RUNS),
         "daily_candidates": _with(f"SELECT run_id, symbol, rank, quality, version_status, market_date, methodology FROM chosen JOIN done USING (run_id) WHERE market_date = (SELECT max(market_date) FROM done WHERE market_date <= {d})", _RUNS),
         "quality_frequency": _with(
             "SELECT market_date, quality, version_status, count(DISTINCT run_id) AS runs, count(*) AS candidates, CAST(sum(supplemental) AS BIGINT) AS supplemental, count(*) FILTER (version_status = 'reconciliation_pending') AS pending, CAST(sum(discrepancies) AS BIGINT) AS discrepancies FROM chosen JOIN done USING (run_id) GROUP BY ALL", _RUNS

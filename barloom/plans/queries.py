@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalar
@@ -166,6 +166,12 @@ def research_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.summary(p.bars, p.ratios)
 
 
+def prior_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest date of each symbol up to the day, and the date of its observation before, however far that is."""
+    p = Panel(spark, sf_dir)
+    return first_screen.price_inputs(p.recent, p.day).select("symbol", "n", "latest_date", "prior_date")
+
+
 def first_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(Panel(spark, sf_dir).first()[0])
 
@@ -379,6 +385,45 @@ def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.leaves(made.unionByName(children).unionByName(twice)).select("symbol", "target_date", "leaf_state", F.col("version_id").isNotNull().alias("named"))
 
 
+def _targets(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions for the day and for the market day before, their rows, and late canonical bars: of every second symbol all, of the
+    others those from the 25th of a month on."""
+    last = lambda day: asof.last_bars(p.recent.select("symbol", "trade_date"), day, 60).select("symbol", "trade_date", F.lit(day).alias("target_date"))
+    required = durable(last(p.day).unionByName(last(p.before)))
+    of = lambda t: t.join(required.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi")
+    day = F.dayofmonth("trade_date")
+    other = of(p.recent_second).where("cast(symbol as int) % 19 <> 4")
+    made, rows = versions.build(of(p.recent.where((day < 20) | (F.col("supplier") % 3 == 0))), other, other.where("1 = 0"), required)
+    return durable(made), durable(rows), of(p.recent.where((day >= 25) | ((day >= 20) & (F.col("supplier") % 2 == 0))))
+
+
+def target_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of versions for two target dates of each symbol: late bars that only one of them has change only that one."""
+    children, _ = versions.reconcile(*_targets(Panel(spark, sf_dir)))
+    return children.select("symbol", "target_date", "required", "canonical", "supplemental", "missing", "remaining", "status", "discrepancies")
+
+
+def reconciliation_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each supplemental date: equal, discrepant, or still pending."""
+    return versions.reconciliation_dates(*_targets(Panel(spark, sf_dir))).drop("version_id")
+
+
+def version_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of versions, from their content."""
+    return _versions(Panel(spark, sf_dir))[0].select("symbol", "target_date", "version_id", "provenance_sha256")
+
+
+def version_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, depth and tips of a version for every month of each symbol. It comes from the month before that has bars; those of
+    some months begin anew, and some branch off the month before that."""
+    months = Panel(spark, sf_dir).bars.select("symbol", "supplier", F.trunc("trade_date", "month").alias("month")).distinct()
+    name = F.concat_ws("/", "symbol", F.date_format("month", "yyyy-MM"))
+    by_month = Window.partitionBy("symbol").orderBy("month")
+    branch = (F.col("supplier") % 3 == 0) & (F.month("month") % 5 == 0)
+    parent = F.when(F.month("month") % 7 == 0, None).when(branch, F.lag("version_id", 2).over(by_month)).otherwise(F.lag("version_id").over(by_month))
+    return versions.ancestry(months.withColumn("version_id", name).withColumn("parent_id", parent))
+
+
 def version_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each ancestor of the first reconciled version is."""
     made, rows, required, late = _versions(Panel(spark, sf_dir))
@@ -444,6 +489,9 @@ def _candidates(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     canonical = of(p.recent.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0)))
     other = of(p.recent_second.where(F.dayofmonth("trade_date") != 28)).where("dayofmonth(trade_date) <> 27 or cast(symbol as int) % 4 <> 0")
     key = F.col("symbol").cast("int")
+    copies = F.explode(F.when(key % 23 == 6, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))  # dates that come twice
+    other = other.withColumn("copy", copies).drop("copy")
+    canonical = canonical.withColumn("copy", F.explode(F.when(key % 5 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy")
     spans = required.groupBy("symbol").agg(F.min("trade_date").alias("start_date"))
     shaped = other.join(spans, "symbol").withColumn("target_date", F.lit(p.day)).withColumn("position", F.datediff("trade_date", F.lit("1970-01-01").cast("date")))
     shaped = shaped.withColumn("open", F.when((key % 17 == 5) & (F.dayofmonth("trade_date") == 25), -1.0).otherwise(F.col("open")))
@@ -452,7 +500,7 @@ def _candidates(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     failure = F.when(key % 8 < 6, failure).otherwise("temporary")
     names = F.struct(F.col("symbol").alias("symbol"), F.lit("TSE").alias("market"), F.lit("TWSE").alias("exchange"), F.lit("TWD").alias("currency"), F.lit("EQUITY").alias("security_type"))
     returned = F.struct(*(F.when(key % 29 == n, "?").otherwise(names[d]).alias(d) for n, d in enumerate(versions.IDENTITY, 10)))
-    known = spans.select("symbol", failure.alias("failure"), (key % 31 != 9).alias("evidence_ok"), names.alias("requested"), F.when(key % 29 != 9, returned).alias("returned"), (key % 37 != 12).alias("security_ok"), F.lit(None).cast("string").alias("canonical_problem"))
+    known = spans.select("symbol", F.lit(p.day).alias("target_date"), failure.alias("failure"), (key % 31 != 9).alias("evidence_ok"), names.alias("requested"), F.when(key % 29 != 9, returned).alias("returned"), (key % 37 != 12).alias("security_ok"), F.lit(None).cast("string").alias("canonical_problem"))
     return required, canonical, other, known.join(versions.structure(shaped), "symbol", "left")
 
 
@@ -486,10 +534,11 @@ def supplement_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplement_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each symbol goes, some having a stored version already."""
+    """Where each symbol goes, some having a stored version already; those for another target date don't count."""
     p = Panel(spark, sf_dir)
     k = F.col("supplier")
-    known = p.symbols.select("symbol", F.when(k % 5 == 0, "open").when(k % 5 == 1, "complete").when(k % 25 == 2, "ambiguous").alias("leaf_state")).where("leaf_state is not null")
+    known = p.symbols.select("symbol", F.when(k % 5 == 0, "open").when(k % 5 == 1, "complete").when(k % 25 == 2, "ambiguous").alias("leaf_state"), F.lit(p.day).alias("target_date")).where("leaf_state is not null")
+    known = known.unionByName(p.symbols.select("symbol", F.lit("complete").alias("leaf_state"), F.lit(p.before).alias("target_date")))
     return versions.routed(_decisions(p), known).groupBy("route", "reason").agg(F.count("*").alias("symbols"))
 
 
@@ -639,10 +688,10 @@ def table_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: tuple[Query, ...] = (
     bars, valuation_rows, bar_checks, repeated_orders, batch_identity, source_roles, text_forms, local_dates, price_status, last_bars, valuations_as_of,
     validation_runs, previous_results, merged_history, source_lists, market_days, resolved_days, latest_dates, short_histories, readiness, readiness_totals, panel_indicators, panel_drawdowns,
-    whole_history_risk, research_summary, first_metrics, first_reasons, first_candidates, first_counts, input_gaps, screening_sources, previous_conflicts,
+    whole_history_risk, research_summary, prior_dates, first_metrics, first_reasons, first_candidates, first_counts, input_gaps, screening_sources, previous_conflicts,
     universe_members, universe_conflicts, universe_counts, class_assignments, feed_dates, watchlist, second_metrics, second_reasons, second_ranking, failed_metrics, failed_ranking,
     report_reasons, report_totals, candidate_provenance, latest_day_outcomes, history_differences, history_summary, differences_by_field, coverage_condition, timestamp_states, rendered_values,
-    version_coverage, version_roles, version_snapshots, validation_views, versions_of, version_reconciliation, version_leaves, version_lineage, broken_rows, broken_versions, reconcile_inputs,
+    version_coverage, version_roles, version_snapshots, validation_views, versions_of, version_reconciliation, version_leaves, version_lineage, target_reconciliation, reconciliation_dates, version_ids, version_ancestry, broken_rows, broken_versions, reconcile_inputs,
     version_gate, plain_versions, identity_statuses, structure_problems, supplement_decisions, supplement_routes, daily_results, result_ids, result_changes, ratio_changes,
     volume_state_changes, discrepancy_changes, result_quality, result_provenance, selections_per_symbol, reason_frequency, daily_candidates, quality_frequency,
     date_totals, symbol_reasons, methodology_comparison, run_roll_ups, run_quality, batch_roll_ups, bar_coverage, table_digests,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalar
-from barloom.functions.session import fresh_folder, stored
+from barloom.functions.session import durable, fresh_folder, stored
 from barloom.operators import asof, results, validate, versions
 from barloom.plans.panel import Panel, Query, shown
 from barloom.schemas import OHLCV
@@ -26,17 +26,20 @@ def _price(c: str) -> Column:
 
 
 def _daily_payloads(p: Panel) -> DataFrame:
-    """A payload per date: on the 5th a field lacks, on the 6th the text is cut off, on the 7th nothing is in it, and
-    on the 8th a field is a number; bars without a price on the 9th, and bars whose high is too low on the 10th."""
+    """A payload per date: on the 5th a field lacks, on the 6th the text is cut off, on the 7th nothing is in it, on
+    the 8th a field is a number, on the 14th a code comes twice, and on the 15th codes are blank; bars without a price
+    on the 9th, bars whose high is too low on the 10th, and on the 11th and 12th a number that nothing else looks at is none."""
     day = DAY("trade_date")
-    price = lambda c: F.when(day == 9, "0.00").otherwise(_price(c))
+    price = lambda c: F.when(day == 9, "0.00").otherwise(F.format_string("%.2f", c))
     cells = {
-        "Date": _local(F.col("trade_date")), "Code": F.col("symbol"), "Name": F.concat(F.lit(" N"), "symbol"), "TradeVolume": F.format_string("%,d", F.col("volume")), "TradeValue": F.lit("0"), "OpeningPrice": price("open"),
-        "HighestPrice": F.when(day == 10, "0.01").otherwise(price("high")), "LowestPrice": price("low"), "ClosingPrice": price("close"), "Change": F.when(day != 5, "0"), "Transaction": F.lit("1"),
+        "Date": _local(F.col("trade_date")), "Code": F.when(day == 15, " ").otherwise(F.col("symbol")), "Name": F.concat(F.lit(" N"), "symbol"), "TradeVolume": F.format_string("%d", F.col("volume")), "TradeValue": F.when(day == 11, "x").otherwise("0"), "OpeningPrice": price("open"),
+        "HighestPrice": F.when(day == 10, "0.01").otherwise(price("high")), "LowestPrice": price("low"), "ClosingPrice": price("close"), "Change": F.when(day == 12, "n/a").when(day != 5, "-0.5"), "Transaction": F.lit("1"),
     }
     record = F.to_json(F.struct(*(c.alias(k) for k, c in cells.items())))
     record = F.when(day == 8, F.replace(record, F.lit('"TradeValue":"0"'), F.lit('"TradeValue":0'))).otherwise(record)
-    whole = p.bars.groupBy("trade_date").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("text"))
+    records = F.collect_list(record)
+    records = F.when(day == 14, F.concat(records, F.slice(records, 1, 1))).otherwise(records)
+    whole = p.bars.groupBy("trade_date").agg(F.concat(F.lit("["), F.array_join(records, ","), F.lit("]")).alias("text"))
     text = F.when(DAY("trade_date") == 6, F.substring("text", 1, 40)).when(DAY("trade_date") == 7, "[]").otherwise(F.col("text"))
     return whole.select(F.col("trade_date").cast("string").alias("payload_id"), text.alias("payload"))
 
@@ -52,7 +55,7 @@ def snapshot_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ratio_payloads(p: Panel) -> DataFrame:
     day = DAY("trade_date")
-    pe = F.when((F.col("supplier") + day) % 11 == 0, "").when(day == 12, "n/a").otherwise(F.format_string("%,.2f", F.floor(F.col("close") * 100 / (1 + F.col("supplier") % 7)) / 100))
+    pe = F.when((F.col("supplier") + day) % 11 == 0, "").when(day == 12, "n/a").otherwise(F.format_string("%.2f", F.floor(F.col("close") * 100 / (1 + F.col("supplier") % 7)) / 100))
     cells = {"Date": _local(F.col("trade_date")), "Code": F.when(day == 13, " ").otherwise(F.col("symbol")), "Name": F.col("symbol"), "PEratio": pe, "DividendYield": F.lit(" "), "PBratio": F.format_string("%.4f", F.col("close") / 50)}
     record = F.to_json(F.struct(*(c.alias(k) for k, c in cells.items())))
     whole = p.bars.groupBy("trade_date").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("payload"))
@@ -202,7 +205,7 @@ def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = market.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     texts = ("token=%d, retry", "no API-Key: %d;", "x&password='%d 7'&y", "Authorization: Bearer a.%d", "order %d failed", "line\nsecret = %d")
     message = F.element_at(F.array(*[F.format_string(t, "k") for t in texts]), (F.col("k") % len(texts) + 1).cast("int"))
-    return orders.select("k", scalar.redacted(message, 30).alias("message"))
+    return orders.select("k", scalar.redacted(message, 30).alias("message"), scalar.error_text(F.lit("ReadError"), F.when(F.col("k") % 7 != 0, message), 40).alias("told"))
 
 
 def clean_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,21 +299,36 @@ def backfill_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.backfill_state(bars.where("supplier % 4 <> 0 or year(trade_date) < 1997"), 500, 20)
 
 
+def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each symbol's backfill stands after three loads of months in disorder: it goes back from the day's month until
+    it has bars enough or has taken months enough; some symbols lack a month and wait there."""
+    p = Panel(spark, sf_dir)
+    month = F.month("trade_date")
+    bars = p.bars.where((F.col("supplier") % 5 != 2) | (month % 4 != 0))
+    names = ("incoming", "backfill", "waiting", "months", "cursor")
+    incoming, table, waiting, cursor, point = (fresh_folder(spark, n) for n in names)
+    for part in (0, 2, 1):
+        _bar_files(bars.where(month % 3 == part), incoming, 1)
+        incremental.backfill_by_month(spark, incoming, table, waiting, cursor, point, p.day, 45, 8).awaitTermination()
+    states = incremental.month_cursors(sinks.stored_table(spark, cursor), p.day, 45, 8)
+    held = sinks.stored_table(spark, table).groupBy("symbol").agg(F.count("*").alias("stored"), F.min("trade_date").alias("first_date"))
+    return states.join(held, "symbol", "left")
+
+
 def late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions after late canonical bars came in by a stream, which ran twice from the start."""
+    """Versions for two target dates after late canonical bars came in by a stream, which ran twice from the start."""
     p = Panel(spark, sf_dir)
-    required = stored(asof.last_bars(p.recent.select("symbol", "trade_date"), p.day, 60).select("symbol", "trade_date"), "required")
-    of = lambda t: t.join(required, ["symbol", "trade_date"], "left_semi")
+    required = stored(asof.last_bars(p.recent.select("symbol", "trade_date"), p.day, 60).withColumn("target_date", F.lit(p.day)).unionByName(asof.last_bars(p.recent.select("symbol", "trade_date"), p.before, 60).withColumn("target_date", F.lit(p.before))).drop("rn"), "required")
+    of = lambda t: t.join(required.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi")
     early, late = DAY("trade_date") < 20, DAY("trade_date") >= 20
     other = of(p.recent_second)
-    made, rows = versions.build(of(p.recent.where(early)), other, other.where("1 = 0"), required, p.day)
-    incoming, v, o = (fresh_folder(spark, n) for n in ("arrivals", "versions", "observations"))
-    rows.write.parquet(o)
-    made.write.parquet(v)
+    made, rows = versions.build(of(p.recent.where(early)), other, other.where("1 = 0"), required)
+    incoming, store = (fresh_folder(spark, n) for n in ("arrivals", "versions"))
+    incremental.store_versions(durable(made), durable(rows), store)
     _bar_files(of(p.recent.where(late & (F.col("supplier") % 3 != 1))), incoming)
     for _ in range(2):
-        incremental.reconcile_arrivals(spark, incoming, v, o, required, fresh_folder(spark, "cursor")).awaitTermination()
-    return spark.read.parquet(v).groupBy("symbol", "status").agg(F.count("*").alias("versions"), F.sum("discrepancies").alias("discrepancies"))
+        incremental.reconcile_arrivals(spark, incoming, store, fresh_folder(spark, "cursor")).awaitTermination()
+    return incremental.stored_versions(spark, store)[0].groupBy("symbol", "target_date", "status").agg(F.count("*").alias("versions"), F.sum("canonical").alias("canonical"), F.sum("discrepancies").alias("discrepancies"))
 
 
 def replays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,5 +347,5 @@ def replays(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL: tuple[Query, ...] = (
     snapshot_bars, snapshot_rejects, snapshot_ratios, snapshot_ratio_rejects, month_bars, month_rejects, candle_bars, candle_rejects, quote_rows, quote_rejects, yearly_rows, listings, common_names,
     payload_evidence, payload_files, price_classes, payload_problems, redacted_messages, clean_references, json_scalars, upserts, insert_conflicts, keyed_reads, report_files, universe_files,
-    backfills, backfill_states, late_arrivals, replays,
+    backfills, backfill_states, backfill_months, late_arrivals, replays,
 )

@@ -22,11 +22,12 @@ def oracle_sql(with_: Callable[..., str], r: Callable[..., str]) -> dict[str, st
     d = "(SELECT d FROM best)"
     bar = r(*_BAR)
     return {
-        "snapshot_bars": with_(f"SELECT symbol, 'N' || symbol AS name, trade_date, {bar}, volume, source FROM b WHERE day(trade_date) NOT BETWEEN 5 AND 10"),
+        "snapshot_bars": with_(f"SELECT symbol, 'N' || symbol AS name, trade_date, {bar}, volume, source FROM b WHERE day(trade_date) NOT BETWEEN 5 AND 12 AND day(trade_date) NOT IN (14, 15)"),
         "snapshot_rejects": with_(
             """SELECT problem, whole, n FROM (SELECT 'field_missing' AS problem, true AS whole, count(DISTINCT trade_date) FILTER (day(trade_date) = 5) AS n FROM b UNION ALL SELECT 'malformed_json', true, count(DISTINCT trade_date) FILTER (day(trade_date) = 6) FROM b
             UNION ALL SELECT 'not_a_record_array', true, count(DISTINCT trade_date) FILTER (day(trade_date) = 7) FROM b UNION ALL SELECT 'field_not_text', true, count(DISTINCT trade_date) FILTER (day(trade_date) = 8) FROM b
-            UNION ALL SELECT 'price_unavailable', false, count(*) FILTER (day(trade_date) = 9) FROM b UNION ALL SELECT 'high_not_highest', false, count(*) FILTER (day(trade_date) = 10) FROM b) WHERE n > 0"""
+            UNION ALL SELECT 'code_repeated', true, count(DISTINCT trade_date) FILTER (day(trade_date) = 14) FROM b UNION ALL SELECT 'code_blank', true, count(DISTINCT trade_date) FILTER (day(trade_date) = 15) FROM b
+            UNION ALL SELECT 'number_invalid', false, count(*) FILTER (day(trade_date) IN (11, 12)) FROM b UNION ALL SELECT 'price_unavailable', false, count(*) FILTER (day(trade_date) = 9) FROM b UNION ALL SELECT 'high_not_highest', false, count(*) FILTER (day(trade_date) = 10) FROM b) WHERE n > 0"""
         ),
         "snapshot_ratios": with_(
             f"""SELECT symbol, metric_date, name, {r('value')}, unit, source FROM (
@@ -34,7 +35,7 @@ def oracle_sql(with_: Callable[..., str], r: Callable[..., str]) -> dict[str, st
               UNION ALL SELECT symbol, trade_date, 'price_to_book_ratio', close / 50, 'ratio', 'primary' FROM b WHERE day(trade_date) <> 13)"""
         ),
         "snapshot_ratio_rejects": with_(
-            """SELECT * FROM (SELECT 'identity_missing' AS problem, count(*) FILTER (day(trade_date) = 13) + count(*) FILTER (day(trade_date) = 13 AND (supplier + 13) % 11 <> 0) AS n FROM b UNION ALL SELECT 'value_invalid', count(*) FILTER (day(trade_date) = 12 AND (supplier + 12) % 11 <> 0) FROM b) WHERE n > 0"""
+            """SELECT * FROM (SELECT 'code_blank' AS problem, count(DISTINCT trade_date) FILTER (day(trade_date) = 13) AS n FROM b UNION ALL SELECT 'value_invalid', count(*) FILTER (day(trade_date) = 12 AND (supplier + 12) % 11 <> 0) FROM b) WHERE n > 0"""
         ),
         "month_bars": with_(f"SELECT symbol, trade_date, {bar}, volume, source FROM b WHERE (symbol, date_trunc('month', trade_date)) IN (SELECT (symbol, month) FROM month_problems WHERE problem IS NULL)", _MONTHS),
         "month_rejects": with_("SELECT symbol || '/' || strftime(month, '%Y-%m') AS payload_id, problem FROM month_problems WHERE problem IS NOT NULL", _MONTHS),
@@ -56,7 +57,8 @@ def oracle_sql(with_: Callable[..., str], r: Callable[..., str]) -> dict[str, st
         "payload_problems": with_(
             """SELECT symbol, status, count(*) AS n FROM (SELECT symbol, CASE WHEN day(trade_date) % 5 = 0 THEN 'missing_source' ELSE 'available' END AS status, day(trade_date) % 7 <> 0 AND day(trade_date) % 11 <> 0 AS there FROM b) WHERE (status = 'available') <> there GROUP BY symbol, status"""
         ),
-        "redacted_messages": """SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'token=[redacted], retry' WHEN 1 THEN 'no API-Key=[redacted];' WHEN 2 THEN 'x&password=[redacted]&y' WHEN 3 THEN 'Authorization: Bearer [redacte' WHEN 4 THEN 'order ' || o_orderkey || ' failed' ELSE 'line secret=[redacted]' END AS message FROM orders""",
+        "redacted_messages": """SELECT k, left(line, 30) AS message, CASE WHEN k % 7 = 0 THEN 'ReadError' ELSE left('ReadError: ' || line, 40) END AS told FROM (
+            SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'token=[REDACTED], retry' WHEN 1 THEN 'no API-Key=[REDACTED];' WHEN 2 THEN 'x&password=[REDACTED]&y' WHEN 3 THEN 'Authorization: Bearer [REDACTED]' WHEN 4 THEN 'order ' || o_orderkey || ' failed' ELSE 'line secret=[REDACTED]' END AS line FROM orders)""",
         "clean_references": "SELECT o_orderkey AS k, o_orderkey % 9 IN (0, 3) AS clean FROM orders",
         "json_scalars": f"""SELECT k, kind, {r('number')}, text, truth FROM (SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'number' WHEN 3 THEN 'string' WHEN 6 THEN 'number' END AS kind, CASE o_orderkey % 9 WHEN 2 THEN o_orderkey + 0.5 WHEN 6 THEN CAST(o_orderkey AS DOUBLE) END AS number,
             CASE WHEN o_orderkey % 9 = 3 THEN 'a' || o_orderkey || chr(10) END AS text, CASE WHEN o_orderkey % 9 = 1 THEN true END AS truth FROM orders)""",
@@ -75,10 +77,16 @@ def oracle_sql(with_: Callable[..., str], r: Callable[..., str]) -> dict[str, st
         "backfill_states": with_(
             """SELECT symbol, bars, months, CASE WHEN bars >= 500 THEN 'complete' WHEN months >= 20 THEN 'out_of_months' ELSE 'pending' END AS state FROM (SELECT symbol, count(*) AS bars, count(DISTINCT date_trunc('month', trade_date)) AS months FROM b WHERE supplier % 4 <> 0 OR year(trade_date) < 1997 GROUP BY symbol)"""
         ),
+        "backfill_months": with_(
+            f"""SELECT symbol, CAST(sum(bars) AS BIGINT) AS bars, count(*) AS months, CAST(date_trunc('month', {d}) - to_months(CAST(count(*) AS INT)) AS DATE) AS next_month, CASE WHEN sum(bars) >= 45 THEN 'complete' WHEN count(*) >= 8 THEN 'out_of_months' ELSE 'pending' END AS state,
+            CAST(sum(bars) AS BIGINT) AS stored, min(first_date) AS first_date FROM taken GROUP BY symbol""",
+            f"""monthly AS (SELECT symbol, date_diff('month', date_trunc('month', trade_date), date_trunc('month', {d})) AS back, count(*) AS bars, min(trade_date) AS first_date FROM b WHERE trade_date <= {d} AND (supplier % 5 <> 2 OR month(trade_date) % 4 <> 0) GROUP BY symbol, back),
+            taken AS (SELECT * FROM (SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(bars) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM monthly WINDOW w AS (PARTITION BY symbol ORDER BY back)) WHERE back = place AND before < 45 AND place < 8)""",
+        ),
         "late_arrivals": with_(
-            f"""SELECT symbol, status, count(*) AS versions, CAST(sum(wrong) AS BIGINT) AS discrepancies FROM (
-              SELECT symbol, CASE WHEN late = 0 THEN 'canonical_complete' ELSE 'provisional_complete' END AS status, 0 AS wrong FROM arrivals UNION ALL SELECT symbol, CASE WHEN wrong > 0 THEN 'reconciled_discrepant' ELSE 'reconciled_equal' END, wrong FROM arrivals WHERE late > 0 AND supplier % 3 <> 1) GROUP BY symbol, status""",
-            f"arrivals AS (SELECT symbol, supplier, count(*) FILTER (day(trade_date) >= 20) AS late, count(*) FILTER (day(trade_date) IN (27, 28)) AS wrong FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM b WHERE trade_date <= {d}) WHERE rn <= 60 GROUP BY symbol, supplier)",
+            """SELECT symbol, target_date, status, count(*) AS versions, CAST(sum(canonical) AS BIGINT) AS canonical, CAST(sum(wrong) AS BIGINT) AS discrepancies FROM (
+              SELECT symbol, target_date, CASE WHEN late = 0 THEN 'canonical_complete' ELSE 'provisional_complete' END AS status, n - late AS canonical, 0 AS wrong FROM arrivals UNION ALL SELECT symbol, target_date, CASE WHEN wrong > 0 THEN 'reconciled_discrepant' ELSE 'reconciled_equal' END, n, wrong FROM arrivals WHERE late > 0 AND supplier % 3 <> 1) GROUP BY symbol, target_date, status""",
+            """arrivals AS (SELECT symbol, supplier, target_date, count(*) AS n, count(*) FILTER (day(trade_date) >= 20) AS late, count(*) FILTER (day(trade_date) IN (27, 28)) AS wrong FROM (SELECT b.*, t.d AS target_date, row_number() OVER (PARTITION BY symbol, t.d ORDER BY trade_date DESC) AS rn FROM b JOIN (SELECT d FROM best UNION ALL SELECT d FROM prior) t ON trade_date <= t.d) WHERE rn <= 60 GROUP BY symbol, supplier, target_date)""",
         ),
         "replays": with_("SELECT symbol, trade_date AS market_date, volume + CASE WHEN day(trade_date) > 20 THEN 7 ELSE 0 END AS volume FROM b"),
     }

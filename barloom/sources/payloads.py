@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import clean_text, first_of, flexible_date, is_common_stock_code, let, roc_date, to_integer, to_number
 from barloom.operators.validate import bar_problem, price_class
+from barloom.schemas import OHLCV
 
 ZONE = "Asia/Taipei"
 # The providers' field names, and the identity that the second provider's payloads have.
@@ -58,8 +59,8 @@ def _at(v: Column, path: str, kind: str) -> Column:
 
 
 def _records(payloads: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(payload_id, problem, position, r): a row per record of arrays of objects whose ``fields`` are all text, and
-    a row per payload that isn't such an array."""
+    """(payload_id, problem, position, r): a row per record of arrays of objects whose ``fields`` are all text and
+    whose codes are there and differ, and a row per payload that isn't such an array."""
     items = _at(F.col("v"), "$", "array<variant>")
     field = lambda i, f: F.try_variant_get(i, f"$.{f}", "variant")
     some = lambda cond: F.exists("items", cond)
@@ -71,21 +72,35 @@ def _records(payloads: DataFrame, fields: tuple[str, ...]) -> DataFrame:
         (some(lambda i: ~_type(i).startswith("OBJECT")), "item_not_an_object"),
         (some(lacking), "field_missing"),
         (some(other), "field_not_text"),
+        (F.exists("codes", lambda c: c == ""), "code_blank"),
+        (F.size(F.array_distinct("codes")) < F.size("codes"), "code_repeated"),
     )
-    read = _worked_out(_worked_out(_parsed(payloads), ["payload_id", "payload", "v"], items=items), ["payload_id", "payload"], problem=whole)
+    codes = F.transform(items, lambda i: F.btrim(F.try_variant_get(i, "$.Code", "string")))
+    read = _worked_out(_worked_out(_parsed(payloads), ["payload_id", "payload", "v"], items=items, codes=codes), ["payload_id", "payload"], problem=whole)
     schema = "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>"
     records = F.when(F.col("problem").isNull(), F.from_json("payload", schema))
     return read.select("payload_id", F.col("problem").alias("whole"), F.posexplode_outer(records).alias("position", "r")).select("payload_id", "whole", "position", "r.*")
 
 
+def _unsigned(text: Column) -> Column:
+    return F.when(F.btrim(text).rlike("^[0-9]+$"), F.btrim(text).try_cast("long"))
+
+
+def _decimal(text: Column) -> Column:
+    return F.when(F.btrim(text).rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$"), F.btrim(text).try_cast("double"))
+
+
 def daily_snapshot(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All-market snapshot: an array of objects of text fields. Rows without any trade are rejected as unavailable."""
+    """All-market snapshot: an array of objects of text fields, plain numbers among them. Rows without any trade are
+    rejected as unavailable."""
     raw = _records(payloads, DAILY)
     typed = _worked_out(
         raw, ["payload_id", "whole", "position"], symbol=clean_text(F.col("Code")), name=clean_text(F.col("Name")), trade_date=roc_date(F.col("Date")),
-        open=to_number(F.col("OpeningPrice")), high=to_number(F.col("HighestPrice")), low=to_number(F.col("LowestPrice")), close=to_number(F.col("ClosingPrice")), volume=to_integer(F.col("TradeVolume")), source=F.lit("primary"),
+        open=_decimal(F.col("OpeningPrice")), high=_decimal(F.col("HighestPrice")), low=_decimal(F.col("LowestPrice")), close=_decimal(F.col("ClosingPrice")), volume=_unsigned(F.col("TradeVolume")), source=F.lit("primary"),
+        others=F.struct(_unsigned(F.col("TradeValue")).alias("value"), _unsigned(F.col("Transaction")).alias("trades"), _decimal(F.col("Change")).alias("change")),
     )
-    problem = first_of((F.col("whole").isNotNull(), F.col("whole")), (F.col("symbol").isNull() | F.col("name").isNull(), "identity_missing"), (F.col("trade_date").isNull(), "date_invalid"), (price_class() == "unavailable", "price_unavailable"), otherwise=bar_problem())
+    numbers = [F.col(c).isNull() for c in (*OHLCV, "others.value", "others.trades", "others.change")]
+    problem = first_of((F.col("whole").isNotNull(), F.col("whole")), (F.col("name").isNull(), "identity_missing"), (F.col("trade_date").isNull(), "date_invalid"), (F.array_contains(F.array(*numbers), True), "number_invalid"), (price_class() == "unavailable", "price_unavailable"), otherwise=bar_problem())
     return _split(typed.withColumn("problem", problem), "symbol", "name", *BAR[1:])
 
 
@@ -95,8 +110,8 @@ def valuation_snapshot(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(u).alias("unit"), F.col(c).alias("text")) for c, (n, u) in RATIOS.items()])
     there = F.filter(kinds, lambda k: clean_text(k["text"]).isNotNull())
     rows = raw.select("payload_id", "whole", "position", clean_text(F.col("Code")).alias("symbol"), roc_date(F.col("Date")).alias("metric_date"), F.explode(F.when(F.col("whole").isNotNull(), F.slice(kinds, 1, 1)).otherwise(there)).alias("k"))
-    judged = _worked_out(rows, ["payload_id", "whole", "position", "symbol", "metric_date"], name=F.col("k.name"), unit=F.col("k.unit"), value=to_number(F.col("k.text")), source=F.lit("primary"))
-    problem = first_of((F.col("whole").isNotNull(), F.col("whole")), (F.col("symbol").isNull(), "identity_missing"), (F.col("metric_date").isNull(), "date_invalid"), (F.col("value").isNull(), "value_invalid"))
+    judged = _worked_out(rows, ["payload_id", "whole", "position", "symbol", "metric_date"], name=F.col("k.name"), unit=F.col("k.unit"), value=_decimal(F.col("k.text")), source=F.lit("primary"))
+    problem = first_of((F.col("whole").isNotNull(), F.col("whole")), (F.col("metric_date").isNull(), "date_invalid"), (F.col("value").isNull(), "value_invalid"))
     return _split(judged.withColumn("problem", problem), "symbol", "metric_date", "name", "value", "unit", "source")
 
 

@@ -24,20 +24,20 @@ def write(path, value):
 
 
 def day_row(**changes):
-    return dict.fromkeys(payloads.DAILY, "0") | {"Date": "1130105", "Code": "1101", "Name": "Cement", "TradeVolume": "1,234", "OpeningPrice": "10.5", "HighestPrice": "11", "LowestPrice": "10", "ClosingPrice": "10.75"} | changes
+    return dict.fromkeys(payloads.DAILY, "0") | {"Date": "1130105", "Code": "1101", "Name": "Cement", "TradeVolume": "1234", "OpeningPrice": "10.5", "HighestPrice": "11", "LowestPrice": "10", "ClosingPrice": "10.75"} | changes
 
 
 def test_daily_snapshot(spark):
-    rows = [day_row(), day_row(Code="1102", OpeningPrice="0", HighestPrice="0", LowestPrice="0", ClosingPrice="0"), day_row(Code="1103", HighestPrice="1"), day_row(Code="1104", Date="1131305"), day_row(Code=" ")]
+    rows = [day_row(), day_row(Code="1102", OpeningPrice="0", HighestPrice="0", LowestPrice="0", ClosingPrice="0"), day_row(Code="1103", HighestPrice="1"), day_row(Code="1104", Date="1131305"), day_row(Code="1105", Name=" "), *(day_row(Code=str(1106 + k), **{f: v}) for k, (f, v) in enumerate({"TradeValue": "x", "Change": "n/a", "Transaction": "-1", "TradeVolume": "1,234", "ClosingPrice": "1e1"}.items())), day_row(Code="1190", Change="-0.5")]
     good, bad = payloads.daily_snapshot(texts(spark, rows))
     row = good.first()
-    assert (row.symbol, row.trade_date, row.open, row.volume) == ("1101", dt.date(2024, 1, 5), 10.5, 1234) and good.count() == 1
-    assert {r.position: r.problem for r in bad.collect()} == {1: "price_unavailable", 2: "high_not_highest", 3: "date_invalid", 4: "identity_missing"}
+    assert (row.symbol, row.trade_date, row.open, row.volume) == ("1101", dt.date(2024, 1, 5), 10.5, 1234) and good.count() == 2
+    assert {r.position: r.problem for r in bad.collect()} == {1: "price_unavailable", 2: "high_not_highest", 3: "date_invalid", 4: "identity_missing"} | dict.fromkeys(range(5, 10), "number_invalid")
     lacking = {k: v for k, v in day_row().items() if k != "Change"}
-    whole = [[day_row(), lacking], [day_row(), day_row(Change=1)], [day_row(), day_row(Change=None)], [day_row(), 5], [], {"a": 1}, '[{"Code": ', "", [day_row()]]
+    whole = [[day_row(), lacking], [day_row(), day_row(Change=1)], [day_row(), day_row(Change=None)], [day_row(), 5], [], {"a": 1}, '[{"Code": ', "", [day_row(), day_row(Code=" 1101 ")], [day_row(), day_row(Code=" ")], [day_row()]]
     good, bad = payloads.daily_snapshot(texts(spark, *whole))  # one bad record refuses its payload
     assert good.count() == 1
-    assert {r.payload_id: (r.position, r.problem) for r in bad.collect()} == {str(k): (None, p) for k, p in enumerate(["field_missing", "field_not_text", "field_not_text", "item_not_an_object", "not_a_record_array", "not_a_record_array", "malformed_json", "malformed_json"])}
+    assert {r.payload_id: (r.position, r.problem) for r in bad.collect()} == {str(k): (None, p) for k, p in enumerate(["field_missing", "field_not_text", "field_not_text", "item_not_an_object", "not_a_record_array", "not_a_record_array", "malformed_json", "malformed_json", "code_repeated", "code_blank"])}
 
 
 def test_valuation_snapshot(spark):
@@ -45,8 +45,8 @@ def test_valuation_snapshot(spark):
     good, bad = payloads.valuation_snapshot(texts(spark, rows))
     assert {(r.symbol, r.name, r.value, r.unit) for r in good.collect()} == {("1101", "dividend_yield_pct", 4.5, "%"), ("1101", "price_to_book_ratio", 1.2, "ratio")}
     assert [r.problem for r in bad.collect()] == ["value_invalid"]
-    good, bad = payloads.valuation_snapshot(texts(spark, [{k: v for k, v in rows[0].items() if k != "PBratio"}], []))
-    assert good.count() == 0 and sorted(r.problem for r in bad.collect()) == ["field_missing", "not_a_record_array"]
+    good, bad = payloads.valuation_snapshot(texts(spark, [{k: v for k, v in rows[0].items() if k != "PBratio"}], [], [rows[0], rows[0]]))
+    assert good.count() == 0 and sorted(r.problem for r in bad.collect()) == ["code_repeated", "field_missing", "not_a_record_array"]
 
 
 def month(rows, **changes):
@@ -137,7 +137,7 @@ def test_references_redaction_and_json(spark):
     refs = {"ftp://h.example/x": True, "dataset://d/1": True, "s3://bucket/key?part=1": True, "ftp://u@h.example/": False, "https://h.example/?X-Amz-Signature=1": False, "https://h.example/?private%5Fkey=1": False, "https://h.example/?a=1&auth": False, "https://h.example/#token=1": True, "//h.example/x": False, "": False, None: False}
     got = {r.u: r.c for r in spark.createDataFrame([(u,) for u in refs], "u string").select("u", scalar.is_clean_reference(F.col("u")).alias("c")).collect()}
     assert got == refs
-    texts_ = {"token=abc": "token=[redacted]", "my_token=abc": "my_token=abc", "Private Key : 'a b' rest": "Private Key=[redacted] rest", 'password: "x, y";': "password=[redacted];", "bearer abc, then": "Bearer [redacted], then", "a\nb": "a b"}
+    texts_ = {"token=abc": "token=[REDACTED]", "my_token=abc": "my_token=abc", "Private Key : 'a b' rest": "Private Key=[REDACTED] rest", 'password: "x, y";': "password=[REDACTED];", "bearer abc, then": "Bearer [REDACTED], then", "a\nb": "a b"}
     assert {r.m: r.c for r in spark.createDataFrame([(m,) for m in texts_], "m string").select("m", scalar.redacted(F.col("m")).alias("c")).collect()} == texts_
     values = {"null": ("null", None), "1.5": ("number", 1.5), "-2e3": ("number", -2000.0), "true": ("boolean", True), '"a\\"b"': ("string", 'a"b'), "01": (None, None), "[1]": (None, None), "": (None, None), None: (None, None), '"': (None, None)}
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", scalar.json_scalar(F.col("v")).alias("s")).collect()
