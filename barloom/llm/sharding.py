@@ -150,9 +150,16 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return stored.where(F.col("version") == newest).select(*(c.split()[0] for c in MAP_SCHEMA.split(", ")))
 
 
+def _same_slots(slots: DataFrame, n_slots: int) -> None:
+    held = slots.count()
+    if held != n_slots:
+        raise ValueError(f"the map has {held} slots and {n_slots} are asked for: rows of the others would be lost")
+
+
 def place_rows(documents: DataFrame, slots: DataFrame, n_slots: int = SLOTS) -> DataFrame:
     """``documents`` with shard and vslot. No shuffle: the map has n_slots rows, so it is broadcast. All
-    copies of a row count as one run here and share a slot."""
+    copies of a row count as one run here and share a slot. A map of another number of slots is refused."""
+    _same_slots(slots, n_slots)
     shard, vslot = (fresh_name(documents, n) for n in ("shard", "vslot"))
     placed = documents.withColumn(vslot, slot_of(n_slots, F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))), F.lit(0)))
     right = slots.select(F.col("vslot").alias(f"{vslot}_key"), F.col("shard").alias(shard))
@@ -165,13 +172,14 @@ def shard(documents: DataFrame, shards: int = SHARDS, n_slots: int = SLOTS, fold
     The map is kept in ``folder`` (by default a new one in the shared folder): its newest version, or one
     that deals slots in turn, is edited for the bytes there are now, stored as the next version, and read
     back from there. Places are counted inside the virtual slots, never over a whole shard: a shard's slots
-    follow each other and the map has where each begins.
+    follow each other and the map has where each begins. A stored map of another number of slots is refused.
     """
     spark = documents.sparkSession
     cut = durable(runs(documents, n_slots))
     if folder is None:
         folder = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
         save_map(dealt_map(spark, shards, n_slots), folder)
+    _same_slots(load_map(spark, folder), n_slots)
     save_map(rebalance(load_map(spark, folder), slot_totals(cut), shards), folder)
     slots = load_map(spark, folder)
     before = F.sum("rows").over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "run").rowsBetween(Window.unboundedPreceding, -1))

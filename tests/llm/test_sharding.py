@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from barloom.llm import sharding
 from tests.llm.conftest import clashing
 
@@ -107,3 +108,15 @@ def test_place_rows_keeps_other_columns(odd):
     out = sharding.place_rows(frame, slots)
     assert out.count() == frame.count() and out.columns == [*frame.columns, "shard", "vslot_"]
     assert {r.vslot for r in out.collect()} == {r.vslot for r in frame.collect()}
+
+
+def test_a_map_of_another_number_of_slots_is_refused(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(300)], "doc_id long, text string")
+    sharding.save_map(sharding.dealt_map(spark, n_slots=1024), folder)
+    assert sharding.shard(docs, n_slots=1024, folder=folder).count() == 300
+    with pytest.raises(ValueError, match="1024 slots"):
+        sharding.shard(docs, n_slots=4096, folder=folder)
+    with pytest.raises(ValueError, match="1024 slots"):
+        sharding.place_rows(docs, sharding.load_map(spark, folder), 4096)
+    assert sharding.place_rows(docs, sharding.load_map(spark, folder), 1024).count() == 300
