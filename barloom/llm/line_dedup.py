@@ -33,7 +33,7 @@ def _hashed(keys: Column, min_length: int) -> Column:
 
 def frequent_lines(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH) -> DataFrame:
     """(line) hashes of the keys that at least ``min_documents`` documents hold; counted before the shuffle."""
-    hashes = F.array_distinct(F.array_compact(_hashed(line_keys(F.col("text")), min_length)))
+    hashes = F.array_compact(_hashed(F.array_distinct(line_keys(F.col("text"))), min_length))  # texts are told apart by hashing, structs one by one
     counts = documents.select(F.explode(hashes).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
     return durable(counts.where(F.col("n") >= min_documents).select("line"))
 
@@ -45,7 +45,8 @@ def drop_flags(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, min_len
     share theirs.
     """
     frequent = frequent_lines(documents, min_documents, min_length).withColumn("shared", F.lit(True))
-    lines = documents.select("doc_id", wide_hash(F.col("text")).alias("text_hash"), F.posexplode(_hashed(line_keys(F.col("text")), min_length)).alias("at", "line"))
+    named = documents.select("doc_id", "text", wide_hash(F.col("text")).alias("text_hash"))  # before lines are dealt out, once a text
+    lines = named.select("doc_id", "text_hash", F.posexplode(_hashed(line_keys(F.col("text")), min_length)).alias("at", "line"))
     alone = F.struct(F.xxhash64("doc_id", "at").alias("a"), F.xxhash64(F.lit("short"), "doc_id", "at").alias("b"))  # short lines don't meet in one null key
     lines = lines.withColumn("line", F.coalesce("line", alone))
     marked = lines.join(frequent, "line", "left").select("doc_id", "text_hash", (F.col("at") * 2 + F.coalesce("shared", F.lit(False)).cast("int")).alias("mark"))

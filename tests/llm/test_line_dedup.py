@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 from barloom.llm import line_dedup
@@ -35,3 +36,13 @@ def test_dedup_keeps_columns_and_nulls(docs, odd, none):
     assert line_dedup.report(odd).count() == odd.count() and line_dedup.report(none).count() == 0
     low = line_dedup.report(docs([(k, "\n") for k in range(12)]), min_length=0).collect()
     assert {r.n_dropped for r in low} == {2}
+
+
+def test_a_million_different_lines_in_one_text(spark):
+    lines = [f"line {k}" for k in range(1_000_000)]
+    rows = [(1, "\n".join(lines))] + [(k, f"line 7\nown {k}") for k in range(2, 11)]
+    began = time.time()
+    got = {r.doc_id: r for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    want = hashlib.sha256("\n".join(x for x in lines if x != "line 7").encode()).hexdigest()
+    assert (got[1].n_lines, got[1].n_dropped, got[1].kept_sha256) == (1_000_000, 1, want) and got[2].n_dropped == 1
