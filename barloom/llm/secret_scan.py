@@ -266,6 +266,18 @@ def tested(found: Column, text: Ordinary) -> Column:
     return _with(out, **keep, p=lambda m: F.least(F.lit(1.0), 3 * least(m)))
 
 
+def _below(found: Column, place: Column) -> Column:
+    """How many of ``found``, which is in order of start, start before ``place``: a binary search."""
+    powers = F.array(*[F.lit(1 << k) for k in range(26, -1, -1)])
+    fits = lambda at, k: F.coalesce(F.get(found, at + k - 1)["start"] < place, F.lit(False))
+    return F.aggregate(powers, F.lit(0), lambda at, k: F.when(fits(at, k), at + k).otherwise(at))
+
+
+def _meets(found: Column, m: Column) -> Column:
+    """Whether one of ``found``, in order and apart from each other, overlaps ``m``: the last that starts before its end."""
+    return F.coalesce(F.get(found, _below(found, m["end"]) - 1)["end"] > m["start"], F.lit(False))
+
+
 def _step(p: Column) -> Column:
     """The grid step of a p-value; higher steps are smaller values."""
     return F.least(F.lit(GRID), F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) / DECADES * GRID)).cast("int")
@@ -284,10 +296,10 @@ def candidates(documents: DataFrame, text: Ordinary) -> DataFrame:
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).select("*", F.col("body").rlike(TOKEN).alias("has_run"))
     body, has_run = F.col("body"), F.col("has_run")
     base = base_spans(body, has_run)
-    both = F.array_distinct(F.concat(spans(body, TOKEN, "random", 20), spans(body, PIECE, "random", 20)))
+    same = lambda a, b: F.coalesce((a["start"] == b["start"]) & (a["end"] == b["end"]), F.lit(False))
+    both = let(F.array_sort(F.concat(spans(body, TOKEN, "random", 20), spans(body, PIECE, "random", 20))), lambda ms: F.filter(ms, lambda m, i: ~same(m, F.get(ms, i - 1))))
     found = texts.select("doc_id", *(c.alias(k) for k, c in base.items()), F.when(has_run, both).otherwise(_none()).alias("runs"))
-    known = F.concat("assign", "access", "hex")
-    clear = F.filter("runs", lambda m: ~F.exists(known, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"])))
+    clear = F.filter("runs", lambda m: ~(_meets(F.col("assign"), m) | _meets(F.col("access"), m) | _meets(F.col("hex"), m)))
     bare = lambda ms, **more: F.transform(ms, lambda m: F.struct(m["start"], m["end"], m["rank"], m["kind"], *(f(m).alias(k) for k, f in more.items())))
     runs = bare(tested(clear, text), step=lambda m: F.when(m["p"] >= ALPHA, _step(m["q"])).otherwise(0), cls=lambda m: _class(m["end"] - m["start"]))
     return found.select("doc_id", *(bare(F.col(k)).alias(k) for k in base), F.when(F.size("runs") > 0, runs).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,step:int,cls:int>>")).alias("runs"))
@@ -313,9 +325,26 @@ def scan(documents: DataFrame) -> DataFrame:
     found = durable(candidates(documents, ordinary(documents)))
     limits = F.array(*[F.lit(s) for s in thresholds(found)])
     claimed = found.withColumn("runs", F.filter("runs", lambda m: (m["step"] > 0) & (m["step"] >= F.get(limits, m["cls"]))))
-    better = lambda k, m: (k["start"] < m["end"]) & (m["start"] < k["end"]) & ((k["step"] > m["step"]) | ((k["step"] == m["step"]) & (k["end"] - k["start"] > m["end"] - m["start"])))
-    best = F.filter("runs", lambda m: ~F.exists("runs", lambda k: better(k, m)))
-    return claimed.select("doc_id", "assign", "access", "hex", F.transform(best, lambda m: F.struct(m["start"], m["end"], m["rank"], m["kind"])).alias("random"))
+    return claimed.select("doc_id", "assign", "access", "hex", F.transform(_best("runs"), lambda m: F.struct(m["start"], m["end"], m["rank"], m["kind"])).alias("random"))
+
+
+def _best(runs: str) -> Column:
+    """Of a run and the pieces of it: the run, unless one of them is less like text, and then those that are.
+
+    Sorted, a run comes right before its pieces, and what contains nothing starts after all before it has ended."""
+    order = F.array_sort(F.transform(runs, lambda m: F.struct(m["start"], (-m["end"]).alias("back"), m["end"], m["rank"], m["kind"], m["step"])))
+
+    def chosen(ms: Column, holders: Column) -> Column:
+        def stays(m: Column, i: Column) -> Column:
+            holder = F.get(holders, _below(holders, m["start"] + 1) - 1)
+            held = (holder["end"] > m["start"]) & ~((holder["start"] == m["start"]) & (holder["end"] == m["end"]))
+            inner = F.slice(ms, i + 2, F.greatest(_below(ms, m["end"]) - i - 1, F.lit(0)))
+            return F.when(F.coalesce(held, F.lit(False)), m["step"] > holder["step"]).otherwise(~F.exists(inner, lambda k: k["step"] > m["step"]))
+
+        return F.filter(ms, stays)
+
+    holds = lambda ms: F.filter(ms, lambda m, i: F.coalesce(F.get(ms, i + 1)["start"] < m["end"], F.lit(False)))
+    return let(order, lambda ms: let(holds(ms), lambda holders: chosen(ms, holders)))
 
 
 def _digest(found: Column) -> Column:

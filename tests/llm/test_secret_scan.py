@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from barloom.llm import secret_scan
@@ -171,3 +172,31 @@ def test_odd_rows(odd, none):
     assert secret_scan.report(odd).count() == odd.count() and secret_scan.report(none).count() == 0
     assert {r.spans for r in secret_scan.report(odd).collect()} == {""}
     assert PROSE
+
+
+def test_many_runs_in_one_text(spark):
+    """16,000 hex runs and as many others in one text: each is found once, in a time that grows with their number."""
+    r = random.Random(1)
+    run = lambda symbols, n: "".join(r.choice(symbols) for _ in range(n))
+    mixed = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = " ".join(f"{run('0123456789abcdef', 36)} word {run(mixed, 24)}" for _ in range(16_000))
+    began = time.time()
+    got = secret_scan.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.time() - began < 60
+    assert got.n_hex == 16_000 and got.n_random >= 15_500
+
+
+def test_a_run_and_its_pieces(spark):
+    """Of nested runs the plain rule, run against run, keeps the same as the sorted sweep."""
+
+    def better(k, m):
+        return k[0] < m[1] and m[0] < k[1] and (k[2] > m[2] or (k[2] == m[2] and k[1] - k[0] > m[1] - m[0]))
+
+    cases = [
+        [(0, 50, 5), (0, 20, 5), (21, 50, 4)], [(0, 50, 5), (0, 20, 6), (21, 50, 5)], [(0, 50, 5), (0, 20, 4), (21, 50, 7)], [(0, 20, 3), (21, 50, 3)], [(10, 40, 2), (60, 99, 5), (60, 80, 9), (81, 99, 9), (120, 150, 1), (121, 150, 1)], [],
+        [(0, 90, 5), (0, 20, 5), (21, 50, 5), (51, 90, 6), (100, 130, 5), (200, 230, 5), (200, 220, 8)],
+    ]
+    rows = [(n, [(a, b, 3, "random", step, 0) for a, b, step in reversed(case)]) for n, case in enumerate(cases)]
+    df = spark.createDataFrame(rows, "n int, runs array<struct<start:int,end:int,rank:int,kind:string,step:int,cls:int>>")
+    got = {r.n: [(m.start, m.end) for m in r.best] for r in df.select("n", secret_scan._best("runs").alias("best")).collect()}
+    assert got == {n: sorted((m[0], m[1]) for m in case if not any(better(k, m) for k in case)) for n, case in enumerate(cases)}
