@@ -2,7 +2,8 @@
 
 Each element and each piece of text in a page's tree is main text or not. What a node looks like
 (its tag, the words of its class, id and role, how much text and how much of it in links) gives its own
-potential; a table of potentials joins each node to its parent. Messages pass upward and then downward
+potential, with its share of the page's text and the paragraphs beside it; a table of potentials joins each node to
+its parent. What holds both kinds is labelled as most of its text. Messages pass upward and then downward
 (sum-product), which gives exact marginals on a tree, and pieces of text that are more likely main
 text than not are kept. The weights maximise the likelihood of labelled pages by the same two passes.
 
@@ -11,7 +12,8 @@ Pages are parsed in tasks, one by one; the message passing runs level by level o
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; unclosed and
 misnested tags are closed as browsers do for the common cases, an open head at the first tag or text
-that can't stand in it, a tag that the page's end cuts off is dropped; scripts, styles, comments and
+that can't stand in it, a tag that the page's end cuts off is dropped, and what is opened within 400 open
+elements stands beside the innermost; a page takes time in proportion to its length; scripts, styles, comments and
 the head give no text; rows that repeat give the same text; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -19,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,6 +42,7 @@ _BLOCK = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALL = frozenset("ul ol dl table tr td th div section article main body html aside nav header footer form blockquote".split())
+_DEEPEST = 400  #: open elements; what is opened within so many stands beside the innermost, as in browsers
 _IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: a tag's attributes; a quote opens a value only right after the "=" of a name
 _ATTRS = r"(?>[\s/]+|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*|(?=>))|(?!\s*=)))*+"
@@ -71,6 +75,7 @@ class Tree:
     def __init__(self, html: str) -> None:
         self.parent, self.tag, self.text, self.words, self.main, self.depth = [-1], ["html"], [None], [()], [None], [0]
         stack, silent, at, end = [0], 0, 0, len(html)
+        open_: Counter[str] = Counter()  # of each name how many are open, so that nothing is looked for in vain
         find, match = html.find, _TOKEN.match
         while at < end:
             begin = find("<", at)
@@ -78,7 +83,7 @@ class Tree:
                 begin = find("<", begin + 1)
             stop = begin if begin >= 0 else end
             if silent and stop > at and self.tag[stack[-1]] == "head" and html[at:stop].strip(" \t\n\f\r"):
-                silent -= self._leave_head(stack)
+                silent -= self._leave_head(stack, open_)
             if stop > at and not silent:
                 text = html[at:stop]
                 self._add(stack[-1], "", unescape(text) if "&" in text else text, (), None)
@@ -90,26 +95,20 @@ class Tree:
                 continue
             name = name.lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        for gone in stack[k:]:
-                            silent -= self.tag[gone] in _SILENT
-                        del stack[k:]
-                        break
+                if open_[name]:
+                    silent -= self._close(stack, open_, next(k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name))
                 continue
-            if silent and name not in _IN_HEAD:
-                silent -= self._leave_head(stack)
+            if silent and name not in _IN_HEAD and open_["head"]:
+                silent -= self._leave_head(stack, open_)
             if name in ("html", "body"):
                 continue
             shut = {"p"} if name in _BLOCK else _CLOSES.get(name, ())
             if name in _CLOSES:
                 shut = {*_CLOSES[name], "p"}
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(open_[x] for x in shut) else ():
                 tag = self.tag[stack[k]]
                 if tag in shut:
-                    for gone in stack[k:]:
-                        silent -= self.tag[gone] in _SILENT
-                    del stack[k:]
+                    silent -= self._close(stack, open_, k)
                     if name not in _CLOSES:
                         break
                 elif tag in _WALL and not (name in ("tr", "td", "th") and tag in ("tr", "td", "th")):
@@ -122,10 +121,19 @@ class Tree:
                 close = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(html, at)
                 at = close.end() if close else end
                 continue
-            stack.append(node)
-            silent += name in _SILENT
+            if len(stack) < _DEEPEST:
+                stack.append(node)
+                open_[name] += 1
+                silent += name in _SILENT
+
+    def _close(self, stack: list[int], open_: Counter[str], k: int) -> int:
+        """Closes all from the k-th open element on; how many silent ones that are."""
+        gone = [self.tag[v] for v in stack[k:]]
+        del stack[k:]
+        open_.subtract(gone)
+        return sum(t in _SILENT for t in gone)
 
-    def _leave_head(self, stack: list[int]) -> int:
+    def _leave_head(self, stack: list[int], open_: Counter[str]) -> int:
         """Closes an open head; how many silent elements that closes."""
         tags = [self.tag[v] for v in stack]
         if "head" not in tags:
@@ -133,8 +141,7 @@ class Tree:
         k = tags.index("head")
         if "template" in tags[k:] or "noframes" in tags[k:]:  # their content isn't the page's
             return 0
-        del stack[k:]
-        return sum(t in _SILENT for t in tags[k:])
+        return self._close(stack, open_, k)
 
     def _add(self, parent: int, tag: str, text: str | None, words: tuple[str, ...], main: re.Match | None) -> int:
         self.parent.append(parent)
@@ -146,18 +153,31 @@ class Tree:
         return len(self.parent) - 1
 
     def looks(self) -> list[list[str]]:
-        """The names of each node's features."""
+        """The names of each node's features: what it is and says, how much of the page's text it has, and what
+        stands beside it."""
         n = len(self.parent)
-        chars, linked, count = [0] * n, [0] * n, [0] * n
+        chars, linked, long = [0] * n, [0] * n, [0] * n
+        for v in range(1, n):
+            if self.text[v] is not None and not self.text[v].isspace():
+                chars[v] = len(self.text[v]) - self.text[v].count(" ")
         for v in range(n - 1, 0, -1):
-            if self.text[v] is not None:
-                chars[v] = len(self.text[v]) - self.text[v].count(" ") if not self.text[v].isspace() else 0
             if self.tag[v] == "a":
                 linked[v] = chars[v]
             p = self.parent[v]
             chars[p] += chars[v]
             linked[p] += linked[v]
-            count[p] += 1
+            long[p] += chars[v] >= 60 and 2 * linked[v] < chars[v]
+        whole = max(1, chars[0])
+        last: dict[int, int] = {}  # of each element the child before
+        near = [0] * n
+        for v in range(1, n):
+            if self.text[v] is None:
+                p = self.parent[v]
+                if p in last:
+                    u = last[p]
+                    near[v] += chars[u] >= 60 and 2 * linked[u] < chars[u]
+                    near[u] += chars[v] >= 60 and 2 * linked[v] < chars[v]
+                last[p] = v
         inside = [False] * n
         out = []
         for v in range(n):
@@ -166,26 +186,38 @@ class Tree:
             if self.text[v] is None:
                 inside[v] = self.tag[v] == "a" or (p >= 0 and inside[p])
                 share = linked[v] / chars[v] if chars[v] else 0
-                names = ["element", f"at={self.tag[p] if p >= 0 else ''}", f"tag={self.tag[v]}", f"size={size}", f"links={'2' if share > 0.6 else '1' if share > 0.25 else '0'}"]
+                part = 4 * chars[v] // whole
+                links = "2" if share > 0.6 else "1" if share > 0.25 else "0"
+                tag = self.tag[v]
+                names = ["element", f"at={self.tag[p] if p >= 0 else ''}", f"tag={tag}", f"size={size}", f"links={links}", f"part={part}", f"long={min(long[v], 3)}", f"near={near[v]}", f"{tag}:{size}:{links}", f"share={part}{min(long[v], 3)}{links}"]
                 names += [f"word={w}" for w in self.words[v]]
+                names += [f"word={w}:{'much' if part >= 2 else 'little'}" for w in self.words[v]]
             else:
                 text = self.text[v].rstrip()
-                names = ["text", f"in={self.tag[p]}", f"long={size}"]
+                names = ["text", f"in={self.tag[p]}", f"text={size}", f"by={near[p]}", f"{self.tag[p]}:{size}:{near[p]}"]
                 if inside[p]:
                     names.append("linked")
                 if text[-1:] in ".!?…":
                     names.append("sentence")
-                if chars[v] < 200 and _CUES.search(text):
-                    names.append("cue")
+                if chars[v] < 50 and _CUES.search(text):
+                    names.append(f"cue:{near[p]}")
             out.append(names)
         return out
 
     def labels(self) -> list[float]:
-        """1 for main text, from the marks of labelled pages."""
-        out = []
+        """1 for main text, from the marks of labelled pages; what holds both kinds counts as what most of its text is."""
+        n = len(self.parent)
+        out: list[float | None] = []
         for v, mark in enumerate(self.main):
-            out.append(float(mark) if mark is not None else out[self.parent[v]] if v else 0.0)
-        return out
+            out.append(float(mark) if mark is not None else out[self.parent[v]] if v else None)
+        every, kept = [0] * n, [0.0] * n
+        for v in range(n - 1, 0, -1):
+            if self.text[v] is not None and not self.text[v].isspace():
+                every[v] = len(self.text[v])
+                kept[v] = every[v] * (out[v] or 0.0)
+            every[self.parent[v]] += every[v]
+            kept[self.parent[v]] += kept[v]
+        return [float(2 * kept[v] > every[v]) if x is None and self.text[v] is None else x or 0.0 for v, x in enumerate(out)]
 
     def blocks(self, keep: list[bool]) -> str:
         """The kept pieces: white space made one space, and a line for each block."""
@@ -262,7 +294,7 @@ class Model:
         return [t.blocks((chance >= 0.5).tolist()) for t, chance in zip(trees, self.marginals(trees))] if trees else []
 
     @classmethod
-    def fit(cls, pages: list[str], steps: int = 300, rate: float = 0.1, ridge: float = 0.005) -> Model:
+    def fit(cls, pages: list[str], steps: int = 220, rate: float = 0.15, ridge: float = 0.0005) -> Model:
         """Gradient ascent (with running scales) on the likelihood of the labels of ``pages``."""
         trees = [Tree(p) for p in pages]
         forest = Forest(trees)

@@ -7,6 +7,9 @@ that holds both kinds counts as main text if it is marked so itself.
 
 from __future__ import annotations
 
+import random
+import re
+
 _S = (
     "The river rose by two metres overnight, and the lower road was closed before dawn.",
     "Nobody had expected the old bridge to hold, but it did, and the market opened as usual.",
@@ -72,4 +75,134 @@ def _mixed(k: int) -> str:
     return _TOP + beside[0] + beside[1] + _WRAPS[k % len(_WRAPS)].format(m='data-main="1"').format("".join(text)) + beside[2] + _END
 
 
-PAGES = [page for k in range(3) for page in _page(k)] + [_mixed(k) for k in range(180)]
+
+# Pages of many layouts, dealt from parts. Classes tell the truth, something else, or nothing; paragraphs may talk of
+# cookies and comments; main text stands in all kinds of containers, lists and table cells.
+
+_SYLLABLES = "ka lo mi ter an de ru sol vin par to ne ges ich ung cion ado eau ent er ly st qua or".split()
+_ASIDES = ("They subscribe to a newsletter and comment on cookies.", "The copyright question was left to the court.", "Readers may sign in, read more and follow the debate.", "An advert in the paper had announced it.", "We share this view, with one comment.")
+_NAMES_MAIN = ("content", "post-body", "entry-content", "article__text", "td-post-content", "story", "c-rich-text", "main-column", "blog-post", "text-block", "single-post-body", "prose", "mw-body page")
+_NAMES_NONE = ("", "", "css-1x9ab", "col-8", "row", "box b2", "wrapper", "inner", "x-17", "grid__cell", "block", "container")
+_NAMES_LESS = {
+    "menu": ("nav-main", "menu", "site-navigation", "topbar", "breadcrumbs"), "head": ("site-header", "masthead", "branding"), "foot": ("site-footer", "footer", "bottom-bar", "copyright"), "side": ("sidebar", "widget-area", "related-posts", "most-popular"),
+    "note": ("cookie-banner", "gdpr-consent", "alert alert-info", "notice-bar", "modal"), "ad": ("ad-slot", "advertisement", "sponsored", "promo-box"), "form": ("newsletter-signup", "login-box", "search-form"), "talk": ("comments", "comment-list", "disqus-thread", "responses"), "share": ("share-buttons", "social", "byline", "post-meta", "tags"),
+}
+
+
+class _Dealer:
+    """One page after the other from a seeded generator."""
+
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+
+    def words(self, n: int) -> str:
+        return " ".join("".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 4))) for _ in range(n))
+
+    def sentence(self) -> str:
+        if self.r.random() < 0.06:
+            return self.r.choice(_ASIDES)
+        return self.words(self.r.randint(3, 18)).capitalize() + self.r.choice("...!?")
+
+    def text(self, least: int = 1, most: int = 4) -> str:
+        return " ".join(self.r.choice(_S) if self.r.random() < 0.2 else self.sentence() for _ in range(self.r.randint(least, most)))
+
+    def link(self, n: int = 3) -> str:
+        return f'<a href="/{self.r.randint(1, 99)}">{self.words(self.r.randint(1, n)).capitalize()}</a>'
+
+    def class_(self, kind: str) -> str:
+        """Attributes that tell of the kind, or of none."""
+        name = self.r.choice(_NAMES_LESS[kind]) if self.r.random() < 0.6 else self.r.choice(_NAMES_NONE)
+        return f' {self.r.choice(("class", "class", "id"))}="{name}"' if name else ""
+
+    def less(self) -> str:
+        """A part that isn't main text."""
+        r, w = self.r, self.words
+        kind = r.choice(("menu", "menu", "head", "foot", "foot", "side", "note", "ad", "form", "talk", "share", "links"))
+        tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "talk": "section"}.get(kind, "div")
+        named = self.class_(kind) if kind != "links" else ""
+        tag = tag if r.random() < 0.4 else "div"
+        if tag == "div" and not named and kind in ("note", "ad", "talk", "side"):
+            named = f' class="{r.choice(_NAMES_LESS[kind])}"'  # nothing else would tell it from main text
+        if kind in ("menu", "links"):
+            body = "<ul>" + "".join(f"<li>{self.link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>" if r.random() < 0.6 else r.choice((" ", " | ", " &middot; ")).join(self.link() for _ in range(r.randint(2, 8)))
+        elif kind == "head":
+            body = f"{self.link()}<p>{w(4)}</p>" if r.random() < 0.5 else f"<h1>{self.link(2)}</h1>"
+        elif kind == "foot":
+            body = r.choice((f"&copy; 20{r.randint(10, 25)} {w(3)}", f"<p>Copyright {w(2)}. All rights reserved. {self.link()}</p>", f"<p>{w(5)} &middot; {self.link()} {self.link()}</p>", f"&copy; {w(1)}.example.net &middot; {self.sentence()}"))
+        elif kind == "side":
+            body = f"<h3>{w(2).capitalize()}</h3>" + ("<ul>" + "".join(f"<li>{self.link(8)}</li>" for _ in range(r.randint(2, 6))) + "</ul>" if r.random() < 0.6 else f"<p>{self.text(1, 2)}</p>")
+        elif kind == "note":
+            body = f"<p>{r.choice(('We use cookies. ', 'This site uses cookies to improve your visit. ', 'Please note: ', ''))}{self.text(1, 2)}</p>" + ("<button>OK</button>" if r.random() < 0.5 else "")
+        elif kind == "ad":
+            body = r.choice((f"{self.text(1, 2)}", f"<p>{self.text(1, 2)}</p>{self.link()}", f"<b>Advertisement</b> {self.sentence()}"))
+        elif kind == "form":
+            body = f"<p>{r.choice(('Subscribe to our newsletter', 'Log in', 'Search'))}</p><label>{w(2)}</label><input><button>Go</button>"
+        elif kind == "talk":
+            body = f"<h3>{r.choice(('Comments', 'Responses', w(2)))}</h3>" + "".join(f"<div class='comment'><b>{w(1)}</b><p>{self.text(1, 3)}</p></div>" if r.random() < 0.6 else f"<li><p>{self.text(1, 2)}</p></li>" for _ in range(r.randint(1, 5)))
+        else:
+            body = r.choice((f"{self.link(1)} {self.link(1)} {self.link(1)}", f"By {w(2)} &middot; {r.randint(1, 28)} May", f"Tags: {self.link(1)}, {self.link(1)}"))
+        return f'<{tag}{named} data-main="0">{body}</{tag}>'
+
+    def main(self) -> list[str]:
+        """Blocks of main text, long or short, in one style for the page."""
+        r, w = self.r, self.words
+        out = [f"<h{k}>{w(r.randint(1, 8)).capitalize()}</h{k}>" for k in (r.randint(1, 2),) if r.random() < 0.75]
+        short, style, most = r.random() < 0.2, r.choice(("p", "p", "p", "p", "open", "div", "div", "br")), r.choice((1, 1, 2, 4, 6))
+        for _ in range(r.randint(1, 2) if short else r.randint(2, 10)):
+            kind = r.random()
+            if kind < 0.64:
+                inner = self.text(1, 1 if short else most)
+                if r.random() < 0.2:
+                    inner += f" {self.link()} {self.text(1, 1)}"
+                if r.random() < 0.15:
+                    inner = f"<b>{inner}</b>" if r.random() < 0.5 else f"{inner} <i>{w(2)}</i>"
+                out.append({"p": f"<p>{inner}</p>", "open": f"<p>{inner}", "div": f"<div>{inner}</div>", "br": f"{inner}<br><br>"}[style])
+            elif kind < 0.72:
+                tag = r.choice(("ul", "ol"))
+                item = r.choice((lambda: w(r.randint(1, 6)), self.sentence, lambda: f"<p>{self.sentence()}</p>"))
+                out.append(f"<{tag}>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(2, 6))) + f"</{tag}>")
+            elif kind < 0.78:
+                k = r.randint(2, 4)
+                out.append(f"<h{k}>{w(r.randint(1, 6)).capitalize()}</h{k}>")
+            elif kind < 0.82:
+                out.append(f"<blockquote>{self.text(1, 2)}</blockquote>")
+            elif kind < 0.86:
+                out.append("<table>" + "".join(f"<tr><th>{w(1)}</th><td>{w(r.randint(1, 5))}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>")
+            elif kind < 0.88:
+                out.append(f"<figure><img src=a.png><figcaption>{self.sentence()}</figcaption></figure>")
+            elif kind < 0.9:
+                out.append(f"<pre>{w(6)}</pre>")
+            elif not short:
+                out.append(self.less())
+        return out
+
+    def page(self) -> str:
+        r = self.r
+        if r.random() < 0.12:  # little text, which what stands around it outweighs
+            tag, around = r.choice(("article", "article", "main", "section", "div")), self.text(1, 2)
+            foot = r.choice((f"<footer>&copy; {self.words(1)}.example.net &middot; {self.text(1, 1)}</footer>", f"<footer><p>{around}</p></footer>", self.less()))
+            return f'{_TOP}{self.less() if r.random() < 0.8 else _NAV}<{tag} data-main="1"><h1>{self.sentence()}</h1><p>{self.text(1, 2)}</p></{tag}>{foot}{_END}'
+        name = r.choice(_NAMES_MAIN) if r.random() < 0.4 else r.choice(_NAMES_NONE)
+        named = f' {r.choice(("class", "id"))}="{name}"' if name else ""
+        tag = r.choice(("article", "article", "main", "div", "div", "div", "section", "td"))
+        blocks = self.main()
+        body = f'<{tag}{named} data-main="1">{"".join(blocks)}</{tag}>'
+        if r.random() < 0.1:  # nothing holds it together
+            body = "".join(x if "data-main" in x[:80] else re.sub(r"^<(\w+)", r'<\1 data-main="1"', x) if x.startswith("<") else f'<p data-main="1">{x}</p>' for x in blocks)
+        elif tag == "td":
+            side = f'<td data-main="0">{"".join(self.link() + "<br>" for _ in range(4))}</td>'
+            body = f"<table><tr>{r.choice((side, ''))}{body}{r.choice((side, ''))}</tr></table>"
+        before, after = ("".join(self.less() for _ in range(r.randint(0, 3))) for _ in range(2))
+        for _ in range(r.randint(0, 3)):
+            wrap = r.choice(_NAMES_NONE + _NAMES_MAIN)
+            body = f'<div{f" class={chr(34)}{wrap}{chr(34)}" if wrap else ""}>{body}{self.less() if r.random() < 0.3 else ""}</div>'
+        return _TOP + before + body + after + _END
+
+
+def dealt(n: int, seed: int = 11) -> list[str]:
+    """Labelled pages of as many layouts."""
+    dealer = _Dealer(seed)
+    return [dealer.page() for _ in range(n)]
+
+
+PAGES = [page for k in range(6) for page in _page(k)] + [_mixed(k) for k in range(120)] + dealt(640)

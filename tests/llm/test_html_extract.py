@@ -1,11 +1,13 @@
 import itertools
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from barloom.llm import html_extract
 from barloom.llm.labelled_pages import PAGES, _page
+from tests.llm import unseen_layouts
 
 SCHEMA = "page_id long, url string, html string"
 BODY = ["The council met on Tuesday and agreed to repair the harbour wall.", "Work begins in spring, if the weather allows it.", "Nobody spoke against the plan."]
@@ -92,7 +94,7 @@ def test_training_generalises_to_layouts_left_out():
     scores = []
     for held in range(10):
         own = [p for k in range(3) for n, p in enumerate(_page(k)) if n == held]
-        rest = [p for k in range(3) for n, p in enumerate(_page(k)) if n != held] + PAGES[30:]
+        rest = [p for k in range(3) for n, p in enumerate(_page(k)) if n != held] + PAGES[60::3]
         scores.append(right(html_extract.Model.fit(rest), own))
     assert np.mean(scores) >= 0.8, scores
 
@@ -136,3 +138,23 @@ def test_extract_table(spark):
     assert len(out) == 5 and all(r.n_chars == len(r.text) for r in out)
     assert next(r for r in out if r.page_id == 3).text.count("\n") == 4999
     assert html_extract.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_layouts_that_it_was_not_trained_on(model):
+    """By characters, over 0.9 on twenty layouts and over 0.7 on the worst; no article comes out empty."""
+    shares = {}
+    for name, html in unseen_layouts.plain().items():
+        main = html_extract.unescape("".join(re.findall(r"\[\[(.*?)\]\]", unseen_layouts.LAYOUTS[name], re.S)))
+        tree = html_extract.Tree(html)
+        chance = model.marginals([tree])[0]
+        pieces = [(len(x), (x in main) == (c >= 0.5)) for x, c, v in zip(tree.text, chance, tree.parent) if x and x.strip() and tree.tag[v] != "title"]
+        shares[name] = sum(n for n, right in pieces if right) / sum(n for n, _ in pieces)
+        assert unseen_layouts.A in model.texts([html])[0], name
+    assert len(shares) == 20 and sum(shares.values()) / 20 > 0.9 and min(shares.values()) > 0.7, shares
+
+
+@pytest.mark.parametrize("html", ["<span>x" * 100_000, "<div>" + "</i>" * 100_000 + "<p>x" * 50_000, "<svg>" + "<g>" * 100_000, "<b>" * 100_000 + "<h1>a" * 30_000, "<table>" + "<tr><td>" * 50_000 + "x"])
+def test_hostile_pages_take_seconds(model, html):
+    began = time.time()
+    model.texts([html])
+    assert time.time() - began < 20
