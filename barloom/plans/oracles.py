@@ -294,7 +294,7 @@ _UNITS = {
 
 def oracle_sql() -> dict[str, str]:
     d = "(SELECT d FROM best)"
-    return {
+    out = {
         "bars": _with(f"SELECT symbol, trade_date, {_r('open', 'high', 'low', 'close')}, volume, source FROM b"),
         "valuation_rows": _with(f"SELECT symbol, metric_date, name, {_r('value')}, unit, source FROM ratios"),
         "bar_checks": _with(
@@ -564,3 +564,8 @@ def oracle_sql() -> dict[str, str]:
         "bar_coverage": _with("SELECT symbol, count(*) AS n, min(trade_date) AS first_date, max(trade_date) AS last_date FROM b GROUP BY symbol"),
         **reading_sql.oracle_sql(_with, _r),
     }
+    return out | {
+        "daily_indicators": out["panel_indicators"], "pruned_differences": out["history_differences"], "rolled_quality": out["quality_frequency"], "rolled_comparison": out["methodology_comparison"],
+        "rolled_reasons": _with("SELECT stage, code, metric, count(*) AS times, count(DISTINCT symbol) AS symbols FROM why JOIN done USING (run_id) GROUP BY ALL", _RUNS),
+        "differing_ranges": "SELECT DISTINCT o_orderkey // 1024 * 1024 AS first_key, o_orderkey // 1024 * 1024 + 1023 AS last_key FROM orders WHERE o_orderkey % 7001 = 5 OR o_orderkey % 9973 = 3",
+    }

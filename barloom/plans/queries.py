@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import scalar
 from barloom.functions.session import durable
 from barloom.operators import asof, compare, first_screen, history, results, second_screen, universe, validate, versions, windows
-from barloom.plans import reading
+from barloom.plans import kept, reading
 from barloom.plans.panel import Panel, Query, shown
 from barloom.sources import market
 
@@ -699,4 +699,4 @@ ALL: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*ALL, *reading.ALL)}
+    return {f.__name__: f for f in (*ALL, *reading.ALL, *kept.ALL)}
