@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PART_DIGITS, PRICE_DIGITS = 12, 11  #: of parts and of prices in cents, beside those of a line's place
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,16 +24,18 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines are added up before they are shuffled, so a supplier with a third of all lines is no more than a bar a
     day from each task. What looks at a symbol's history deals the bars again, by symbol: a row a day at most."""
-    price = F.floor(F.lit(10000) + F.lit(5000) * F.col("l_discount") + F.col("l_extendedprice") / 1000) / 100  # two decimals
-    lines = table(spark, sf_dir, "lineitem").select(
-        code("l_suppkey").alias("symbol"), F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("trade_date"), price.alias("px"), "l_quantity", "l_discount",
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount").alias("place"),
-    )
-    daily = lines.groupBy("symbol", "supplier", "trade_date").agg(
-        F.min_by("px", "place").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "place").alias("close"),
-        F.sum("l_quantity").cast("long").alias("volume"), F.max("l_discount").alias("top_discount"),
+    cents = F.floor(F.lit(10000) + F.lit(5000) * F.col("l_discount") + F.col("l_extendedprice") / 1000).cast("long")
+    # a line's place and its price in one number, so that the first and the last price are a least and a greatest value,
+    # for which Spark adds up by hashing; numbers over these widths are an error, not another order
+    wide = lambda n: F.lit(10**n).cast(f"decimal({n + 1},0)")
+    line = (F.col("l_orderkey").cast("decimal(13,0)") * F.lit(8).cast("decimal(1,0)") + F.col("l_linenumber").cast("decimal(1,0)")).cast("decimal(14,0)")
+    placed = ((line * wide(PART_DIGITS) + F.col("l_partkey").cast(f"decimal({PART_DIGITS},0)")).cast("decimal(26,0)") * wide(PRICE_DIGITS) + F.col("cents").cast(f"decimal({PRICE_DIGITS},0)")).cast("decimal(37,0)")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_shipdate").cast("date").alias("trade_date"), "l_quantity", "l_discount", "l_orderkey", "l_linenumber", "l_partkey", cents.alias("cents"))
+    daily = lines.select("*", placed.alias("placed")).groupBy("supplier", "trade_date").agg(
+        F.min("placed").alias("first"), F.max("placed").alias("last"), F.max("cents").alias("high"), F.min("cents").alias("low"), F.sum("l_quantity").cast("long").alias("volume"), F.max("l_discount").alias("top_discount")
     )
-    return daily.select("symbol", "trade_date", "open", "high", "low", "close", "volume", F.lit("primary").alias("source"), "top_discount", "supplier")
+    price = lambda c: ((F.col(c) % wide(PRICE_DIGITS)).cast("long") / 100).alias({"first": "open", "last": "close"}[c])
+    return daily.select(code("supplier").alias("symbol"), "trade_date", price("first"), (F.col("high") / 100).alias("high"), (F.col("low") / 100).alias("low"), price("last"), "volume", F.lit("primary").alias("source"), "top_discount", "supplier")
 
 
 def second_bars(first: DataFrame) -> DataFrame:
