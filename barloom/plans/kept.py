@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.session import fresh_folder
+from barloom.functions.session import durable, fresh_folder
 from barloom.operators import compare, digests
 from barloom.plans.panel import Panel, Query, shown
 from barloom.schemas import OHLCV
-from barloom.sources import keyed_table, market
+from barloom.sources import keyed_table, layout, market
 from barloom.streaming import day_by_day, rollups
 
 
@@ -47,6 +47,19 @@ def pruned_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(compare.history_differences(compare.histories(digests.of_months(p.bars, months), digests.of_months(p.second, months), p.day)))
 
 
+def stored_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of two histories from tables stored in buckets by symbol: neither the last bars nor the comparison deals
+    them again."""
+    p = Panel(spark, sf_dir)
+    left = p.bars.where(F.dayofmonth("trade_date") != 3)
+    names = [layout.write_bucketed(t.select("symbol", "trade_date", *OHLCV), buckets=16) for t in (left, p.second)]
+    with layout.as_it_lies(spark):
+        out = durable(compare.history_summary(compare.histories(*(layout.bucketed(spark, n) for n in names), p.day, 250)))
+    for n in names:
+        layout.drop_bucketed(spark, n)
+    return out
+
+
 def _rolled(p: Panel) -> DataFrame:
     """Runs added in three batches, the second without news, and the third late ones."""
     from barloom.plans.queries import _runs
@@ -71,4 +84,4 @@ def rolled_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.reason_frequency(_rolled(Panel(spark, sf_dir)))
 
 
-ALL: tuple[Query, ...] = (daily_indicators, differing_ranges, pruned_differences, rolled_quality, rolled_comparison, rolled_reasons)
+ALL: tuple[Query, ...] = (daily_indicators, differing_ranges, pruned_differences, stored_summary, rolled_quality, rolled_comparison, rolled_reasons)

@@ -565,7 +565,7 @@ def oracle_sql() -> dict[str, str]:
         **reading_sql.oracle_sql(_with, _r),
     }
     return out | {
-        "daily_indicators": out["panel_indicators"], "pruned_differences": out["history_differences"], "rolled_quality": out["quality_frequency"], "rolled_comparison": out["methodology_comparison"],
+        "daily_indicators": out["panel_indicators"], "pruned_differences": out["history_differences"], "stored_summary": out["history_summary"], "rolled_quality": out["quality_frequency"], "rolled_comparison": out["methodology_comparison"],
         "rolled_reasons": _with("SELECT stage, code, metric, count(*) AS times, count(DISTINCT symbol) AS symbols FROM why JOIN done USING (run_id) GROUP BY ALL", _RUNS),
         "differing_ranges": "SELECT DISTINCT o_orderkey // 1024 * 1024 AS first_key, o_orderkey // 1024 * 1024 + 1023 AS last_key FROM orders WHERE o_orderkey % 7001 = 5 OR o_orderkey % 9973 = 3",
     }
