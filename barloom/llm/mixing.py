@@ -18,6 +18,9 @@ other columns are kept by ``mix`` (with clashing names as they are) and ignored
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from barloom.llm.shared import durable, fresh_name
 MAX_EPOCHS = 2.0  #: how often the smallest source may be repeated
 BYTES_PER_TOKEN = 4
 STEPS = 50  #: of the bisection
+GRID = 8  #: exponents that are tried in one pass over the sources
 SEED = "mix"
 BROADCAST_SOURCES = 100_000  #: sources, of some 200 bytes each, that are broadcast at most
 
@@ -40,45 +44,40 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def _weights(shares: Column, exponent: Column) -> Column:
-    raised = F.transform(shares, lambda s: F.pow(s, exponent))
-    return F.transform(raised, lambda r: r / F.aggregate(raised, F.lit(0.0), lambda a, x: a + x))
-
-
-def _entropy(shares: Column, exponent: Column) -> Column:
-    return F.aggregate(_weights(shares, exponent), F.lit(0.0), lambda a, w: a - w * F.ln(w))
-
-
-def _epochs(shares: Column, exponent: Column) -> Column:
-    """The most epochs of any source, when the budget lets the least repeated source be seen once."""
-    raised = F.transform(shares, lambda s: F.pow(s, exponent - 1))
-    return F.array_max(raised) / F.array_min(raised)
-
-
-def _largest(shares: Column, fits) -> Column:
-    """The largest exponent in [0, 1] that fits, where all smaller ones do."""
+def _smallest(fits: Callable[[float], bool]) -> float:
+    """The smallest exponent in [0, 1] that fits, where all larger ones do."""
+    lo, hi = 0.0, 1.0
+    if fits(lo):
+        return lo
+    for _ in range(STEPS):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if fits(mid) else (mid, hi)
+    return hi
 
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        good = fits(shares, mid)
-        return F.struct(F.when(good, mid).otherwise(s["lo"]).alias("lo"), F.when(good, s["hi"]).otherwise(mid).alias("hi"))
 
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["lo"])
-    return F.when(fits(shares, F.lit(1.0)), F.lit(1.0)).otherwise(found)
+def _summed(value: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order."""
+    return F.sum(value.cast("decimal(38,24)")).cast("double")
 
 
-def _smallest(shares: Column, fits) -> Column:
-    """The smallest exponent in [0, 1] that fits, where all larger ones do."""
+def _entropies(stats: DataFrame, share: Column, exponents: list[float]) -> list[float]:
+    """The entropy of the weights for each exponent, from two sums over the sources each."""
+    sums = [f(F.pow(share, F.lit(x))) for x in exponents for f in (_summed, lambda r: _summed(r * F.ln(share)))]
+    found = stats.agg(*(c.alias(f"s{k}") for k, c in enumerate(sums))).first()
+    return [math.log(found[2 * k]) - x * found[2 * k + 1] / found[2 * k] for k, x in enumerate(exponents)]
 
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        good = fits(shares, mid)
-        return F.struct(F.when(good, s["lo"]).otherwise(mid).alias("lo"), F.when(good, mid).otherwise(s["hi"]).alias("hi"))
 
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["hi"])
-    return F.when(fits(shares, F.lit(0.0)), F.lit(0.0)).otherwise(found)
+def _largest(stats: DataFrame, share: Column, least: float) -> float:
+    """The largest exponent in [0, 1] whose weights have an entropy of ``least``; each pass over the sources narrows it to one
+    part in GRID, which is several steps of the bisection at once."""
+    if _entropies(stats, share, [1.0])[0] >= least:
+        return 1.0
+    lo, hi = 0.0, 1.0
+    for _ in range(math.ceil(STEPS / math.log2(GRID))):
+        tried = [lo + (hi - lo) * k / GRID for k in range(1, GRID)]
+        good = sum(h >= least for h in _entropies(stats, share, tried))  # entropy falls as the exponent grows
+        lo, hi = ([lo, *tried][good], [*tried, hi][good])
+    return lo
 
 
 def targets(documents: DataFrame, max_epochs: float | None = MAX_EPOCHS, least_entropy: float | None = None, budget: int | None = None) -> DataFrame:
@@ -93,25 +92,27 @@ def targets(documents: DataFrame, max_epochs: float | None = MAX_EPOCHS, least_e
 
 
 def budgets(stats: DataFrame, max_epochs: float | None = MAX_EPOCHS, least_entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """``targets`` from (key, docs, tokens) of each source. Only the weight that is shown is rounded."""
-    # sources in one row, in order of their key: as many as there are sources, and they are also broadcast
-    table = stats.agg(F.array_sort(F.collect_list(F.struct("key", "docs", "tokens"))).alias("all"))
-    total = F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + s["tokens"])
-    table = table.select("all", F.transform("all", lambda s: s["tokens"] / total).alias("shares"), total.alias("total"))
+    """``targets`` from (key, docs, tokens) of each source. Only the weight that is shown is rounded. Of the sources only sums
+    and bounds come to the driver, however many there are."""
+    stats = durable(stats)
+    total, least, most, n = stats.agg(F.sum("tokens"), F.min("tokens"), F.max("tokens"), F.count("*")).first()
+    if not n:
+        return stats.select("key", "docs", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("exponent"), F.col("tokens").alias("budget"))
+    share = F.col("tokens") / F.lit(total)
     if least_entropy is not None:
-        exponent = _largest(F.col("shares"), lambda shares, x: _entropy(shares, x) >= least_entropy * F.ln(F.size(shares)) - 1e-12)
-    else:
-        exponent = _smallest(F.col("shares"), lambda shares, x: _epochs(shares, x) <= max_epochs + 1e-12)
-    table = table.withColumn("exponent", exponent).withColumn("weights", _weights(F.col("shares"), F.col("exponent")))
-    whole = F.lit(float(budget)) if budget is not None else F.array_max(F.zip_with("all", "weights", lambda s, w: s["tokens"] / w))
-    rows = table.select("exponent", whole.alias("whole"), F.explode(F.arrays_zip("all", "weights")).alias("r")).select("r.all.*", "r.weights", "exponent", "whole")
+        exponent = _largest(stats, share, least_entropy * math.log(n) - 1e-12)
+    else:  # the most epochs of any source, when the budget lets the least repeated one be seen once
+        exponent = _smallest(lambda x: (least / total) ** (x - 1) / (most / total) ** (x - 1) <= max_epochs + 1e-12)
+    raised = F.pow(share, F.lit(exponent))
+    weight = raised / F.lit(stats.agg(_summed(raised)).first()[0])
+    whole = float(budget) if budget is not None else stats.agg(F.max(F.col("tokens") / weight)).first()[0]
     # whole tokens; a budget that the doubles leave a hair off a full epoch is that epoch
-    share = F.round(F.col("weights") * F.col("whole")).cast("long")
-    near = F.round(share / F.col("tokens")).cast("long") * F.col("tokens")
-    share = F.when(F.abs(share - near) <= F.col("tokens") * 1e-12, near).otherwise(share)
+    asked = F.round(weight * F.lit(whole)).cast("long")
+    near = F.round(asked / F.col("tokens")).cast("long") * F.col("tokens")
+    asked = F.when(F.abs(asked - near) <= F.col("tokens") * 1e-12, near).otherwise(asked)
     if budget is None:
-        share = F.greatest(share, F.col("tokens"))
-    return rows.select("key", "docs", "tokens", F.round("weights", 9).alias("weight"), "exponent", share.alias("budget"))
+        asked = F.greatest(asked, F.col("tokens"))
+    return stats.select("key", "docs", "tokens", F.round(weight, 9).alias("weight"), F.lit(exponent).alias("exponent"), asked.alias("budget"))
 
 
 def _order(*parts: Column) -> Column:

@@ -128,8 +128,8 @@ halves(i, lo, hi) AS (
   FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, pow(a, (lo + hi) / 2 - 1) / pow(z, (lo + hi) / 2 - 1) <= 2 + 1e-12 AS fits FROM halves, ends WHERE i < 50)
 ), exponent AS (SELECT CASE WHEN z / a <= 2 + 1e-12 THEN 0 ELSE hi END AS x FROM halves, ends WHERE i = 50),
 weights AS (SELECT key, docs, tokens, pow(s, x) / sum(pow(s, x)) OVER () AS w FROM shares, exponent),
-asked AS (SELECT key, docs, tokens, round(w, 9) AS weight, whole, CAST(round(round(w, 9) * whole) AS BIGINT) AS share FROM weights, (SELECT max(tokens / w) AS whole FROM weights)),
-budgets AS (SELECT *, CASE WHEN abs(share - CAST(round(share / tokens) AS BIGINT) * tokens) <= whole * 2e-9 + 1 THEN CAST(round(share / tokens) AS BIGINT) * tokens ELSE share END AS budget FROM asked),
+asked AS (SELECT key, docs, tokens, round(w, 9) AS weight, CAST(round(w * whole) AS BIGINT) AS share FROM weights, (SELECT max(tokens / w) AS whole FROM weights)),
+budgets AS (SELECT *, greatest(CASE WHEN abs(share - CAST(round(share / tokens) AS BIGINT) * tokens) <= tokens * 1e-12 THEN CAST(round(share / tokens) AS BIGINT) * tokens ELSE share END, tokens) AS budget FROM asked),
 goal AS (SELECT *, budget // tokens AS epochs, budget % tokens AS rest FROM budgets),
 placed AS (
   SELECT *, md5('mix:block:' || key || ':' || block) AS block_order

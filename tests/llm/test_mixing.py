@@ -78,3 +78,31 @@ def test_tiny_sources_beside_a_huge_one_keep_their_epochs(docs, monkeypatch, tot
     assert {r.doc_id for r in mixing.mix(frame).collect()} == set(range(len(sizes)))
     given = mixing.targets(frame, budget=total // 2).collect()
     assert sum(r.budget for r in given) == pytest.approx(total // 2, abs=len(sizes))
+
+
+@pytest.mark.parametrize("options", [{}, {"least_entropy": 0.97}, {"max_epochs": 5.0}])
+def test_many_sources_without_gathering_them(spark, options):
+    """Forty thousand sources: the exponent and the weights of plain Python, from sums alone."""
+    sizes = [1 + (k * 7919) % 1000 + 50_000 * (k % 5000 == 0) for k in range(40_000)]
+    stats = spark.createDataFrame([(f"s{k}", 1, n) for k, n in enumerate(sizes)], "key string, docs long, tokens long")
+    got = {r.key: r for r in mixing.budgets(stats, **options).collect()}
+    total = sum(sizes)
+    shares = [n / total for n in sizes]
+
+    def weights(x):
+        raised = [s**x for s in shares]
+        whole = math.fsum(raised)
+        return [r / whole for r in raised]
+
+    entropy = lambda x: -math.fsum(w * math.log(w) for w in weights(x))
+    lo, hi = 0.0, 1.0
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        if "least_entropy" in options:
+            lo, hi = (mid, hi) if entropy(mid) >= options["least_entropy"] * math.log(len(sizes)) else (lo, mid)
+        else:
+            lo, hi = (lo, mid) if (max(shares) / min(shares)) ** (1 - mid) <= options.get("max_epochs", mixing.MAX_EPOCHS) else (mid, hi)
+    assert got["s0"].exponent == pytest.approx(lo, abs=1e-9)
+    want = weights(got["s0"].exponent)
+    assert max(abs(got[f"s{k}"].weight - w) for k, w in enumerate(want)) <= 1e-9
+    assert all(r.budget >= r.tokens for r in got.values())
