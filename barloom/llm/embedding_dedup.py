@@ -161,16 +161,19 @@ def _visits(index: Index, with_vectors: bool) -> Callable[[Iterator[pa.RecordBat
         a, b = index.books
         names = ["label", "rid", "n", "vec"] if with_vectors else ["label"]
         for big in batches:
-            for start in range(0, big.num_rows, 1024):
-                batch = big.slice(start, 1024)
+            at = big.column("vec").offsets
+            numbers = max(1, at[-1].as_py() - at[0].as_py())
+            step = max(1, min(1024, SAMPLE_NUMBERS * big.num_rows // numbers))  # fewer rows of long vectors
+            for start in range(0, big.num_rows, step):
+                batch = big.slice(start, step)
                 unit = units(batch.column("vec"), index.cut + b.shape[1])
                 lists = [ways(unit[:, : index.cut], a), ways(unit[:, index.cut :], b)]
                 order = [x.argsort(axis=1, kind="stable") for x in lists]
                 first, second = (np.take_along_axis(x, o, axis=1) for x, o in zip(lists, order))
                 size = pa.array(np.diff(batch.column("vec").offsets.to_numpy()).astype(np.int32))
                 held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for step, (rows, i, j) in enumerate(traversal(first, second, index.reach)):
-                    held.append((rows, order[0][rows, i] * len(b) + order[1][rows, j], np.full(len(rows), step == 0)))
+                for turn, (rows, i, j) in enumerate(traversal(first, second, index.reach)):
+                    held.append((rows, order[0][rows, i] * len(b) + order[1][rows, j], np.full(len(rows), turn == 0)))
                     if sum(len(h[0]) for h in held) >= 1 << 14:
                         yield sent(batch, size, names, held)
                 if held:
