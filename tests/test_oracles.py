@@ -14,6 +14,7 @@ QUICK = (
     "panel_indicators", "panel_drawdowns", "whole_history_risk", "first_candidates", "universe_members", "second_ranking", "history_summary", "version_coverage", "supplement_decisions",
     "result_changes", "discrepancy_changes", "quality_frequency", "run_roll_ups", "run_quality", "broken_versions", "broken_rows", "reconcile_inputs", "structure_problems", "universe_conflicts", "daily_results",
     "month_rejects", "candle_rejects", "snapshot_rejects", "insert_conflicts", "upserts", "redacted_messages", "clean_references", "json_scalars", "table_digests",
+    "prior_dates", "reason_frequency", "supplement_routes", "snapshot_ratio_rejects", "target_reconciliation", "reconciliation_dates", "version_ids", "version_ancestry", "backfill_months", "late_arrivals", "differing_ranges", "pruned_differences", "stored_summary", "rolled_quality", "rolled_reasons", "daily_indicators",
 )
 
 
