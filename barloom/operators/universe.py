@@ -38,13 +38,15 @@ def conflicts(feeds: dict[str, DataFrame]) -> DataFrame:
 def members(feeds: dict[str, DataFrame], day) -> DataFrame:
     """(symbol, name, status, reason), one row a symbol, decided by the first case that applies. A symbol that a
     feed contradicts itself on is unresolved whatever else is known; ``conflicts`` says where."""
-    one = {k: merged(f)[0] for k, f in feeds.items()}
-    out = enumerated(one["identity"], one["trading"], one["valuation"], one["classification"])
-    out = out.join(conflicts(feeds).select("symbol").distinct().withColumn("contradicted", F.lit(True)), "symbol", "left")
-    for key, extra in (("identity", ["listing_date"]), ("trading", ["price_available"]), ("valuation", []), ("classification", ["class"]), ("delisting", ["delisting_date"])):
-        named = ["name"] if "name" in one[key].columns else []
-        side = one[key].select("symbol", *(F.col(c).alias(f"{key}_{c}") for c in [*named, *extra]), F.lit(True).alias(f"has_{key}"))
-        out = out.join(side, "symbol", "left")
+    every, said = None, {}
+    for key, feed in feeds.items():  # all feeds under each other, each in a column of its own: one aggregate per symbol
+        said[key] = [c for c in feed.columns if c != "symbol"]
+        rows = feed.select("symbol", F.struct(*said[key], F.lit(True).alias("has")).alias(key))
+        every = rows if every is None else every.unionByName(rows, allowMissingColumns=True)
+    differ = [F.coalesce(F.max(k) != F.min(k), F.lit(False)) for k in feeds]
+    per = every.groupBy("symbol").agg(*(F.min(k).alias(k) for k in feeds), F.array_contains(F.array(*differ), True).alias("contradicted"))
+    named = per.where(F.coalesce("identity.has", "trading.has", "valuation.has", "classification.has").isNotNull())  # delistings never add any
+    out = named.select("symbol", "contradicted", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k, cs in said.items() for c in cs), *(F.col(f"{k}.has").alias(f"has_{k}") for k in feeds))
     names = F.array_compact(F.array("identity_name", "trading_name", "valuation_name", "delisting_name"))
     has = lambda k: F.col(f"has_{k}").isNotNull()
     kind = F.col("classification_class")
