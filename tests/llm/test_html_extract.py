@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from barloom.llm import html_extract
 from barloom.llm.labelled_pages import PAGES, _page
-from tests.llm import unseen_layouts
+from tests.llm import fresh_layouts, unseen_layouts
 
 SCHEMA = "page_id long, url string, html string"
 BODY = ["The council met on Tuesday and agreed to repair the harbour wall.", "Work begins in spring, if the weather allows it.", "Nobody spoke against the plan."]
@@ -140,17 +140,29 @@ def test_extract_table(spark):
     assert html_extract.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_layouts_that_it_was_not_trained_on(model):
-    """By characters, over 0.9 on twenty layouts and over 0.7 on the worst; no article comes out empty."""
+def by_characters(model, module) -> dict[str, float]:
     shares = {}
-    for name, html in unseen_layouts.plain().items():
-        main = html_extract.unescape("".join(re.findall(r"\[\[(.*?)\]\]", unseen_layouts.LAYOUTS[name], re.S)))
+    for name, html in module.plain().items():
+        main = html_extract.unescape("".join(re.findall(r"\[\[(.*?)\]\]", module.LAYOUTS[name], re.S)))
         tree = html_extract.Tree(html)
         chance = model.marginals([tree])[0]
         pieces = [(len(x), (x in main) == (c >= 0.5)) for x, c, v in zip(tree.text, chance, tree.parent) if x and x.strip() and tree.tag[v] != "title"]
         shares[name] = sum(n for n, right in pieces if right) / sum(n for n, _ in pieces)
-        assert unseen_layouts.A in model.texts([html])[0], name
+    return shares
+
+
+def test_development_layouts(model):
+    """The layouts that the model was chosen on, not a measure of new ones; no article comes out empty."""
+    shares = by_characters(model, unseen_layouts)
     assert len(shares) == 20 and sum(shares.values()) / 20 > 0.9 and min(shares.values()) > 0.7, shares
+    assert all(unseen_layouts.A in model.texts([html])[0] for html in unseen_layouts.plain().values())
+
+
+def test_fresh_layouts(model):
+    """Layouts that nothing was chosen on: 0.836 by characters when they were written, three of twelve under 0.7. The bound only
+    notices when that gets worse."""
+    shares = by_characters(model, fresh_layouts)
+    assert len(shares) == 12 and sum(shares.values()) / 12 > 0.8, shares
 
 
 @pytest.mark.parametrize("html", ["<span>x" * 100_000, "<div>" + "</i>" * 100_000 + "<p>x" * 50_000, "<svg>" + "<g>" * 100_000, "<b>" * 100_000 + "<h1>a" * 30_000, "<table>" + "<tr><td>" * 50_000 + "x"])

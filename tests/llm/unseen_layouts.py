@@ -1,4 +1,5 @@
-"""Twenty pages of layouts that the model wasn't trained on; ``[[`` and ``]]`` stand around main text."""
+"""Twenty pages for development; ``[[`` and ``]]`` stand around main text. The model isn't trained on them, but its features,
+labels and training pages were chosen while looking at their scores: ``fresh_layouts`` tells how it does on new ones."""
 
 A = "The ferry was late again this morning, and by nine the queue reached the fish market."
 B = "Most of the passengers took it calmly; a few had brought chairs, and one of them a small stove."
@@ -34,10 +35,5 @@ LAYOUTS = {
 }
 
 
-def pages() -> dict[str, str]:
-    """The pages with marks that ``Tree.labels`` reads."""
-    return {k: DOC(v.replace("[[", '<span data-main="1">').replace("]]", "</span>")) for k, v in LAYOUTS.items()}
-
-
 def plain() -> dict[str, str]:
     return {k: DOC(v.replace("[[", "").replace("]]", "")) for k, v in LAYOUTS.items()}
