@@ -15,6 +15,8 @@ SENSITIVE_KEYS = (
 )
 # Fixed value: what stands for a credential in error text.
 REDACTED = "[REDACTED]"
+# Fixed value: the exchange's codes of common stock.
+COMMON_STOCK = "[0-9]{4}"
 #: words before whose value error text is cut, with any of - _ or nothing for the blank
 CREDENTIAL_WORDS = ("password", "passphrase", "token", "secret", "api key", "access key", "private key", "authorization")
 
@@ -42,8 +44,8 @@ def is_symbol(value: Column) -> Column:
     return F.coalesce(value.rlike("^[0-9A-Z]{2,12}$"), F.lit(False))
 
 
-def is_common_stock_code(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9]{4}$"), F.lit(False))
+def is_common_stock_code(value: Column, codes: str = COMMON_STOCK) -> Column:
+    return F.coalesce(value.rlike(f"^(?:{codes})$"), F.lit(False))
 
 
 def to_number(value: Column) -> Column:

@@ -165,7 +165,7 @@ def common_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that both feeds name, and whether alike."""
     names = Panel(spark, sf_dir).symbols
     k = F.col("supplier")
-    same, other = payloads.listed_common_stock(names.where(k % 5 != 1).select("symbol", "name"), names.where(k % 5 != 2).select("symbol", F.when(k % 4 == 3, "other").otherwise(F.col("name")).alias("name")))
+    same, other = payloads.listed_common_stock(names.where(k % 5 != 1).select("symbol", "name"), names.where(k % 5 != 2).select("symbol", F.when(k % 4 == 3, "other").otherwise(F.col("name")).alias("name")), market.CODES)
     return same.select("symbol", F.lit(True).alias("alike")).unionByName(other.select("symbol", F.lit(False).alias("alike")))
 
 

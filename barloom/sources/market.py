@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: what ``code`` gives: four digits, and more for suppliers from 10,000 on
+CODES = "[0-9]{4,}"
+
+
 def code(number: str) -> F.Column:
     return F.format_string("%04d", F.col(number))
 

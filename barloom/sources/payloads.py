@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import clean_text, first_of, flexible_date, is_common_stock_code, let, roc_date, to_integer, to_number
+from barloom.functions.scalar import COMMON_STOCK, clean_text, first_of, flexible_date, is_common_stock_code, let, roc_date, to_integer, to_number
 from barloom.operators.validate import bar_problem, price_class
 from barloom.schemas import OHLCV
 
@@ -296,7 +296,7 @@ def universe_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("market_date", F.inline("members"))
 
 
-def listed_common_stock(prices: DataFrame, ratios: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols in both feeds, and those that the feeds name differently."""
-    both = prices.select("symbol", "name").distinct().join(ratios.select("symbol", F.col("name").alias("other")).distinct(), "symbol").where(is_common_stock_code(F.col("symbol")))
+def listed_common_stock(prices: DataFrame, ratios: DataFrame, codes: str = COMMON_STOCK) -> tuple[DataFrame, DataFrame]:
+    """Symbols in both feeds, and those that the feeds name differently; ``codes`` is the form of a common stock's code."""
+    both = prices.select("symbol", "name").distinct().join(ratios.select("symbol", F.col("name").alias("other")).distinct(), "symbol").where(is_common_stock_code(F.col("symbol"), codes))
     return both.where("name = other").select("symbol", "name"), both.where("name <> other")
