@@ -155,8 +155,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = Panel(spark, sf_dir).symbols
     k = F.col("supplier")
     code = F.when(k % 9 == 1, F.concat("symbol", F.lit("A"))).otherwise(F.concat(F.lit(" "), "symbol"))
-    listed = payloads.identities(names.select(code.alias("code"), F.when(k % 9 == 2, " ").otherwise(F.col("name")).alias("name"), F.when(k % 9 == 3, "").when(k % 2 == 0, "0890103").otherwise("2000-01-03").alias("listing_date")))
-    gone = payloads.delistings(names.select(F.col("symbol").alias("code"), "name", F.when(k % 3 != 0, "1100105").alias("delisting_date")), listed)
+    listed = payloads.identities(names.select(code.alias("code"), F.when(k % 9 == 2, " ").otherwise(F.col("name")).alias("name"), F.when(k % 9 == 3, "").when(k % 2 == 0, "0890103").otherwise("2000-01-03").alias("listing_date")), market.CODES)
+    gone = payloads.delistings(names.select(F.col("symbol").alias("code"), "name", F.when(k % 3 != 0, "1100105").alias("delisting_date")), listed, market.CODES)
     both = listed.select("symbol", F.lit("listed").alias("kind"), F.col("listing_date").alias("day"))
     return both.unionByName(gone.select("symbol", F.lit("delisted").alias("kind"), F.col("delisting_date").alias("day")))
 

@@ -265,16 +265,16 @@ def yearly_stats(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _split(typed.withColumn("problem", problem), "symbol", "as_of_date", "previous_close", "high_52w", "low_52w")
 
 
-def identities(raw: DataFrame) -> DataFrame:
-    """Listed common stock from text rows (code, name, listing_date): wrong codes and undated rows are left out."""
+def identities(raw: DataFrame, codes: str = COMMON_STOCK) -> DataFrame:
+    """Listed common stock from text rows (code, name, listing_date): codes not of the form ``codes`` and undated rows are left out."""
     typed = raw.select(clean_text(F.col("code")).alias("symbol"), clean_text(F.col("name")).alias("name"), flexible_date(F.col("listing_date")).alias("listing_date"))
-    return typed.where(is_common_stock_code(F.col("symbol")) & F.col("name").isNotNull() & F.col("listing_date").isNotNull())
+    return typed.where(is_common_stock_code(F.col("symbol"), codes) & F.col("name").isNotNull() & F.col("listing_date").isNotNull())
 
 
-def delistings(raw: DataFrame, identity: DataFrame) -> DataFrame:
+def delistings(raw: DataFrame, identity: DataFrame, codes: str = COMMON_STOCK) -> DataFrame:
     """Dated delistings of symbols that aren't listed now."""
     typed = raw.select(clean_text(F.col("code")).alias("symbol"), clean_text(F.col("name")).alias("name"), flexible_date(F.col("delisting_date")).alias("delisting_date"))
-    return typed.where(is_common_stock_code(F.col("symbol")) & F.col("delisting_date").isNotNull()).join(identity.select("symbol"), "symbol", "left_anti")
+    return typed.where(is_common_stock_code(F.col("symbol"), codes) & F.col("delisting_date").isNotNull()).join(identity.select("symbol"), "symbol", "left_anti")
 
 
 def artifacts(spark: SparkSession, path: str | list[str]) -> DataFrame:
