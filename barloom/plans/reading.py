@@ -82,7 +82,8 @@ def _month_payloads(p: Panel) -> DataFrame:
     row = F.when(k == 5, F.slice(row, 1, 9)).otherwise(row)
     rows = numbered.groupBy("symbol", "supplier", "month").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", row.alias("row")))), lambda r: r["row"]).alias("data"))
     k = (F.col("supplier") + F.month("month")) % 20
-    title = F.concat(F.lpad((F.year("month") - 1911).cast("string"), 3, "0"), F.date_format("month", "年MM月 "), F.when(k == 6, "9999").otherwise(F.col("symbol")), F.lit(" Name 各日成交資訊"))
+    other = F.when(F.col("symbol") == "9999", "9998").otherwise("9999")
+    title = F.concat(F.lpad((F.year("month") - 1911).cast("string"), 3, "0"), F.date_format("month", "年MM月 "), F.when(k == 6, other).otherwise(F.col("symbol")), F.lit(" Name 各日成交資訊"))
     fields = F.array(*[F.lit(f) for f in payloads.MONTHLY])
     body = F.struct(
         F.when(k == 7, "FAILED").otherwise("OK").alias("stat"), F.date_format("month", "yyyyMMdd").alias("date"), title.alias("title"), F.when(k == 8, F.slice(fields, 1, 9)).otherwise(fields).alias("fields"),
@@ -92,11 +93,11 @@ def _month_payloads(p: Panel) -> DataFrame:
 
 
 def month_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(payloads.monthly_history(_month_payloads(Panel(spark, sf_dir)))[0])
+    return shown(payloads.monthly_history(_month_payloads(Panel(spark, sf_dir)), market.CODES)[0])
 
 
 def month_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.monthly_history(_month_payloads(Panel(spark, sf_dir)))[1].select("payload_id", "problem")
+    return payloads.monthly_history(_month_payloads(Panel(spark, sf_dir)), market.CODES)[1].select("payload_id", "problem")
 
 
 def _candle_payloads(p: Panel) -> DataFrame:

@@ -21,7 +21,7 @@ ZONE = "Asia/Taipei"
 DAILY = ("Date", "Code", "Name", "TradeVolume", "TradeValue", "OpeningPrice", "HighestPrice", "LowestPrice", "ClosingPrice", "Change", "Transaction")
 RATIOS = {"PEratio": ("price_earnings_ratio", "ratio"), "DividendYield": ("dividend_yield_pct", "%"), "PBratio": ("price_to_book_ratio", "ratio")}
 MONTHLY = ("日期", "成交股數", "成交金額", "開盤價", "最高價", "最低價", "收盤價", "漲跌價差", "成交筆數", "註記")
-MONTHLY_TITLE = r"^[0-9]{3}年[0-9]{2}月\s+([0-9]{4})\s+(\S.*?)\s+各日成交資訊$"
+MONTHLY_TITLE = r"^[0-9]{{3}}年[0-9]{{2}}月\s+({codes})\s+(\S.*?)\s+各日成交資訊$"
 IDENTITY = {"type": "EQUITY", "exchange": "TWSE", "market": "TSE"}
 
 _CANDLES = "type string, exchange string, market string, symbol string, timeframe string, sort string, data array<struct<date:string,open:double,high:double,low:double,close:double,volume:long,turnover:double,change:double>>"
@@ -125,10 +125,11 @@ def _ascending(dates: Column) -> Column:
     return F.forall(F.zip_with(F.slice(dates, 1, n), F.slice(dates, 2, n), lambda a, b: a < b), lambda x: F.coalesce(x, F.lit(False)))
 
 
-def monthly_history(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def monthly_history(payloads: DataFrame, codes: str = COMMON_STOCK) -> tuple[DataFrame, DataFrame]:
     """A month of one symbol: an envelope with rows of ten cells of text by position. The envelope, the names of the
     cells, the title's symbol, each row and the total are checked, and one that is wrong rejects the payload; a row
-    of dashes had no trade and is dropped. Rows outside start_date and end_date of the request are left out."""
+    of dashes had no trade and is dropped. Rows outside start_date and end_date of the request are left out. ``codes``
+    is the form of the code in the title."""
     v = F.col("v")
     text = lambda k: _at(v, f"$.{k}", "string")
     read = _parsed(payloads).select(
@@ -136,7 +137,7 @@ def monthly_history(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         _at(v, "$.data", "array<array<variant>>").alias("cells"), _at(v, "$.data", "array<array<string>>").alias("data"), _at(v, "$.notes", "array<string>").alias("notes"), _at(v, "$.total", "int").alias("total"),
         _type(F.try_variant_get(v, "$.total", "variant")).alias("total_type"), _asked(payloads, "symbol", "string").alias("asked"), _asked(payloads, "month", "date").alias("month"), _asked(payloads, "start_date", "date").alias("start_date"), _asked(payloads, "end_date", "date").alias("end_date"),
     )
-    read = read.withColumn("symbol", F.nullif(F.regexp_extract("title", MONTHLY_TITLE, 1), F.lit("")))
+    read = read.withColumn("symbol", F.nullif(F.regexp_extract("title", MONTHLY_TITLE.format(codes=codes), 1), F.lit("")))
     of_month = F.substring("month_day", 1, 6)
     cell = lambda r, k: F.btrim(F.get(r, F.lit(k)))
     grouped = r"^(?:[0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)"

@@ -19,7 +19,7 @@ def wide(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["common_names", "listings"])
+@pytest.mark.parametrize("name", ["common_names", "listings", "month_bars", "month_rejects"])
 def test_codes_of_five_digits(spark, wide, name):
     con = duckdb.connect()
     for t in ("lineitem", "supplier", "nation"):
