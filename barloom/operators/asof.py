@@ -26,6 +26,16 @@ def last_bars(bars: DataFrame, day, n: int) -> DataFrame:
     return prices_as_of(bars, day).withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= n)
 
 
+def of_last_bars(bars: DataFrame, days: dict[str, object], n: int) -> DataFrame:
+    """The bars that are among the last n of their symbol up to any of ``days``, with a flag for each: ``days`` names the
+    flags. Which bars those are is counted in one window, so nothing is joined back."""
+    newest = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
+    known = {k: F.coalesce(F.col("trade_date") <= F.lit(d), F.lit(False)) for k, d in days.items()}
+    place = {k: F.sum(c.cast("int")).over(newest.rowsBetween(Window.unboundedPreceding, 0)) for k, c in known.items()}
+    marked = bars.select("*", *((known[k] & (place[k] <= n)).alias(k) for k in days))
+    return marked.where(F.array_contains(F.array(*days), True))
+
+
 def last_bars_with_total(bars: DataFrame, day, n: int) -> DataFrame:
     total = prices_as_of(bars, day).groupBy("symbol").agg(F.count("*").alias("total_observations"))
     return last_bars(bars, day, n).join(total, "symbol").withColumn("truncated", F.col("total_observations") > n)

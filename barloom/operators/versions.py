@@ -153,8 +153,8 @@ def build(canonical: DataFrame, supplemental: DataFrame, validation: DataFrame,
     role = lambda t, r, s: given(t).select(*KEY, "trade_date", *OHLCV, F.col("source").alias("provider"), F.lit(r).alias("role"), F.lit(s).alias("selected"))
     dates = [*KEY, "trade_date"]
     main = role(canonical, "canonical", True)
-    fill = role(supplemental, "supplemental", True).join(required.select(dates), dates, "left_semi").join(main.select(dates), dates, "left_anti")
-    rows = main.unionByName(fill).unionByName(role(validation, "validation", False)).withColumn("row_sha256", row_hash())
+    fill = role(supplemental, "supplemental", True).join(required.select(dates).hint("merge"), dates, "left_semi").join(main.select(dates).hint("merge"), dates, "left_anti")  # both grow with the bars, so they aren't sent to all
+    rows = durable(main.unionByName(fill).unionByName(role(validation, "validation", False)).withColumn("row_sha256", row_hash()))  # ids, counts and observations are made of them
     ids = rows.groupBy(*KEY).agg(group_id(F.concat_ws(":", "row_sha256", "role")).alias("provenance_sha256")).withColumn("version_id", content_id(F.col("symbol"), F.col("target_date"), F.col("provenance_sha256"), length=32))
     whole = coverage(rows, required).where("remaining = 0")
     versions = ids.join(whole, [*KEY]).select("version_id", *KEY, F.lit(None).cast("string").alias("parent_id"), "provenance_sha256", "required", "canonical", "supplemental", "missing", "remaining", status_of().alias("status"), F.lit(0).cast("long").alias("discrepancies"))

@@ -60,7 +60,27 @@ class Panel:
 
     @cached_property
     def recent(self) -> DataFrame:
-        return stored(asof.last_bars(self.bars, self.day, second_screen.LOOKBACK).drop("rn"), "recent")
+        return self.lasting(second_screen.LOOKBACK)
+
+    def at_hand(self) -> Panel:
+        """This panel with its bars stored once, for what reads them several times."""
+        self.bars = stored(self.bars, "bars")
+        return self
+
+    def lasting(self, n: int) -> DataFrame:
+        """The last n bars of each symbol up to the day, stored once."""
+        return stored(asof.last_bars(self.bars, self.day, n).drop("rn"), "last")
+
+    def last_of_both(self, n: int) -> DataFrame:
+        """The bars among the last n of each symbol up to the day (``of_day``) or to the market day before (``of_before``),
+        stored once. Only one market day lies between them, so they are among the last n + 1."""
+        last = asof.last_bars(self.bars, self.day, n + 1).drop("rn")
+        return stored(asof.of_last_bars(last, {"of_day": self.day, "of_before": self.before}, n), "last")
+
+    def required(self, last: DataFrame) -> DataFrame:
+        """(symbol, trade_date, target_date) from ``last_of_both``."""
+        targets = F.filter(F.array(F.when(F.col("of_day"), F.lit(self.day).cast("date")), F.when(F.col("of_before"), F.lit(self.before).cast("date"))), lambda d: d.isNotNull())
+        return last.select("symbol", "trade_date", F.explode(targets).alias("target_date"))
 
     @cached_property
     def recent_second(self) -> DataFrame:

@@ -335,13 +335,13 @@ def coverage_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _versions(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Versions for the day: the primary source lacks the 20th and later days of months, the secondary the 13th."""
-    required = durable(asof.last_bars(p.recent.select("symbol", "trade_date"), p.day, 60).select("symbol", "trade_date"))
-    of = lambda t: t.join(required, ["symbol", "trade_date"], "left_semi")
-    canonical = of(p.recent.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0)))
-    other = of(p.recent_second).where("cast(symbol as int) % 19 <> 4")
+    last = p.lasting(60)  # all dates of these bars are required, and no others
+    required = last.select("symbol", "trade_date")
+    canonical = last.where((F.dayofmonth("trade_date") < 20) | (F.col("supplier") % 3 == 0))
+    other = market.second_bars(last).where("cast(symbol as int) % 19 <> 4")
     made, rows = versions.build(canonical, other, other.join(canonical.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_semi"), required, p.day)
     made, rows = durable(made), durable(rows)  # versions are stored tables
-    return made, rows, required, of(p.recent.where(F.dayofmonth("trade_date") >= 20))
+    return made, rows, required, last.where(F.dayofmonth("trade_date") >= 20)
 
 
 def version_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,13 +388,10 @@ def version_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _targets(p: Panel) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Versions for the day and for the market day before, their rows, and late canonical bars: of every second symbol all, of the
     others those from the 25th of a month on."""
-    last = lambda day: asof.last_bars(p.recent.select("symbol", "trade_date"), day, 60).select("symbol", "trade_date", F.lit(day).alias("target_date"))
-    required = durable(last(p.day).unionByName(last(p.before)))
-    of = lambda t: t.join(required.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi")
-    day = F.dayofmonth("trade_date")
-    other = of(p.recent_second).where("cast(symbol as int) % 19 <> 4")
-    made, rows = versions.build(of(p.recent.where((day < 20) | (F.col("supplier") % 3 == 0))), other, other.where("1 = 0"), required)
-    return durable(made), durable(rows), of(p.recent.where((day >= 25) | ((day >= 20) & (F.col("supplier") % 2 == 0))))
+    last, day = p.last_of_both(60), F.dayofmonth("trade_date")
+    other = market.second_bars(last).where("cast(symbol as int) % 19 <> 4")
+    made, rows = versions.build(last.where((day < 20) | (F.col("supplier") % 3 == 0)), other, other.where("1 = 0"), p.required(last))
+    return durable(made), durable(rows), last.where((day >= 25) | ((day >= 20) & (F.col("supplier") % 2 == 0)))
 
 
 def target_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from barloom.sources import market, payloads, sinks
 from barloom.streaming import incremental
 
 DAY = F.dayofmonth
+LOAD = 100_000  #: files in a batch at most: a load is one batch, however many files it has
 
 
 def _local(day: Column, sep: str = "") -> Column:
@@ -279,8 +280,9 @@ def universe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.universe_snapshot(spark, path)
 
 
-def _bar_files(bars: DataFrame, path: str, files: int = 3) -> None:
-    bars.select("symbol", "trade_date", *OHLCV, "source").repartition(files).write.mode("append").parquet(path)
+def _bar_files(bars: DataFrame, path: str) -> None:
+    """Bars as files, as many as the tasks that have them."""
+    bars.select("symbol", "trade_date", *OHLCV, "source").write.mode("append").parquet(path)
 
 
 def backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +293,7 @@ def backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
     for load in (one, two, None):
         if load is not None:
             _bar_files(load, incoming)
-        incremental.backfill(spark, incoming, table, point).awaitTermination()
+        incremental.backfill(spark, incoming, table, point, LOAD).awaitTermination()
     return sinks.stored_table(spark, table).select("symbol", "trade_date", "volume", "source")
 
 
@@ -310,8 +312,8 @@ def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("incoming", "backfill", "waiting", "months", "cursor")
     incoming, table, waiting, cursor, point = (fresh_folder(spark, n) for n in names)
     for part in (0, 2, 1):
-        _bar_files(bars.where(month % 3 == part), incoming, 1)
-        incremental.backfill_by_month(spark, incoming, table, waiting, cursor, point, p.day, 45, 8).awaitTermination()
+        _bar_files(bars.where(month % 3 == part), incoming)
+        incremental.backfill_by_month(spark, incoming, table, waiting, cursor, point, p.day, 45, 8, LOAD).awaitTermination()
     states = incremental.month_cursors(sinks.stored_table(spark, cursor), p.day, 45, 8)
     held = sinks.stored_table(spark, table).groupBy("symbol").agg(F.count("*").alias("stored"), F.min("trade_date").alias("first_date"))
     return states.join(held, "symbol", "left")
@@ -320,14 +322,12 @@ def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions for two target dates after late canonical bars came in by a stream, which ran twice from the start."""
     p = Panel(spark, sf_dir)
-    required = stored(asof.last_bars(p.recent.select("symbol", "trade_date"), p.day, 60).withColumn("target_date", F.lit(p.day)).unionByName(asof.last_bars(p.recent.select("symbol", "trade_date"), p.before, 60).withColumn("target_date", F.lit(p.before))).drop("rn"), "required")
-    of = lambda t: t.join(required.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi")
-    early, late = DAY("trade_date") < 20, DAY("trade_date") >= 20
-    other = of(p.recent_second)
-    made, rows = versions.build(of(p.recent.where(early)), other, other.where("1 = 0"), required)
+    last, late = p.last_of_both(60), DAY("trade_date") >= 20
+    other = market.second_bars(last)
+    made, rows = versions.build(last.where(~late), other, other.where("1 = 0"), p.required(last))
     incoming, store = (fresh_folder(spark, n) for n in ("arrivals", "versions"))
     incremental.store_versions(durable(made), durable(rows), store)
-    _bar_files(of(p.recent.where(late & (F.col("supplier") % 3 != 1))), incoming)
+    _bar_files(last.where(late & (F.col("supplier") % 3 != 1)), incoming)
     for _ in range(2):
         incremental.reconcile_arrivals(spark, incoming, store, fresh_folder(spark, "cursor")).awaitTermination()
     return incremental.stored_versions(spark, store)[0].groupBy("symbol", "target_date", "status").agg(F.count("*").alias("versions"), F.sum("canonical").alias("canonical"), F.sum("discrepancies").alias("discrepancies"))

@@ -20,7 +20,7 @@ CODES = "[0-9]{4,}"
 
 
 def code(number: str) -> F.Column:
-    return F.format_string("%04d", F.col(number))
+    return F.when(F.col(number).between(0, 9999), F.lpad(F.col(number).cast("string"), 4, "0")).when(F.col(number) > 9999, F.col(number).cast("string")).otherwise(F.format_string("%04d", F.col(number)))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,11 +69,15 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_dates(panel: DataFrame, since: str = "2000-06-01") -> tuple:
     """The date from ``since`` on with most symbols, the latest of equals, and the date before it; None without any.
 
-    One job; as many counts as there are dates come to the driver."""
-    counts = {r.trade_date: r.n for r in panel.groupBy("trade_date").agg(F.count("*").alias("n")).collect()}
-    start = dt.date.fromisoformat(since)
-    best = max(((n, d) for d, n in counts.items() if d >= start), default=(0, None))[1]
-    return best, max((d for d in counts if best and d < best), default=None)
+    As many counts as there are dates from ``since`` on come to the driver; dates before are looked at only if the date
+    before the best is none of those."""
+    late = panel.where(F.col("trade_date") >= F.lit(dt.date.fromisoformat(since)))
+    counts = {r.trade_date: r.n for r in late.groupBy("trade_date").agg(F.count("*").alias("n")).collect()}
+    best = max(((n, d) for d, n in counts.items()), default=(0, None))[1]
+    before = max((d for d in counts if d < best), default=None) if best else None
+    if best and before is None:
+        before = panel.where(F.col("trade_date") < F.lit(best)).agg(F.max("trade_date")).first()[0]
+    return best, before
 
 
 def feeds(names: DataFrame, panel: DataFrame, day) -> dict[str, DataFrame]:

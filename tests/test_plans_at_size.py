@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
+from barloom.operators import asof
 from barloom.sources import payloads
 
 
@@ -15,3 +17,14 @@ def test_yearly_stats_parse_a_payload_once(spark):
     good, bad = payloads.yearly_stats(spark.createDataFrame([("1", "{}")], "payload_id string, payload string").repartition(2))
     for rows in (good, bad):
         assert len(re.findall("from_json", plan(rows))) == 1
+
+
+def test_last_bars_of_two_days_without_a_join(spark):
+    rows = [(s, dt.date(2024, 1, d), float(d)) for s, days in (("a", range(1, 11)), ("b", range(1, 10)), ("c", (9,)), ("d", (10,))) for d in days]
+    bars = spark.createDataFrame(rows, "symbol string, trade_date date, close double")
+    day, before = dt.date(2024, 1, 10), dt.date(2024, 1, 9)
+    got = asof.of_last_bars(bars, {"of_day": day, "of_before": before}, 3)
+    assert "Join" not in plan(got)
+    for flag, d in (("of_day", day), ("of_before", before)):
+        assert sorted(map(tuple, got.where(flag).select("symbol", "trade_date").collect())) == sorted(map(tuple, asof.last_bars(bars, d, 3).select("symbol", "trade_date").collect()))
+    assert asof.of_last_bars(bars, {"of_day": day, "of_before": None}, 3).where("of_before").count() == 0
