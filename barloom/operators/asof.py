@@ -43,9 +43,17 @@ def last_bars_with_total(bars: DataFrame, day, n: int) -> DataFrame:
 
 def valuations_as_of(metrics: DataFrame, day) -> DataFrame:
     """The latest value of each ratio up to the day, by its name; of one date, the last source by name."""
+    return latest_values(metrics.where(F.col("metric_date") <= F.lit(day)))
+
+
+def latest_values(metrics: DataFrame) -> DataFrame:
+    """The latest value of each ratio, by its name; of one date, the last source by name.
+
+    First the latest of each source, which is added up by hashing as all that is kept are numbers and dates; a struct would
+    have every row sorted. What is left is a row per symbol, ratio and source."""
+    per = metrics.groupBy("symbol", "name", "source").agg(F.max_by("value", "metric_date").alias("value"), F.max("metric_date").alias("metric_date"))
     newest = F.struct("metric_date", "source")
-    known = metrics.where(F.col("metric_date") <= F.lit(day)).groupBy("symbol", "name")
-    return known.agg(F.max_by("value", newest).alias("value"), F.max("metric_date").alias("metric_date"), F.max_by("source", newest).alias("source"))
+    return per.groupBy("symbol", "name").agg(F.max_by("value", newest).alias("value"), F.max("metric_date").alias("metric_date"), F.max_by("source", newest).alias("source"))
 
 
 def validation_run(runs: DataFrame, day, run_id: str | None = None) -> DataFrame:

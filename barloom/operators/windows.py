@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.asof import latest_values
+
 
 def by_date():
     return Window.partitionBy("symbol").orderBy("trade_date")
@@ -139,6 +141,6 @@ def whole_history(bars: DataFrame) -> DataFrame:
 def summary(bars: DataFrame, metrics: DataFrame) -> DataFrame:
     """What a reader is shown: figures to two decimals, and the latest value of each ratio."""
     shown = whole_history(bars).select("symbol", "observations", *(F.round(c, 2).alias(c) for c in ("last_close", "total_return_pct", "annualized_volatility_pct", "max_drawdown_pct")))
-    latest = metrics.groupBy("symbol", "name").agg(F.max_by("value", F.struct("metric_date", "source")).alias("value"))
+    latest = latest_values(metrics)
     wide = latest.groupBy("symbol").pivot("name", ["price_earnings_ratio", "price_to_book_ratio", "dividend_yield_pct"]).agg(F.round(F.first("value"), 2))
     return shown.join(wide, "symbol", "left")

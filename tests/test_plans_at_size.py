@@ -28,3 +28,12 @@ def test_last_bars_of_two_days_without_a_join(spark):
     for flag, d in (("of_day", day), ("of_before", before)):
         assert sorted(map(tuple, got.where(flag).select("symbol", "trade_date").collect())) == sorted(map(tuple, asof.last_bars(bars, d, 3).select("symbol", "trade_date").collect()))
     assert asof.of_last_bars(bars, {"of_day": day, "of_before": None}, 3).where("of_before").count() == 0
+
+
+def test_latest_values_are_added_up_by_hashing(spark):
+    rows = [("a", "pe", dt.date(2024, 1, d), float(d), s) for d in (1, 2, 3) for s in ("x", "y")] + [("a", "pb", dt.date(2024, 1, 2), 7.0, "x")]
+    metrics = spark.createDataFrame(rows, "symbol string, name string, metric_date date, value double, source string")
+    got = asof.valuations_as_of(metrics, dt.date(2024, 1, 2))
+    assert sorted(map(tuple, got.select("name", "value", "metric_date", "source").collect())) == [("pb", 7.0, dt.date(2024, 1, 2), "x"), ("pe", 2.0, dt.date(2024, 1, 2), "y")]
+    steps = re.findall(r"(\w*)Aggregate\(", got._jdf.queryExecution().sparkPlan().toString())
+    assert steps[-1] == "Hash"  # the one next to the rows
