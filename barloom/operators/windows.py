@@ -80,8 +80,8 @@ def panel(bars: DataFrame, windows: tuple[int, ...] = (20, 60, 120, 250), volati
     """Indicators of every symbol on every date.
 
     Volatility is the population deviation of the last daily returns, not annualised, from two of them on.
-    ``drawdowns`` asks for the largest fall inside the last n observations as well, and ``keep`` for close or volume."""
-    rows = bars.select("symbol", "trade_date", "close", "volume", *(change_pct(n).alias(f"return_{n}d") for n in (1, *windows)))
+    ``drawdowns`` asks for the largest fall inside the last n observations as well, and ``keep`` for columns of the bars."""
+    rows = bars.select("symbol", "trade_date", "close", "volume", *(c for c in keep if c not in ("close", "volume")), *(change_pct(n).alias(f"return_{n}d") for n in (1, *windows)))
     daily = F.col("return_1d") / 100
     returns = {"r": F.coalesce(daily, F.lit(0.0)), "rr": F.coalesce(daily * daily, F.lit(0.0)), "k": daily.isNotNull().cast("long")}
     start = {"close": F.col("close"), "volume": F.col("volume").cast("double"), **returns}

@@ -16,7 +16,7 @@ from barloom.streaming import day_by_day, rollups
 def daily_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators of every bar after three loads: the history up to the day before, the day, and all later ones; the last
     load has the day's bars of some symbols again, which come too late."""
-    p = Panel(spark, sf_dir)
+    p = Panel(spark, sf_dir).at_hand()
     names = ("incoming", "rings", "indicators", "cursor")
     incoming, rings, out, point = (fresh_folder(spark, n) for n in names)
     date, day = F.col("trade_date"), F.lit(p.day)
@@ -42,7 +42,7 @@ def differing_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pruned_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The differences of two histories, of which only the months whose digests differ are compared bar by bar."""
-    p = Panel(spark, sf_dir)
+    p = Panel(spark, sf_dir).at_hand()
     months = digests.unlike(digests.by_month(p.bars, list(OHLCV)), digests.by_month(p.second, list(OHLCV)))
     return shown(compare.history_differences(compare.histories(digests.of_months(p.bars, months), digests.of_months(p.second, months), p.day)))
 

@@ -33,7 +33,7 @@ def advance(rings: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFra
         touched = rings.join(fresh.select("symbol").distinct(), "symbol", "left_semi")
         held = touched.select("symbol", F.inline("ring"))
     rows = held.withColumn("new", F.lit(False)).unionByName(fresh.withColumn("new", F.lit(True)))
-    told = windows.panel(rows, drawdowns=(20, 60, 120, 250)).join(fresh.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_semi")
+    told = windows.panel(rows, drawdowns=(20, 60, 120, 250), keep=("new",)).where("new").drop("new")
     bar = F.struct("trade_date", "close", F.col("volume").cast("long").alias("volume"))
     ordered = F.array_sort(F.collect_list(bar))
     ring = rows.groupBy("symbol").agg(F.max("trade_date").alias("last_date"), F.slice(ordered, -F.least(F.size(ordered), F.lit(KEPT)), KEPT).cast(RING).alias("ring"))

@@ -37,3 +37,9 @@ def test_latest_values_are_added_up_by_hashing(spark):
     assert sorted(map(tuple, got.select("name", "value", "metric_date", "source").collect())) == [("pb", 7.0, dt.date(2024, 1, 2), "x"), ("pe", 2.0, dt.date(2024, 1, 2), "y")]
     steps = re.findall(r"(\w*)Aggregate\(", got._jdf.queryExecution().sparkPlan().toString())
     assert steps[-1] == "Hash"  # the one next to the rows
+
+
+def test_bars_at_hand_are_read_from_files(spark):
+    from barloom.plans.panel import Panel
+
+    assert "Aggregate" not in plan(Panel(spark, "/root/testdata/sf0.001").at_hand().second)
