@@ -235,7 +235,7 @@ def _loads(p: Panel) -> tuple[DataFrame, DataFrame]:
 def upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after three loads: the second repeats rows of itself and writes over the first, and the third moves some
     days of every month to another partition, and others to none."""
-    one, two = _loads(Panel(spark, sf_dir))
+    one, two = _loads(Panel(spark, sf_dir).at_hand())
     path, day = fresh_folder(spark, "upserts"), DAY("trade_date")
     again = two.select("*", F.explode(F.when(day == 16, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("turn"))
     again = again.withColumn("volume", F.col("volume") + F.col("turn") - 1)
@@ -287,7 +287,7 @@ def _bar_files(bars: DataFrame, path: str) -> None:
 
 def backfills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table filled by two incremental loads of files, the second writing over the first; then no file is new."""
-    p = Panel(spark, sf_dir)
+    p = Panel(spark, sf_dir).at_hand()
     one, two = _loads(p)
     incoming, table, point = (fresh_folder(spark, n) for n in ("incoming", "backfill", "cursor"))
     for load in (one, two, None):
@@ -306,7 +306,7 @@ def backfill_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backfill_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each symbol's backfill stands after three loads of months in disorder: it goes back from the day's month until
     it has bars enough or has taken months enough; some symbols lack a month and wait there."""
-    p = Panel(spark, sf_dir)
+    p = Panel(spark, sf_dir).at_hand()
     month = F.month("trade_date")
     bars = p.bars.where((F.col("supplier") % 5 != 2) | (month % 4 != 0))
     names = ("incoming", "backfill", "waiting", "months", "cursor")

@@ -114,16 +114,21 @@ def stage(new: DataFrame, path: str, keys: list[str], arrived: list[str], partit
     columns = [c for c in new.columns if c not in arrived or c in keys]
     schema = T.StructType.fromJson(made["schema"]) if "schema" in made else T.StructType([T.StructField(f.name, f.dataType) for f in new.select(columns).schema])
     columns = schema.fieldNames()
-    winners = durable(latest_wins(None, new, keys, arrived).select(*keys, _part(partition).alias("_part")))
+    once = durable(latest_wins(None, new, keys, arrived).select(*(c for c in columns if c in new.columns), _part(partition).alias("_part")))  # read for the rows and for the index
+    winners = once.select(*keys, "_part")
     named = {r[0]: r[1] for r in winners.groupBy(_bucket(keys)).agg(F.collect_set("_part")).collect()}  # the load's buckets and partitions
     entries = T.StructType([*(T.StructField(k, schema[k].dataType) for k in keys), T.StructField("_part", T.StringType())])
     index = _read(spark, path, entries, [f for b, f in made["index"].items() if b in named])
     same = [F.col(f"i.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]
-    before = [r[0] for r in index.alias("i").join(winners.alias("w"), same, "left_semi").select("_part").distinct().collect()]
+    written = lambda held, kind: held.alias("i").join(winners.alias("w"), same, kind)
+    before = [r[0] for r in written(index, "left_semi").select("_part").distinct().collect()]
     touched = set(before).union(*named.values())
-    old = _read(spark, path, schema, [f for p, f in made["rows"].items() if p in touched])
-    merged = latest_wins(old, new, keys, arrived).select(*columns, _part(partition).alias("_part"))
-    placed = latest_wins(index, winners, keys, []).withColumn("_bucket", _bucket(keys))
+    old = [f for p, f in made["rows"].items() if p in touched]
+    merged = once
+    if old:
+        rest = written(_read(spark, path, schema, old), "left_anti")
+        merged = rest.withColumn("_part", _part(partition)).unionByName(once, allowMissingColumns=True)
+    placed = (winners if index.isEmpty() else written(index, "left_anti").unionByName(winners)).withColumn("_bucket", _bucket(keys))
     rows = {p: f for p, f in made["rows"].items() if p not in touched} | _written(merged, path, "rows", "_part")
     buckets = {b: f for b, f in made["index"].items() if b not in named} | _written(placed, path, "index", "_bucket")
     return {"version": made["version"] + 1, "schema": schema.jsonValue(), "keys": keys, "partition": partition, "rows": rows, "index": buckets}
